@@ -1,0 +1,6 @@
+"""The registered queries of the image operators and their DuckDB equivalents."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}

@@ -27,6 +27,8 @@ from lumera.llm.common import SPACE, read_table, stored, text_or_empty
 
 #: Weights of the sources in code-point order, repeated as often as needed.
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Up to so many sources their table is broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def source_targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -144,6 +146,8 @@ def source_mix(
     cells = stored(sized.groupBy("source_key", "prior").agg(F.sum("size").cast("double").alias("tokens")), "cells")
     dual = entropy_balance(cells, sources.select("source_key", "target"), cap)
     tilts = spark.createDataFrame([(*a, dual[a[0]]) for a in about], kind + ", dual double")
+    # The driver has listed the sources one by one; beyond this number they are joined by a shuffle.
+    tilts = F.broadcast(tilts) if len(about) <= BROADCAST_SOURCES else tilts
     rated = sized.join(tilts, "source_key").select(
         "doc_id", "source", "source_key", "size", "source_size", "target", "row_no",
         F.least(F.lit(cap), F.col("prior") * F.exp("dual")).alias("rate"),

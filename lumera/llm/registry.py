@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lumera.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from lumera.llm.fingerprints import op5_fingerprints
 from lumera.llm.packing import op2_best_fit_packing
 from lumera.llm.secret_scan import op10_secret_scan
 from lumera.llm.source_mix import op8_source_mix
@@ -11,6 +12,7 @@ from lumera.llm.token_files import op6_token_files
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_fingerprints": op5_fingerprints,
     "op6_token_files": op6_token_files,
     "op8_source_mix": op8_source_mix,
     "op10_secret_scan": op10_secret_scan,

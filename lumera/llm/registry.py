@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumera.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from lumera.llm.fingerprints import op5_fingerprints
+from lumera.llm.language_id import op7_language_id
 from lumera.llm.packing import op2_best_fit_packing
 from lumera.llm.secret_scan import op10_secret_scan
 from lumera.llm.source_mix import op8_source_mix
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op6_token_files": op6_token_files,
+    "op7_language_id": op7_language_id,
     "op8_source_mix": op8_source_mix,
     "op10_secret_scan": op10_secret_scan,
 }

@@ -8,10 +8,12 @@ from lumera.llm.language_id import op7_language_id
 from lumera.llm.packing import op2_best_fit_packing
 from lumera.llm.secret_scan import op10_secret_scan
 from lumera.llm.source_mix import op8_source_mix
+from lumera.llm.suffix_dedup import op1_suffix_array_dedup
 from lumera.llm.token_files import op6_token_files
 from lumera.llm.toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lumera.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from lumera.llm.fingerprints import op5_fingerprints
 from lumera.llm.language_id import op7_language_id
+from lumera.llm.ngram_join import op9_ngram_jaccard
 from lumera.llm.packing import op2_best_fit_packing
 from lumera.llm.secret_scan import op10_secret_scan
 from lumera.llm.source_mix import op8_source_mix
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
     "op8_source_mix": op8_source_mix,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_secret_scan": op10_secret_scan,
 }
 

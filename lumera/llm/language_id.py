@@ -12,10 +12,10 @@ log-probabilities per language, whatever the size of the corpus.
 
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumera.llm.common import read_table, text_or_empty
+from lumera.llm.shingles import mix
 
 #: Hashed n-grams of each language; lengths of the n-grams.
 BITS, LENGTHS = 16, (1, 2, 3, 4)
@@ -30,8 +31,6 @@ BITS, LENGTHS = 16, (1, 2, 3, 4)
 SWITCH = 12.0
 #: A language counts as written in a script if at least this share of its letters is.
 SCRIPT_SHARE = 0.01
-#: Words whose scores a task remembers.
-REMEMBERED = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 #: First and last code points of the letters of common scripts.
 SCRIPTS = (
@@ -42,16 +41,28 @@ SCRIPTS = (
 NAMES = [name for name, *_ in SCRIPTS] + ["other"]
 
 
-def script(word: str) -> int:
-    """Number of the script of a word's first letter."""
-    point = ord(word[0])
-    return next((i for i, (_, a, b) in enumerate(SCRIPTS) if a <= point <= b), len(SCRIPTS))
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """Number of the script of each code point."""
+    found = np.full(len(points), len(SCRIPTS))
+    for i, (_, first, last) in enumerate(SCRIPTS):
+        found[(points >= first) & (points <= last)] = i
+    return found
 
 
-def grams(word: str) -> list[int]:
-    """Places of a word's n-grams, its ends marked."""
-    marked = f"<{word}>"
-    return [zlib.crc32(marked[i : i + n].encode()) & ((1 << BITS) - 1) for n in LENGTHS for i in range(len(marked) - n + 1)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the n-grams of all words, ends marked; the word number of each; the script of each word."""
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    points = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le"), "<u4")
+    owner = np.repeat(np.arange(len(words)), sizes)
+    places, owners, h = [], [], np.zeros(len(points), np.uint64)
+    for n in range(1, max(LENGTHS) + 1):
+        h = h[: len(points) - n + 1] * np.uint64(0x100000001B3) + points[n - 1 :] + np.uint64(n)
+        if n in LENGTHS and len(h):
+            whole = owner[: len(h)] == owner[n - 1 :]
+            places.append(((mix(h) >> np.uint64(64 - BITS))[whole]).astype(np.int64))
+            owners.append(owner[: len(h)][whole])
+    scripts = scripts_of(points[np.cumsum(sizes) - sizes + 1])
+    return np.concatenate(places), np.concatenate(owners), scripts
 
 
 def words_of(text: str) -> list[str]:
@@ -66,22 +77,16 @@ class LanguageModel:
     langs: list[str]
     table: np.ndarray
     scripts: np.ndarray
-    memo: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def __getstate__(self) -> dict:
-        return {"langs": self.langs, "table": self.table, "scripts": self.scripts, "memo": {}}
-
-    def word(self, w: str) -> np.ndarray:
-        """Mean log-probability of the n-grams of a word times its length, by language."""
-        found = self.memo.get(w)
-        if found is None:
-            found = self.table[:, grams(w)].mean(axis=1) * min(len(w), 12)
-            allowed = self.scripts[:, script(w)]
-            found = np.where(allowed, found, found.min() - 30.0) if allowed.any() else found
-            found = (found - found.max()).astype(np.float32)
-            if len(self.memo) < REMEMBERED:
-                self.memo[w] = found
-        return found
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Mean log-probability of the n-grams of each word times its length (words x languages), the best at 0."""
+        places, owner, script = grams(words)
+        n = np.maximum(np.bincount(owner, minlength=len(words)), 1)
+        length = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 12)
+        found = np.stack([np.bincount(owner, row[places], len(words)) / n * length for row in self.table], axis=1)
+        allowed = self.scripts[:, script].T
+        found = np.where(allowed | ~allowed.any(axis=1, keepdims=True), found, found.min(axis=1, keepdims=True) - 30.0)
+        return (found - found.max(axis=1, keepdims=True)).astype(np.float32)
 
     def label(self, texts: list[list[str]], switch: float = SWITCH) -> list[np.ndarray]:
         """Language numbers of the words of each text: the best path, by Viterbi over all texts at once.
@@ -96,10 +101,12 @@ class LanguageModel:
         lengths = np.array([len(texts[i]) for i in order])
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # texts longer than t
         first = np.concatenate([[0], np.cumsum(active)])
+        number = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(texts)))}
+        score = self.scores(list(number))
         flat = np.empty((first[-1], len(self.langs)), np.float32)
         for row, i in enumerate(order):
             n = len(texts[i])
-            flat[first[:n] + row] = np.array([self.word(w) for w in texts[i]], np.float32)
+            flat[first[:n] + row] = score[np.fromiter(map(number.__getitem__, texts[i]), np.int64, n)]
         back = np.empty(flat.shape, np.int8)
         best = flat[: active[0]].copy()
         numbers = np.arange(len(self.langs), dtype=np.int8)
@@ -134,19 +141,15 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         seen: dict[str, Counter] = {}
-        memo: dict[str, np.ndarray] = {}
 
         def settle() -> None:
             for lang, words in seen.items():
                 counts = held.setdefault(lang, np.zeros((1 << BITS) + len(NAMES), np.int64))
-                for w, n in words.items():
-                    places = memo.get(w)
-                    if places is None:
-                        places = np.array(grams(w))
-                        if len(memo) < REMEMBERED:
-                            memo[w] = places
-                    np.add.at(counts, places, n)
-                    counts[(1 << BITS) + script(w)] += n * len(w)
+                names, times = list(words), np.fromiter(words.values(), np.float64, len(words))
+                if names:
+                    places, owner, script = grams(names)
+                    counts[: 1 << BITS] += np.bincount(places, times[owner], 1 << BITS).astype(np.int64)
+                    counts[1 << BITS :] += np.bincount(script, times * np.fromiter(map(len, names), np.int64, len(names)), len(NAMES)).astype(np.int64)
             seen.clear()
 
         for batch in batches:

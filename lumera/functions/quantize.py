@@ -36,10 +36,18 @@ def shift_log_rescale(c: Column, low: Column, top: Column) -> Column:
     return whole(MAX * fdiv(ln(c - low), top))
 
 
-def normalize_gamma(c: Column, low: Column, high: Column, gamma: float = 1.8) -> Column:
-    """Scale to 0..1, gamma, inverse pixel mapping."""
-    v = fdiv(c - low, high - low)
-    return inverse_pixel_mapping(F.when(above(v, 0.0), F.pow(v, F.lit(1 / gamma))).otherwise(v))
+def normalize_gamma(px: DataFrame, values: list[Column], low: Column, high: Column, gamma: float = 1.8) -> DataFrame:
+    """16-bit pixels of values scaled to 0..1, with gamma and inverse pixel mapping.
+
+    Each step is a projection of its own, so that no step's code holds the others'
+    more than once.
+    """
+    names = ["v0", "v1", "v2"]
+    at = ["image_id", "x", "y"]
+    px = px.select(*at, low.alias("low"), high.alias("high"), *[v.alias(n) for v, n in zip(values, names, strict=True)])
+    px = px.select(*at, *[fdiv(F.col(n) - F.col("low"), F.col("high") - F.col("low")).alias(n) for n in names])
+    px = px.select(*at, *[F.when(above(F.col(n), 0.0), F.pow(n, F.lit(1 / gamma))).otherwise(F.col(n)).alias(n) for n in names])
+    return to_ldr(px, *[inverse_pixel_mapping(F.col(n)) for n in names])
 
 
 def srgb(c: Column) -> Column:

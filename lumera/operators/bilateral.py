@@ -66,17 +66,19 @@ def corners(grid: DataFrame, axes: int, names: list[str]) -> DataFrame:
     keys = [(F.col(f"g{i}") - F.col(f"c.d{i}")).alias(f"b{i}") for i in range(axes)]
     pairs = F.map_from_entries(F.collect_list(F.struct(F.col("c.k"), F.struct(*names))))
     held = spread.groupBy("image_id", *keys).agg(pairs.alias("m"))
-    return held.select("image_id", *[f"b{i}" for i in range(axes)], *[F.transform(F.sequence(F.lit(0), F.lit(len(steps) - 1)), lambda k, n=n: F.coalesce(F.col("m")[k][n], F.lit(0.0))).alias(f"v_{n}") for n in names])
+    value = lambda n: F.transform(F.sequence(F.lit(0), F.lit(len(steps) - 1)), lambda k: F.coalesce(F.col("m")[k].getField(n), F.lit(0.0)))
+    return held.select("image_id", *[f"b{i}" for i in range(axes)], *[value(n).alias(f"v_{n}") for n in names])
 
 
-def interpolate(axes: int, at: list[Column], name: str) -> Column:
-    """Multilinear reading between the corners in ``v_name``; ``at`` are the grid coordinates."""
-    part = [c - F.floor(c) for c in at]
-    terms = [
-        reduce(lambda a, b: a * b, [part[i] if s else 1 - part[i] for i, s in enumerate(step)]) * F.coalesce(F.col(f"v_{name}")[k], F.lit(0.0))
-        for k, step in enumerate(product((0, 1), repeat=axes))
-    ]
-    return reduce(lambda a, b: a + b, terms)
+def corner_weights(axes: int) -> Column:
+    """Weights of the corners for the grid coordinates ``q0..``, in the corners' order."""
+    part = [F.col(f"q{i}") - F.floor(f"q{i}") for i in range(axes)]
+    return F.array(*[reduce(lambda a, b: a * b, [part[i] if s else 1 - part[i] for i, s in enumerate(step)]) for step in product((0, 1), repeat=axes)])
+
+
+def interpolate(name: str) -> Column:
+    """Multilinear reading of the corners in ``v_name`` by the weights in ``part``; 0 where there are none."""
+    return F.coalesce(F.aggregate(F.zip_with(f"v_{name}", "part", lambda v, p: v * p), F.lit(0.0), lambda a, v: a + v), F.lit(0.0))
 
 
 def _sizes(space: Column, value_steps: list[Column]) -> list[Column]:
@@ -89,7 +91,7 @@ def _read(px: DataFrame, grid: DataFrame, at: list[Column], names: list[str]) ->
     axes = len(at)
     placed = px.select("*", *[(c + PADDING).alias(f"q{i}") for i, c in enumerate(at)])
     placed = placed.select("*", *[_floor(F.col(f"q{i}")).alias(f"b{i}") for i in range(axes)])
-    return placed.join(corners(grid, axes, names), ["image_id", *[f"b{i}" for i in range(axes)]], "left")
+    return placed.join(corners(grid, axes, names), ["image_id", *[f"b{i}" for i in range(axes)]], "left").withColumn("part", corner_weights(axes))
 
 
 def luminance_stats(px: DataFrame, model: str, sigma_space: float | Column | None, sigma_range: float | None) -> DataFrame:
@@ -123,9 +125,9 @@ def y_fast_bilateral(px: DataFrame, model: str, sigma_space=None, sigma_range=No
     at = [F.col("x") / F.col("space"), F.col("y") / F.col("space"), depth]
     grid = smooth(splat_luminance(px, model, sigma_space, sigma_range), 3, 1).select("image_id", "g0", "g1", "g2", F.when(F.col("w") != 0, F.col("s1") / F.col("w")).otherwise(0.0).alias("v"))
     read = _read(placed, grid, at, ["v"])
-    base = F.when(F.col("step") == 0, F.col("c2")).otherwise(interpolate(3, [F.col("q0"), F.col("q1"), F.col("q2")], "v"))
-    shift = F.col("c2") - base
-    out = (F.col("c1") - shift, base, F.col("c3") - shift)
+    read = read.withColumn("base", F.when(F.col("step") == 0, F.col("c2")).otherwise(interpolate("v")))
+    shift = F.col("c2") - F.col("base")
+    out = (F.col("c1") - shift, F.col("base"), F.col("c3") - shift)
     return channels(read, *(as_rgb(XYZ, out) if model == RGB else out))
 
 
@@ -146,7 +148,6 @@ def fast_bilateral(px: DataFrame, model: str, sigma_space: float = 16.0, sigma_r
     grid = smooth(splat(px, stats, [F.col(c) for c in names], axes, F.col("space")), 5, 3)
     placed = attach(px, stats.select("image_id", "space", "step", *[f"low_{c}" for c in names]))
     read = _read(placed, grid, [F.col("x") / F.col("space"), F.col("y") / F.col("space"), *axes], ["s1", "s2", "s3", "w"])
-    coordinates = [F.col(f"q{i}") for i in range(5)]
-    weight = interpolate(5, coordinates, "w")
-    smooth_ = [F.when(F.col("step") == 0, F.col(c)).otherwise(fdiv(interpolate(5, coordinates, s), weight)) for c, s in zip(names, ("s1", "s2", "s3"), strict=True)]
+    read = read.select("image_id", "x", "y", *names, "step", interpolate("w").alias("weight"), *[interpolate(s).alias(f"sum_{s}") for s in ("s1", "s2", "s3")])
+    smooth_ = [F.when(F.col("step") == 0, F.col(c)).otherwise(fdiv(F.col(f"sum_{s}"), F.col("weight"))) for c, s in zip(names, ("s1", "s2", "s3"), strict=True)]
     return channels(read, *smooth_)

@@ -22,6 +22,7 @@ from lumera.operators.blur import fast_gaussian
 from lumera.operators.order_statistics import percentiles
 from lumera.operators.pointwise import log10_filter, pow10_filter, quick_sampling
 from lumera.schema import XYZ, attach, channels
+from lumera.session import materialised
 
 SAMPLING = 0.6
 
@@ -89,7 +90,7 @@ def reinhard05(px: DataFrame, model: str, brightness: float = -5.0, chromatic: f
 
     values = [adapted(n) for n in range(3)]
     spread = attach(few, stats).where(lum != 0).groupBy("image_id").agg(F.least(F.lit(1.0), F.min(F.least(*values))).alias("from"), F.greatest(F.lit(0.0), F.max(F.greatest(*values))).alias("to"))
-    return to_ldr(attach(attach(px, stats), spread), *[normalize_gamma(v, F.col("from"), F.col("to")) for v in values])
+    return normalize_gamma(attach(attach(px, stats), spread), values, F.col("from"), F.col("to"))
 
 
 def custom_reinhard05(px: DataFrame, model: str, brightness: float = 0.0, chromatic: float = 0.0, light: float = 0.1, sampling: str = "quick") -> DataFrame:
@@ -104,7 +105,7 @@ def custom_reinhard05(px: DataFrame, model: str, brightness: float = 0.0, chroma
 
     values = [adapted(c) for c in rgb]
     spread = _sampled(px, sampling).where(lum != 0).groupBy("image_id").agg(F.least(F.lit(1.0), F.min(F.least(*values))).alias("from"), F.greatest(F.lit(0.0), F.max(F.greatest(*values))).alias("to"))
-    return to_ldr(attach(px, spread), *[normalize_gamma(c, F.col("from"), F.col("to")) for c in rgb])
+    return normalize_gamma(attach(px, spread), list(rgb), F.col("from"), F.col("to"))
 
 
 def durand(px: DataFrame, model: str, contrast: float = 5.0) -> DataFrame:
@@ -116,12 +117,16 @@ def durand(px: DataFrame, model: str, contrast: float = 5.0) -> DataFrame:
     stats = stats.select("image_id", factor.alias("cf"), (factor * (F.col("high") - F.col("low"))).alias("absolute"))
     both = attach(px.join(base, ["image_id", "x", "y"]), stats)
     power = F.pow(F.pow(F.lit(10.0), F.col("cf")), F.lit(0.82))
-    s = 2.48 * power / (1 + 1.48 * power)
-    lum = as_xyz(model)[1]
-    detail = log10(finite_or_zero(fdiv(lum, F.pow(F.lit(10.0), F.col("base")))))
-    level = F.pow(F.lit(10.0), F.col("base") * F.col("cf") + detail - F.col("absolute"))
-    out = lambda c: inverse_pixel_mapping(F.pow(finite_or_zero(F.pow(fdiv(c, lum), s) * level), F.lit(1 / 2.2)))
-    return to_ldr(both, *[out(c) for c in as_rgb(model)])
+    rgb, at = ["r", "g", "b"], ["image_id", "x", "y"]
+    # One projection for each step: a step's code holds no other step's twice.
+    both = both.select(*at, "base", "cf", "absolute", (2.48 * power / (1 + 1.48 * power)).alias("s"), as_xyz(model)[1].alias("lum"), *[c.alias(n) for c, n in zip(as_rgb(model), rgb, strict=True)])
+    both = both.withColumn("detail", fdiv(F.col("lum"), F.pow(F.lit(10.0), F.col("base"))))
+    both = both.withColumn("detail", log10(finite_or_zero(F.col("detail"))))
+    both = both.withColumn("level", F.pow(F.lit(10.0), F.col("base") * F.col("cf") + F.col("detail") - F.col("absolute")))
+    both = both.select(*at, "s", "level", *[fdiv(F.col(n), F.col("lum")).alias(n) for n in rgb])
+    both = both.select(*at, *[(F.pow(n, "s") * F.col("level")).alias(n) for n in rgb])
+    both = both.select(*at, *[F.pow(finite_or_zero(F.col(n)), F.lit(1 / 2.2)).alias(n) for n in rgb])
+    return to_ldr(both, *[inverse_pixel_mapping(F.col(n)) for n in rgb])
 
 
 def _adaptation(y: Column) -> Column:
@@ -134,7 +139,7 @@ def _adaptation(y: Column) -> Column:
 def icam06(px: DataFrame, model: str, contrast: float = 0.7, min_clipping: float = 0.01, max_clipping: float = 0.99) -> DataFrame:
     """Image appearance model: adaptation to the local white, cone and rod compression, detail and colour adjustment."""
     contrast, peak = min(0.85, max(0.6, contrast)), 20000.0
-    px = channels(px, *as_xyz(model))
+    px = materialised(channels(px, *as_xyz(model)), "pixels")
     stats = px.groupBy("image_id").agg(F.max("c2").alias("top"), F.least(F.max("x"), F.max("y")).alias("side")).withColumn("side", F.col("side") + 1)
     sides = {r.side for r in stats.select("side").distinct().limit(65).collect()}
     if len(sides) > 64:
@@ -153,7 +158,8 @@ def _icam06(normal: DataFrame, side: int, contrast: float, min_clipping: float,
     base = pow10_filter(y_fast_bilateral(log10_filter(normal), XYZ, sigma_space=side * 0.02))
     white = fast_gaussian(normal, side // 2)
     both = named(normal, "n").join(named(base, "b"), ["image_id", "x", "y"]).join(named(white, "w"), ["image_id", "x", "y"])
-    both = attach(both, white.groupBy("image_id").agg(F.max("c2").alias("sw")))
+    both = materialised(both, "layers")
+    both = attach(both, both.groupBy("image_id").agg(F.max("w2").alias("sw")))
     n, b, w = (columns(*[f"{p}{i}" for i in (1, 2, 3)]) for p in "nbw")
     yw = w[1]
     # Adaptation to the local white, incomplete by degree d.
@@ -182,7 +188,7 @@ def _icam06(normal: DataFrame, side: int, contrast: float, min_clipping: float,
     chroma = F.sqrt(chroma2)
     scale = F.pow(F.col("fl") + 1, F.lit(0.15)) * (1.29 * chroma2 - 0.27 * chroma + 0.42) / (chroma2 - 0.31 * chroma + 0.42)
     lms = apply_matrix(IPT_TO_LMS, (F.col("i"), F.col("p") * scale, F.col("t") * scale))
-    rgb = channels(ipt, *as_rgb(XYZ, apply_matrix(LMS_TO_XYZ, gamma(lms, 1 / 0.43))))
+    rgb = materialised(channels(ipt, *as_rgb(XYZ, apply_matrix(LMS_TO_XYZ, gamma(lms, 1 / 0.43)))), "toned")
     each = rgb.select("image_id", F.explode(F.array("c1", "c2", "c3")).alias("v"))
     clip = percentiles(each, "v", {"lo": min_clipping, "hi": max_clipping}).withColumn("lo", F.least("lo", F.lit(0.0)))
     return to_ldr(attach(rgb, clip), *[srgb(clamp(0.0, 1.0, fdiv(c - F.col("lo"), F.col("hi") - F.col("lo")))) for c in columns()])

@@ -2,5 +2,113 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumera.functions import color, formats
+from lumera.functions.quantize import inverse_pixel_mapping
+from lumera.operators import bilateral, blur, pointwise, tonemap
+from lumera.operators.order_statistics import percentiles
+from lumera.plans import oracle
+from lumera.plans.fixtures import embedding_batch, embedding_image, event_image, order_xyz
+from lumera.schema import CHANNELS, RGB, XYZ
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _rounded(df: DataFrame, places: int = 6, keep: tuple[str, ...] = ("x", "y"), values: tuple[str, ...] = CHANNELS) -> DataFrame:
+    """Values to ``places`` places, -0 as 0."""
+    return df.select(*keep, *[(F.round(v, places) + 0.0).alias(v) for v in values])
+
+
+def _ten_digits(df: DataFrame) -> DataFrame:
+    """Values to four places, from a million on to four places of the million."""
+    cut = lambda v: F.when(v < 1e6, F.round(v, 4)).otherwise(F.round(v / 1e6, 4) * 1e6)
+    return df.select("x", "y", *[cut(F.col(v)).alias(v) for v in CHANNELS])
+
+
+def _of(fixture: Query, f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(fixture(spark, sf_dir))
+
+
+def _maps(*matrices) -> Callable[[DataFrame], DataFrame]:  # noqa: ANN002
+    def run(px: DataFrame) -> DataFrame:
+        v = color.columns()
+        for m in matrices:
+            v = color.apply_matrix(m, v)
+        return _rounded(px.select("x", "y", *[c.alias(n) for c, n in zip(v, CHANNELS, strict=True)]))
+
+    return run
+
+
+def apply2_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event image over the order image where both have a pixel."""
+    ratio = lambda a, b: tuple(p / (q + 1) for p, q in zip(a, b, strict=True))
+    return _rounded(pointwise.apply2(event_image(spark, sf_dir), order_xyz(spark, sf_dir), ratio, ("x", "y")))
+
+
+def percentile_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 1 % and 99 % values of all channels."""
+    each = event_image(spark, sf_dir).select("image_id", F.explode(F.array(*CHANNELS)).alias("v"))
+    return _rounded(percentiles(each, "v", {"lo": 0.01, "hi": 0.99}), keep=("image_id",), values=("lo", "hi"))
+
+
+def _grid(px: DataFrame, smoothed: bool) -> DataFrame:
+    grid = bilateral.splat_luminance(px, RGB)
+    grid = bilateral.smooth(grid, 3, 1) if smoothed else grid
+    return _rounded(grid, keep=("g0", "g1", "g2"), values=("s1", "w"))
+
+
+def _rgbe(px: DataFrame) -> DataFrame:
+    cells = formats.to_radiance(*color.columns())
+    return px.select("x", "y", *[c.alias(n) for c, n in zip(cells, ("b0", "b1", "b2", "e"), strict=True)])
+
+
+def _logluv(px: DataFrame) -> DataFrame:
+    cells = formats.to_logluv(*color.columns())
+    return px.select("x", "y", *[c.alias(n) for c, n in zip(cells, ("high", "low", "u", "v"), strict=True)])
+
+
+def _unpacked(cells: DataFrame, f: Callable[..., tuple[Column, ...]], names: tuple[str, ...]) -> DataFrame:
+    return _rounded(cells.select("x", "y", *[c.alias(n) for c, n in zip(f(*map(F.col, names)), CHANNELS, strict=True)]))
+
+
+def _mapped(px: DataFrame) -> DataFrame:
+    return px.select("x", "y", *[inverse_pixel_mapping(F.col(c) / 24 - 0.1).alias(n) for c, n in zip(CHANNELS, "rgb", strict=True)])
+
+
+QUERIES: dict[str, Query] = {
+    "linear_tmo": _of(event_image, lambda px: tonemap.linear(px, RGB)),
+    "linear_batch": _of(embedding_batch, lambda px: tonemap.linear(px, RGB)),
+    "log_tmo": _of(event_image, lambda px: tonemap.logarithmic(px, RGB)),
+    "drago_tmo": _of(order_xyz, lambda px: tonemap.drago03(px, XYZ)),
+    "reinhard_tmo": _of(event_image, lambda px: tonemap.reinhard05(px, RGB)),
+    "custom_reinhard_tmo": _of(event_image, lambda px: tonemap.custom_reinhard05(px, RGB)),
+    "durand_tmo": _of(embedding_image, lambda px: tonemap.durand(px, RGB)),
+    "icam_tmo": _of(embedding_image, lambda px: tonemap.icam06(px, RGB)),
+    "filter_log10": _of(embedding_image, lambda px: _rounded(pointwise.log10_filter(px))),
+    "filter_pow10": _of(embedding_image, lambda px: _ten_digits(pointwise.pow10_filter(px))),
+    "apply2_ratio": apply2_ratio,
+    "quick_sample_rows": _of(event_image, lambda px: _rounded(pointwise.quick_sampling(px, 0.6))),
+    "box_blur_h": _of(embedding_image, lambda px: _rounded(blur.box_blur(px, 4, "x"))),
+    "box_blur_v": _of(embedding_image, lambda px: _rounded(blur.box_blur(px, 4, "y"))),
+    "stack_blur": _of(embedding_image, lambda px: _rounded(blur.stack_blur(px, 5))),
+    "fast_gaussian": _of(embedding_image, lambda px: _rounded(blur.fast_gaussian(px, 3))),
+    "bilateral_splat": _of(embedding_image, lambda px: _grid(px, smoothed=False)),
+    "bilateral_grid": _of(embedding_image, lambda px: _grid(px, smoothed=True)),
+    "y_fast_bilateral": _of(embedding_image, lambda px: _rounded(bilateral.y_fast_bilateral(px, RGB))),
+    "fast_bilateral_5d": _of(embedding_image, lambda px: _rounded(bilateral.fast_bilateral(px, RGB))),
+    "percentile_clip": percentile_clip,
+    "rgb_to_xyz": _of(event_image, _maps(color.RGB_TO_XYZ)),
+    "xyz_to_rgb": _of(order_xyz, _maps(color.XYZ_TO_RGB)),
+    "lms_roundtrip": _of(order_xyz, _maps(color.XYZ_TO_LMS, color.LMS_TO_XYZ, color.XYZ_TO_CAT02, color.CAT02_TO_XYZ, color.XYZ_TO_HPE, color.HPE_TO_XYZ)),
+    "ipt_roundtrip": _of(order_xyz, _maps(color.XYZ_TO_LMS, color.LMS_TO_IPT, color.IPT_TO_LMS, color.LMS_TO_XYZ)),
+    "rgbe_pack": _of(event_image, _rgbe),
+    "rgbe_unpack": _of(event_image, lambda px: _unpacked(_rgbe(px), formats.from_radiance, ("b0", "b1", "b2", "e"))),
+    "logluv_pack": _of(order_xyz, _logluv),
+    "logluv_unpack": _of(order_xyz, lambda px: _unpacked(_logluv(px), formats.from_logluv, ("high", "low", "u", "v"))),
+    "pixel_mapping": _of(event_image, _mapped),
+}
+ORACLE_SQL: dict[str, str] = dict(oracle.SQL)

@@ -1,0 +1,196 @@
+"""DuckDB SQL for the queries, written from the formulas and not from the Spark plans."""
+
+from __future__ import annotations
+
+from lumera.functions import color
+
+EV = """ev AS (SELECT 'ev' AS image_id, (event_id % 50)::INT AS x, (event_id // 50)::INT AS y, value AS c1,
+  (props->>'$.k')::DOUBLE + 1 AS c2, hour(ts) + minute(ts) / 60.0::DOUBLE AS c3 FROM events)"""
+ORD = """ord AS (SELECT 'ord' AS image_id, (o_orderkey % 50)::INT AS x, (o_orderkey // 50)::INT AS y,
+  o_totalprice / 1000 * (0.90::DOUBLE + 0.01::DOUBLE * (o_orderkey % 11)) AS c1, o_totalprice / 1000 AS c2,
+  o_totalprice / 1000 * (0.95::DOUBLE + 0.02::DOUBLE * (o_orderkey % 13)) AS c3 FROM orders)"""
+
+
+def _sq(j: int) -> str:
+    v = f"embedding[3 * k + {j + 1}]::DOUBLE"
+    return f"100 * ({v} * {v}) AS c{j + 1}"
+
+
+EMB = f"""emb AS (SELECT 'emb' AS image_id, k::INT AS x, vec_id::INT AS y, {_sq(0)}, {_sq(1)}, {_sq(2)}
+  FROM embeddings, (SELECT unnest(range(0, 21)) AS k))"""
+BAT = f"""bat AS (SELECT label::VARCHAR AS image_id, k::INT AS x, n::INT AS y, {_sq(0)}, {_sq(1)}, {_sq(2)}
+  FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings), (SELECT unnest(range(0, 21)) AS k))"""
+
+
+def row(m, i: int, names=("c1", "c2", "c3")) -> str:  # noqa: ANN001
+    """Row ``i`` of a linear map of three columns."""
+    return "(" + " + ".join(f"{a!r}::DOUBLE * ({n})" for a, n in zip(m[i], names, strict=True)) + ")"
+
+
+def lum(names=("c1", "c2", "c3")) -> str:  # noqa: ANN001
+    return row(color.RGB_TO_XYZ, 1, names)
+
+
+def rnd(e: str, places: int = 6) -> str:
+    """A number for comparison; -0 is 0."""
+    return f"round({e}, {places}) + 0.0"
+
+
+def pixel(v: str) -> str:
+    """Inverse pixel mapping."""
+    r = f"round(CASE WHEN isnan({v}) THEN 2.0 ELSE least(2.0, greatest(-1.0, {v})) END, 9)"
+    return f"(CASE WHEN {r} < 0 THEN 0 ELSE least(65535, floor({r} * 65535)::INT + 1) END)::INT"
+
+
+def whole(v: str) -> str:
+    return f"floor(round(CASE WHEN isnan({v}) OR ({v}) < 0 THEN 0.0 ELSE least(65535.0, {v}) END, 6))::INT"
+
+
+def gamma(v: str) -> str:
+    return pixel(f"(CASE WHEN ({v}) > 0 AND NOT isnan({v}) THEN pow({v}, 1 / 1.8::DOUBLE) ELSE {v} END)")
+
+
+LDR = "65535 AS a"
+C = ("c1", "c2", "c3")
+
+SQL: dict[str, str] = {}
+
+SQL["linear_tmo"] = f"""WITH {EV}, s AS (SELECT min(least(c1, c2, c3)) AS lo, max(greatest(c1, c2, c3)) AS hi FROM ev)
+SELECT image_id, x, y, {", ".join(f"{whole(f'(65535 * ({c} - lo) / (hi - lo))')} AS {n}" for c, n in zip(C, "rgb", strict=True))}, {LDR} FROM ev, s"""
+
+_batch = ", ".join(f"{whole(f'(65535 * ({c} - lo) / (hi - lo))')} AS {n}" for c, n in zip(C, "rgb", strict=True))
+SQL["linear_batch"] = f"""WITH {BAT}, s AS (SELECT image_id, min(least(c1, c2, c3)) AS lo, max(greatest(c1, c2, c3)) AS hi FROM bat GROUP BY image_id)
+SELECT image_id, x, y, {_batch}, {LDR} FROM bat JOIN s USING (image_id)"""
+
+_log = lambda c: f"(65535 * (CASE WHEN {c} > lo THEN ln({c} - lo) ELSE '-inf'::DOUBLE END) / ln(hi - lo))"
+SQL["log_tmo"] = f"""WITH {EV}, s AS (SELECT min(least(c1, c2, c3)) AS lo, max(greatest(c1, c2, c3)) AS hi FROM ev)
+SELECT image_id, x, y, {", ".join(f"{whole(_log(c))} AS {n}" for c, n in zip(C, "rgb", strict=True))}, {LDR} FROM ev, s"""
+
+SQL["drago_tmo"] = f"""WITH {ORD}, s AS (SELECT exp(avg(ln(c2 + 1e-4))) AS mean, max(c2) AS top FROM ord),
+t AS (SELECT *, c2 / mean AS q, top / mean AS peak FROM ord, s),
+u AS (SELECT *, ln(q + 1) / ln(2 + 8 * pow(q / peak, log10(0.5::DOUBLE) / ln(0.5::DOUBLE))) / log10(peak + 1) / c2 AS k FROM t)
+SELECT image_id, x, y, {", ".join(f"{pixel(row(color.XYZ_TO_RGB, i, ('c1 * k', 'c2 * k', 'c3 * k')))} AS {n}" for i, n in enumerate("rgb"))}, {LDR} FROM u"""
+
+SAMPLE = """h AS (SELECT trunc((max(y) + 1)::FLOAT * 0.6::FLOAT)::INT AS rows FROM ev),
+few AS (SELECT ev.x, v.y, c1, c2, c3 FROM (SELECT unnest(range(0, rows))::INT AS y FROM h) v JOIN ev ON ev.y = trunc(v.y::FLOAT * 0.6::FLOAT)::INT)"""
+SQL["quick_sample_rows"] = f"WITH {EV}, {SAMPLE} SELECT x, y, {', '.join(f'{rnd(c)} AS {c}' for c in C)} FROM few"
+
+
+def _reinhard(c: str, n: int) -> str:
+    own = f"(0.89::DOUBLE * {c} + (1 - 0.89::DOUBLE) * lum)"
+    mean = f"(0.89::DOUBLE * av{n} + (1 - 0.89::DOUBLE) * av)"
+    return f"(CASE WHEN {c} = 0 THEN 0.0 ELSE {c} / ({c} + pow(exp(5.0::DOUBLE) * (0.89::DOUBLE * {own} + (1 - 0.89::DOUBLE) * {mean}), m)) END)"
+
+
+_values = ", ".join(f"{_reinhard(c, i)} AS v{i}" for i, c in enumerate(C))
+_scaled = lambda names: ", ".join(f"{gamma(f'((v{i} - lo) / (hi - lo))')} AS {n}" for i, n in enumerate(names))
+SQL["reinhard_tmo"] = f"""WITH {EV}, {SAMPLE}, l AS (SELECT *, {lum()} AS lum FROM few),
+s AS (SELECT avg(c1) AS av0, avg(c2) AS av1, avg(c3) AS av2, avg(lum) AS av,
+  0.3::DOUBLE + 0.7::DOUBLE * pow((ln(max(lum)) - avg(ln(lum + 2.3e-5))) / (ln(max(lum)) - (CASE WHEN min(lum) > 0 THEN ln(min(lum)) ELSE '-inf'::DOUBLE END)), 1.4::DOUBLE) AS m FROM l),
+w AS (SELECT least(1.0, min(least(v0, v1, v2))) AS lo, greatest(0.0, max(greatest(v0, v1, v2))) AS hi FROM (SELECT {_values} FROM l, s WHERE lum <> 0)),
+p AS (SELECT image_id, x, y, {_values} FROM (SELECT *, {lum()} AS lum FROM ev), s)
+SELECT image_id, x, y, {_scaled("rgb")}, {LDR} FROM p, w"""
+
+_custom = lambda c: f"(CASE WHEN {c} = 0 THEN 0.0 ELSE {c} / ({c} + pow(lum, lum)) END)"
+SQL["custom_reinhard_tmo"] = f"""WITH {EV}, {SAMPLE}, l AS (SELECT *, {lum()} AS lum FROM few),
+w AS (SELECT least(1.0, min(least(v0, v1, v2))) AS lo, greatest(0.0, max(greatest(v0, v1, v2))) AS hi
+  FROM (SELECT {", ".join(f"{_custom(c)} AS v{i}" for i, c in enumerate(C))} FROM l WHERE lum <> 0))
+SELECT image_id, x, y, {", ".join(f"{gamma(f'(({c} - lo) / (hi - lo))')} AS {n}" for c, n in zip(C, "rgb", strict=True))}, {LDR} FROM ev, w"""
+
+SQL["filter_log10"] = f"WITH {EMB} SELECT x, y, {', '.join(f'{rnd(f'log10(greatest({c}, 1e-4))')} AS {c}' for c in C)} FROM emb"
+_pow = lambda c: f"pow(10.0, CASE WHEN {c} > 12 THEN 0.0 ELSE {c} END)"
+SQL["filter_pow10"] = f"WITH {EMB} SELECT x, y, {', '.join(f'CASE WHEN {_pow(c)} < 1e6 THEN round({_pow(c)}, 4) ELSE round({_pow(c)} / 1e6, 4) * 1e6 END AS {c}' for c in C)} FROM emb"
+SQL["apply2_ratio"] = f"WITH {EV}, {ORD} SELECT x, y, {', '.join(f'{rnd(f'ev.{c} / (ord.{c} + 1)')} AS {c}' for c in C)} FROM ev JOIN ord USING (x, y)"
+
+_near = lambda e: ", ".join(f"{rnd(e(c))} AS {c}" for c in C)
+
+
+def box(src: str, axis: str, r: int) -> str:
+    """One box pass, pixel by pixel: clamped neighbours joined and averaged."""
+    other = "y" if axis == "x" else "x"
+    return f"""SELECT a.x, a.y, {", ".join(f"avg(b.{c}) AS {c}" for c in C)}
+  FROM (SELECT x, y, greatest(0, least(max({axis}) OVER (), {axis} + d)) AS t FROM {src}, (SELECT unnest(range({-r}, {r + 1})) AS d)) a
+  JOIN {src} b ON b.{axis} = a.t AND b.{other} = a.{other} GROUP BY a.x, a.y"""
+
+
+SQL["box_blur_h"] = f"WITH {EMB}, q AS ({box('emb', 'x', 4)}) SELECT x, y, {_near(str)} FROM q"
+SQL["box_blur_v"] = f"WITH {EMB}, q AS ({box('emb', 'y', 4)}) SELECT x, y, {_near(str)} FROM q"
+# Deviation 3 gives boxes of 5, 5 and 7 pixels.
+SQL["fast_gaussian"] = f"""WITH {EMB}, q1 AS ({box('emb', 'x', 2)}), q2 AS ({box('q1', 'y', 2)}), q3 AS ({box('q2', 'x', 2)}), q4 AS ({box('q3', 'y', 2)}),
+q5 AS ({box('q4', 'x', 3)}), q6 AS ({box('q5', 'y', 3)}) SELECT x, y, {_near(str)} FROM q6"""
+
+
+def stack(src: str, axis: str, r: int) -> str:
+    other = "y" if axis == "x" else "x"
+    return f"""SELECT a.x, a.y, {", ".join(f"sum(b.{c} * k) / {(r + 1) ** 2} AS {c}" for c in C)}
+  FROM (SELECT x, y, {r + 1} - abs(d) AS k, greatest(0, least(max({axis}) OVER (), {axis} + d)) AS t FROM {src}, (SELECT unnest(range({-r}, {r + 1})) AS d)) a
+  JOIN {src} b ON b.{axis} = a.t AND b.{other} = a.{other} GROUP BY a.x, a.y"""
+
+
+SQL["stack_blur"] = f"WITH {EMB}, q1 AS ({stack('emb', 'x', 5)}), q2 AS ({stack('q1', 'y', 5)}) SELECT x, y, {_near(str)} FROM q2"
+
+# The luminance grid: cell sums, two (1, 2, 1)/4 passes along each axis, reading between eight corners.
+GRID = f"""l AS (SELECT image_id, x, y, {row(color.RGB_TO_XYZ, 0)} AS vx, {lum()} AS vy, {row(color.RGB_TO_XYZ, 2)} AS vz, c1, c2, c3 FROM src),
+s AS (SELECT min(vy) AS lo, (max(vy) - min(vy)) * 0.1::DOUBLE AS step, floor(max(x) / 16.0::DOUBLE)::INT + 5 AS n0, floor(max(y) / 16.0::DOUBLE)::INT + 5 AS n1,
+  floor((max(vy) - min(vy)) / ((max(vy) - min(vy)) * 0.1::DOUBLE))::INT + 5 AS n2 FROM l),
+g AS (SELECT floor(x / 16.0::DOUBLE + 0.5)::INT + 2 AS g0, floor(y / 16.0::DOUBLE + 0.5)::INT + 2 AS g1, floor((vy - lo) / step + 0.5)::INT + 2 AS g2, sum(vy) AS v, count(*)::DOUBLE AS w
+  FROM l, s GROUP BY 1, 2, 3)"""
+
+
+def _pass(src: str, axis: int) -> str:
+    keys = ", ".join(f"g{i} + d AS g{i}" if i == axis else f"g{i}" for i in range(3))
+    return f"""SELECT g0, g1, g2, sum(v * f) AS v, sum(w * f) AS w FROM (SELECT {keys}, v, w, (2 - abs(d)) / 4.0::DOUBLE AS f FROM {src}, (SELECT unnest([-1, 0, 1]) AS d)), s
+  WHERE g{axis} BETWEEN 1 AND n{axis} - 2 GROUP BY g0, g1, g2"""
+
+
+PASSES = ", ".join(f"p{i} AS ({_pass(f'p{i - 1}' if i else 'g', i // 2)})" for i in range(6))
+_corner = "(CASE WHEN d0 = 1 THEN q0 - b0 ELSE 1 - (q0 - b0) END) * (CASE WHEN d1 = 1 THEN q1 - b1 ELSE 1 - (q1 - b1) END) * (CASE WHEN d2 = 1 THEN q2 - b2 ELSE 1 - (q2 - b2) END)"
+READ = f"""placed AS (SELECT *, x / 16.0::DOUBLE + 2 AS q0, y / 16.0::DOUBLE + 2 AS q1, (vy - lo) / step + 2 AS q2, floor(x / 16.0::DOUBLE + 2)::INT AS b0, floor(y / 16.0::DOUBLE + 2)::INT AS b1,
+  floor((vy - lo) / step + 2)::INT AS b2 FROM l, s),
+base AS (SELECT x, y, sum(coalesce(CASE WHEN p5.w <> 0 THEN p5.v / p5.w END, 0) * {_corner}) AS yb
+  FROM placed CROSS JOIN (SELECT unnest([0, 1]) AS d0) CROSS JOIN (SELECT unnest([0, 1]) AS d1) CROSS JOIN (SELECT unnest([0, 1]) AS d2)
+  LEFT JOIN p5 ON p5.g0 = b0 + d0 AND p5.g1 = b1 + d1 AND p5.g2 = b2 + d2 GROUP BY x, y)"""
+SRC = "src AS (SELECT * FROM emb)"
+SQL["bilateral_splat"] = f"WITH {EMB}, {SRC}, {GRID} SELECT g0, g1, g2, {rnd('v')} AS s1, w FROM g"
+SQL["bilateral_grid"] = f"WITH {EMB}, {SRC}, {GRID}, {PASSES} SELECT g0, g1, g2, {rnd('v')} AS s1, {rnd('w')} AS w FROM p5"
+_out = ("vx - (vy - yb)", "yb", "vz - (vy - yb)")
+SQL["y_fast_bilateral"] = f"""WITH {EMB}, {SRC}, {GRID}, {PASSES}, {READ}
+SELECT x, y, {", ".join(f"{rnd(row(color.XYZ_TO_RGB, i, _out))} AS {c}" for i, c in enumerate(C))} FROM l JOIN base USING (x, y)"""
+LOG = "src AS (SELECT image_id, x, y, log10(greatest(c1, 1e-4)) AS c1, log10(greatest(c2, 1e-4)) AS c2, log10(greatest(c3, 1e-4)) AS c3 FROM emb)"
+_fin = lambda e: f"(CASE WHEN isnan({e}) OR isinf({e}) THEN 0.0 ELSE {e} END)"
+SQL["durand_tmo"] = f"""WITH {EMB}, {LOG}, {GRID}, {PASSES}, {READ},
+r AS (SELECT log10(5.0::DOUBLE) / (max(yb) - min(yb)) AS cf, log10(5.0::DOUBLE) / (max(yb) - min(yb)) * (max(yb) - min(yb)) AS absolute FROM base),
+k AS (SELECT *, 2.48::DOUBLE * pow(pow(10.0, cf), 0.82::DOUBLE) / (1 + 1.48::DOUBLE * pow(pow(10.0, cf), 0.82::DOUBLE)) AS e FROM r),
+d AS (SELECT emb.image_id, x, y, emb.c1, emb.c2, emb.c3, {lum(('emb.c1', 'emb.c2', 'emb.c3'))} AS lum, yb, cf, absolute, e FROM emb JOIN base USING (x, y), k),
+f AS (SELECT *, pow(10.0, yb * cf + log10({_fin('(lum / pow(10.0, yb))')}) - absolute) AS level FROM d)
+SELECT image_id, x, y, {", ".join(f"{pixel(f'pow({_fin(f'(pow({c} / lum, e) * level)')}, 1 / 2.2::DOUBLE)')} AS {n}" for c, n in zip(C, "rgb", strict=True))}, {LDR} FROM f"""
+
+SQL["percentile_clip"] = f"""WITH {EV}, e AS (SELECT c1 AS v FROM ev UNION ALL SELECT c2 FROM ev UNION ALL SELECT c3 FROM ev),
+o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM e)
+SELECT 'ev' AS image_id, {rnd("max(v) FILTER (i = floor(0.01::DOUBLE * n))")} AS lo, {rnd("max(v) FILTER (i = floor(0.99::DOUBLE * n))")} AS hi FROM o"""
+
+
+def _map(src: str, *ms) -> str:  # noqa: ANN002
+    at = f"SELECT x, y, c1, c2, c3 FROM {src}"
+    for m in ms:
+        at = f"SELECT x, y, {', '.join(f'{row(m, i)} AS {c}' for i, c in enumerate(C))} FROM ({at})"
+    return f"SELECT x, y, {_near(str)} FROM ({at})"
+
+
+SQL["rgb_to_xyz"] = f"WITH {EV} {_map('ev', color.RGB_TO_XYZ)}"
+SQL["xyz_to_rgb"] = f"WITH {ORD} {_map('ord', color.XYZ_TO_RGB)}"
+SQL["lms_roundtrip"] = f"WITH {ORD} {_map('ord', color.XYZ_TO_LMS, color.LMS_TO_XYZ, color.XYZ_TO_CAT02, color.CAT02_TO_XYZ, color.XYZ_TO_HPE, color.HPE_TO_XYZ)}"
+SQL["ipt_roundtrip"] = f"WITH {ORD} {_map('ord', color.XYZ_TO_LMS, color.LMS_TO_IPT, color.IPT_TO_LMS, color.LMS_TO_XYZ)}"
+
+_k = "(floor(log2(top))::INT + 1)"
+_exp = f"(CASE WHEN top >= pow(2.0, {_k}) THEN {_k} + 1 WHEN top < pow(2.0, {_k} - 1) THEN {_k} - 1 ELSE {_k} END)"
+_rgbe = f"e AS (SELECT *, {_exp} AS k FROM (SELECT *, greatest(c1, c2, c3) AS top FROM ev) WHERE top > 1e-32)"
+SQL["rgbe_pack"] = f"WITH {EV}, {_rgbe} SELECT x, y, {', '.join(f'trunc({c} * (top * pow(2.0, -k) * 256 / top))::INT AS b{i}' for i, c in enumerate(C))}, k + 128 AS e FROM e"
+SQL["rgbe_unpack"] = f"""WITH {EV}, {_rgbe}, b AS (SELECT x, y, {', '.join(f'trunc({c} * (top * pow(2.0, -k) * 256 / top))::INT AS b{i}' for i, c in enumerate(C))}, k + 128 AS e FROM e)
+SELECT x, y, {', '.join(f'{rnd(f"b{i} * pow(2.0, e - 136)")} AS c{i + 1}' for i in range(3))} FROM b"""
+_luv = """b AS (SELECT x, y, floor(256 * (log2(c2) + 64))::INT AS word, floor(410 * (4 * c1 / (c1 + 15 * c2 + 3 * c3)))::INT AS u, floor(410 * (9 * c2 / (c1 + 15 * c2 + 3 * c3)))::INT AS v FROM ord)"""
+SQL["logluv_pack"] = f"WITH {ORD}, {_luv} SELECT x, y, word // 256 AS high, word % 256 AS low, u, v FROM b"
+SQL["logluv_unpack"] = f"""WITH {ORD}, {_luv}, f AS (SELECT x, y, pow(2.0, (word + 0.5::DOUBLE) / 256 - 64) AS c2, (u + 0.5::DOUBLE) / 410 AS u, (v + 0.5::DOUBLE) / 410 AS v FROM b),
+t AS (SELECT *, 9 * u / (6 * u - 16 * v + 12) AS lx, 4 * v / (6 * u - 16 * v + 12) AS ly FROM f)
+SELECT x, y, {rnd('lx / ly * c2')} AS c1, {rnd('c2')} AS c2, {rnd('(1 - lx - ly) / ly * c2')} AS c3 FROM t"""
+SQL["pixel_mapping"] = f"WITH {EV} SELECT x, y, {', '.join(f'{pixel(f"({c} / 24 - 0.1::DOUBLE)")} AS {n}' for c, n in zip(C, 'rgb', strict=True))} FROM ev"

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "lumera", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,3 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
     place = "file://" + tempfile.mkdtemp(prefix="lumera-", dir=os.environ.get("TMPDIR"))
     spark.conf.set("spark.checkpoint.dir", place)
     return place
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so what follows doesn't compute it anew."""
+    path = f"{shared_dir(df.sparkSession)}/lumera-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

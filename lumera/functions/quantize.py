@@ -13,11 +13,11 @@ MAX = 65535
 def inverse_pixel_mapping(v: Column) -> Column:
     """The largest index whose level ``(index - 1) / 65535`` is at most ``v``, held in 0..65535.
 
-    Below 0 is 0, 0 is 1, and not a number is white. Values are rounded to nine
-    places first, so noise below that doesn't choose the index.
+    Below 0 is 0, 0 is 1, and not a number is white. Levels are rounded to six places
+    first, so noise below that doesn't choose the index.
     """
-    r = F.round(F.when(F.isnan(v), 2.0).otherwise(F.least(F.lit(2.0), F.greatest(F.lit(-1.0), v))), 9)
-    return F.when(r < 0, 0).otherwise(F.least(F.lit(MAX), F.floor(r * MAX).cast("int") + 1)).cast("int")
+    r = F.round(F.when(F.isnan(v), 2.0).otherwise(F.least(F.lit(2.0), F.greatest(F.lit(-1.0), v))) * MAX, 6)
+    return F.when(r < 0, 0).otherwise(F.least(F.lit(MAX), F.floor(r).cast("int") + 1)).cast("int")
 
 
 def whole(v: Column) -> Column:

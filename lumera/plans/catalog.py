@@ -13,7 +13,8 @@ from lumera.operators import bilateral, blur, pointwise, tonemap
 from lumera.operators.order_statistics import percentiles
 from lumera.plans import oracle
 from lumera.plans.fixtures import embedding_batch, embedding_image, event_image, order_xyz
-from lumera.schema import CHANNELS, RGB, XYZ
+from lumera.schema import CHANNELS, RGB, XYZ, describe_images
+from lumera.sources import hli, images
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +80,22 @@ def _mapped(px: DataFrame) -> DataFrame:
     return px.select("x", "y", *[inverse_pixel_mapping(F.col(c) / 24 - 0.1).alias(n) for c, n in zip(CHANNELS, "rgb", strict=True)])
 
 
+def _codec(codec: str, **options) -> Callable[[DataFrame], DataFrame]:  # noqa: ANN003
+    """Pixels after a file of the codec has been written and read."""
+    return lambda px: _rounded(images.decode_pixels(images.encode_images(px, codec, **options), codec), 5)
+
+
+def _float_bytes(px: DataFrame) -> DataFrame:
+    raw = px.select("x", "y", formats.to_bytes(*color.columns()).alias("raw"))
+    read = raw.withColumn("v", formats.from_bytes(F.col("raw")))
+    return _rounded(read.select("x", "y", *[F.col("v")[i].alias(c) for i, c in enumerate(CHANNELS)]), 5)
+
+
+def _view(f: Callable[[DataFrame, str], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """An integer view of the image scaled to about 0..1."""
+    return lambda px: f(pointwise.apply1(px, lambda *v: tuple(F.round(c / 24, 9) for c in v)), RGB).drop("image_id")
+
+
 QUERIES: dict[str, Query] = {
     "linear_tmo": _of(event_image, lambda px: tonemap.linear(px, RGB)),
     "linear_batch": _of(embedding_batch, lambda px: tonemap.linear(px, RGB)),
@@ -110,5 +127,14 @@ QUERIES: dict[str, Query] = {
     "logluv_pack": _of(order_xyz, _logluv),
     "logluv_unpack": _of(order_xyz, lambda px: _unpacked(_logluv(px), formats.from_logluv, ("high", "low", "u", "v"))),
     "pixel_mapping": _of(event_image, _mapped),
+    "codec_pfm": _of(event_image, _codec("pfm")),
+    "codec_rgbe": _of(event_image, _codec("hdr")),
+    "codec_hli": _of(event_image, _codec("hli", header=hli.PRESETS[3])),
+    "codec_hli_logluv": _of(order_xyz, lambda px: _codec("hli", model=XYZ, header=hli.PRESETS[6])(px)),
+    "float_bytes": _of(event_image, _float_bytes),
+    "view_8_bit": _of(event_image, _view(color.view_8_bit)),
+    "view_16_bit": _of(event_image, _view(color.view_16_bit)),
+    "cone_views": _of(order_xyz, lambda px: _rounded(color.lms_cat02(px, XYZ).unionByName(color.lms_hpe(px, XYZ)), 10)),
+    "image_metadata": _of(embedding_batch, lambda px: describe_images(px, RGB).select("image_id", "width", "height", "color_model")),
 }
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)

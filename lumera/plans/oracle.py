@@ -38,8 +38,8 @@ def rnd(e: str, places: int = 6) -> str:
 
 def pixel(v: str) -> str:
     """Inverse pixel mapping."""
-    r = f"round(CASE WHEN isnan({v}) THEN 2.0 ELSE least(2.0, greatest(-1.0, {v})) END, 9)"
-    return f"(CASE WHEN {r} < 0 THEN 0 ELSE least(65535, floor({r} * 65535)::INT + 1) END)::INT"
+    r = f"round((CASE WHEN isnan({v}) THEN 2.0 ELSE least(2.0, greatest(-1.0, {v})) END)::DOUBLE * 65535, 6)"
+    return f"(CASE WHEN {r} < 0 THEN 0 ELSE least(65535, floor({r})::INT + 1) END)::INT"
 
 
 def whole(v: str) -> str:
@@ -194,3 +194,14 @@ SQL["logluv_unpack"] = f"""WITH {ORD}, {_luv}, f AS (SELECT x, y, pow(2.0, (word
 t AS (SELECT *, 9 * u / (6 * u - 16 * v + 12) AS lx, 4 * v / (6 * u - 16 * v + 12) AS ly FROM f)
 SELECT x, y, {rnd('lx / ly * c2')} AS c1, {rnd('c2')} AS c2, {rnd('(1 - lx - ly) / ly * c2')} AS c3 FROM t"""
 SQL["pixel_mapping"] = f"WITH {EV} SELECT x, y, {', '.join(f'{pixel(f"({c} / 24 - 0.1::DOUBLE)")} AS {n}' for c, n in zip(C, 'rgb', strict=True))} FROM ev"
+
+_single = ", ".join(f"{rnd(f'{c}::FLOAT::DOUBLE', 5)} AS {c}" for c in C)
+SQL["codec_pfm"] = SQL["codec_hli"] = SQL["float_bytes"] = f"WITH {EV} SELECT x, y, {_single} FROM ev"
+SQL["codec_rgbe"] = f"""WITH {EV}, {_rgbe}, b AS (SELECT x, y, {', '.join(f'trunc({c} * (top * pow(2.0, -k) * 256 / top))::INT AS b{i}' for i, c in enumerate(C))}, k + 128 AS e FROM e)
+SELECT x, y, {', '.join(f'{rnd(f"b{i} * pow(2.0, e - 136)", 5)} AS c{i + 1}' for i in range(3))} FROM b"""
+_view = lambda top: ", ".join(f"trunc(greatest(0.0, least({top}.0, round({c} / 24, 9) * {top})))::INT AS {n}" for c, n in zip(C, "rgb", strict=True))
+SQL["view_8_bit"] = f"WITH {EV} SELECT x, y, {_view(255)}, 255 AS a FROM ev"
+SQL["view_16_bit"] = f"WITH {EV} SELECT x, y, {_view(65535)}, 65535 AS a FROM ev"
+_cone = lambda m: f"SELECT x, y, {', '.join(f'{rnd(row(m, i), 10)} AS {c}' for i, c in enumerate(C))} FROM ord"
+SQL["cone_views"] = f"WITH {ORD} {_cone(color.XYZ_TO_CAT02)} UNION ALL {_cone(color.XYZ_TO_HPE)}"
+SQL["image_metadata"] = f"WITH {BAT} SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, 'RGB' AS color_model FROM bat GROUP BY image_id"

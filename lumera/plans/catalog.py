@@ -134,7 +134,7 @@ QUERIES: dict[str, Query] = {
     "float_bytes": _of(event_image, _float_bytes),
     "view_8_bit": _of(event_image, _view(color.view_8_bit)),
     "view_16_bit": _of(event_image, _view(color.view_16_bit)),
-    "cone_views": _of(order_xyz, lambda px: _rounded(color.lms_cat02(px, XYZ).unionByName(color.lms_hpe(px, XYZ)), 10)),
+    "cone_views": _of(embedding_image, lambda px: _rounded(color.lms_cat02(px, RGB).unionByName(color.lms_hpe(px, RGB)))),
     "image_metadata": _of(embedding_batch, lambda px: describe_images(px, RGB).select("image_id", "width", "height", "color_model")),
 }
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)

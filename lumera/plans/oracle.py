@@ -202,6 +202,5 @@ SELECT x, y, {', '.join(f'{rnd(f"b{i} * pow(2.0, e - 136)", 5)} AS c{i + 1}' for
 _view = lambda top: ", ".join(f"trunc(greatest(0.0, least({top}.0, round({c} / 24, 9) * {top})))::INT AS {n}" for c, n in zip(C, "rgb", strict=True))
 SQL["view_8_bit"] = f"WITH {EV} SELECT x, y, {_view(255)}, 255 AS a FROM ev"
 SQL["view_16_bit"] = f"WITH {EV} SELECT x, y, {_view(65535)}, 65535 AS a FROM ev"
-_cone = lambda m: f"SELECT x, y, {', '.join(f'{rnd(row(m, i), 10)} AS {c}' for i, c in enumerate(C))} FROM ord"
-SQL["cone_views"] = f"WITH {ORD} {_cone(color.XYZ_TO_CAT02)} UNION ALL {_cone(color.XYZ_TO_HPE)}"
+SQL["cone_views"] = f"WITH {EMB} {_map('emb', color.RGB_TO_XYZ, color.XYZ_TO_CAT02)} UNION ALL {_map('emb', color.RGB_TO_XYZ, color.XYZ_TO_HPE)}"
 SQL["image_metadata"] = f"WITH {BAT} SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, 'RGB' AS color_model FROM bat GROUP BY image_id"

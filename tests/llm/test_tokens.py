@@ -67,7 +67,7 @@ def test_packed_pieces_cover_every_document(spark):
         piece = whole[int(r.doc_id)][r.start : r.start + r.length]
         assert len(piece) == r.length and zlib.crc32(np.array(piece, "<u4").tobytes()) == r.ids_crc32
         assert r.piece == 0 or r.length == 128
-    assert got["length"].sum() == 3 * sum(len(ids_of(t)) + 1 for _, t, *_ in rows)
+    assert got["length"].sum() == sum(len(ids_of(t)) + 1 for _, t, *_ in rows)
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert s["offset"].tolist() == [0, *np.cumsum(s["length"])[:-1].tolist()] and s["length"].sum() <= 128
 

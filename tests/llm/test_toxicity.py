@@ -46,7 +46,7 @@ def test_filter_drops_what_is_toxic_and_keeps_the_rest(spark):
     assert np.mean([got[i] == (g > 0) for i, _, g in graded(200)]) > 0.97
     kept = drop_toxic(docs, model)
     assert kept.columns == docs.columns
-    assert sorted(i for (i,) in kept.select("doc_id").collect() if i is not None) == sorted(i for i, x in got.items() if i is not None and not x) + [10_025]
+    assert sorted(i for (i,) in kept.select("doc_id").collect() if i is not None) == sorted([i for i, x in got.items() if i is not None and not x] + [10_025])
     assert not got[10_014] and not got[10_015] and not got[10_016]
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +37,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def text_or_empty(text: str | Column = "text") -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def trim() -> None:
+    """Give freed memory of this Python worker back to the system, which it would keep for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that few texts are Python objects at a time."""
+    try:
+        for batch in batches:
+            for a in range(0, batch.num_rows, rows):
+                yield batch.slice(a, rows)
+    finally:
+        trim()

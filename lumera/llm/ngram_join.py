@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumera.llm.common import read_table, stored, text_or_empty
+from lumera.llm.common import read_table, small, stored, text_or_empty
 from lumera.llm.components import connected_components
 from lumera.llm.shingles import U, mix, shingle_hashes, text_slices
 
@@ -39,6 +39,10 @@ SKETCH, PIECES = 1 << 20, 64
 MINIMA, BAND = 32, 4
 #: Lists longer than this are dealt as pairs of blocks of about this many sets.
 LONG_LIST = 20_000
+#: Lists of up to so many sets are worked through pair by pair.
+SHORT_LIST = 24
+#: Pairs that a task remembers so as not to name them again; what it forgets is made distinct by the shuffle.
+SEEN = 400_000
 
 
 def _ceil(a: np.ndarray | int, b: int) -> np.ndarray | int:
@@ -71,18 +75,18 @@ def digest(s: np.ndarray) -> bytes:
 def frequency_ranks(rows: DataFrame, words: int) -> np.ndarray:
     """Rank of each counter of the sketch: 0 for what can't be told from the average, more for frequent shingles.
 
-    Tasks count into an array of fixed size, and their arrays are added up piece by
+    Occurrences are counted, repeats in a text included. Tasks count into an array of fixed size, and their arrays are added up piece by
     piece, a piece at a time. The driver receives the one sum.
     """
     width = SKETCH // PIECES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for s in sets_of(batch.column(0).to_pylist(), words):
-                total += np.bincount((s >> U(44)).astype(np.int64), minlength=SKETCH) if len(s) > SKETCH // 64 else 0
-                if len(s) <= SKETCH // 64:
-                    np.add.at(total, (s >> U(44)).astype(np.int64), 1)
+        for batch in small(batches):
+            raw = [t.encode() for t in batch.column(0).to_pylist()]
+            for a, b in text_slices(list(map(len, raw))):
+                found = np.concatenate(list(shingle_hashes(raw[a:b], words)))
+                total += np.bincount((found >> U(44)).astype(np.int64), minlength=SKETCH)
         yield _batch({"piece": pa.int32(), "counts": pa.binary()}, np.arange(PIECES), [total[i * width : (i + 1) * width].tobytes() for i in range(PIECES)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,31 +121,47 @@ def bands(s: np.ndarray) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
-def describe(rows: DataFrame, ranks: np.ndarray, words: int, percent: int, full: bool) -> DataFrame:
-    """doc_id, digest and size of each set; if ``full``, also its prefix, its bands and how central it is."""
-    kinds = {"doc_id": pa.int64(), "digest": pa.binary(), "n": pa.int32()}
-    kind = "doc_id long, digest binary, n int"
-    if full:
-        kinds |= {"prefix": pa.list_(pa.int64()), "bands": pa.list_(pa.int64()), "central": pa.float32()}
-        kind += ", prefix array<long>, bands array<long>, central float"
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parities of the counts of a set's hashes in slots, two slots a shingle at least.
+
+    The slots in which two parities differ are at most as many as the shingles that
+    only one of the sets has. Halves are laid over each other by exclusive or.
+    """
+    slots = max(1024, 1 << int(2 * len(s)).bit_length())
+    counts = np.bincount((s & U(slots - 1)).astype(np.int64), minlength=slots)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the number of shingles that only one of two sets has."""
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def describe(rows: DataFrame, ranks: np.ndarray, words: int, percent: int) -> DataFrame:
+    """What the join needs to know of each text: digest and size of its set, prefix, bands, centrality and parity."""
+    kinds = {
+        "doc_id": pa.int64(), "key": pa.string(), "digest": pa.binary(), "n": pa.int32(), "prefix": pa.list_(pa.int64()),
+        "bands": pa.list_(pa.int64()), "central": pa.float32(), "parity": pa.binary(),
+    }
+    kind = "doc_id long, key string, digest binary, n int, prefix array<long>, bands array<long>, central float, parity binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1_000):
-                part = batch.slice(a, 1_000)
-                columns: list[list] = [[] for _ in kinds]
-                for doc_id, s in zip(part.column(0).to_pylist(), sets_of(part.column(1).to_pylist(), words), strict=True):
-                    values = [doc_id, digest(s), len(s)]
-                    if full:
-                        rank = ranks[(s >> U(44)).astype(np.int64)]
-                        size = prefix_length(len(s), percent) if len(s) else 0
-                        order = np.argsort(rank, kind="stable")[:size]
-                        values += [s[order].view(np.int64), bands(s), float((rank > 0).mean()) if len(s) else 0.0]
-                    for c, v in zip(columns, values, strict=True):
-                        c.append(v)
-                yield _batch(kinds, *columns)
-
-    return rows.mapInArrow(run, kind)
+        for part in small(batches):
+            out: list[tuple] = []
+            for doc_id, key, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets_of(part.column(2).to_pylist(), words), strict=True):
+                if not len(s):
+                    out.append((doc_id, key, digest(s), 0, [], [], 0.0, b""))
+                    continue
+                rank = ranks[(s >> U(44)).astype(np.int64)]
+                order = np.argsort(rank, kind="stable")[: prefix_length(len(s), percent)]
+                out.append((doc_id, key, digest(s), len(s), s[order].view(np.int64), bands(s), float((rank > 0).mean()), parity(s).tobytes()))
+            yield _batch(kinds, *(list(c) for c in zip(*out, strict=True)))
+
+    return rows.select("doc_id", "key", "text").mapInArrow(run, kind)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,30 +236,53 @@ def candidates(lists: DataFrame, groups: DataFrame, percent: int, one: bool) ->
         seen: set[tuple[int, int]] = set()
 
         def give(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if len(rows[0]) < 2:
-                return
             for a, b in list_pairs(rows[4], rows[5], rows[6], rows[7], rows[3], percent, one):
                 low, high = np.minimum(a, b), np.maximum(a, b)
                 new = [p for p in zip(low.tolist(), high.tolist(), strict=True) if p not in seen]
-                if len(seen) > 500_000:
-                    seen.clear()
                 seen.update(new)
                 if new:
                     yield _batch(kinds, *zip(*new, strict=True))
+                if len(seen) > SEEN:
+                    seen.clear()
+
+        def short(x: int, y: int, columns: list[list]) -> list[tuple[int, int]]:
+            """The pairs of a short list, one by one."""
+            _, _, _, _, node, group, n, pos = columns
+            found = []
+            for i in range(x, y):
+                for j in range(i + 1, y):
+                    if group[i] != group[j]:
+                        need = needed(n[i], n[j], percent)
+                        if pos[i] <= n[i] - need and pos[j] <= n[j] - need:
+                            pair = (node[i], node[j]) if node[i] < node[j] else (node[j], node[i])
+                            if pair not in seen:
+                                seen.add(pair)
+                                found.append(pair)
+            return found
 
         held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in small(batches, 10_000):
             rows = [c.to_numpy() for c in batch.columns]
             edge = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])) + 1
             cuts = [0, *edge.tolist(), len(rows[0])]
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            columns, pairs = [c.tolist() for c in rows], []
+            for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                # Short lists that neither begin nor end a batch and aren't parts of long ones.
+                if 0 < k < len(cuts) - 2 and y - x <= SHORT_LIST and not rows[3][x:y].any():
+                    if held:
+                        yield from give([np.concatenate(c) for c in zip(*held, strict=True)])
+                        held = []
+                    pairs += short(x, y, columns)
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    continue
                 part = [c[x:y] for c in rows]
                 if held and any(held[-1][k][-1] != part[k][0] for k in range(3)):
                     yield from give([np.concatenate(c) for c in zip(*held, strict=True)])
                     held = []
                 held.append(part)
+            if pairs:
+                yield _batch(kinds, *zip(*pairs, strict=True))
         if held:
             yield from give([np.concatenate(c) for c in zip(*held, strict=True)])
 
@@ -247,6 +290,22 @@ def candidates(lists: DataFrame, groups: DataFrame, percent: int, one: bool) ->
     return dealt.repartition(*map(F.col, keys)).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the parities of their sets don't rule out: (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 2_000):
+            keep = []
+            for n, m, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                most = n + m - 2 * needed(n, m, percent)
+                keep.append(least_difference(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) <= most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda name, k: nodes.select(F.col("short").alias(name), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}"))
+    joined = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "n_1", "n_2", "parity_1", "parity_2")
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough, counted in full: (a, b) by digest, (short_a, short_b)."""
 
@@ -262,7 +321,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 kept[name] = next(sets_of([unzip(z).decode()], words))
             return kept[name]
 
-        for batch in batches:
+        for batch in small(batches):
             out: list = []
             for short_a, short_b, name_a, z_a, name_b, z_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = shingles(name_a, z_a), shingles(name_b, z_b)
@@ -290,15 +349,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns doc_id, n_shingles, component_id (the least id of the group; null ids
     come last).
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text")).withColumn("key", F.md5("text"))
     ranks = frequency_ranks(rows, words)
     short = F.conv(F.substr(F.hex("digest"), F.lit(1), F.lit(15)), 16, 10).cast("long")
-    members = stored(describe(rows, ranks, words, percent, full=False), "members")
+    described = stored(describe(rows, ranks, words, percent), "described")
+    members = described.select("doc_id", "digest", "n")
     nodes = stored(
-        describe(rows, ranks, words, percent, full=True)
-        .where("n > 0")
+        described.where("n > 0")
         .groupBy("digest")
-        .agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bands").alias("bands"), F.first("central").alias("central"))
+        .agg(*[F.first(c).alias(c) for c in ("n", "prefix", "bands", "central", "parity")], F.min("key").alias("key"))
         .withColumn("short", short),
         "nodes",
     )
@@ -317,23 +376,26 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # The texts of all sets that any pair can name.
     wanted = lists.select(F.col("node").alias("short")).unionByName(stars.select(F.col("a").alias("short"))).unionByName(stars.select(F.col("b").alias("short"))).distinct()
-    named = nodes.select("digest", "short").join(wanted, "short")
+    named = nodes.select("digest", "short", "key").join(wanted, "short")
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1_000):
-                found = batch.column(1).slice(a, 1_000).to_pylist()
-                yield _batch({"digest": pa.binary(), "z": pa.binary()}, [digest(s) for s in sets_of(found, words)], [squeeze(t.encode()) for t in found])
+        for part in small(batches):
+            yield _batch({"key": pa.string(), "z": pa.binary()}, part.column(0).to_pylist(), [squeeze(t.encode()) for t in part.column(1).to_pylist()])
 
-    texts = stored(rows.mapInArrow(zipped, "digest binary, z binary").join(named, "digest").groupBy("digest", "short").agg(F.first("z").alias("z")), "texts")
+    packed = rows.select("key", "text").mapInArrow(zipped, "key string, z binary")
+    texts = stored(packed.join(named, "key").groupBy("digest", "short").agg(F.first("z").alias("z")), "texts")
 
-    links = stored(verified(stars, texts, words, percent), "links")
+    links = stored(verified(possible(stars, nodes, percent), texts, words, percent), "links")
+    tried = None
     for one in (True, False):
         short_links = links.select(F.col("short_a").alias("a"), F.col("short_b").alias("b"))
         groups = connected_components(short_links).select("node", F.col("label").alias("group"))
         pairs = candidates(lists, groups, percent, one)
-        links = stored(links.unionByName(verified(pairs, texts, words, percent)), "links")
+        # What has been compared before isn't compared again.
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        tried = stored(pairs, "pairs")
+        links = stored(links.unionByName(verified(possible(tried, nodes, percent), texts, words, percent)), "links")
 
     labels = connected_components(links.select(F.hex("a").alias("a"), F.hex("b").alias("b"))).select(F.unhex("node").alias("digest"), "label")
     least = members.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))

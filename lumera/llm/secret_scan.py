@@ -37,7 +37,7 @@ def default_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Labelled samples: (sample, is_random).
 
     Random: digests written in hex, in base 64 and in capitals with digits.
-    Ordinary: words of the ``SAMPLE_DOCS`` documents of least id hash, alone, joined
+    Ordinary: words of about ``SAMPLE_DOCS`` documents of least id hash, alone, joined
     as identifiers are, and numbers and dates.
     """
     spark = docs.sparkSession
@@ -53,7 +53,8 @@ def default_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ).alias("sample"),
         F.lit(True).alias("is_random"),
     )
-    few = docs.select(F.xxhash64(docs[id_col]).alias("h"), text_or_empty(docs[text_col]).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS)
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    few = docs.where(F.pmod(F.xxhash64(docs[id_col]), F.lit(1 << 31)) < share * (1 << 31)).select(text_or_empty(docs[text_col]).alias("t"))
     words = few.select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("w"))
     ordinary = words.select(
         F.explode(

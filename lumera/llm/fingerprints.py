@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumera.llm.common import read_table, text_or_empty
+from lumera.llm.common import read_table, small, text_or_empty
 from lumera.llm.shingles import U, shingle_hashes, text_slices
 
 #: Hashes of a sketch, words of a shingle, bits of a stored hash.
@@ -80,7 +80,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, fingerprint, n_distinct of each row; null texts count as empty and have an empty fingerprint."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [t.encode() for t in batch.column(1).to_pylist()]
             found = [s for a, b in text_slices(list(map(len, texts))) for s in sketches(texts[a:b], k, words)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fingerprint": [to_text(s) for s in found], "n_distinct": [distinct(s, k) for s in found]})
@@ -155,7 +155,7 @@ def with_next(docs: DataFrame, make, schema: str, id_col: str = "doc_id", text_c
         texts: list[str] = []
         nexts: list[str] = []
         last, held = None, 0  # last: (id, text, bucket) still without its next
-        for batch in batches:
+        for batch in small(batches):
             for sort_id, text, at, is_guest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last is not None and last[2] == at:
                     ids.append(None if last[0] == low else last[0])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumera.llm.common import read_table, text_or_empty
+from lumera.llm.common import read_table, small, text_or_empty
 from lumera.llm.shingles import mix
 
 #: Hashed n-grams of each language; lengths of the n-grams.
@@ -152,7 +152,7 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                     counts[1 << BITS :] += np.bincount(script, times * np.fromiter(map(len, names), np.int64, len(names)), len(NAMES)).astype(np.int64)
             seen.clear()
 
-        for batch in batches:
+        for batch in small(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, seen.values())) > 200_000:
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             for a in range(0, len(texts), 500):
                 words = [words_of(t) if model.langs else [] for t in texts[a : a + 500]]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumera.llm import tokens
-from lumera.llm.common import read_table, text_or_empty
+from lumera.llm.common import read_table, small, text_or_empty
 
 #: Documents of one shard, about.
 SHARD = 200_000
@@ -40,7 +40,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u4").tobytes()
         deal = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in tokens.slices(texts):
                 rows: list[tuple] = []

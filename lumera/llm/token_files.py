@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumera.llm import tokens
-from lumera.llm.common import read_table, scratch, text_or_empty
+from lumera.llm.common import read_table, scratch, small, text_or_empty
 
 MAGIC = b"LTF1"
 BLOCK = 65_536
@@ -160,7 +160,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         part = f"{root}/.{name}.{context.taskAttemptId()}"
         with store.open_output_stream(part) as out:
             writer = TokenWriter(out, bits)
-            for batch in batches:
+            for batch in small(batches):
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for a, b in tokens.slices(texts):
                     for doc_id, found in zip(ids[a:b], tokens.encoder(tokenizer).encode(texts[a:b]), strict=True):

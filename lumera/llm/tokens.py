@@ -20,9 +20,9 @@ import numpy as np
 import regex
 
 #: Words kept by one worker; more are encoded again when they come.
-MAX_WORDS = 800_000
+MAX_WORDS = 150_000
 #: Pieces kept beside them.
-MAX_PIECES = 50_000
+MAX_PIECES = 20_000
 #: Words of more characters are not kept.
 LONG_WORD = 40
 #: Fixed value: what the usual byte-level pre-tokenizer takes as a piece.
@@ -141,7 +141,7 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def slices(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``most`` characters or a single text each."""
     begin = held = 0
     for i, t in enumerate(texts):

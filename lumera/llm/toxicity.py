@@ -11,6 +11,8 @@ Features are hashed words and the first letters of longer words, so that familie
 words are heard; the value of each is the logarithm of its rate in the text.
 """
 
+from __future__ import annotations
+
 import math
 import re
 import zlib
@@ -19,12 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumera.llm.common import read_table, text_or_empty
+from lumera.llm.common import read_table, small, text_or_empty
 
 #: Places of hashed words; a word has a weight if at least ``LEAST_ROWS`` sample rows have it.
 FEATURES, LEAST_ROWS = 1 << 26, 3
@@ -34,7 +35,7 @@ SAMPLE = 3_000
 REJECT = 0.6
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def place(word: str) -> int:
@@ -156,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(docs[id_col].alias("_doc"), text_or_empty(docs[text_col]).alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             made = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([p.astype("<i4").tobytes() for p, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())],
@@ -183,7 +184,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             severity = model.severity(texts, memo)
             toxic = (severity > reject * len(model.thresholds)) & np.array([bool(t) for t in texts], dtype=bool)
@@ -195,12 +196,16 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
-    memo: dict[str, tuple[int, ...]] = {}
+    at = docs.columns.index(text_col)
 
-    def verdict(texts: pd.Series) -> pd.Series:
-        return pd.Series((model.severity(texts, memo) > reject * len(model.thresholds)) & (texts.str.len() > 0).to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[int, ...]] = {}
+        for batch in small(batches):
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            kept = [not t or s <= reject * len(model.thresholds) for t, s in zip(texts, model.severity(texts, memo), strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.where(~F.pandas_udf(verdict, "boolean")(text_or_empty(docs[text_col])))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def graded_labels(labels: DataFrame) -> DataFrame:

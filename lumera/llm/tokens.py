@@ -20,7 +20,7 @@ import numpy as np
 import regex
 
 #: Words kept by one worker; more are encoded again when they come.
-MAX_WORDS = 150_000
+MAX_WORDS = 400_000
 #: Pieces kept beside them.
 MAX_PIECES = 20_000
 #: Words of more characters are not kept.

@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from lumera.llm.common import stored
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node reachable from each node of ``edges`` (a, b).
 
-    Each round takes the least label among neighbours and then the label of the
-    label, so paths shorten by more than half. Nodes without edges don't appear.
+    Each round takes the least label among neighbours, hooks the node that the old
+    label names to it as well, so that whole territories go over to a smaller label,
+    and then takes the label of the label. It ends when nothing changes; labels only
+    fall, so that comes for every graph. Nodes without edges don't appear.
     """
     both = edges.select("a", "b").where("a <> b")
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        new = step.join(jump, step["label"] == jump["at"], "left").select("node", "old", F.least("label", "far").alias("label"))
-        new = stored(new, "labels")
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).select("a", "label").unionByName(labels.select(F.col("node").alias("a"), "label"))
+        near = near.groupBy("a").agg(F.min("label").alias("near"))
+        step = stored(labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), "near"), "near")
+        hook = step.groupBy(F.col("old").alias("root")).agg(F.min("near").alias("hook"))
+        hooked = stored(step.join(hook, step["node"] == hook["root"], "left").select("node", "old", F.least("near", "hook").alias("label")), "hooked")
+        jump = hooked.select(F.col("node").alias("at"), F.col("label").alias("far"))
+        new = stored(hooked.join(jump, hooked["label"] == jump["at"]).select("node", "old", F.least("label", "far").alias("label")), "labels")
         labels = new.select("node", "label")
         if not new.where("label <> old").limit(1).count():
             return labels
-    raise RuntimeError("labels still change")

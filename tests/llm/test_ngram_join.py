@@ -77,6 +77,13 @@ def test_components_of_a_long_path(spark):
     assert got == {**dict.fromkeys(range(101), 0), 200: 200, 201: 200}
 
 
+def test_components_of_a_path_with_shuffled_labels(spark):
+    label = list(range(600))
+    random.Random(3).shuffle(label)
+    edges = spark.createDataFrame(list(zip(label[:-1], label[1:], strict=True)), "a long, b long")
+    assert {(r.node, r.label) for r in connected_components(edges).collect()} == {(i, 0) for i in range(600)}
+
+
 def test_filter_and_empty_table(spark):
     docs = table(spark, corpus())
     kept = drop_near_copies(docs)

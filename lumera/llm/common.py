@@ -34,6 +34,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with one more column that names each row, the same at every reading; and the name of that column.
+
+    Rows of Parquet files that are read as they stand are named by file and place in
+    it, without a copy. Any other table is stored with row numbers.
+    """
+    taken, name = {c.lower() for c in docs.columns}, "_row"
+    while taken & {name, f"{name}_file", f"{name}_at"}:
+        name += "_"
+    plan = docs._jdf.queryExecution().analyzed()
+    kind = lambda x: x.getClass().getSimpleName()
+    if "_metadata" in taken or kind(plan) != "LogicalRelation" or kind(plan.relation()) != "HadoopFsRelation" or kind(plan.relation().fileFormat()) != "ParquetFileFormat":
+        return stored(docs.select("*", F.monotonically_increasing_id().alias(name)), "numbered"), name
+    placed = docs.select("*", F.col("_metadata.file_path").alias(f"{name}_file"), F.col("_metadata.row_index").alias(f"{name}_at"))
+    files = sorted(r[0] for r in placed.select(f"{name}_file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{name} long, {name}_file string")
+    row = (F.shiftleft(name, 40) + F.col(f"{name}_at")).alias(name)
+    return placed.join(F.broadcast(numbers), f"{name}_file").select(*[docs[c] for c in docs.columns], row), name
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -14,16 +14,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumera.llm.common import SPACE, read_table, stored, text_or_empty
+from lumera.llm.common import SPACE, numbered, read_table, stored, text_or_empty
 
 KEY = ["text_sha256", "check_hash", "norm_bytes"]
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One narrow row per document: digests of the normalised text, its length, its run."""
+    row_no = F.monotonically_increasing_id() if row_col is None else docs[row_col]
     text = text_or_empty(docs[text_col])
     return docs.select(
         docs[id_col].alias("doc_id"),
+        row_no.alias("row_no"),
         F.char_length(text).alias("n_chars"),
         F.regexp_replace(text, f"[{SPACE}]+", "").alias("_norm"),
     ).select(
@@ -33,7 +35,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.xxhash64("_norm").alias("check_hash"),
         F.octet_length("_norm").alias("norm_bytes"),
         F.spark_partition_id().alias("run"),
-        F.monotonically_increasing_id().alias("row_no"),
+        "row_no",
     )
 
 
@@ -54,7 +56,7 @@ def merge_runs(rows: DataFrame, fan_in: int = 8) -> DataFrame:
     return runs.drop("run")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, row_col: str | None = None) -> DataFrame:
     """Group documents of equal text and choose the one that stays.
 
     Texts are equal when they agree after white space is deleted; null counts as
@@ -62,10 +64,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     code points stays, then the one with the smallest id (null ids last), then
     the first in input order, so of repeated rows exactly one is kept. Other
     columns are ignored, whatever their names. An empty table gives no rows.
+    ``row_col``: a column that numbers the rows, if there is one.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256, n_chars, row_no.
     """
-    rows = stored(digests(docs, id_col, text_col), "digests")
+    rows = stored(digests(docs, id_col, text_col, row_col), "digests")
     merged = merge_runs(rows, fan_in)
     return rows.join(merged, KEY).select(
         "doc_id",
@@ -79,17 +82,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which :func:`exact_dedup` keeps a row, with all their columns.
-
-    Rows that share id and text are one document and are returned once; rows with
-    a null id are compared by their text.
-    """
-    found = exact_dedup(docs, id_col, text_col)
-    kept = found.where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    sha = F.sha2(F.regexp_replace(text_or_empty(docs[text_col]), f"[{SPACE}]+", ""), 256)
-    out = docs.join(kept, docs[id_col].eqNullSafe(F.col("_keep_id")) & (sha == F.col("_keep_sha")), "left_semi")
-    twice = found.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([id_col, text_col]) if twice else out
+    """The rows that :func:`exact_dedup` keeps, one of each text, with all their columns."""
+    rows, row = numbered(docs)
+    gone = exact_dedup(rows, id_col, text_col, row_col=row).where("NOT kept").select(F.col("row_no").alias("_gone"))
+    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").select(*[rows[c] for c in docs.columns])
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumera.llm.common import read_table, small, stored, text_or_empty
+from lumera.llm.common import numbered, read_table, small, stored, text_or_empty
 from lumera.llm.components import connected_components
 from lumera.llm.shingles import U, mix, shingle_hashes, text_slices
 
@@ -144,24 +144,24 @@ def least_difference(a: np.ndarray, b: np.ndarray) -> int:
 def describe(rows: DataFrame, ranks: np.ndarray, words: int, percent: int) -> DataFrame:
     """What the join needs to know of each text: digest and size of its set, prefix, bands, centrality and parity."""
     kinds = {
-        "doc_id": pa.int64(), "key": pa.string(), "digest": pa.binary(), "n": pa.int32(), "prefix": pa.list_(pa.int64()),
+        "doc_id": pa.int64(), "row_no": pa.int64(), "key": pa.string(), "digest": pa.binary(), "n": pa.int32(), "prefix": pa.list_(pa.int64()),
         "bands": pa.list_(pa.int64()), "central": pa.float32(), "parity": pa.binary(),
     }
-    kind = "doc_id long, key string, digest binary, n int, prefix array<long>, bands array<long>, central float, parity binary"
+    kind = "doc_id long, row_no long, key string, digest binary, n int, prefix array<long>, bands array<long>, central float, parity binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small(batches):
             out: list[tuple] = []
-            for doc_id, key, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets_of(part.column(2).to_pylist(), words), strict=True):
+            for doc_id, row_no, key, s in zip(*(part.column(k).to_pylist() for k in range(3)), sets_of(part.column(3).to_pylist(), words), strict=True):
                 if not len(s):
-                    out.append((doc_id, key, digest(s), 0, [], [], 0.0, b""))
+                    out.append((doc_id, row_no, key, digest(s), 0, [], [], 0.0, b""))
                     continue
                 rank = ranks[(s >> U(44)).astype(np.int64)]
                 order = np.argsort(rank, kind="stable")[: prefix_length(len(s), percent)]
-                out.append((doc_id, key, digest(s), len(s), s[order].view(np.int64), bands(s), float((rank > 0).mean()), parity(s).tobytes()))
+                out.append((doc_id, row_no, key, digest(s), len(s), s[order].view(np.int64), bands(s), float((rank > 0).mean()), parity(s).tobytes()))
             yield _batch(kinds, *(list(c) for c in zip(*out, strict=True)))
 
-    return rows.select("doc_id", "key", "text").mapInArrow(run, kind)
+    return rows.select("doc_id", "row_no", "key", "text").mapInArrow(run, kind)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,23 +337,14 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return joined.mapInArrow(run, "a binary, b binary, short_a long, short_b long")
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """Groups of documents that links of the exact Jaccard join connect.
-
-    Words are runs of characters other than white space, A-Z lower-cased. A text
-    with fewer than ``words`` words has its whole sequence as its one shingle; null,
-    empty and blank texts have none and link with nothing. Equal sets always link,
-    so repeated rows share a group. Other columns are ignored. An empty table gives
-    no rows.
-
-    Returns doc_id, n_shingles, component_id (the least id of the group; null ids
-    come last).
-    """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text")).withColumn("key", F.md5("text"))
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, row_col: str | None = None) -> DataFrame:
+    """doc_id, row_no, n, component_id, and the label of the group, null for documents without words."""
+    row_no = (F.lit(None) if row_col is None else docs[row_col]).cast("long").alias("row_no")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), row_no, text_or_empty(docs[text_col]).alias("text")).withColumn("key", F.md5("text"))
     ranks = frequency_ranks(rows, words)
     short = F.conv(F.substr(F.hex("digest"), F.lit(1), F.lit(15)), 16, 10).cast("long")
     described = stored(describe(rows, ranks, words, percent), "described")
-    members = described.select("doc_id", "digest", "n")
+    members = described.select("doc_id", "row_no", "digest", "n")
     nodes = stored(
         described.where("n > 0")
         .groupBy("digest")
@@ -400,19 +391,37 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     labels = connected_components(links.select(F.hex("a").alias("a"), F.hex("b").alias("b"))).select(F.unhex("node").alias("digest"), "label")
     least = members.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
     owned = least.join(labels, "digest", "left").select("digest", "least", F.coalesce("label", F.hex("digest")).alias("label"))
-    roots = owned.join(owned.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("digest", "component_id")
-    return members.join(roots, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    roots = owned.join(owned.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("digest", "label", "component_id")
+    return members.join(roots, "digest", "left").select("doc_id", "row_no", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "label")
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """Groups of documents that links of the exact Jaccard join connect.
+
+    Words are runs of characters other than white space, A-Z lower-cased. A text
+    with fewer than ``words`` words has its whole sequence as its one shingle; null,
+    empty and blank texts have none and link with nothing. Equal sets always link,
+    so repeated rows share a group. Other columns are ignored. An empty table gives
+    no rows.
+
+    Returns doc_id, n_shingles, component_id (the least id of the group; null ids
+    come last).
+    """
+    found = _joined(docs, id_col, text_col, words, percent)
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of :func:`jaccard_groups`, the one of least id, with all its columns.
+    """One row of each group of :func:`jaccard_groups`, with all its columns.
 
-    Documents without words stay, and rows with a null id too, as nothing names them.
-    Rows that share the least id of a group all stay.
+    The row of least id stays (null ids come last), of several such rows the first.
+    Documents without words stay.
     """
-    groups = jaccard_groups(docs, id_col, text_col, words, percent)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    rows, row = numbered(docs)
+    found = stored(_joined(rows, id_col, text_col, words, percent, row).where("label IS NOT NULL").select("doc_id", "row_no", "label"), "labelled")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")).alias("first")
+    best = found.groupBy("label").agg(first, F.count(F.lit(1)).alias("size")).where("size > 1").select("label", F.col("first.row_no").alias("best"))
+    gone = found.join(best, "label").where("row_no <> best").select(F.col("row_no").alias("_gone"))
+    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").select(*[rows[c] for c in docs.columns])
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumera.llm.common import SPACE, read_table, stored, text_or_empty
+from lumera.llm.common import SPACE, numbered, read_table, stored, text_or_empty
 
 #: Weights of the sources in code-point order, repeated as often as needed.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -113,6 +113,7 @@ def source_mix(
     share: float = 1.5,
     cap: float = 2.0,
     chunk: int = 5_000,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Copies of each document so that every source comes near its token target.
 
@@ -122,6 +123,7 @@ def source_mix(
     Other columns are ignored. An empty table gives no rows. One row per source is
     held by the driver. Chunks of about ``chunk`` documents are dealt by a hash of
     id and row, so a source with most of the rows is split over many tasks.
+    ``row_col``: a column that numbers the rows, if there is one.
 
     Returns doc_id, source, size, source_size, target, rate, copies, taken, row_no.
     """
@@ -134,7 +136,7 @@ def source_mix(
             F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("source_key"),
             F.regexp_count(text_or_empty(docs[text_col]), F.lit(f"[^{SPACE}]+")).cast("long").alias("size"),
             (F.lit(1.0) if prior_col is None else F.greatest(F.lit(1e-9), F.coalesce(docs[prior_col].cast("double"), F.lit(1.0)))).alias("prior"),
-            F.monotonically_increasing_id().alias("row_no"),
+            (F.monotonically_increasing_id() if row_col is None else docs[row_col]).alias("row_no"),
         ),
         "sizes",
     )
@@ -167,16 +169,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix: each row as often as :func:`source_mix` takes it.
-
-    Rows of one id share its copies in equal parts as far as possible; a row with
-    a null id is matched by nothing and left out.
-    """
-    mixed = source_mix(docs, id_col, text_col, source_col)
-    times = mixed.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    share = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
+    """The documents of the mix: each row as often as :func:`source_mix` takes it, whatever its id."""
+    rows, row = numbered(docs)
+    times = source_mix(rows, id_col, text_col, source_col, row_col=row).where("copies > 0").select(F.col("row_no").alias("_mix_row"), F.col("copies").cast("int").alias("_copies"))
     return (
-        docs.join(times, docs[id_col] == F.col("_mix_id"))
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), share)))
-        .select(*[docs[c] for c in docs.columns])
+        rows.join(times, rows[row] == F.col("_mix_row"))
+        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
+        .select(*[rows[c] for c in docs.columns])
     )

@@ -1,4 +1,7 @@
+from collections import Counter
+
 import corpus_pipeline
+from lumera.llm import source_mix
 
 from .helpers import corpus, prose, table
 
@@ -25,3 +28,40 @@ def test_stages_and_run(spark, tmp_path):
             assert not {12, 25} & ids
     assert {r.doc_id for r in before.select("doc_id").collect()} == ids
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_rows_with_null_and_repeated_ids(spark, tmp_path):
+    near = prose(50, 100).split(" ")
+    near[40] = "changed"
+    rows = [r for r in corpus() if (r[1] or "").strip()] + [
+        (3, prose(50, 100), "en", "a"),
+        (7, " ".join(near), "en", "a"),  # a near copy of 3
+        (7, prose(51, 80), "en", "a"),  # another text of the same id
+        (None, " ".join(near[:-1]), "en", "b"),  # a near copy of 3 and 7
+        (None, prose(52, 70), "en", "b"),
+        (None, prose(52, 70), "en", "b"),
+        (None, prose(53, 90), "en", "c"),
+    ]
+    table(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for docs in (table(spark, rows), spark.read.parquet(f"{tmp_path}/documents.parquet")):
+        once = stages["exact_dedup"](spark, docs, "")
+        texts = Counter("".join(r.text.split()) for r in once.collect())
+        assert once.columns == docs.columns and texts == Counter({"".join(t.split()) for _, t, *_ in rows})
+        kept = stages["ngram_join"](spark, once, "")
+        found = Counter((r.doc_id, r.text) for r in kept.collect())
+        gone = {" ".join(near), " ".join(near[:-1]), rows[2][1]} | {t for i, t, *_ in rows if i == 25}
+        assert {t for _, t in found} == {t for t in (r.text for r in once.collect()) if t not in gone} and set(found.values()) == {1}
+        assert (7, prose(51, 80)) in found and (None, prose(53, 90)) in found and (3, prose(50, 100)) in found
+        mixed = stages["source_mix"](spark, kept, "")
+        taken = Counter(r.text for r in mixed.collect())
+        want = {r.row_no: r for r in source_mix.source_mix(kept).collect()}
+        assert sum(taken.values()) == sum(r.copies for r in want.values()) and None in {r.doc_id for r in mixed.collect()}
+
+
+def test_repeated_ids_do_not_overshoot_the_mix(spark):
+    docs = table(spark, [(1, prose(i, 20 + i), "en", f"s{i % 3}") for i in range(60)])
+    taken = Counter({prose(i, 20 + i): 0 for i in range(60)})
+    taken.update(r.text for r in source_mix.apply_mix(docs).collect())
+    want = source_mix.source_mix(docs).collect()
+    assert Counter(len(t.split()) for t, n in taken.items() for _ in range(n)) == Counter(r.size for r in want for _ in range(r.copies))

@@ -16,6 +16,11 @@ alone; what a link there tells about a set, namely its group, holds for the othe
 so a list only yields pairs of sets from different groups, first between one set of
 each group, then, with what those tell, between all. No list is ever expanded within
 a group, however large, and no pair between groups is left out.
+
+*Within a group.* The links inside a group are counted set by set on an index of the
+group's own shingles: the overlaps of a set with all others are those of the set
+before it, plus the lists of the shingles that it has more, less the lists of those
+that it lacks. Large groups are dealt as pairs of parts.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ MINIMA, BAND = 32, 4
 LONG_LIST = 20_000
 #: Lists of up to so many sets are worked through pair by pair.
 SHORT_LIST = 24
+#: Sets, and shingles, of a part of a group.
+PART_SETS, PART_SHINGLES = 1_000, 1_000_000
 #: Pairs that a task remembers so as not to name them again; what it forgets is made distinct by the shuffle.
 SEEN = 400_000
 
@@ -337,8 +344,82 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return joined.mapInArrow(run, "a binary, b binary, short_a long, short_b long")
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, row_col: str | None = None) -> DataFrame:
-    """doc_id, row_no, n, component_id, and the label of the group, null for documents without words."""
+def set_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of the sets that link, each set's answers derived from those of the set before it.
+
+    ``side``: 0 for all against all; 1 and 2 for the two sides of a pair of parts.
+    """
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    names, token = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), n)
+    held = owner[np.argsort(token, kind="stable")]
+    count = np.bincount(token, minlength=len(names))
+    begin = np.cumsum(count) - count
+    parts = np.split(token, np.cumsum(n)[:-1])
+
+    def in_lists(of: np.ndarray) -> np.ndarray:
+        """How many of the lists of some shingles each set is in."""
+        long = count[of]
+        at = np.repeat(begin[of] - np.cumsum(long) + long, long) + np.arange(long.sum())
+        return np.bincount(held[at], minlength=len(sets))
+
+    last, both = np.zeros(0, np.int64), np.zeros(len(sets), np.int64)
+    place = np.arange(len(sets))
+    for x in np.flatnonzero(side < 2):
+        own = parts[x]
+        more, less = np.setdiff1d(own, last, assume_unique=True), np.setdiff1d(last, own, assume_unique=True)
+        both = both + in_lists(more) - in_lists(less) if len(more) + len(less) < len(own) else in_lists(own)
+        last = own
+        fits = 100 * both >= percent * (n[x] + n - both)
+        y = np.flatnonzero(fits & ((place > x) if side[x] == 0 else (side == 2)))
+        if len(y):
+            yield np.full(len(y), x), y
+
+
+def links_within(groups: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """All links between the sets of each group (node, group), counted in full: (a, b)."""
+    named = groups.join(nodes.select(F.col("short").alias("node"), "n"), "node")
+    sizes = named.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("sets") / PART_SETS), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    place = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side")),
+    )
+    # The link of a group of two is known.
+    dealt = named.join(sizes.where("sets > 2").select("group", parts.alias("parts")), "group").select("group", "node", F.explode(place).alias("at"))
+    dealt = dealt.join(texts.select(F.col("short").alias("node"), "z"), "node").select("group", "at.i", "at.j", "at.side", "node", "z")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor().decompress
+        key, held = None, []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            node, side = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held])
+            for x, y in set_links([h[2] for h in held], side, percent):
+                yield _batch({"a": pa.int64(), "b": pa.int64()}, np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))
+
+        for batch in small(batches):
+            rows = [c.to_pylist() for c in batch.columns]
+            for g, i, j, side, node, s in zip(*rows[:5], sets_of([unzip(z).decode() for z in rows[5]], words), strict=True):
+                if key != (g, i, j) and held:
+                    yield from give()
+                    held = []
+                key = (g, i, j)
+                held.append((node, side, s))
+        if held:
+            yield from give()
+
+    keys = ["group", "i", "j"]
+    return dealt.repartition(*map(F.col, keys)).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, row_col: str | None = None, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Documents, sets, and with ``whole`` all links.
+
+    Documents: doc_id, row_no, digest, n, component_id, and the label of the group, null for
+    documents without words. Sets: short, digest, n. Links: (a, b), each once, the lesser first, by short.
+    """
     row_no = (F.lit(None) if row_col is None else docs[row_col]).cast("long").alias("row_no")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), row_no, text_or_empty(docs[text_col]).alias("text")).withColumn("key", F.md5("text"))
     ranks = frequency_ranks(rows, words)
@@ -392,7 +473,12 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     least = members.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
     owned = least.join(labels, "digest", "left").select("digest", "least", F.coalesce("label", F.hex("digest")).alias("label"))
     roots = owned.join(owned.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("digest", "label", "component_id")
-    return members.join(roots, "digest", "left").select("doc_id", "row_no", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "label")
+    found = members.join(roots, "digest", "left").select("doc_id", "row_no", "digest", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "label")
+    if not whole:
+        return found, nodes, None
+    # Sets of different groups were compared pair by pair above, those of one group are here.
+    every = links.select(F.col("short_a").alias("a"), F.col("short_b").alias("b")).unionByName(links_within(groups, nodes, texts, words, percent))
+    return found, nodes, stored(every.distinct(), "every")
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents that links of the exact Jaccard join connect.
@@ -404,10 +490,27 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no rows.
 
     Returns doc_id, n_shingles, component_id (the least id of the group; null ids
-    come last).
+    come last), n_links (the other distinct sets that the document's set links with).
+    """
+    found, nodes, links = _joined(docs, id_col, text_col, words, percent, whole=True)
+    ends = links.select(F.explode(F.array("a", "b")).alias("short")).groupBy("short").agg(F.count(F.lit(1)).alias("n_links"))
+    counted = nodes.select("digest", "short").join(ends, "short").select("digest", "n_links")
+    return found.join(counted, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """All links of the exact Jaccard join, each pair of distinct sets once.
+
+    Texts and nulls are treated as in :func:`jaccard_groups`. A set is named by its
+    digest in hex and by the least id of its documents.
+
+    Returns set_a, set_b, doc_a, doc_b.
     """
-    found = _joined(docs, id_col, text_col, words, percent)
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    found, nodes, links = _joined(docs, id_col, text_col, words, percent, whole=True)
+    least = found.groupBy("digest").agg(F.min("doc_id").alias("doc"))
+    named = nodes.select("short", "digest").join(least, "digest")
+    side = lambda k: named.select(F.col("short").alias(k), F.hex("digest").alias(f"set_{k}"), F.col("doc").alias(f"doc_{k}"))
+    return links.join(side("a"), "a").join(side("b"), "b").select("set_a", "set_b", "doc_a", "doc_b")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -417,7 +520,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Documents without words stay.
     """
     rows, row = numbered(docs)
-    found = stored(_joined(rows, id_col, text_col, words, percent, row).where("label IS NOT NULL").select("doc_id", "row_no", "label"), "labelled")
+    found = stored(_joined(rows, id_col, text_col, words, percent, row)[0].where("label IS NOT NULL").select("doc_id", "row_no", "label"), "labelled")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")).alias("first")
     best = found.groupBy("label").agg(first, F.count(F.lit(1)).alias("size")).where("size > 1").select("label", F.col("first.row_no").alias("best"))
     gone = found.join(best, "label").where("row_no <> best").select(F.col("row_no").alias("_gone"))
@@ -425,5 +528,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of all documents whose sets of four-word shingles are similar by 85 % or more."""
+    """Links and groups of all documents whose sets of four-word shingles are similar by 85 % or more."""
     return jaccard_groups(read_table(spark, sf_dir, "documents"), words=4, percent=85)

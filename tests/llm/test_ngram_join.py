@@ -1,12 +1,14 @@
+import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from lumera.llm import ngram_join
 from lumera.llm.components import connected_components
-from lumera.llm.ngram_join import bands, drop_near_copies, jaccard_groups, needed, prefix_length
+from lumera.llm.ngram_join import bands, drop_near_copies, jaccard_groups, jaccard_links, needed, prefix_length
 
 from .helpers import SCHEMA, corpus, prose, table
 
@@ -54,6 +56,28 @@ def test_against_brute_force(spark, words, percent):
     assert sorted(got, key=str) == brute(rows, words, percent)
 
 
+def brute_links(rows, words, percent):
+    sets = {}
+    for i, t, *_ in rows:
+        if s := shingles(t, words):
+            sets.setdefault(s, []).append(i)
+    return [(x, y) for x, y in itertools.combinations(sets, 2) if 100 * len(x & y) >= percent * len(x | y)], sets
+
+
+@pytest.mark.parametrize(("part", "percent"), [(1_000, 80), (5, 70)])
+def test_all_links_against_brute_force(spark, monkeypatch, part, percent):
+    monkeypatch.setattr(ngram_join, "PART_SETS", part)
+    rows = [r for r in corpus() if r[0] is not None] + edited(90, 2)
+    pairs, sets = brute_links(rows, 4, percent)
+    docs = table(spark, rows)
+    got = [tuple(sorted((r.doc_a, r.doc_b))) for r in jaccard_links(docs, words=4, percent=percent).collect()]
+    assert sorted(got) == sorted(tuple(sorted((min(sets[x]), min(sets[y])))) for x, y in pairs) and len(got) > 100
+    n = Counter(i for pair in pairs for s in pair for i in sets[s])
+    repeated = Counter(i for i, *_ in rows)
+    for r in jaccard_groups(docs, words=4, percent=percent).collect():
+        assert r.n_links == n[r.doc_id] // repeated[r.doc_id], r.doc_id
+
+
 def test_long_lists_in_parts_and_without_stars(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LONG_LIST", 7)
     monkeypatch.setattr(ngram_join, "bands", lambda s: [int(s[0] >> np.uint64(1)) + i for i in range(8)] if len(s) else [])

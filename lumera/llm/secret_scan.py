@@ -23,8 +23,8 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: Candidates of the models: runs of 16 or more token characters with a digit among them.
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+#: Candidates of the models: runs of 16 or more token characters.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = [name for name, *_ in BASE] + ["markov"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: The labelled sample: documents whose words serve as identifiers, and random strings made.
@@ -38,7 +38,7 @@ def default_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Random: digests written in hex, in base 64 and in capitals with digits.
     Ordinary: words of about ``SAMPLE_DOCS`` documents of least id hash, alone, joined
-    as identifiers are, and numbers and dates.
+    as identifiers are, numbers and dates, runs of the alphabet, as placeholders have, and rules of one sign.
     """
     spark = docs.sparkSession
     seed = spark.range(SAMPLE_RANDOM).select(F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256).alias("s"), "id")
@@ -77,7 +77,9 @@ def default_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ).alias("sample"),
         F.lit(False).alias("is_random"),
     )
-    return strong.unionByName(ordinary).unionByName(numbers)
+    letters = F.lit(ALPHABET[26:52])
+    runs = spark.range(SAMPLE_RANDOM).select(F.explode(F.array(letters, F.upper(letters), *[F.lit(c * 20) for c in "+/_=-"])).alias("sample"), F.lit(False).alias("is_random"))
+    return strong.unionByName(ordinary).unionByName(numbers).unionByName(runs)
 
 
 def train(samples: DataFrame) -> list[float]:

@@ -53,3 +53,11 @@ def test_query_and_empty_table(spark, tmp_path):
     assert rows[1].base_sha256 == hashlib.sha256(text.encode()).hexdigest() and rows[1].n_access == 1
     assert rows[14].spans == "" and rows[14].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert find_secrets(spark.createDataFrame([], SCHEMA), [0.0] * 5000).count() == 0
+
+
+def test_letters_only_are_left_to_the_models(spark):
+    keys = ["QzkXvJwPtLmRbGhYcNdS", "hTqWxZbKvRjMpLcGfYnD", "XkQvZjWpBtGmHrNxLcYd"]
+    plain = ["quietMorningLightHouses", "/home/harbour/stones/rivers/morning", "quiet_morning_brings_light_over_houses", "internationalization", "----------------------", "____________________"]
+    rows = [(i, f"the value {t} stands here", None, None) for i, t in enumerate(keys + plain)]
+    _, got = found(spark, rows)
+    assert {r.doc_id for r in got.collect() if any(s.kind == 3 for s in r.spans)} == set(range(len(keys)))

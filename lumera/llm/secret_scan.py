@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumera.llm.common import read_table, stored, text_or_empty
+from lumera.llm.common import numbered, read_table, stored, text_or_empty
 
 #: The base patterns in their order, the group whose length counts, the least length.
 BASE = (
@@ -33,11 +33,21 @@ SAMPLE_DOCS, SAMPLE_RANDOM = 400, 4_000
 THRESHOLD = 6.0
 
 
+def sample_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Texts (t) of about ``SAMPLE_DOCS`` rows of least hash of the row, whatever their ids, without what the base patterns match."""
+    rows, row = numbered(docs)
+    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
+    text = text_or_empty(rows[text_col])
+    for _, pattern, *_ in BASE:
+        text = F.regexp_replace(text, pattern, " ")
+    return rows.where(F.pmod(F.xxhash64(rows[row]), F.lit(1 << 31)) < share * (1 << 31)).select(text.alias("t"))
+
+
 def default_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Labelled samples: (sample, is_random).
 
     Random: digests written in hex, in base 64 and in capitals with digits.
-    Ordinary: words of about ``SAMPLE_DOCS`` documents of least id hash, alone, joined
+    Ordinary: words of the documents of :func:`sample_texts`, alone, joined
     as identifiers are, numbers and dates, runs of the alphabet, as placeholders have, and rules of one sign.
     """
     spark = docs.sparkSession
@@ -53,9 +63,7 @@ def default_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ).alias("sample"),
         F.lit(True).alias("is_random"),
     )
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    few = docs.where(F.pmod(F.xxhash64(docs[id_col]), F.lit(1 << 31)) < share * (1 << 31)).select(text_or_empty(docs[text_col]).alias("t"))
-    words = few.select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("w"))
+    words = sample_texts(docs, text_col).select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("w"))
     ordinary = words.select(
         F.explode(
             F.array(

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from lumera.llm.secret_scan import default_samples, find_secrets, op10_secret_scan, redact, train
+from lumera.llm.secret_scan import default_samples, find_secrets, op10_secret_scan, redact, sample_texts, train
 
 from .helpers import SCHEMA, corpus, table
 
@@ -61,3 +61,9 @@ def test_letters_only_are_left_to_the_models(spark):
     rows = [(i, f"the value {t} stands here", None, None) for i, t in enumerate(keys + plain)]
     _, got = found(spark, rows)
     assert {r.doc_id for r in got.collect() if any(s.kind == 3 for s in r.spans)} == set(range(len(keys)))
+
+
+def test_sample_is_bounded_with_null_ids_and_without_base_matches(spark):
+    rows = [(None, f"word{i} token=abcdefghijklmnop", None, None) for i in range(4000)]
+    texts = [r.t for r in sample_texts(table(spark, rows)).collect()]
+    assert 250 < len(texts) < 550 and not any("abcdefghijklmnop" in t for t in texts)

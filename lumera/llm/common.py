@@ -34,6 +34,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def each(df: DataFrame, names: list[str]) -> list[Column]:
+    """The columns of ``df`` with these names, dots and all."""
+    return [df["`" + n.replace("`", "``") + "`"] for n in names]
+
+
+def parts_for(rows: int, share: int, spark: SparkSession) -> int:
+    """Tasks for work that is bound by ``rows``, about ``share`` to a task; the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // share))
+
+
+#: A key with more rows than this, and than a thousandth of all, isn't dealt to one task.
+HOT_KEY = 10_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``keyed``, both stored, where ``keyed`` has a row a key and the number ``n`` of its rows.
+
+    A key that has more than a thousandth of the rows would put them all into one
+    task. There are fewer than a thousand such keys, so they are broadcast and their
+    rows stay where they are; all other keys are joined by a shuffle.
+    """
+    limit = max(HOT_KEY, rows.count() // 1000)
+    hot = keyed.where(F.col(n) > limit).collect()
+    if not hot:
+        return rows.join(keyed, keys)
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, keyed.schema))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(keyed.where(F.col(n) <= limit), keys)
+    return rows.join(few, keys).unionByName(rest)
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with one more column that names each row, the same at every reading; and the name of that column.
 
@@ -51,7 +89,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     files = sorted(r[0] for r in placed.select(f"{name}_file").distinct().collect())
     numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{name} long, {name}_file string")
     row = (F.shiftleft(name, 40) + F.col(f"{name}_at")).alias(name)
-    return placed.join(F.broadcast(numbers), f"{name}_file").select(*[docs[c] for c in docs.columns], row), name
+    return placed.join(F.broadcast(numbers), f"{name}_file").select(*each(docs, docs.columns), row), name
 
 
 def text_or_empty(text: str | Column = "text") -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumera.llm.common import SPACE, numbered, read_table, stored, text_or_empty
+from lumera.llm.common import SPACE, each, numbered, read_table, stored, text_or_empty
 
 KEY = ["text_sha256", "check_hash", "norm_bytes"]
 
@@ -82,10 +82,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that :func:`exact_dedup` keeps, one of each text, with all their columns."""
+    """The rows that :func:`exact_dedup` keeps, one of each text, with all their columns.
+
+    Null, empty and blank texts are one text. Decisions go by row, so null and
+    repeated ids are no matter. An empty table gives no rows.
+    """
     rows, row = numbered(docs)
-    gone = exact_dedup(rows, id_col, text_col, row_col=row).where("NOT kept").select(F.col("row_no").alias("_gone"))
-    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").select(*[rows[c] for c in docs.columns])
+    gone = exact_dedup(rows, id_col, text_col, row_col=row).where("NOT kept").select(F.col("row_no").alias(row))
+    return rows.join(gone, row, "left_anti").select(*each(rows, docs.columns))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ shingles. A text with at most ``k`` shingles is held exactly.
 
 import base64
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumera.llm.common import read_table, small, text_or_empty
+from lumera.llm.common import parts_for, read_table, small, text_or_empty
 from lumera.llm.shingles import U, shingle_hashes, text_slices
 
 #: Hashes of a sketch, words of a shingle, bits of a stored hash.
 K, WORDS, BITS = 128, 5, 48
+#: Groups that a task merges at a time.
+HELD = 20_000
 
 
 def sketches(texts: list[bytes], k: int = K, words: int = WORDS) -> list[np.ndarray]:
@@ -77,7 +81,11 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, words: int = WORDS) -> DataFrame:
-    """doc_id, fingerprint, n_distinct of each row; null texts count as empty and have an empty fingerprint."""
+    """doc_id, fingerprint, n_distinct of each row.
+
+    Null texts count as empty; empty and blank texts have an empty fingerprint.
+    Repeated rows have equal ones. An empty table gives no rows.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -93,22 +101,42 @@ def merge_fingerprints(parts: DataFrame, by: str, k: int = K) -> DataFrame:
     """Fingerprints of the unions of groups: ``by``, fingerprint.
 
     Each task first merges what it holds of a group, so a large group sends at most
-    one sketch from each task.
+    a few sketches from each task; beyond ``HELD`` groups at a time a task sends what
+    it has. A null ``by`` is a group, null fingerprints count as empty, repeated rows
+    change nothing. An empty table gives no rows.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
+
+        def give() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([to_text(s) for s in held.values()], pa.string())], names=[by, "fingerprint"])
+
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 new = from_text(text or "")
                 held[key] = merge([held[key], new], k) if key in held else new
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([to_text(s) for s in held.values()], pa.string())], names=[by, "fingerprint"])
+                if len(held) > HELD:
+                    yield give()
+                    held.clear()
+        yield give()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sketch, any_ = None, np.zeros(0, U), False
+        for batch in batches:
+            for new, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if any_ and new != key:
+                    yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([to_text(sketch)])], names=[by, "fingerprint"])
+                    sketch = np.zeros(0, U)
+                key, sketch, any_ = new, merge([sketch, from_text(text)], k), True
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([to_text(sketch)])], names=[by, "fingerprint"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     rows = parts.select(by, "fingerprint")
     kind, schema = to_arrow_type(rows.schema[by].dataType), rows.schema
-    return rows.mapInArrow(local, schema).repartition(F.col(by)).mapInArrow(local, schema)
+    return rows.mapInArrow(local, schema).repartition(F.col(by)).sortWithinPartitions(by).mapInArrow(whole, schema)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -120,43 +148,69 @@ def likeness(a: Column, b: Column) -> Column:
     return F.pandas_udf(each, "double")(a, b)
 
 
-def _buckets(ids: Column, bounds: list[int]) -> Column:
-    """Number of bounds above an id: buckets of falling ids."""
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b > ids))
+def _above(ids: Column, bounds: list[int]) -> Column:
+    """Number of bounds above an id. Bounds are looked up in two steps, so about twice the root of their number are compared."""
+    width = max(1, math.isqrt(len(bounds)))
+    rising = sorted(bounds)
+    groups = [rising[i : i + width] for i in range(0, len(rising), width)]
+    array = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
+    least, nested = array([g[0] for g in groups]), F.array(*[array(g) for g in groups])
+    count = lambda xs: F.coalesce(F.size(F.filter(xs, lambda x: x > ids)), F.lit(0))
+    whole = count(least)  # groups that begin above the id
+    return _whole(whole, width, len(rising)) + F.when(whole < len(groups), count(F.get(nested, len(groups) - 1 - whole))).otherwise(0)
+
+
+def _whole(groups: Column, width: int, n: int) -> Column:
+    """Bounds in the last ``groups`` groups of ``width`` bounds, of which the last group may have fewer."""
+    last = n - (-(-n // width) - 1) * width
+    return F.when(groups > 0, (groups - 1) * width + last).otherwise(0)
+
+
+#: Documents of one range, about.
+RANGE = 20_000
 
 
 def with_next(docs: DataFrame, make, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Apply ``make(ids, texts, next_texts)`` to blocks of documents in falling id order.
 
     The next of the last document is the first. Documents are dealt into ranges of
-    ids by quantiles; the first of each range also travels to the range before it,
-    where it only serves as next. Null ids come last, repeated ids in the order of
-    their text's hash.
+    ids by quantiles, about ``RANGE`` to each; the first of each range also travels to
+    the range before it, where it only serves as next. Null ids come last, repeated ids
+    in the order of their text's hash. An id that holds several quantiles, as null may,
+    is split into as many ranges of that hash. Null texts count as empty. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     low = -(1 << 63)
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(low)).alias("sort_id"), text_or_empty(docs[text_col]).alias("text"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("sort_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    bucket = _buckets(F.col("sort_id"), sorted(set(cuts)))
-    heads = sorted((r.bucket, r.head) for r in rows.groupBy(bucket.alias("bucket")).agg(F.max("sort_id").alias("head")).collect())
-    guests = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # the very first goes to the last range
-    guest = F.create_map(*[F.lit(x).cast("bigint" if i % 2 == 0 else "int") for i, x in enumerate(y for kv in guests.items() for y in kv)]) if guests else F.create_map().cast("map<bigint,int>")
-    place = lambda b, g: F.struct(b.cast("int").alias("bucket"), F.lit(g).alias("guest"))
-    own, other = place(bucket, 0), place(F.get(F.map_values(F.map_filter(guest, lambda k, _: k == F.col("sort_id"))), F.lit(0)), 1)
-    heads_only = F.col("sort_id").isin([h for _, h in heads])
-    dealt = rows.select("sort_id", "text", F.explode(F.when(heads_only, F.array(own, other)).otherwise(F.array(own))).alias("at")).select(
-        "sort_id", "text", F.col("at.bucket").alias("bucket"), F.col("at.guest").alias("guest")
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(low)).alias("sort_id"), text_or_empty(docs[text_col]).alias("text")).withColumn("h", F.xxhash64("text"))
+    n = parts_for(docs.count(), RANGE, spark)
+    cuts = rows.agg(F.percentile_approx("sort_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n))).first()[0] or [0]
+    hot = {i: k for i, k in Counter(cuts).items() if k > 1}
+    parts = F.lit(1)
+    for i, k in hot.items():  # fewer than half as many as there are ranges, most often none
+        parts = F.when(F.col("sort_id") == i, k).otherwise(parts)
+    # A bucket's least id is a quantile; if that is split, its rows come after the other ids of the bucket.
+    sub = F.when(parts > 1, F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * parts) + 1).otherwise(0).cast("long")
+    placed = rows.withColumn("place", _above(F.col("sort_id"), sorted(set(cuts))).cast("long") * (1 << 24) + sub).withColumn(
+        "key", F.when(parts > 1, F.concat_ws(":", F.col("sort_id").cast("string"), F.col("h").cast("string"))).otherwise(F.col("sort_id").cast("string"))
     )
-    order = [F.col("bucket"), F.col("guest"), F.desc("sort_id"), F.xxhash64("text")]
+    found = placed.groupBy("place").agg(F.max("sort_id").alias("head"), F.min("h").alias("h")).collect()
+    heads = [(r.place, f"{r.head}:{r.h}" if r.place % (1 << 24) else str(r["head"])) for r in sorted(found, key=lambda r: r.place)]
+    guests = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # the very first goes to the last range
+    guest = F.create_map(*[F.lit(x) for kv in guests.items() for x in kv]) if guests else F.create_map().cast("map<string,bigint>")
+    at = lambda place, g: F.struct(place.cast("long").alias("place"), F.lit(g).alias("guest"))
+    own = at(F.col("place"), 0)
+    both = F.when(F.col("key").isin(list(guests)), F.array(own, at(F.element_at(guest, F.col("key")), 1))).otherwise(F.array(own))
+    dealt = placed.select("sort_id", "text", "h", F.explode(both).alias("at")).select("sort_id", "text", F.col("at.place").alias("place"), F.col("at.guest").alias("guest"), "h")
+    order = [F.col("place"), F.col("guest"), F.desc("sort_id"), F.col("h")]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
         texts: list[str] = []
         nexts: list[str] = []
-        last, held = None, 0  # last: (id, text, bucket) still without its next
+        last, held = None, 0  # last: (id, text, place) still without its next
         for batch in small(batches):
-            for sort_id, text, at, is_guest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for sort_id, text, at, is_guest in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 if last is not None and last[2] == at:
                     ids.append(None if last[0] == low else last[0])
                     texts.append(last[1])
@@ -169,7 +223,7 @@ def with_next(docs: DataFrame, make, schema: str, id_col: str = "doc_id", text_c
         if ids:
             yield make(ids, texts, nexts)
 
-    return dealt.repartition(n, "bucket").sortWithinPartitions(*order).mapInArrow(walk, schema)
+    return dealt.repartitionByRange(n, "place").sortWithinPartitions(*order).mapInArrow(walk, schema)
 
 
 def _edited(ids: list, texts: list[str], nexts: list[str]) -> pa.RecordBatch:

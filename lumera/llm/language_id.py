@@ -66,8 +66,10 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words of a whole text, letters composed."""
-    return WORD.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+    """Lower-case words of a whole text, letters composed; a word has a letter, so signs like one half alone are none."""
+    if text.isascii():
+        return WORD.findall(text.lower())
+    return [w for w in WORD.findall(unicodedata.normalize("NFC", text).lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 @dataclass
@@ -97,7 +99,7 @@ class LanguageModel:
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         order = [i for i in order if texts[i]]
         if not order:
-            return [np.zeros(0, np.int8) for _ in texts]
+            return [np.zeros(0, np.int16) for _ in texts]
         lengths = np.array([len(texts[i]) for i in order])
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # texts longer than t
         first = np.concatenate([[0], np.cumsum(active)])
@@ -107,9 +109,9 @@ class LanguageModel:
         for row, i in enumerate(order):
             n = len(texts[i])
             flat[first[:n] + row] = score[np.fromiter(map(number.__getitem__, texts[i]), np.int64, n)]
-        back = np.empty(flat.shape, np.int8)
+        back = np.empty(flat.shape, np.int16)
         best = flat[: active[0]].copy()
-        numbers = np.arange(len(self.langs), dtype=np.int8)
+        numbers = np.arange(len(self.langs), dtype=np.int16)
         for t in range(1, lengths[0]):
             best = best[: active[t]]
             top = best.argmax(axis=1)
@@ -118,9 +120,9 @@ class LanguageModel:
             back[first[t] : first[t + 1]] = np.where(stay, numbers, top[:, None])
             best = np.where(stay, best, jump) + flat[first[t] : first[t + 1]]
             flat[first[t] : first[t + 1]] = best
-        out = [np.zeros(0, np.int8) for _ in texts]
-        state = np.zeros(len(order), np.int8)
-        path = np.empty(first[-1], np.int8)
+        out = [np.zeros(0, np.int16) for _ in texts]
+        state = np.zeros(len(order), np.int16)
+        path = np.empty(first[-1], np.int16)
         for t in range(lengths[0] - 1, -1, -1):
             n, ended = active[t], active[t + 1] if t + 1 < lengths[0] else 0
             state[ended:n] = flat[first[t] + ended : first[t + 1]].argmax(axis=1)
@@ -169,7 +171,8 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn the languages of ``docs``; rows without a language are left out.
 
-    The result has at most ``2 ** BITS`` and a few numbers per language.
+    Null texts have no words; repeated rows count as often as they come. An empty
+    table gives a model without languages. The result has at most ``2 ** BITS`` and a few numbers per language.
     """
     found = count_grams(docs, text_col, lang_col).toPandas()
     langs = sorted(found["lang"].unique())

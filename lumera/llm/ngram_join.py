@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumera.llm.common import numbered, read_table, small, stored, text_or_empty
+from lumera.llm.common import each, join_counted, numbered, parts_for, read_table, small, stored, text_or_empty
 from lumera.llm.components import connected_components
 from lumera.llm.shingles import U, mix, shingle_hashes, text_slices
 
@@ -43,7 +43,7 @@ SKETCH, PIECES = 1 << 20, 64
 #: Minima of a set, and how many make a band.
 MINIMA, BAND = 32, 4
 #: Lists longer than this are dealt as pairs of blocks of about this many sets.
-LONG_LIST = 20_000
+LONG_LIST = 5_000
 #: Lists of up to so many sets are worked through pair by pair.
 SHORT_LIST = 24
 #: Sets, and shingles, of a part of a group.
@@ -227,6 +227,7 @@ def list_pairs(node: np.ndarray, group: np.ndarray, n: np.ndarray, pos: np.ndarr
 def candidates(lists: DataFrame, groups: DataFrame, percent: int, one: bool) -> DataFrame:
     """Distinct pairs (a, b) of nodes of different groups that share a list and may be similar."""
     named = lists.join(groups, "node", "left").select("token", "node", F.coalesce("group", "node").alias("group"), "n", "pos")
+    named = stored(named, "named")
     sizes = named.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token", "size")
     parts = F.ceil(F.col("size") / LONG_LIST).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
@@ -236,7 +237,7 @@ def candidates(lists: DataFrame, groups: DataFrame, percent: int, one: bool) ->
         other,
         lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side")),
     )
-    dealt = named.join(sizes, "token").select("token", "node", "group", "n", "pos", F.explode(place).alias("at")).select("token", F.col("at.i").alias("i"), F.col("at.j").alias("j"), F.col("at.side").alias("side"), "node", "group", "n", "pos")
+    dealt = join_counted(named, stored(sizes, "sizes"), ["token"], "size").select("token", "node", "group", "n", "pos", F.explode(place).alias("at")).select("token", F.col("at.i").alias("i"), F.col("at.j").alias("j"), F.col("at.side").alias("side"), "node", "group", "n", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"a": pa.int64(), "b": pa.int64()}
@@ -294,7 +295,9 @@ def candidates(lists: DataFrame, groups: DataFrame, percent: int, one: bool) ->
             yield from give([np.concatenate(c) for c in zip(*held, strict=True)])
 
     keys = ["token", "i", "j"]
-    return dealt.repartition(*map(F.col, keys)).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    # Work goes by rows and pairs, not by bytes, so the number of tasks isn't left to the size of the shuffle.
+    tasks = parts_for(lists.count(), 50_000, lists.sparkSession)
+    return dealt.repartition(tasks, *map(F.col, keys)).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -517,14 +520,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row of each group of :func:`jaccard_groups`, with all its columns.
 
     The row of least id stays (null ids come last), of several such rows the first.
-    Documents without words stay.
+    Documents without words stay. An empty table gives no rows.
     """
     rows, row = numbered(docs)
     found = stored(_joined(rows, id_col, text_col, words, percent, row)[0].where("label IS NOT NULL").select("doc_id", "row_no", "label"), "labelled")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")).alias("first")
     best = found.groupBy("label").agg(first, F.count(F.lit(1)).alias("size")).where("size > 1").select("label", F.col("first.row_no").alias("best"))
-    gone = found.join(best, "label").where("row_no <> best").select(F.col("row_no").alias("_gone"))
-    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").select(*[rows[c] for c in docs.columns])
+    gone = found.join(best, "label").where("row_no <> best").select(F.col("row_no").alias(row))
+    return rows.join(gone, row, "left_anti").select(*each(rows, docs.columns))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

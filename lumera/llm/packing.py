@@ -1,19 +1,16 @@
-"""Best-fit packing of documents into training sequences, improved by local search.
+"""Packing of documents into training sequences by swap-based local search.
 
 Documents are tokenised where they are read; only their lengths move on. Pieces
-are dealt into shards of bounded size, and each shard is packed by best fit over
-decreasing lengths. A local search then works on the underfull sequences, the
-emptiest first: fuller ones take a piece from it (move), trade a piece for a longer
-one (one for one), or a piece for two, or two for one, that are longer together (two
-for one). Every step raises the sum of squared fills, so fills drift apart until
-sequences empty. With lengths spread evenly, a shard of n pieces ends about
-sqrt(n)/2 sequences above ``ceil(tokens / capacity)``, which shards of 200,000
-documents keep near 0.2 %.
+are dealt into shards of bounded size. In each shard pieces first go into sequences
+as they come (next fit); a local search then exchanges pieces between underfull
+sequences, one for one, two for one or as moves, each exchange raising the sum of
+squared fills, until sequences empty. It works in rounds of numpy over all
+sequences of the shard at once. Best fit packs again what is left in underfull
+sequences, and more of the shard as long as that saves sequences.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -86,108 +83,177 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-class _Underfull:
-    """Underfull sequences by what they could give away.
+def next_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Sequence number of each piece: pieces in their order, a new sequence whenever one doesn't fit."""
+    ends = np.cumsum(lengths)
+    out, start, before, b = np.zeros(len(lengths), np.int64), 0, 0, 0
+    while start < len(lengths):
+        stop = int(np.searchsorted(ends, before + capacity, side="right"))
+        out[start:stop] = b
+        start, before, b = stop, int(ends[stop - 1]), b + 1
+    return out
 
-    ``single[n]`` and ``pair[n]`` are the most room of a sequence that holds a piece
-    of length ``n``, or two pieces of that length together; ``single[0]`` stands for
-    giving nothing. -1: none. Heaps hold the sequences; stale entries go when met.
-    """
 
-    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int) -> None:
-        self.bins, self.lengths, self.capacity = bins, lengths, capacity
-        self.single, self.pair = (np.full(capacity + 1, -1, np.int64) for _ in range(2))
-        self.heaps: dict[tuple[bool, int], list[tuple[int, int, int]]] = {}
-        self.version: dict[int, int] = {}
-        self.numbers = np.arange(capacity + 1)
-
-    def room(self, b: int) -> int:
-        return self.capacity - sum(self.lengths[i] for i in self.bins[b])
-
-    def sums(self, b: int) -> dict[tuple[bool, int], list[int]]:
-        """What ``b`` can give: pieces by (is it a pair, length). Of many pieces, pairs use the longest."""
-        pieces = sorted(self.bins[b], key=lambda i: -self.lengths[i])
-        found = {(False, self.lengths[i]): [i] for i in pieces}
-        for n, i in enumerate(pieces[:16]):
-            for j in pieces[:n]:
-                found[True, self.lengths[i] + self.lengths[j]] = [i, j]
-        return found
-
-    def put(self, b: int) -> None:
-        room = self.room(b)
-        self.version[b] = self.version.get(b, 0) + 1
-        if room == self.capacity or not room:
-            return
-        for key in [*self.sums(b), (False, 0)]:
-            heapq.heappush(self.heaps.setdefault(key, []), (-room, b, self.version[b]))
-            best = self.pair if key[0] else self.single
-            best[key[1]] = max(best[key[1]], room)
-
-    def drop(self, b: int) -> None:
-        keys = [*self.sums(b), (False, 0)]
-        self.version[b] = self.version.get(b, 0) + 1
-        for key in keys:
-            self.refresh(key)
-
-    def refresh(self, key: tuple[bool, int]) -> int | None:
-        heap = self.heaps.get(key, [])
-        while heap and self.version[heap[0][1]] != heap[0][2]:
-            heapq.heappop(heap)
-        (self.pair if key[0] else self.single)[key[1]] = -heap[0][0] if heap else -1
-        return heap[0][1] if heap else None
-
-    def step(self, donor: int) -> tuple[int, list[int], list[int]] | None:
-        """The swap or move that takes most out of ``donor``: taker, what it gives, what it takes."""
-        best = None
-        for (two, take), pieces in self.sums(donor).items():
-            if take > self.capacity:
-                continue
-            for pair_back in (False,) if two else (False, True):
-                rooms = (self.pair if pair_back else self.single)[:take]
-                fits = (rooms >= 0) & (self.numbers[:take] + rooms >= take)
-                give = int(fits.argmax())
-                if fits[give] and (best is None or take - give > best[0]):
-                    best = (take - give, (pair_back, give), pieces)
-        if best is None:
-            return None
-        taker = self.refresh(best[1])
-        return taker, self.sums(taker)[best[1]] if best[1][1] else [], best[2]
-
-
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, steps: int = 20_000) -> list[list[int]]:
-    """Drain the emptiest sequences into fuller ones by moves and swaps.
-
-    Each step moves length from an emptier to a fuller sequence, so squared fill
-    rises. It stops when no step is left, after ``steps`` steps, or at the least
-    number of sequences that could hold everything.
+def _pairs(bins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of pieces of one sequence that differ in their lengths: (i, j).
+
+    Pieces of one length are interchangeable, so the first two of each length stand
+    for all; what fits a sequence has few different lengths.
+    """
+    order = np.lexsort((lengths, bins))
+    new = np.ones(len(order), bool)
+    new[1:] = (bins[order][1:] != bins[order][:-1]) | (lengths[order][1:] != lengths[order][:-1])
+    first = np.flatnonzero(new)
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    order = order[nth < 2]
+    edge = np.flatnonzero(np.append(True, bins[order][1:] != bins[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    size = np.diff(np.append(edge, len(order)))
+    behind = np.repeat(edge + size, size) - np.arange(len(order)) - 1
+    i = np.repeat(np.arange(len(order)), behind)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(behind) - behind, behind)
+    return order[i], order[j]
+
+
+class _Options:
+    """What some sequences can give: nothing, a piece, or two pieces together."""
+
+    def __init__(self, bins: np.ndarray, amount: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+        self.bins, self.amount, self.first, self.second = bins, amount, first, second
+
+    @staticmethod
+    def of(pieces: np.ndarray, bins: np.ndarray, lengths: np.ndarray, two: bool) -> _Options:
+        if not two:
+            return _Options(bins[pieces], lengths[pieces], pieces, np.full(len(pieces), -1))
+        i, j = _pairs(bins[pieces], lengths[pieces])
+        i, j = pieces[i], pieces[j]
+        return _Options(bins[i], lengths[i] + lengths[j], i, j)
+
+    def with_nothing(self, bins: np.ndarray) -> _Options:
+        none = np.full(len(bins), -1)
+        return _Options(*(np.concatenate(x) for x in ((bins, self.bins), (np.zeros(len(bins), np.int64), self.amount), (none, self.first), (none, self.second))))
+
+
+def _first_of(values: np.ndarray) -> np.ndarray:
+    """Whether each value comes for the first time."""
+    out = np.zeros(len(values), bool)
+    out[np.unique(values, return_index=True)[1]] = True
+    return out
+
+
+def matched(give: _Options, take: _Options, fill: np.ndarray, capacity: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exchanges (option of a donor, option of a taker) that leave a taker at most ``slack`` of room and fuller than it was.
+
+    A taker that hands out ``y`` has room for ``room + y``. Takers are ordered by that,
+    and every donor's option goes to the least that holds it, equal options to one
+    after the other. Of what clashes the tightest is kept, so that each sequence
+    takes part in one exchange.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least, used = -(-sum(fill) // capacity), len(bins)
-    if used == least:
-        return bins
-    under = _Underfull(bins, lengths, capacity)
-    order = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-    for b in order:
-        under.put(b)
-    for donor in order:
-        if used <= least or steps <= 0:
+    holds = capacity - fill[take.bins] + take.amount
+    by_hold, by_amount = np.argsort(holds, kind="stable"), np.argsort(give.amount, kind="stable")
+    holds, amount = holds[by_hold], give.amount[by_amount]
+    new = np.flatnonzero(np.append(True, amount[1:] != amount[:-1])) if len(amount) else np.zeros(0, np.int64)
+    nth = np.arange(len(amount)) - np.repeat(new, np.diff(np.append(new, len(amount))))
+    place = np.searchsorted(holds, amount) + nth
+    ok = place < len(holds)
+    x, y = by_amount[ok], by_hold[place[ok]]
+    left = holds[place[ok]] - amount[ok]
+    gain = give.amount[x] - take.amount[y]
+    ok = (left <= slack) & (gain > np.maximum(0, fill[give.bins[x]] - fill[take.bins[y]]))
+    order = np.lexsort((-give.amount[x[ok]], left[ok]))
+    x, y = x[ok][order], y[ok][order]
+    once = _first_of(give.bins[x])
+    x, y = x[once], y[once]
+    once = _first_of(take.bins[y])
+    return x[once], y[once]
+
+
+def local_search(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Sequence number of each piece after the search, from the sequence numbers ``bins``.
+
+    Donors give, other underfull sequences take. In a round every sequence takes part in
+    at most one exchange: a piece moves, goes for a shorter one, for two that are
+    shorter together, or two go for one. Every exchange adds more to the taker than
+    the donor was ahead of it, so squared fill rises with each. First the donors are
+    the sequences of the shortest pieces, as many as there are beyond the least possible
+    number, and their longest pieces go first; then the emptiest sequences; then every
+    other one in the order of fill. Exchanges that fill a sequence exactly come
+    before ones that leave room. The search ends at the least possible number of
+    sequences or when a pass finds no exchange.
+    """
+    bins, lengths = np.unique(bins, return_inverse=True)[1], np.asarray(lengths, np.int64)
+    n = int(bins.max()) + 1 if len(bins) else 0
+    fill = np.bincount(bins, lengths, n).astype(np.int64)
+    least = -(-int(lengths.sum()) // capacity)
+    levels = [0, *(1 << k for k in range(1, capacity.bit_length() - 1, 2))]
+    floors = sorted({max(1, round(capacity * 0.6**k)) for k in range(1, 16)}, reverse=True)
+    steps = [step for floor in floors for step in [*((floor, slack, "largest", 1, 1) for slack in levels), (floor, capacity, "largest", 1, 0)]]
+    again = len(steps)
+    for rank in ("fill", "every other"):
+        steps += [(1, slack, rank, give, take) for slack in levels for give, take in ((1, 1), (2, 1), (1, 2))] + [(1, capacity, rank, 1, 0)]
+    rising = np.argsort(lengths, kind="stable")
+    at, any_ = 0, False
+    while at < len(steps) or any_:
+        if at == len(steps):  # once more, as long as there was an exchange
+            at, any_ = again, False
+        used = int((fill > 0).sum())
+        under = np.flatnonzero((fill > 0) & (fill < capacity))
+        if used <= least or len(under) < 2:
             break
-        under.drop(donor)
-        while bins[donor] and steps > 0 and (found := under.step(donor)):
-            taker, gives, takes = found
-            under.drop(taker)
-            bins[taker] = [i for i in bins[taker] if i not in gives] + takes
-            bins[donor] = [i for i in bins[donor] if i not in takes] + gives
-            under.put(taker)
-            steps -= 1
-        used -= not bins[donor]
-        steps -= 1
-    return [b for b in bins if b]
+        floor, slack, rank, give, take = steps[at]
+        by = fill
+        if rank == "largest":
+            by = np.zeros(n, np.int64)
+            by[bins[rising]] = lengths[rising]  # of several pieces the longest is written last
+        under = under[np.argsort(by[under], kind="stable")]
+        donors = max(1, min(used - least, len(under) - 1))
+        givers, takers = (under[::2], under[1::2]) if rank == "every other" else (under[:donors], under[donors:])
+        takers = takers[(capacity - fill[takers] > slack) | (slack == capacity)]
+        is_donor, is_taker = np.zeros(n, bool), np.zeros(n, bool)
+        is_donor[givers], is_taker[takers] = True, True
+        pieces = np.flatnonzero(is_donor[bins] | is_taker[bins])
+        gives = _Options.of(pieces[is_donor[bins[pieces]] & (lengths[pieces] >= floor)], bins, lengths, give == 2)
+        takes = _Options.of(pieces[is_taker[bins[pieces]] & (take > 0)], bins, lengths, take == 2).with_nothing(takers)
+        x, y = matched(gives, takes, fill, capacity, slack)
+        if not len(x):
+            at += 1
+            continue
+        any_ = True
+        donor, taker, gain = gives.bins[x], takes.bins[y], gives.amount[x] - takes.amount[y]
+        for moved, to in ((gives.first[x], taker), (gives.second[x], taker), (takes.first[y], donor), (takes.second[y], donor)):
+            bins[moved[moved >= 0]] = to[moved >= 0]
+        fill[donor] -= gain
+        fill[taker] += gain
+    return bins
 
 
-def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best fit, then local search: piece numbers of each sequence."""
-    return local_search(best_fit(lengths, capacity), lengths, capacity)
+def pack_lengths(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Sequence number of each piece: next fit, the local search, and best fit for what it leaves in underfull sequences.
+
+    Best fit takes the underfull sequences apart and, while there are more sequences
+    than need be, with them those of the most pieces, twice as many each time. At the
+    last that is all, so the result is never above best fit.
+    """
+    lengths = np.asarray(lengths, np.int64)
+    bins = local_search(next_fit(lengths, capacity), lengths, capacity)
+    least, more = -(-int(lengths.sum()) // capacity), 0
+    while len(bins):
+        bins = np.unique(bins, return_inverse=True)[1]
+        fill, pieces = np.bincount(bins, lengths), np.bincount(bins)
+        if len(fill) <= least:
+            break
+        under = fill < capacity
+        full = np.flatnonzero(~under)
+        apart = under.copy()
+        apart[full[np.argsort(-pieces[full], kind="stable")[:more]]] = True
+        rest = np.flatnonzero(apart[bins])
+        again = best_fit(lengths[rest].tolist(), capacity)
+        if len(again) < apart.sum():
+            for s, members in enumerate(again, len(fill)):
+                bins[rest[members]] = s
+        if apart.all():
+            break
+        more = max(2 * more, int(under.sum()))
+    return np.unique(bins, return_inverse=True)[1]
 
 
 def pack_documents(
@@ -216,10 +282,11 @@ def pack_documents(
         sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         whole, part = np.flatnonzero(lengths == capacity), np.flatnonzero(lengths < capacity)
         sequence[whole] = np.arange(len(whole))
-        for s, members in enumerate(pack_lengths(lengths[part].tolist(), capacity), len(whole)):
-            rows = part[members]
-            sequence[rows] = s
-            offset[rows] = np.cumsum(lengths[rows]) - lengths[rows]
+        sequence[part] = len(whole) + pack_lengths(lengths[part], capacity)
+        order = np.argsort(sequence, kind="stable")
+        before = np.cumsum(lengths[order]) - lengths[order]
+        new = np.flatnonzero(np.append(True, sequence[order][1:] != sequence[order][:-1]))
+        offset[order] = before - np.repeat(before[new], np.diff(np.append(new, len(order))))
         return pdf.drop(columns=["deal", "shard"]).assign(sequence_id=(int(key[0]) << 40) + sequence, offset=offset)
 
     pieces = token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col)

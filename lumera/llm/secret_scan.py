@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumera.llm.common import numbered, read_table, stored, text_or_empty
+from lumera.llm.common import each, numbered, read_table, stored, text_or_empty, unused
 
 #: The base patterns in their order, the group whose length counts, the least length.
 BASE = (
@@ -132,7 +132,8 @@ def find_secrets(docs: DataFrame, table: list[float], id_col: str = "doc_id", te
     the models never overlap base spans. Positions are code points, end exclusive.
     Other columns are ignored. An empty table gives no rows.
 
-    Returns doc_id, row_no, spans: array of (start, kind number, end, kind), by start.
+    Returns doc_id, row_no, spans: array of (start, kind number, end, kind, log-likelihood
+    ratio of spans of the models), by start.
     """
     patterns = [p for _, p, *_ in BASE] + [CANDIDATE]
     text = F.col("text")
@@ -168,22 +169,28 @@ def find_secrets(docs: DataFrame, table: list[float], id_col: str = "doc_id", te
         if group:
             counted = F.when(F.col("kind") == k, F.length(F.regexp_extract("match", pattern, group))).otherwise(counted)
     least = F.get(F.array(*[F.lit(n) for *_, n in BASE], F.lit(16)), F.col("kind"))
-    good = placed.where(counted >= least).where((F.col("kind") < len(BASE)) | (likelihood_ratio(F.col("match"), table) >= threshold))
-    span = F.struct((F.col("end") - F.length("match")).alias("start"), "kind", "end", F.get(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("name"))
-    base = lambda s: s["kind"] < len(BASE)
-    spans = (
-        good.groupBy("row_no")
-        .agg(F.array_sort(F.collect_list(span)).alias("s"))
-        .withColumn("b", F.filter("s", base))
-        .select("row_no", F.filter("s", lambda x: base(x) | ~F.exists("b", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))).alias("spans"))
-    )
+    judged = placed.where(counted >= least).withColumn("ratio", F.when(F.col("kind") == len(BASE), likelihood_ratio(F.col("match"), table)))
+    good = judged.where(F.coalesce("ratio", F.lit(threshold)) >= threshold).select("row_no", "kind", "end", (F.col("end") - F.length("match")).alias("start"), "ratio")
+    span = F.struct("start", "kind", "end", F.get(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("name"), "ratio")
+    # A span of the models goes if a base span that begins no later ends behind its start, or the next one begins before its end.
+    is_base, line = F.col("kind") < len(BASE), Window.partitionBy("row_no").orderBy("start")
+    reach = F.max(F.when(is_base, F.col("end"))).over(line.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    following = F.min(F.when(is_base, F.col("start"))).over(line.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    clear = good.select("*", reach.alias("reach"), following.alias("following"))
+    clear = clear.where(is_base | ((F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("following", F.col("end")) >= F.col("end"))))
+    spans = clear.groupBy("row_no").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     return rows.select("doc_id", "row_no").join(spans, "row_no", "left").select("doc_id", "row_no", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """``docs`` (one row per id) with every found span replaced by ``mask``; overlapping spans become one."""
-    spans = found.select(F.col("doc_id").alias("_id"), "spans")
-    text = docs[text_col]
+    """``docs`` (one row per id) with every found span replaced by ``mask``; overlapping spans become one.
+
+    Null texts, rows with a null id and rows that ``found`` doesn't name stay as they
+    are. An empty table gives no rows.
+    """
+    id_, at = unused(docs.columns, "_found_id"), unused(docs.columns, "_found_spans")
+    named = docs.join(found.select(F.col("doc_id").alias(id_), F.col("spans").alias(at)), docs[id_col] == F.col(id_), "left")
+    text, spans = docs[text_col], F.col(at)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     step = lambda s, x: F.struct(
         F.when(x["end"] <= s["at"], s["out"])
@@ -191,9 +198,9 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
         .alias("out"),
         F.greatest(s["at"], x["end"]).cast("long").alias("at"),
     )
-    whole = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"), F.length(text))))
-    masked = F.when(F.size("spans") > 0, whole).otherwise(text)
-    return docs.join(spans, docs[id_col] == spans["_id"], "left").select(*[(masked.alias(c) if c == text_col else docs[c]) for c in docs.columns])
+    whole = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"), F.length(text))))
+    masked = F.when(F.size(spans) > 0, whole).otherwise(text)
+    return named.select(*[(masked.alias(c) if c == text_col else kept) for c, kept in zip(docs.columns, each(docs, docs.columns), strict=True)])
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,26 +2,26 @@
 
 Every byte is removed that a string of ``LENGTH`` bytes covers which also starts
 somewhere else in the corpus. A suffix array would say so: two suffixes that agree
-on ``LENGTH`` bytes stand in one bucket of that depth. Buckets are built as in
-bucket-pointer refinement. A suffix first belongs to the bucket of its leading
-q-gram; the bucket identifiers of later offsets then split it, and what they yield
-is used for the next depth: identifiers of depth 1 give 2, 2 give 4, up to ``Q``,
-and those at offsets 0, Q, 2Q, ... of a suffix give depth ``LENGTH``.
-
-Only what can repeat is refined. Every window of ``LENGTH`` bytes is represented by
-the q-gram of least identifier in it (the leftmost of equals), so equal windows
-share this anchor and their distance from it. Neighbouring windows with one anchor
-form a run, about one for 70 bytes. Then
-
-1. runs whose anchor bucket holds nothing else are finished;
-2. runs that agree as a whole with another run are repeated as a whole;
-3. of the rest, one run of each content is refined window by window: the runs of an
-   anchor bucket meet, and their windows are sorted on the identifiers at one later
-   offset after the other, windows alone in their bucket leaving at each step.
-   Buckets of very many contents are spread by window instead.
-
-Identifiers are 64 bits wide and only compared within one anchor bucket and one
-distance, so a chance agreement needs two independent ones of 64 bits each.
+on ``LENGTH`` bytes stand in one bucket of that depth. Buckets are built by
+bucket-pointer refinement: suffixes first stand in the bucket of their leading q-gram;
+a bucket is refined by sorting on the bucket numbers of later offsets, and the new
+numbers replace the old ones, so that depth 8 gives 16, 16 gives 32, up to ``LENGTH``.
+
+To spread that over tasks, every window of ``LENGTH`` bytes is represented by the
+``Q``-gram of least identifier in it (its anchor, the leftmost of equals), so equal
+windows share their anchor and the distance from it. Neighbouring windows with one
+anchor form a run, about one for 70 bytes. Then
+
+1. runs of one content in an anchor bucket become one row with their number; where
+   there are several, they are repeated as a whole;
+2. one run of each content goes to the task of its anchor bucket if that has other
+   contents too, and the suffixes of all runs there are refined byte by byte;
+3. anchor buckets of very many contents are spread by window instead, windows being
+   keyed by the identifiers of depth ``Q`` at the offsets that make up ``LENGTH``.
+
+Anchors, contents and spread windows are compared by identifiers of 64 bits within one
+anchor bucket, so a chance agreement needs two independent ones. What is refined is
+compared as it is.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumera.llm.common import read_table, small, stored, text_or_empty
+from lumera.llm.common import join_counted, read_table, small, stored, text_or_empty
 from lumera.llm.shingles import U, mix
 
 #: Length of a repeated string; length of the q-grams that make the first buckets (a power of two).
@@ -120,30 +120,69 @@ def runs(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray,
         yield text, first - begin[own] + base, n, anchor[first] - first, ids[anchor[first]].view(np.int64), content.view(np.int64)
 
 
-def refine(bucket: np.ndarray, texts: list[bytes], windows: np.ndarray, distance: np.ndarray, weight: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; the last seven places, which have fewer, come short."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)].copy().view(">u8").ravel().astype(U)
+
+
+def _split(ids: np.ndarray, live: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Sort the suffixes of ``live`` on ``keys`` and give each the number of its new bucket; those that are still in company.
+
+    A bucket's number is one more than what has been given before, so numbers of
+    different depths never meet. ``ids`` is changed in place.
+    """
+    order = np.argsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    bucket = np.cumsum(new)
+    ids[live[order]] = ids[-1] + bucket
+    ids[-1] += len(order)
+    alone = new & np.append(new[1:], True)
+    return np.sort(live[order[~alone]])
+
+
+def refine(texts: list[bytes], windows: np.ndarray, length: int = LENGTH, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Windows that stand in a bucket of depth ``length`` with another: run number and place in the run.
 
-    Every run comes with its bytes. Windows are sorted on what they have in common so
-    far (bucket and distance from the anchor), then on the identifiers at one offset
-    after the other. ``weight`` says for how many equal runs a run stands.
+    Bucket-pointer refinement of the suffixes of all runs. They begin in buckets of
+    their first eight bytes, compared as they are. A bucket is then refined by sorting
+    its suffixes on the bucket numbers of the suffixes ``depth`` further on, which
+    doubles the depth; the new numbers replace the old ones, so the next sort uses what
+    this one has found. Suffixes alone in their bucket keep its number and aren't
+    sorted again. No hash is involved: what is left agrees byte by byte. ``trace``
+    collects (depth, windows in company).
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
-    ids = identifiers(data, Q)
+    begin = np.cumsum(sizes) - sizes
     run = np.repeat(np.arange(len(texts)), windows)
     place = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
-    start = np.repeat(np.cumsum(sizes) - sizes, windows) + place
-    known = mix(bucket.view(U)[run] * U(0x9E3779B97F4A7C15) + (distance[run] - place).astype(U))
-    for at in [None, *offsets(length)]:
-        if at is not None:
-            known = mix(known * U(0xC2B2AE3D27D4EB4F) + ids[start + at])
-        order = np.argsort(known, kind="stable")
-        known, run, place, start = known[order], run[order], place[order], start[order]
-        edge = np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]])) if len(known) else np.zeros(0, np.int64)
-        total = np.add.reduceat(weight[run], edge) if len(edge) else np.zeros(0, np.int64)
-        stays = np.repeat(total > 1, np.diff(np.append(edge, len(known))))
-        known, run, place, start = known[stays], run[stays], place[stays], start[stays]
-    return run, place
+    start = begin[run] + place
+    end = np.repeat(begin + sizes, sizes)
+    # The number given last is kept behind the numbers of the suffixes.
+    ids = np.zeros(len(data) + 1, np.int64)
+    is_window = np.zeros(len(data), bool)
+    is_window[start] = True
+    # A suffix that its run cuts short of the depth matters to no window; it is alone from then on.
+    live = _split(ids, np.arange(len(data)), _words(data))
+    depth = 8
+    while True:
+        live = live[live + depth <= end[live]]
+        if trace is not None:
+            trace.append((depth, int(is_window[live].sum())))
+        if depth >= length:
+            break
+        step = min(depth, length - depth)
+        if depth + step >= length:
+            live = live[is_window[live]]
+        live = live[live + step + depth <= end[live]]
+        live = _split(ids, live, ids[live].astype(U) << U(32) | ids[live + step].astype(U))
+        depth += step
+    found = np.zeros(len(data), bool)
+    found[live] = True
+    company = found[start]
+    return run[company], place[company]
 
 
 def window_keys(bucket: np.ndarray, texts: list[bytes], windows: np.ndarray, distance: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,22 +244,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             for text, first, n, distance, bucket, content in runs(whole, length):
                 yield _frame(kinds, bucket, content, rows[text], first, n << 16 | distance)
 
-    every = texts.mapInArrow(find, "bucket long, content long, row_no long, lo long, shape long")
-    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    live = stored(every.join(shared, "bucket", "left_semi"), "runs")
-    contents = stored(
-        live.groupBy("bucket", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_no", "lo", "shape")).alias("one")),
-        "contents",
-    )
-    many = contents.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_contents")).where("n_contents > 1")
+    every = stored(texts.mapInArrow(find, "bucket long, content long, row_no long, lo long, shape long"), "runs")
+    # Runs of one content are one row from here on, whatever their number; all columns of ``first`` are of one run.
+    one = [F.first(c).alias(c) for c in ("row_no", "lo", "shape")]
+    contents = stored(every.groupBy("bucket", "content").agg(F.count(F.lit(1)).alias("n"), *one), "contents")
+    many = stored(contents.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_contents")).where("n_contents > 1"), "many")
+    several = stored(contents.where("n > 1").select("bucket", "content", "n"), "several")
     windows = F.shiftright("shape", 16)
-    whole = (
-        live.join(contents.where("n > 1").select("bucket", "content"), ["bucket", "content"], "left_semi")
-        .select("row_no", "lo", (F.col("lo") + windows - 1 + length).alias("hi"))
-    )
+    whole = join_counted(every, several, ["bucket", "content"], "n").select("row_no", "lo", (F.col("lo") + windows - 1 + length).alias("hi"))
     chosen = (
-        contents.join(many, "bucket")
-        .select("bucket", "n", "n_contents", "one.*")
+        join_counted(contents, many, ["bucket"], "n_contents")
         .groupBy("row_no")
         .agg(F.collect_list(F.struct("bucket", "n", "n_contents", "lo", "shape")).alias("runs"))
     )
@@ -262,12 +295,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield held
 
         for rows in buckets():
-            bucket, data, windows_, distance, n, lo = fields(rows)
-            run, place = refine(bucket, data, windows_, distance, np.minimum(n, 2), length)
+            _, data, windows_, _, n, lo = fields(rows)
+            run, place = refine(data, windows_, length)
             # Whole runs are known already, so only runs of one copy are told of.
             alone = n[run] == 1
-            order = np.lexsort((place[alone], run[alone]))
-            run, place = run[alone][order], place[alone][order]
+            run, place = run[alone], place[alone]
             if not len(run):
                 continue
             edge = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1)]))

@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumera.llm import tokens
-from lumera.llm.common import read_table, scratch, small, text_or_empty
+from lumera.llm.common import parts_for, read_table, scratch, small, text_or_empty
 
 MAGIC = b"LTF1"
 BLOCK = 65_536
+#: Documents of one file, about.
+FILE_DOCS = 20_000
 HEAD, TAIL = struct.Struct("<4sB3xI"), struct.Struct("<QQQ4s")
 
 
@@ -61,13 +64,11 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
 
 
 class TokenWriter:
-    """Writes one token file; memory is bounded by a block, a document and 16 bytes a document."""
+    """Writes one token file; memory is bounded by a block, a document, and 16 bytes a document for the index."""
 
     def __init__(self, out, bits: int, block: int = BLOCK) -> None:
         self.out, self.bits, self.block = out, bits, block
-        self.docs: list[int] = []
-        self.starts: list[int] = []
-        self.offsets: list[int] = []
+        self.docs, self.starts, self.offsets = array("q"), array("Q"), array("Q")
         self.n, self.at, self.held, self.held_n = 0, HEAD.size, [], 0
         out.write(HEAD.pack(MAGIC, bits, block))
 
@@ -142,7 +143,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     Null texts count as empty and hold the end id alone. Rows with a null id come
     first, under id -1. Repeated rows are written as often as they come, ties of
-    id in the order of their text. Other columns are ignored. An empty table gives
+    id in the order of a hash of their text, so that no id has to be in one file. Other columns are ignored. An empty table gives
     a manifest without documents. Each range of ids goes to one file, written under
     a temporary name and then renamed, so a task that runs twice leaves one file.
 
@@ -172,11 +173,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         else:
             store.delete_file(part)
 
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files or parts_for(docs.count(), FILE_DOCS, spark)
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(-1)).alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
     made = (
-        rows.repartitionByRange(n, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        rows.repartitionByRange(n, "doc_id", "h")
+        .sortWithinPartitions("doc_id", "h", "text")
         .mapInArrow(write, "name string, n_docs long, n_ids long")
         .collect()
     )

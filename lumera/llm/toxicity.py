@@ -1,9 +1,9 @@
 """Toxicity severity by cumulative-link ordinal regression.
 
-Severity grades 0 < 1 < ... < G are modelled by ``P(grade > g) = sigmoid(w.x - t_g)``:
+Severity grades g_0 < g_1 < ... are modelled by ``P(grade > g_k) = sigmoid(w.x - t_k)``:
 one weight vector ``w`` over sparse text features is shared by all ordered
-thresholds ``t_0 < t_1 < ...``. A document's expected severity is the sum of these
-probabilities. The model is fitted on a bounded sample of labelled rows by proximal
+thresholds ``t_0 < t_1 < ...``. A document's expected severity is the least grade
+plus the sum of these probabilities, each times the step to the next grade. The model is fitted on a bounded sample of labelled rows by proximal
 gradient steps with an L1 penalty, which leaves weights only on words that tell
 grades apart.
 
@@ -22,15 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumera.llm.common import read_table, small, text_or_empty
+from lumera.llm.common import read_table, small, stored, text_or_empty
 
 #: Places of hashed words; a word has a weight if at least ``LEAST_ROWS`` sample rows have it.
 FEATURES, LEAST_ROWS = 1 << 26, 3
-#: Labelled rows that the fit uses at most, those of least id hash in each grade.
-SAMPLE = 3_000
+#: Labelled rows that the fit uses at most, of each grade and in all; every grade has an equal part of the latter.
+SAMPLE, SAMPLE_ALL = 3_000, 60_000
 #: A document is rejected when its expected severity, as a share of the top grade, is above this.
 REJECT = 0.6
 WORD = re.compile(r"[^\W\d_]+")
@@ -65,14 +65,24 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class OrdinalModel:
-    """Shared weights by place, those that aren't zero, and ordered thresholds."""
+    """Shared weights by place, those that aren't zero, ordered thresholds, and the grades between which they lie."""
 
     weights: dict[int, float]
     thresholds: np.ndarray
+    levels: np.ndarray
 
     def expected(self, scores: np.ndarray) -> np.ndarray:
         """Expected severity of linear scores."""
-        return (1.0 / (1.0 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))).sum(axis=1)
+        above = 1.0 / (1.0 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))
+        return self.levels[0] + above @ np.diff(self.levels).astype(np.float64)
+
+    def nearest(self, severity: np.ndarray) -> np.ndarray:
+        """The grade nearest to each severity; of two the lower."""
+        return self.levels[np.searchsorted((self.levels[1:] + self.levels[:-1]) / 2, severity)]
+
+    def rejected(self, severity: np.ndarray, reject: float) -> np.ndarray:
+        """Whether each severity lies above the share ``reject`` of the way from the least grade to the greatest."""
+        return severity > self.levels[0] + reject * (self.levels[-1] - self.levels[0])
 
     def score(self, text: str, memo: dict[str, tuple[int, ...]]) -> float:
         """Linear score of a text; ``memo`` keeps which places of words have weights between calls."""
@@ -96,10 +106,15 @@ class OrdinalModel:
 def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, penalty: float = 5e-4, rounds: int = 300) -> OrdinalModel:
     """Fit by accelerated proximal gradient on the mean cumulative-link loss.
 
-    Grades without rows keep thresholds in order with those of their neighbours. Each
-    threshold's two sides weigh the same in the loss, so rare grades are heard.
+    There is a threshold between each two grades that come next to each other. Its
+    two sides weigh the same in the loss, so rare grades are heard. With less than two
+    grades there is one threshold, at 0, and no word has a weight.
     """
-    top = int(grades.max()) if len(grades) else 1
+    levels, grades = np.unique(grades, return_inverse=True)
+    if len(levels) < 2:
+        least = int(levels[0]) if len(levels) else 0
+        return OrdinalModel({}, np.zeros(1), np.array([least, least + 1]))
+    top = len(levels) - 1
     index = np.concatenate([p for p, _ in rows]) if rows else np.zeros(0, np.int64)
     places, column, held = np.unique(index, return_inverse=True, return_counts=True)
     value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
@@ -135,25 +150,29 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, p
         ahead = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         seen_w, seen_t = new_w + (momentum - 1) / ahead * (new_w - w), new_t + (momentum - 1) / ahead * (new_t - t)
         w, t, momentum = new_w, new_t, ahead
-    return OrdinalModel({int(p): float(x) for p, x in zip(places, w, strict=True) if x}, t)
+    return OrdinalModel({int(p): float(x) for p, x in zip(places, w, strict=True) if x}, t, levels)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", sample: int = SAMPLE) -> OrdinalModel:
-    """Fit on at most ``sample`` labelled rows of each grade.
+    """Fit on a bounded sample of the labelled rows: ``sample`` of each grade, those of least id hash.
 
     ``labels`` has ``id_col`` and a whole-number ``grade_col``; rows with a null in
-    either, or without a document, are left out. Repeated labels count once.
-    Executors turn texts into features; the driver gets these alone. Without usable
-    labels the model knows no words and puts every document at the middle of the scale.
+    either, or without a document, are left out, as are grades below 0. A label that
+    is repeated counts once, at its highest grade. All grades are taken; where there
+    are so many that ``SAMPLE_ALL`` rows wouldn't do, each has an equal part of these,
+    one row at least. Executors turn texts into features; the driver gets these
+    alone. Without two usable grades the model knows no words and puts every document
+    at the middle of the scale. Null texts count as empty.
     """
-    marks = labels.select(labels[id_col].alias("_id"), labels[grade_col].cast("int").alias("grade")).where("_id IS NOT NULL AND grade >= 0").dropDuplicates(["_id"])
-    spread = [r.grade for r in marks.select("grade").distinct().orderBy("grade").limit(64).collect()]
-    parts = [marks.where(F.col("grade") == g).orderBy(F.xxhash64("_id"), "_id").limit(sample) for g in spread]
-    if not parts:
-        return OrdinalModel({}, np.zeros(1))
-    few = parts[0]
-    for part in parts[1:]:
-        few = few.unionByName(part)
+    marks = labels.select(labels[id_col].alias("_id"), labels[grade_col].cast("int").alias("grade")).where("_id IS NOT NULL AND grade >= 0")
+    marks = stored(marks.groupBy("_id").agg(F.max("grade").alias("grade")), "labels")
+    sizes = stored(marks.groupBy("grade").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    each = max(1, min(sample, SAMPLE_ALL // max(1, sizes.count())))
+    # A hash threshold first leaves somewhat more than is wanted of each grade, so that no task orders a frequent one.
+    share = (1.5 * each + 100) / F.col("rows")
+    near = marks.join(sizes, "grade").where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < share * (1 << 40))
+    order = Window.partitionBy("grade").orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)), "_id")
+    few = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each).select("_id", "grade")
     texts = docs.select(docs[id_col].alias("_doc"), text_or_empty(docs[text_col]).alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +198,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     scored alike. Other columns are ignored. An empty table gives no rows. The
     weights that aren't zero travel with the tasks; the fit's sample bounds them.
 
-    Returns doc_id, severity (0 to the top grade), grade (the nearest), toxic.
+    Returns doc_id, severity (least to greatest grade), grade (the nearest), toxic.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,25 +206,31 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
         for batch in small(batches):
             texts = batch.column(1).to_pylist()
             severity = model.severity(texts, memo)
-            toxic = (severity > reject * len(model.thresholds)) & np.array([bool(t) for t in texts], dtype=bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity), pa.array(np.rint(severity).astype(np.int32)), pa.array(toxic)], names=["doc_id", "severity", "grade", "toxic"])
+            toxic = model.rejected(severity, reject) & np.array([bool(t) for t in texts], dtype=bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity), pa.array(model.nearest(severity).astype(np.int32)), pa.array(toxic)], names=["doc_id", "severity", "grade", "toxic"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
     return rows.mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """The documents that aren't rejected, with all their columns."""
+    """The documents that aren't rejected, with all their columns.
+
+    Null and empty texts stay, and so do null ids. Repeated rows are judged alike, and
+    a severity that lies on the limit isn't rejected. An empty table gives no rows.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[int, ...]] = {}
         for batch in small(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            kept = [not t or s <= reject * len(model.thresholds) for t, s in zip(texts, model.severity(texts, memo), strict=True)]
+            kept = [not t or not bad for t, bad in zip(texts, model.rejected(model.severity(texts, memo), reject), strict=True)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Names with dots can't be given to mapInArrow, so columns go through it by number.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def graded_labels(labels: DataFrame) -> DataFrame:

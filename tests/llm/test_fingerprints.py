@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from lumera.llm.fingerprints import containment, distinct, fingerprint, from_text, likeness, merge, merge_fingerprints, op5_fingerprints, resemblance, sketches, to_text
 from lumera.llm.shingles import word_hashes
@@ -59,6 +60,24 @@ def test_query_against_brute_force(spark, tmp_path):
     assert got[10].fingerprint == got[11].fingerprint and len(got) == len(rows)
 
 
+def test_many_ranges_and_an_id_that_holds_a_third(spark, monkeypatch):
+    from lumera.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "RANGE", 7)
+    rows = [(i, f"text {i}", "en", "a") for i in range(0, 300, 3)] + [(None, f"none {i}", "en", "a") for i in range(60)] + [(33, f"again {i}", "en", "a") for i in range(20)]
+    pair = lambda ids, texts, nexts: pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, "int64"), "text": texts, "next": nexts})
+    got = fingerprints.with_next(table(spark, rows), pair, "doc_id long, text string, next string").collect()
+    assert sorted(r.text for r in got) == sorted(t for _, t, *_ in rows)
+    after = {r.text: r.next for r in got}
+    # One ring through all rows, ids falling along it and null last.
+    ring, at = [], "text 297"
+    while not ring or at != "text 297":
+        ring.append(at)
+        at = after[at]
+    ids = {t: -1 if i is None else i for i, t, *_ in rows}
+    assert len(ring) == len(rows) and [ids[t] for t in ring] == sorted(ids.values(), reverse=True)
+
+
 def test_columns_groups_and_empty_table(spark, tmp_path):
     docs = table(spark, corpus())
     marks = fingerprint(docs)

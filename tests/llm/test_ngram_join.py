@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lumera.llm import ngram_join
+from lumera.llm import components, ngram_join
 from lumera.llm.components import connected_components
 from lumera.llm.ngram_join import bands, drop_near_copies, jaccard_groups, jaccard_links, needed, prefix_length
 
@@ -95,17 +95,28 @@ def test_sizes():
     assert len(bands(np.arange(5, dtype=np.uint64))) == 8
 
 
-def test_components_of_a_long_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (7, 7)], "a long, b long")
-    got = {r.node: r.label for r in connected_components(edges).collect()}
-    assert got == {**dict.fromkeys(range(101), 0), 200: 200, 201: 200}
+def grouped(labels):
+    """Components as sets of nodes; a label is one of them."""
+    out = {}
+    for r in labels.collect():
+        out.setdefault(r.label, set()).add(r.node)
+    assert all(label in nodes for label, nodes in out.items())
+    return sorted(map(sorted, out.values()))
 
 
-def test_components_of_a_path_with_shuffled_labels(spark):
-    label = list(range(600))
+@pytest.mark.parametrize("few", [400_000, 3, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    label = list(range(1000, 1300))
     random.Random(3).shuffle(label)
-    edges = spark.createDataFrame(list(zip(label[:-1], label[1:], strict=True)), "a long, b long")
-    assert {(r.node, r.label) for r in connected_components(edges).collect()} == {(i, 0) for i in range(600)}
+    path = [(i, i + 1) for i in range(100)]
+    star = [(2000, 2000 + i) for i in range(1, 50)]
+    edges = spark.createDataFrame(path + list(zip(label[:-1], label[1:], strict=True)) + star + star[:9] + [(200, 201), (7, 7), (5, 3)], "a long, b long")
+    want = [list(range(101)), [200, 201], list(range(1000, 1300)), list(range(2000, 2050))]
+    assert grouped(connected_components(edges)) == want
+    named = edges.selectExpr("'n' || a AS a", "'n' || b AS b")
+    assert grouped(connected_components(named)) == sorted(sorted(f"n{i}" for i in nodes) for nodes in want)
+    assert connected_components(edges.where("a < 0")).count() == 0
 
 
 def test_filter_and_empty_table(spark):

@@ -65,3 +65,20 @@ def test_repeated_ids_do_not_overshoot_the_mix(spark):
     taken.update(r.text for r in source_mix.apply_mix(docs).collect())
     want = source_mix.source_mix(docs).collect()
     assert Counter(len(t.split()) for t, n in taken.items() for _ in range(n)) == Counter(r.size for r in want for _ in range(r.copies))
+
+
+def test_empty_table_and_clashing_names(spark, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    names = ["_gone", "_keep_id", "_row", "_copy", "_mix_id", "_ROW_FILE", "label", "component_id", "a.b", "place", "key"]
+    docs = table(spark, corpus()).selectExpr("*", *[f"{i} AS `{n}`" for i, n in enumerate(names)])
+    for folder, rows in (("full", docs), ("none", docs.limit(0))):
+        rows.repartition(2).write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+        at = spark.read.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, f"{tmp_path}/{folder}")
+            assert at.columns == rows.columns, name
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{folder}")
+        assert (got.count() == 0) == (folder == "none")
+    none = {r.doc_id for r in got.collect()}
+    assert not none

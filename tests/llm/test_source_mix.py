@@ -1,6 +1,11 @@
+import math
+import random
 from collections import Counter
 
-from lumera.llm.source_mix import apply_mix, source_mix, source_targets
+import pytest
+
+from lumera.llm import source_mix as module
+from lumera.llm.source_mix import apply_mix, entropy_balance, source_mix, source_targets
 
 from .helpers import SCHEMA, corpus, prose, table
 
@@ -35,3 +40,51 @@ def test_applied_mix_repeats_rows(spark):
 
 def test_empty_table(spark):
     assert source_mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def brute_dual(cells, target, cap):
+    """The tilt that takes ``target`` words of (prior, tokens) cells, by halving."""
+    taken = lambda d: sum(t * min(cap, q * math.exp(d)) for q, t in cells)
+    low, high = -60.0, 60.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if taken(mid) < target else (low, mid)
+    return low
+
+
+def test_newton_against_halving(spark):
+    r = random.Random(4)
+    cells = {f"s{i}": [(r.choice([0.01, 0.3, 0.5, 1.0, 2.5, 40.0]) + 0.001 * k, float(r.randint(1, 9000))) for k in range(r.randint(1, 7))] for i in range(25)}
+    target = {s: r.choice([0.02, 0.3, 1.0, 1.7, 1.99, 2.0]) * sum(t for _, t in c) for s, c in cells.items()}
+    frame = spark.createDataFrame([(s, q, t) for s, c in cells.items() for q, t in c], "source_key string, prior double, tokens double")
+    dual = entropy_balance(frame, spark.createDataFrame(list(target.items()), "source_key string, target double"))
+    for s, c in cells.items():
+        rates = [min(2.0, q * math.exp(dual[s])) for q, _ in c]
+        want = [min(2.0, q * math.exp(brute_dual(c, target[s], 2.0))) for q, _ in c]
+        assert max(abs(a - b) for a, b in zip(rates, want, strict=True)) < 1e-6, s
+        # Rates that aren't capped are the prior times one factor: the exponential tilt.
+        factors = [a / q for a, (q, _) in zip(rates, c, strict=True) if a < 2.0]
+        assert not factors or max(factors) / min(factors) < 1 + 1e-9
+
+
+@pytest.mark.parametrize("hot", [10_000, 20])
+def test_partitioning_changes_nothing(spark, monkeypatch, hot):
+    monkeypatch.setattr(module, "HOT_KEY", hot)
+    rows = [(i, prose(i, 1 + i % 70), "en", "hot" if i % 3 else f"s{i % 5}") for i in range(900)]
+    rows += [(None, f"one two {i % 4}", "en", None) for i in range(120)] + [(5, "again and again", "en", "hot")] * 90 + corpus()
+    docs = table(spark, rows)
+    seen = []
+    for n in (3, 7):
+        got = source_mix(docs.repartition(n), chunk=100).toPandas()
+        assert len(got) == len(rows) and not got["row_no"].duplicated().any()
+        seen.append(Counter((str(r.doc_id), r.size, str(r.source), r.taken) for r in got.itertuples()))
+    assert seen[0] == seen[1]
+    equal = [n for (i, size, s, _), n in seen[0].items() if (i, size, s) == ("5.0", 3, "hot")]
+    assert sum(equal) == 90
+
+
+def test_clashing_names_and_null_ids(spark):
+    docs = table(spark, [(None if i % 3 else i, prose(i, 30), "en", f"s{i % 4}") for i in range(60)]).selectExpr("*", "1 AS _mix_id", "2 AS _copy", "3 AS _copies", "4 AS `a.b`", "5 AS _row")
+    got = apply_mix(docs)
+    assert got.columns == docs.columns
+    assert got.count() == sum(r.copies for r in source_mix(docs).collect()) and got.where("doc_id IS NULL").count() > 30

@@ -57,6 +57,41 @@ def test_periodic_texts(spark, text):
     check(spark, [(1, text, None, None), (2, "q" + text[:250], None, None)])
 
 
+def test_refinement_decides_windows():
+    """Runs that share 8, 64 and 150 bytes stand in one bucket until refinement parts them; the rest agrees byte by byte."""
+    r = random.Random(1)
+    some = lambda n: bytes(r.choice(b"abcdefgh ") for _ in range(n))
+    shared = some(260)
+    runs = [some(40) + shared[:k] + some(300 - 40 - k) for k in (8, 64, 150, 220, 260)] + [some(300) for _ in range(3)]
+    windows = np.array([len(t) - 199 for t in runs])
+    trace = []
+    run, place = suffix_dedup.refine(runs, windows, 200, trace)
+    count = Counter(t[i : i + 200] for t, n in zip(runs, windows, strict=True) for i in range(n))
+    want = {(k, i) for k, (t, n) in enumerate(zip(runs, windows, strict=True)) for i in range(n) if count[t[i : i + 200]] > 1}
+    assert set(zip(run.tolist(), place.tolist(), strict=True)) == want and want
+    depths, left = zip(*trace, strict=True)
+    # Every depth parts windows that the one before held together.
+    assert depths == (8, 16, 32, 64, 128, 200) and all(a > b for a, b in zip(left[3:-1], left[4:], strict=True)) and left[-1] == len(want)
+
+
+@pytest.mark.parametrize("length", [128, 150, 200, 256, 300])
+def test_refinement_against_brute_force(length):
+    r = random.Random(length)
+    text = "".join(r.choice("ab") for _ in range(40))
+    runs = [("".join(r.choice([text, text[::-1], "ab", "b"]) for _ in range(60)))[: length + 90].encode() for _ in range(12)]
+    windows = np.array([len(t) - length + 1 for t in runs])
+    count = Counter(t[i : i + length] for t, n in zip(runs, windows, strict=True) for i in range(n))
+    want = [(k, i) for k, (t, n) in enumerate(zip(runs, windows, strict=True)) for i in range(n) if count[t[i : i + length]] > 1]
+    assert list(zip(*(x.tolist() for x in suffix_dedup.refine(runs, windows, length)), strict=True)) == want
+
+
+def test_hot_keys_are_broadcast(spark, monkeypatch):
+    from lumera.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEY", 5)
+    check(spark, corpus() + edits())
+
+
 def test_segments_cover_every_window(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 500)
     text = prose(3, 900).encode()

@@ -1,8 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
 
-from lumera.llm.toxicity import drop_toxic, features, fit_ordinal, score_toxicity, train
+from lumera.llm.toxicity import LEAST_ROWS, OrdinalModel, drop_toxic, features, fit_ordinal, score_toxicity, train
 
 from .helpers import SCHEMA, corpus, prose, table
 
@@ -55,3 +56,66 @@ def test_no_labels_and_empty_table(spark):
     model = train(table(spark, corpus()), none)
     assert not any(r.toxic for r in score_toxicity(table(spark, corpus()), model).collect())
     assert score_toxicity(spark.createDataFrame([], SCHEMA), model).count() == 0
+
+
+def brute_fit(rows, grades, penalty):
+    """The same loss brought down by plain proximal steps of one short length, very many of them, on a dense matrix."""
+    rows = [dict(zip(p.tolist(), v.tolist(), strict=True)) for p, v in rows]
+    held = Counter(p for r in rows for p in r)
+    places = sorted(p for p, n in held.items() if n >= LEAST_ROWS)
+    x = np.array([[r.get(p, 0.0) for p in places] for r in rows])
+    top = grades.max()
+    above = grades[:, None] > np.arange(top)[None, :]
+    weight = np.where(above, 0.5 / above.mean(axis=0), 0.5 / (1 - above.mean(axis=0))) / len(rows)
+
+    def loss(w, t):
+        m = (x @ w)[:, None] - t[None, :]
+        return (weight * np.where(above, np.logaddexp(0, -m), np.logaddexp(0, m))).sum() + penalty * np.abs(w).sum()
+
+    w, t = np.zeros(len(places)), np.zeros(top)
+    step = 1 / (0.25 * (weight.sum(axis=1) * ((x**2).sum(axis=1) + 1)).sum())
+    for _ in range(30_000):
+        slope = weight * (1 / (1 + np.exp(-((x @ w)[:, None] - t[None, :]))) - above)
+        w = w - step * (x.T @ slope.sum(axis=1))
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
+        t = t + step * slope.sum(axis=0)
+    return loss, places, w, t
+
+
+def test_fit_of_four_grades_against_a_plain_minimiser():
+    rows = graded(120)
+    made, grades = [features(t) for _, t, _ in rows], np.array([g for *_, g in rows])
+    model = fit_ordinal(made, grades, penalty=5e-3, rounds=3_000)
+    loss, places, w, t = brute_fit(made, grades, 5e-3)
+    ours = np.array([model.weights.get(p, 0.0) for p in places])
+    assert set(model.weights) <= set(places) and len(model.thresholds) == 3
+    assert abs(loss(ours, model.thresholds) - loss(w, t)) < 1e-3 * loss(w, t)
+    # One weight vector for all thresholds: the chances of two thresholds differ by the same odds for every text.
+    scores = np.array([model.score(text, {}) for _, text, _ in rows])
+    odds = scores[:, None] - model.thresholds[None, :]
+    assert np.allclose(odds[:, 0] - odds[:, 1], odds[0, 0] - odds[0, 1]) and (np.diff(model.thresholds) > 0).all()
+
+
+def test_any_number_of_grades_and_conflicting_labels(spark):
+    docs = table(spark, [(i, prose(i, 20) + f" g{i % 70}" * 3, "en", "a") for i in range(420)])
+    labels = spark.createDataFrame([(i, 10 * (i % 70)) for i in range(420)] + [(7, 0), (7, 70), (-1, 9000), (8, -3)], "doc_id long, toxic int")
+    model = train(docs, labels)
+    assert model.levels.tolist() == list(range(0, 700, 10)) and len(model.thresholds) == 69
+    got = score_toxicity(docs, model).collect()
+    assert all(0 <= r.severity <= 690 and r.grade in model.levels for r in got)
+    # The highest of conflicting grades counts.
+    two = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0), (3, 0)], "doc_id long, toxic int")
+    few = train(table(spark, [(i, "bad words here" if i == 1 else "good ones", "en", "a") for i in (1, 2, 3)]), two)
+    assert few.levels.tolist() == [0, 1]
+
+
+def test_repeated_rows_and_ties_are_judged_alike(spark):
+    rows = [(i, t, "en", "a") for i, t, _ in graded(80)]
+    docs = table(spark, rows + rows + [(None, rows[3][1], "en", "a")])
+    model = train(docs, spark.createDataFrame([(i, int(g > 0)) for i, _, g in graded(80)], "doc_id long, toxic int"))
+    by_text = {}
+    for r in score_toxicity(docs, model).collect():
+        by_text.setdefault(r.doc_id, set()).add((r.severity, r.toxic))
+    assert all(len(x) == 1 for x in by_text.values())
+    # A severity on the limit isn't rejected.
+    assert not OrdinalModel({}, np.zeros(1), np.array([0, 1])).rejected(np.array([0.6]), 0.6)[0]

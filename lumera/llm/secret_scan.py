@@ -30,7 +30,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: The labelled sample: documents whose words serve as identifiers, and random strings made.
 SAMPLE_DOCS, SAMPLE_RANDOM = 400, 4_000
 #: A candidate is random if its log-likelihood ratio reaches this, in nats.
-THRESHOLD = 6.0
+THRESHOLD = 12.0
 
 
 def sample_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:

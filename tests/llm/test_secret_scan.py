@@ -119,12 +119,13 @@ def planted(n=300):
 def test_precision_and_recall_on_planted_strings(spark):
     tokens = planted()
     rows = [(i, f"before {t} behind", None, None) for i, (t, _) in enumerate(tokens)]
-    _, got = found(spark, rows)
+    ordinary = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = find_secrets(table(spark, rows), train(default_samples(ordinary)))
     said = {r.doc_id for r in got.collect() if any(s.kind == 3 for s in r.spans)}
     truth = {i for i, (_, secret) in enumerate(tokens) if secret}
     recall, precision = len(said & truth) / len(truth), len(said & truth) / len(said)
     print(f"recall {recall:.4f} precision {precision:.4f} threshold {THRESHOLD}")
-    assert recall > 0.97 and precision > 0.97
+    assert recall > 0.99 and precision > 0.99
 
 
 def test_redaction_with_clashing_names(spark):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lumera.functions.color import as_rgb, as_xyz
 from lumera.functions.ieee import fdiv
-from lumera.schema import RGB, XYZ, attach, channels
+from lumera.schema import CHANNELS, RGB, XYZ, attach, channels
 
 #: Empty cells on each side of the grid.
 PADDING = 2
@@ -112,15 +112,16 @@ def splat_luminance(px: DataFrame, model: str, sigma_space=None, sigma_range=Non
     return splat(px, stats, [lum], [depth], F.col("space"))
 
 
-def y_fast_bilateral(px: DataFrame, model: str, sigma_space=None, sigma_range=None) -> DataFrame:  # noqa: ANN001
+def y_fast_bilateral(px: DataFrame, model: str, sigma_space=None, sigma_range=None, keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: ANN001
     """The luminance bilateral filter: luminance is read from the grid, X and Z move with it.
 
     Cells are divided by their counts before they are read. A flat image is returned
-    as it is.
+    as it is. ``sigma_space`` may be a column of the largest coordinates ``max_x`` and
+    ``max_y``. Columns in ``keep`` come along, so that the result needn't be joined.
     """
     stats = luminance_stats(px, model, sigma_space, sigma_range)
-    x, lum, z = as_xyz(model)
-    placed = attach(channels(px, x, lum, z), stats.select("image_id", "low", "space", "step"))
+    placed = px.select("image_id", "x", "y", *keep, *[v.alias(c) for v, c in zip(as_xyz(model), CHANNELS, strict=True)])
+    placed = attach(placed, stats.select("image_id", "low", "space", "step"))
     depth = F.coalesce((F.col("c2") - F.col("low")) / F.nullif("step", F.lit(0.0)), F.lit(0.0))
     at = [F.col("x") / F.col("space"), F.col("y") / F.col("space"), depth]
     grid = smooth(splat_luminance(px, model, sigma_space, sigma_range), 3, 1).select("image_id", "g0", "g1", "g2", F.when(F.col("w") != 0, F.col("s1") / F.col("w")).otherwise(0.0).alias("v"))
@@ -128,7 +129,8 @@ def y_fast_bilateral(px: DataFrame, model: str, sigma_space=None, sigma_range=No
     read = read.withColumn("base", F.when(F.col("step") == 0, F.col("c2")).otherwise(interpolate("v")))
     shift = F.col("c2") - F.col("base")
     out = (F.col("c1") - shift, F.col("base"), F.col("c3") - shift)
-    return channels(read, *(as_rgb(XYZ, out) if model == RGB else out))
+    out = as_rgb(XYZ, out) if model == RGB else out
+    return read.select("image_id", "x", "y", *keep, *[v.alias(c) for v, c in zip(out, CHANNELS, strict=True)])
 
 
 def fast_bilateral(px: DataFrame, model: str, sigma_space: float = 16.0, sigma_range: float | None = None) -> DataFrame:

@@ -7,7 +7,10 @@ pixels are in. Pixels beyond an edge repeat the edge.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +65,62 @@ def fast_gaussian(px: DataFrame, radius: int) -> DataFrame:
     return px
 
 
+def _box_lines(values: np.ndarray, radius: int) -> np.ndarray:
+    """Box means of the columns of ``values`` (pixels of a line x channels), edges repeated."""
+    if not radius:
+        return values
+    padded = np.concatenate([np.repeat(values[:1], radius + 1, axis=0), values, np.repeat(values[-1:], radius, axis=0)])
+    sums = np.cumsum(padded, axis=0)
+    return (sums[2 * radius + 1 :] - sums[: len(values)]) / (2 * radius + 1)
+
+
+def fast_gaussian_by(px: DataFrame, radius: str, names: tuple[str, ...] = CHANNELS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`fast_gaussian` with the radius in a column, the same for all pixels of an image.
+
+    The lines of an image are dealt to tasks once for each axis, so one plan serves
+    images of all sizes; a task holds a line at a time. Returns image_id, x, y, the
+    columns in ``keep``, ``radius`` and the blurred ``names``.
+    """
+    columns = ["image_id", "x", "y", *keep, radius, *names]
+    px = px.select(*columns)
+
+    def blurred(axis: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        other = LINES[axis]
+
+        def line(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            values = np.stack([whole.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
+            for width in box_sizes(whole.column(radius)[0].as_py()):
+                values = _box_lines(values, (width - 1) // 2)
+            arrays = [whole.column(n) for n in columns[: -len(names)]] + [pa.array(v) for v in values.T]
+            return pa.RecordBatch.from_arrays(arrays, names=columns)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, key = [], None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                image, at = batch.column("image_id").dictionary_encode(), batch.column(other).to_numpy()
+                number = image.indices.to_numpy()
+                edges = np.flatnonzero((number[1:] != number[:-1]) | (at[1:] != at[:-1])) + 1
+                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(at)], strict=True):
+                    new = (batch.column("image_id")[a].as_py(), int(at[a]))
+                    if held and new != key:
+                        yield line(held)
+                        held = []
+                    key = new
+                    held.append(batch.slice(a, b - a))
+            if held:
+                yield line(held)
+
+        return run
+
+    for axis in ("x", "y"):
+        lines = ["image_id", LINES[axis]]
+        px = px.repartition(*lines).sortWithinPartitions(*lines, axis).mapInArrow(blurred(axis), px.schema)
+    return px
+
+
 def stack_blur(px: DataFrame, radius: int) -> DataFrame:
     """Triangular kernel ``radius + 1 - |k|`` along rows, then along columns."""
     return px if radius == 0 else _stack(_stack(px, radius, "x"), radius, "y")

@@ -11,15 +11,24 @@ from lumera.functions.color import Triple, columns
 from lumera.schema import CHANNELS, channels, f32
 
 
+def log10_of(c: Column) -> Column:
+    """log10, values below 1e-4 taken as 1e-4; not a number stays."""
+    return F.log10(F.greatest(c, F.lit(1e-4)))
+
+
+def pow10_of(c: Column) -> Column:
+    """10 to the power of ``c``; exponents above 12 give 1."""
+    return F.pow(F.lit(10.0), F.when((c > 12) & ~F.isnan(c), 0.0).otherwise(c))
+
+
 def log10_filter(px: DataFrame) -> DataFrame:
-    """log10 of every channel, values below 1e-4 taken as 1e-4; not a number stays."""
-    return channels(px, *[F.log10(F.greatest(F.col(c), F.lit(1e-4))) for c in CHANNELS])
+    """:func:`log10_of` every channel."""
+    return channels(px, *map(log10_of, columns()))
 
 
 def pow10_filter(px: DataFrame) -> DataFrame:
-    """10 to the power of every channel; exponents above 12 give 1."""
-    big = lambda c: (F.col(c) > 12) & ~F.isnan(c)
-    return channels(px, *[F.pow(F.lit(10.0), F.when(big(c), 0.0).otherwise(F.col(c))) for c in CHANNELS])
+    """:func:`pow10_of` every channel."""
+    return channels(px, *map(pow10_of, columns()))
 
 
 def apply1(px: DataFrame, f: Callable[[Column, Column, Column], Triple]) -> DataFrame:

@@ -18,10 +18,10 @@ from lumera.functions.color import (
 from lumera.functions.ieee import clamp, fdiv, finite_or_zero, ln, log10
 from lumera.functions.quantize import inverse_pixel_mapping, normalize_gamma, shift_log_rescale, shift_rescale, srgb, to_ldr
 from lumera.operators.bilateral import y_fast_bilateral
-from lumera.operators.blur import fast_gaussian
+from lumera.operators.blur import fast_gaussian_by
 from lumera.operators.order_statistics import percentiles
-from lumera.operators.pointwise import log10_filter, pow10_filter, quick_sampling
-from lumera.schema import XYZ, attach, channels
+from lumera.operators.pointwise import log10_of, pow10_of, quick_sampling
+from lumera.schema import CHANNELS, XYZ, attach, channels
 from lumera.session import materialised
 
 SAMPLING = 0.6
@@ -55,10 +55,12 @@ def drago03(px: DataFrame, model: str, bias: float = 0.5) -> DataFrame:
     stats = px.groupBy("image_id").agg(F.exp(F.avg(ln(lum + 1e-4))).alias("mean"), F.max(lum).alias("top"))
     stats = stats.select("image_id", "mean", (F.col("top") / F.col("mean")).alias("peak"))
     px = attach(channels(px, *as_xyz(model)), stats)
-    q = F.col("c2") / F.col("mean")
-    level = ln(q + 1) / ln(2 + 8 * F.pow(q / F.col("peak"), F.lit(power))) / F.log10(F.col("peak") + 1)
-    scale = fdiv(level, F.col("c2"))
-    return to_ldr(px, *[inverse_pixel_mapping(c) for c in apply_matrix_to_scaled(scale)])
+    # A black image has a peak of 0: its level isn't a number, and that is white as at every black pixel.
+    px = px.withColumn("q", F.col("c2") / F.col("mean")).withColumn("share", fdiv(F.col("q"), F.col("peak")))
+    px = px.withColumn("upper", ln(F.col("q") + 1)).withColumn("lower", ln(2 + 8 * F.pow("share", F.lit(power))) * log10(F.col("peak") + 1))
+    px = px.withColumn("level", fdiv(F.col("upper"), F.col("lower"))).withColumn("scale", fdiv(F.col("level"), F.col("c2")))
+    px = channels(px, *apply_matrix_to_scaled(F.col("scale")))
+    return to_ldr(px, *[inverse_pixel_mapping(c) for c in columns()])
 
 
 def apply_matrix_to_scaled(scale: Column) -> tuple[Column, Column, Column]:
@@ -70,6 +72,13 @@ def _sampled(px: DataFrame, sampling: str) -> DataFrame:
     return px if sampling == "full" else quick_sampling(px, SAMPLING)
 
 
+def _sample_range(few: DataFrame, values: list[Column], lum: Column) -> DataFrame:
+    """Least and greatest value of each image where it isn't black (from, to), from 1 and 0 on; a black image keeps these."""
+    lit = lambda v: F.when(lum != 0, v)
+    low, high = F.min(lit(F.least(*values))), F.max(lit(F.greatest(*values)))
+    return few.groupBy("image_id").agg(F.least(F.lit(1.0), low).alias("from"), F.greatest(F.lit(0.0), high).alias("to"))
+
+
 def reinhard05(px: DataFrame, model: str, brightness: float = -5.0, chromatic: float = 0.89, light: float = 0.89, sampling: str = "quick") -> DataFrame:
     """Photoreceptor adaptation between the pixel and the image mean, by channel and by luminance."""
     brightness, chromatic, light = min(20.0, max(-20.0, brightness)), min(1.0, max(0.0, chromatic)), min(1.0, max(0.0, light))
@@ -89,7 +98,7 @@ def reinhard05(px: DataFrame, model: str, brightness: float = -5.0, chromatic: f
         return F.when(rgb[n] == 0, 0.0).otherwise(fdiv(rgb[n], rgb[n] + F.pow(f * (light * own + (1 - light) * mean), F.col("m"))))
 
     values = [adapted(n) for n in range(3)]
-    spread = attach(few, stats).where(lum != 0).groupBy("image_id").agg(F.least(F.lit(1.0), F.min(F.least(*values))).alias("from"), F.greatest(F.lit(0.0), F.max(F.greatest(*values))).alias("to"))
+    spread = _sample_range(attach(few, stats), values, lum)
     return normalize_gamma(attach(attach(px, stats), spread), values, F.col("from"), F.col("to"))
 
 
@@ -104,22 +113,25 @@ def custom_reinhard05(px: DataFrame, model: str, brightness: float = 0.0, chroma
         return F.when(c == 0, 0.0).otherwise(fdiv(c, c + F.pow(f * power, power)))
 
     values = [adapted(c) for c in rgb]
-    spread = _sampled(px, sampling).where(lum != 0).groupBy("image_id").agg(F.least(F.lit(1.0), F.min(F.least(*values))).alias("from"), F.greatest(F.lit(0.0), F.max(F.greatest(*values))).alias("to"))
+    spread = _sample_range(_sampled(px, sampling), values, lum)
+    # An image too low to be sampled has the range of a black one.
+    spread = px.select("image_id").distinct().join(spread, "image_id", "left").select("image_id", F.coalesce("from", F.lit(1.0)).alias("from"), F.coalesce("to", F.lit(0.0)).alias("to"))
     return normalize_gamma(attach(px, spread), list(rgb), F.col("from"), F.col("to"))
 
 
 def durand(px: DataFrame, model: str, contrast: float = 5.0) -> DataFrame:
     """Contrast of the bilateral base of the log image is reduced, detail is kept."""
-    base = y_fast_bilateral(log10_filter(px), model)
-    base = base.select("image_id", "x", "y", as_xyz(model)[1].alias("base"))
+    rgb, at = ["r", "g", "b"], ["image_id", "x", "y"]
+    named = [as_xyz(model)[1].alias("lum"), *[c.alias(n) for c, n in zip(as_rgb(model), rgb, strict=True)]]
+    logged = px.select(*at, *named, *[log10_of(F.col(c)).alias(c) for c in CHANNELS])
+    base = y_fast_bilateral(logged, model, keep=("lum", *rgb)).select(*at, "lum", *rgb, as_xyz(model)[1].alias("base"))
+    base = materialised(base, "base")
     stats = base.groupBy("image_id").agg(F.min("base").alias("low"), F.max("base").alias("high"))
     factor = fdiv(F.lit(math.log10(contrast)), F.col("high") - F.col("low"))
     stats = stats.select("image_id", factor.alias("cf"), (factor * (F.col("high") - F.col("low"))).alias("absolute"))
-    both = attach(px.join(base, ["image_id", "x", "y"]), stats)
     power = F.pow(F.pow(F.lit(10.0), F.col("cf")), F.lit(0.82))
-    rgb, at = ["r", "g", "b"], ["image_id", "x", "y"]
     # One projection for each step: a step's code holds no other step's twice.
-    both = both.select(*at, "base", "cf", "absolute", (2.48 * power / (1 + 1.48 * power)).alias("s"), as_xyz(model)[1].alias("lum"), *[c.alias(n) for c, n in zip(as_rgb(model), rgb, strict=True)])
+    both = attach(base, stats).select(*at, "base", "cf", "absolute", (2.48 * power / (1 + 1.48 * power)).alias("s"), "lum", *rgb)
     both = both.withColumn("detail", fdiv(F.col("lum"), F.pow(F.lit(10.0), F.col("base"))))
     both = both.withColumn("detail", log10(finite_or_zero(F.col("detail"))))
     both = both.withColumn("level", F.pow(F.lit(10.0), F.col("base") * F.col("cf") + F.col("detail") - F.col("absolute")))
@@ -136,62 +148,81 @@ def _adaptation(y: Column) -> Column:
     return 0.2 * k4 * la5 + 0.1 * F.pow(1 - k4, F.lit(2.0)) * F.pow(la5, F.lit(1 / 3))
 
 
-def icam06(px: DataFrame, model: str, contrast: float = 0.7, min_clipping: float = 0.01, max_clipping: float = 0.99) -> DataFrame:
-    """Image appearance model: adaptation to the local white, cone and rod compression, detail and colour adjustment."""
-    contrast, peak = min(0.85, max(0.6, contrast)), 20000.0
+def icam06(px: DataFrame, model: str, contrast: float = 0.7, min_clipping: float = 0.01, max_clipping: float = 0.99, normalize_luminance: bool = False) -> DataFrame:
+    """Image appearance model: adaptation to the local white, cone and rod compression, detail and colour adjustment.
+
+    Images of all sizes go through one plan: the deviations of both filters are columns,
+    and the layers of a pixel stay in one row. A black image stays black.
+    ``normalize_luminance`` divides by the greatest luminance before clipping.
+    """
+    contrast, peak, at = min(0.85, max(0.6, contrast)), 20000.0, ["image_id", "x", "y"]
     px = materialised(channels(px, *as_xyz(model)), "pixels")
-    stats = px.groupBy("image_id").agg(F.max("c2").alias("top"), F.least(F.max("x"), F.max("y")).alias("side")).withColumn("side", F.col("side") + 1)
-    sides = {r.side for r in stats.select("side").distinct().limit(65).collect()}
-    if len(sides) > 64:
-        raise ValueError("images of more than 64 different short sides at once")
-    normal = channels(attach(px, stats), *[F.greatest(F.lit(1e-8), peak * (c / F.col("top"))) for c in columns()])
-    out = None
-    for side in sorted(sides):  # the blur radius is a plan constant
-        part = normal if len(sides) == 1 else normal.join(stats.where(F.col("side") == side).select("image_id"), "image_id", "left_semi")
-        done = _icam06(part, side, contrast, min_clipping, max_clipping, peak)
-        out = done if out is None else out.unionByName(done)
-    return out if out is not None else to_ldr(px, *[F.lit(0)] * 3)
-
-
-def _icam06(normal: DataFrame, side: int, contrast: float, min_clipping: float, max_clipping: float, peak: float) -> DataFrame:
-    named = lambda df, p: df.select("image_id", "x", "y", *[F.col(f"c{i}").alias(f"{p}{i}") for i in (1, 2, 3)])
-    base = pow10_filter(y_fast_bilateral(log10_filter(normal), XYZ, sigma_space=side * 0.02))
-    white = fast_gaussian(normal, side // 2)
-    both = named(normal, "n").join(named(base, "b"), ["image_id", "x", "y"]).join(named(white, "w"), ["image_id", "x", "y"])
-    both = materialised(both, "layers")
+    stats = px.groupBy("image_id").agg(F.max("c2").alias("top"), (F.least(F.max("x"), F.max("y")) + 1).alias("side"))
+    px = attach(px, stats)
+    is_black = F.col("top") == 0
+    black = to_ldr(px.where(is_black), *[F.lit(0)] * 3)
+    names = {p: tuple(f"{p}{i}" for i in (1, 2, 3)) for p in "abw"}
+    scaled = [F.greatest(F.lit(1e-8), peak * fdiv(c, F.col("top"))) for c in columns()]
+    normal = px.where(~is_black).select(*at, F.floor(F.col("side") / 2).cast("int").alias("radius"), *[c.alias(n) for c, n in zip(scaled, names["a"], strict=True)])
+    logged = normal.select("*", *[log10_of(F.col(n)).alias(c) for n, c in zip(names["a"], CHANNELS, strict=True)])
+    side = F.least("max_x", "max_y") + 1
+    base = y_fast_bilateral(logged, XYZ, sigma_space=side * 0.02, keep=("radius", *names["a"]))
+    both = base.select(*at, "radius", *names["a"], *[pow10_of(F.col(c)).alias(n) for c, n in zip(CHANNELS, names["b"], strict=True)], *[F.col(n).alias(w) for n, w in zip(names["a"], names["w"], strict=True)])
+    both = materialised(fast_gaussian_by(both, "radius", names["w"], keep=names["a"] + names["b"]), "layers")
     both = attach(both, both.groupBy("image_id").agg(F.max("w2").alias("sw")))
-    n, b, w = (columns(*[f"{p}{i}" for i in (1, 2, 3)]) for p in "nbw")
-    yw = w[1]
+    # Every step is a projection of its own, so that no step's code holds another's more than once.
+    keep = [*at, *names["a"], *names["b"], "sw", "w2"]
+
+    def step(df: DataFrame, kept: list[str], prefix: str, values) -> DataFrame:  # noqa: ANN001
+        return df.select(*kept, *[v.alias(f"{prefix}{i}") for i, v in enumerate(values, 1)])
+
+    three = lambda p: columns(*[f"{p}{i}" for i in (1, 2, 3)])
+    yw = F.col("w2")
     # Adaptation to the local white, incomplete by degree d.
-    d = 0.3 * (1 - F.exp(-(0.2 * yw / peak - 42) / 92) / 3.6)
     white_d65 = [sum(a * x for a, x in zip(row, D65, strict=True)) for row in XYZ_TO_CAT02]
-    cone = [c * (F.lit(ref) * d / own + 1 - d) for c, own, ref in zip(apply_matrix(XYZ_TO_CAT02, b), apply_matrix(XYZ_TO_CAT02, w), white_d65, strict=True)]
-    adapted = apply_matrix(CAT02_TO_XYZ, tuple(cone))
+    both = both.withColumn("d", 0.3 * (1 - F.exp(-(0.2 * yw / peak - 42) / 92) / 3.6))
+    both = step(both, [*keep, "d", "w1", "w3"], "p", apply_matrix(XYZ_TO_CAT02, three("b")))
+    both = step(both, [*keep, "d", "p1", "p2", "p3"], "u", apply_matrix(XYZ_TO_CAT02, three("w")))
+    d = F.col("d")
+    both = step(both, keep, "k", [c * (F.lit(ref) * d / own + 1 - d) for c, own, ref in zip(three("p"), three("u"), white_d65, strict=True)])
+    both = step(both, keep, "t", apply_matrix(CAT02_TO_XYZ, three("k")))
     squeeze = lambda p: 400 * p / (27.13 + p)
-    fl = _adaptation(yw)
-    hpe = [squeeze(F.pow(fl * c / yw, F.lit(contrast))) + 0.1 for c in apply_matrix(XYZ_TO_HPE, adapted)]
+    both = both.withColumn("fl", _adaptation(yw)).withColumn("fl_base", _adaptation(F.col("b2")))
+    keep += ["fl_base"]
+    both = step(both, [*keep, "fl", "t2"], "k", apply_matrix(XYZ_TO_HPE, three("t")))
+    both = step(both, [*keep, "t2"], "h", [F.pow(F.col("fl") * c / yw, F.lit(contrast)) for c in three("k")])
+    both = step(both, [*keep, "t2"], "k", [squeeze(c) + 0.1 for c in three("h")])
     # Rods.
-    lls = yw
-    j2 = F.pow(1e-5 / (lls + 1e-5), F.lit(2.0))
-    fls = 3800 * j2 * lls + 0.2 * F.pow(1 - j2, F.lit(4.0)) * F.pow(lls, F.lit(1 / 6))
-    st = F.abs(adapted[1]) / F.col("sw")
-    bleach = 0.5 / (1 + 0.3 * F.pow(lls * st, F.lit(0.3))) + 0.5 / (1 + 5 * lls)
-    rod = 3.05 * bleach * squeeze(F.pow(fls * st, F.lit(contrast))) + 0.3
-    tone = apply_matrix(HPE_TO_XYZ, tuple(c + rod for c in hpe))
-    fl_base = _adaptation(b[1])
-    detail = [F.pow(finite_or_zero(fdiv(x, y)), F.pow(fl_base + 0.8, F.lit(0.25))) for x, y in zip(n, b, strict=True)]
-    step = both.select("image_id", "x", "y", fl_base.alias("fl"), *[(x * y).alias(c) for x, y, c in zip(tone, detail, ("c1", "c2", "c3"), strict=True)])
+    both = both.withColumn("st", F.abs("t2") / F.col("sw")).withColumn("j2", F.pow(1e-5 / (yw + 1e-5), F.lit(2.0)))
+    st, j2 = F.col("st"), F.col("j2")
+    fls = 3800 * j2 * yw + 0.2 * F.pow(1 - j2, F.lit(4.0)) * F.pow(yw, F.lit(1 / 6))
+    both = both.withColumn("bleach", 0.5 / (1 + 0.3 * F.pow(yw * st, F.lit(0.3))) + 0.5 / (1 + 5 * yw)).withColumn("rods", F.pow(fls * st, F.lit(contrast)))
+    both = both.withColumn("rod", 3.05 * F.col("bleach") * squeeze(F.col("rods")) + 0.3)
+    both = step(both, keep, "k", [c + F.col("rod") for c in three("k")])
+    both = step(both, keep, "t", apply_matrix(HPE_TO_XYZ, three("k")))
+    both = step(both, [*keep, "t1", "t2", "t3"], "q", [fdiv(x, y) for x, y in zip(three("a"), three("b"), strict=True)])
+    both = both.withColumn("power", F.pow(F.col("fl_base") + 0.8, F.lit(0.25)))
+    detail = [F.pow(finite_or_zero(c), F.col("power")) for c in three("q")]
+    step_ = both.select(*at, F.col("fl_base").alias("fl"), *[(x * y).alias(c) for x, y, c in zip(three("t"), detail, CHANNELS, strict=True)])
     # Colour in IPT: chroma is stretched with the luminance of the base.
     gamma = lambda v, p: tuple(F.pow(F.abs(c), F.lit(p)) for c in v)
-    ipt = step.select("image_id", "x", "y", "fl", *[c.alias(k) for c, k in zip(apply_matrix(LMS_TO_IPT, gamma(apply_matrix(XYZ_TO_LMS, columns()), 0.43)), "ipt", strict=True)])
-    chroma2 = F.col("p") * F.col("p") + F.col("t") * F.col("t")
-    chroma = F.sqrt(chroma2)
+    lms = step(step_, [*at, "fl"], "k", gamma(apply_matrix(XYZ_TO_LMS, columns()), 0.43))
+    ipt = lms.select(*at, "fl", *[c.alias(k) for c, k in zip(apply_matrix(LMS_TO_IPT, three("k")), "ipt", strict=True)])
+    ipt = ipt.withColumn("chroma2", F.col("p") * F.col("p") + F.col("t") * F.col("t")).withColumn("chroma", F.sqrt("chroma2"))
+    chroma2, chroma = F.col("chroma2"), F.col("chroma")
     scale = F.pow(F.col("fl") + 1, F.lit(0.15)) * (1.29 * chroma2 - 0.27 * chroma + 0.42) / (chroma2 - 0.31 * chroma + 0.42)
-    lms = apply_matrix(IPT_TO_LMS, (F.col("i"), F.col("p") * scale, F.col("t") * scale))
-    rgb = materialised(channels(ipt, *as_rgb(XYZ, apply_matrix(LMS_TO_XYZ, gamma(lms, 1 / 0.43)))), "toned")
+    ipt = ipt.withColumn("scale", scale)
+    lms = step(ipt, at, "k", apply_matrix(IPT_TO_LMS, (F.col("i"), F.col("p") * F.col("scale"), F.col("t") * F.col("scale"))))
+    xyz = channels(step(lms, at, "g", gamma(three("k"), 1 / 0.43)), *apply_matrix(LMS_TO_XYZ, three("g")))
+    if normalize_luminance:
+        xyz = materialised(xyz, "colours")
+        xyz = attach(xyz, xyz.groupBy("image_id").agg(F.max("c2").alias("most")))
+        xyz = channels(xyz, *[fdiv(c, F.col("most")) for c in columns()])
+    rgb = materialised(channels(xyz, *as_rgb(XYZ)), "toned")
     each = rgb.select("image_id", F.explode(F.array("c1", "c2", "c3")).alias("v"))
     clip = percentiles(each, "v", {"lo": min_clipping, "hi": max_clipping}).withColumn("lo", F.least("lo", F.lit(0.0)))
-    return to_ldr(attach(rgb, clip), *[srgb(clamp(0.0, 1.0, fdiv(c - F.col("lo"), F.col("hi") - F.col("lo")))) for c in columns()])
+    toned = to_ldr(attach(rgb, clip), *[srgb(clamp(0.0, 1.0, fdiv(c - F.col("lo"), F.col("hi") - F.col("lo")))) for c in columns()])
+    return toned.unionByName(black)
 
 
 #: Tone mapping operators by name; add one with ``OPERATORS[name] = f``.

@@ -12,7 +12,7 @@ from lumera.functions.quantize import inverse_pixel_mapping
 from lumera.operators import bilateral, blur, pointwise, tonemap
 from lumera.operators.order_statistics import percentiles
 from lumera.plans import oracle
-from lumera.plans.fixtures import embedding_batch, embedding_image, event_image, order_xyz
+from lumera.plans.fixtures import black_batch, embedding_batch, embedding_image, event_image, order_xyz
 from lumera.schema import CHANNELS, RGB, XYZ, describe_images
 from lumera.sources import hli, images
 
@@ -105,6 +105,10 @@ QUERIES: dict[str, Query] = {
     "custom_reinhard_tmo": _of(event_image, lambda px: tonemap.custom_reinhard05(px, RGB)),
     "durand_tmo": _of(embedding_image, lambda px: tonemap.durand(px, RGB)),
     "icam_tmo": _of(embedding_image, lambda px: tonemap.icam06(px, RGB)),
+    "tmo_black_batch_linear": _of(black_batch, lambda px: tonemap.linear(px, RGB)),
+    "tmo_black_batch_drago": _of(black_batch, lambda px: tonemap.drago03(px, RGB)),
+    "tmo_black_batch_reinhard": _of(black_batch, lambda px: tonemap.reinhard05(px, RGB)),
+    "tmo_black_batch_custom_reinhard": _of(black_batch, lambda px: tonemap.custom_reinhard05(px, RGB)),
     "filter_log10": _of(embedding_image, lambda px: _rounded(pointwise.log10_filter(px))),
     "filter_pow10": _of(embedding_image, lambda px: _ten_digits(pointwise.pow10_filter(px))),
     "apply2_ratio": apply2_ratio,

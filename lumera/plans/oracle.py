@@ -97,6 +97,34 @@ w AS (SELECT least(1.0, min(least(v0, v1, v2))) AS lo, greatest(0.0, max(greates
   FROM (SELECT {", ".join(f"{_custom(c)} AS v{i}" for i, c in enumerate(C))} FROM l WHERE lum <> 0))
 SELECT image_id, x, y, {", ".join(f"{gamma(f'(({c} - lo) / (hi - lo))')} AS {n}" for c, n in zip(C, "rgb", strict=True))}, {LDR} FROM ev, w"""
 
+# A batch of images, one of them black: statistics by image; x / 0 spelled out.
+BLACK = f"""{BAT}, blk AS (SELECT image_id, x, y, CASE WHEN dark THEN 0.0 ELSE c1 END AS c1, CASE WHEN dark THEN 0.0 ELSE c2 END AS c2, CASE WHEN dark THEN 0.0 ELSE c3 END AS c3
+  FROM (SELECT *, image_id = '0' OR (x + y) % 17 = 0 AS dark FROM bat))"""
+BLACK_FEW = """h AS (SELECT image_id, trunc((max(y) + 1)::FLOAT * 0.6::FLOAT)::INT AS rows FROM blk GROUP BY image_id),
+few AS (SELECT blk.* FROM (SELECT image_id, unnest(range(0, rows)) AS t FROM h) v JOIN blk ON blk.image_id = v.image_id AND blk.y = trunc(v.t::FLOAT * 0.6::FLOAT)::INT)"""
+_flat = lambda c: whole(f"(CASE WHEN hi > lo THEN 65535 * ({c} - lo) / (hi - lo) ELSE 'nan'::DOUBLE END)")
+SQL["tmo_black_batch_linear"] = f"""WITH {BLACK}, s AS (SELECT image_id, min(least(c1, c2, c3)) AS lo, max(greatest(c1, c2, c3)) AS hi FROM blk GROUP BY image_id)
+SELECT image_id, x, y, {", ".join(f"{_flat(c)} AS {n}" for c, n in zip(C, "rgb", strict=True))}, {LDR} FROM blk JOIN s USING (image_id)"""
+_xyz = ", ".join(f"{row(color.RGB_TO_XYZ, i)} AS x{i}" for i in range(3))
+SQL["tmo_black_batch_drago"] = f"""WITH {BLACK}, v AS (SELECT image_id, x, y, {_xyz} FROM blk),
+s AS (SELECT image_id, exp(avg(ln(x1 + 1e-4))) AS mean, max(x1) AS top FROM v GROUP BY image_id),
+u AS (SELECT *, CASE WHEN x1 = 0 THEN 'nan'::DOUBLE
+  ELSE ln(x1 / mean + 1) / ln(2 + 8 * pow(x1 / mean / (top / mean), log10(0.5::DOUBLE) / ln(0.5::DOUBLE))) / log10(top / mean + 1) / x1 END AS k FROM v JOIN s USING (image_id))
+SELECT image_id, x, y, {", ".join(f"{pixel(row(color.XYZ_TO_RGB, i, ('x0 * k', 'x1 * k', 'x2 * k')))} AS {n}" for i, n in enumerate("rgb"))}, {LDR} FROM u"""
+_white = lambda e: f"(CASE WHEN hi < lo THEN ({e} - lo) / (hi - lo) WHEN hi = lo THEN 'nan'::DOUBLE ELSE ({e} - lo) / (hi - lo) END)"
+SQL["tmo_black_batch_reinhard"] = f"""WITH {BLACK}, {BLACK_FEW}, l AS (SELECT *, {lum()} AS lum FROM few),
+s AS (SELECT image_id, avg(c1) AS av0, avg(c2) AS av1, avg(c3) AS av2, avg(lum) AS av, CASE WHEN max(lum) = 0 THEN 'nan'::DOUBLE WHEN min(lum) > 0 THEN
+  0.3::DOUBLE + 0.7::DOUBLE * pow((ln(max(lum)) - avg(ln(lum + 2.3e-5))) / (ln(max(lum)) - ln(CASE WHEN min(lum) > 0 THEN min(lum) ELSE 1 END)), 1.4::DOUBLE) ELSE 0.3::DOUBLE END AS m
+  FROM (SELECT *, CASE WHEN lum > 0 THEN lum ELSE 0 END AS safe FROM l) GROUP BY image_id),
+w AS (SELECT image_id, least(1.0, min(least(v0, v1, v2)) FILTER (lum <> 0)) AS lo, greatest(0.0, max(greatest(v0, v1, v2)) FILTER (lum <> 0)) AS hi
+  FROM (SELECT image_id, lum, {_values} FROM l JOIN s USING (image_id)) GROUP BY image_id),
+p AS (SELECT image_id, x, y, {_values} FROM (SELECT *, {lum()} AS lum FROM blk) JOIN s USING (image_id))
+SELECT image_id, x, y, {", ".join(f"{gamma(_white(f'v{i}'))} AS {n}" for i, n in enumerate("rgb"))}, {LDR} FROM p JOIN w USING (image_id)"""
+SQL["tmo_black_batch_custom_reinhard"] = f"""WITH {BLACK}, {BLACK_FEW}, l AS (SELECT *, {lum()} AS lum FROM few),
+w AS (SELECT image_id, least(1.0, min(least(v0, v1, v2)) FILTER (lum <> 0)) AS lo, greatest(0.0, max(greatest(v0, v1, v2)) FILTER (lum <> 0)) AS hi
+  FROM (SELECT image_id, lum, {", ".join(f"{_custom(c)} AS v{i}" for i, c in enumerate(C))} FROM l) GROUP BY image_id)
+SELECT image_id, x, y, {", ".join(f"{gamma(_white(c))} AS {n}" for c, n in zip(C, "rgb", strict=True))}, {LDR} FROM blk JOIN w USING (image_id)"""
+
 SQL["filter_log10"] = f"WITH {EMB} SELECT x, y, {', '.join(f'{rnd(f'log10(greatest({c}, 1e-4))')} AS {c}' for c in C)} FROM emb"
 _pow = lambda c: f"pow(10.0, CASE WHEN {c} > 12 THEN 0.0 ELSE {c} END)"
 SQL["filter_pow10"] = f"WITH {EMB} SELECT x, y, {', '.join(f'CASE WHEN {_pow(c)} < 1e6 THEN round({_pow(c)}, 4) ELSE round({_pow(c)} / 1e6, 4) * 1e6 END AS {c}' for c in C)} FROM emb"

@@ -164,3 +164,40 @@ def test_percentiles(spark):
     for g, xs in groups.items():
         xs = np.sort(xs)
         assert got[g].lo == xs[int(0.01 * len(xs))] and got[g].hi == xs[int(0.99 * len(xs))] and got[g].top == xs[-1]
+
+
+@pytest.mark.parametrize("name", sorted(tonemap.OPERATORS))
+def test_batches_with_black_flat_and_odd_images(spark, name):
+    """Every pixel comes back, whatever else is in the batch; black images have one defined colour; others aren't touched by it."""
+    def image(image_id, width, height, value):
+        return [(image_id, x, y, *value(x, y)) for x in range(width) for y in range(height)]
+
+    mixed = image("mixed", 9, 12, lambda x, y: (x + 0.5, (x * y) % 7 + 0.25, y * 0.3) if (x + y) % 5 else (0.0, 0.0, 0.0))
+    rows = mixed + image("black", 8, 6, lambda x, y: (0.0, 0.0, 0.0)) + image("flat", 7, 8, lambda x, y: (2.0, 2.0, 2.0))
+    nan = image("nan", 6, 7, lambda x, y: (float("nan"), 1.0 + x, 1.0 + y) if x == y == 2 else (1.0 + x, 1.0 + y, 2.0))
+    schema = "image_id string, x int, y int, c1 double, c2 double, c3 double"
+    alone = {(r.x, r.y): (r.r, r.g, r.b) for r in tonemap.OPERATORS[name](spark.createDataFrame(mixed, schema), "RGB").collect()}
+    got = tonemap.OPERATORS[name](spark.createDataFrame(rows + nan * (name != "icam06"), schema), "RGB").collect()
+    assert len(got) == len(rows) + len(nan) * (name != "icam06")
+    assert all(0 <= v <= 65535 for r in got for v in (r.r, r.g, r.b))
+    assert {(r.x, r.y): (r.r, r.g, r.b) for r in got if r.image_id == "mixed"} == alone
+    assert len({(r.r, r.g, r.b) for r in got if r.image_id == "black"}) == 1
+
+
+def test_gaussian_with_the_radius_in_a_column(spark):
+    px = spark.createDataFrame([(i, x, y, float((x * 7 + y * 3) % 11), float(x), float(y)) for i, w, h in (("a", 13, 17), ("b", 5, 6)) for x in range(w) for y in range(h)], "image_id string, x int, y int, c1 double, c2 double, c3 double")
+    sized = px.selectExpr("*", "CASE image_id WHEN 'a' THEN 4 ELSE 2 END AS radius")
+    got = {(r.image_id, r.x, r.y): (r.c1, r.c2, r.c3) for r in blur.fast_gaussian_by(sized, "radius").collect()}
+    for image, radius in (("a", 4), ("b", 2)):
+        for r in blur.fast_gaussian(px.where(f"image_id = '{image}'"), radius).collect():
+            assert np.allclose(got[image, r.x, r.y], (r.c1, r.c2, r.c3), atol=1e-9)
+    assert len(got) == px.count()
+
+
+def test_icam06_of_images_of_many_sizes(spark):
+    schema = "image_id string, x int, y int, c1 double, c2 double, c3 double"
+    rows = [(f"i{k}", x, y, 1.0 + x, 1.0 + y, 2.0 + (x * y) % 3) for k in range(2, 70) for x in range(k) for y in range(2)] + [(f"s{k}", x, y, 1.0 + x, 1.0 + y, 2.0) for k in (3, 5) for x in range(k) for y in range(k)]
+    assert tonemap.icam06(spark.createDataFrame(rows, schema), "RGB").count() == len(rows)
+    some = spark.createDataFrame([r for r in rows if r[0] in ("s3", "s5")], schema)
+    plain, normal = (sorted(map(tuple, tonemap.icam06(some, "RGB", normalize_luminance=k).collect())) for k in (False, True))
+    assert all(abs(a - b) <= 1 for p, q in zip(plain, normal, strict=True) for a, b in zip(p[3:], q[3:], strict=True))

@@ -104,7 +104,7 @@ def grouped(labels):
     return sorted(map(sorted, out.values()))
 
 
-@pytest.mark.parametrize("few", [400_000, 3, 0])
+@pytest.mark.parametrize("few", [400_000, 20])
 def test_components(spark, monkeypatch, few):
     monkeypatch.setattr(components, "FEW_EDGES", few)
     label = list(range(1000, 1300))

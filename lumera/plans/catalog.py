@@ -133,6 +133,8 @@ QUERIES: dict[str, Query] = {
     "pixel_mapping": _of(event_image, _mapped),
     "codec_pfm": _of(event_image, _codec("pfm")),
     "codec_rgbe": _of(event_image, _codec("hdr")),
+    "codec_rgbe_flat": _of(event_image, _codec("hdr", rle=False)),
+    "codec_hli_normal": _of(event_image, _codec("hli", header=hli.Header(format="RGB"))),
     "codec_hli": _of(event_image, _codec("hli", header=hli.PRESETS[3])),
     "codec_hli_logluv": _of(order_xyz, lambda px: _codec("hli", model=XYZ, header=hli.PRESETS[6])(px)),
     "float_bytes": _of(event_image, _float_bytes),

@@ -158,32 +158,67 @@ def stack(src: str, axis: str, r: int) -> str:
 SQL["stack_blur"] = f"WITH {EMB}, q1 AS ({stack('emb', 'x', 5)}), q2 AS ({stack('q1', 'y', 5)}) SELECT x, y, {_near(str)} FROM q2"
 
 # The luminance grid: cell sums, two (1, 2, 1)/4 passes along each axis, reading between eight corners.
-GRID = f"""l AS (SELECT image_id, x, y, {row(color.RGB_TO_XYZ, 0)} AS vx, {lum()} AS vy, {row(color.RGB_TO_XYZ, 2)} AS vz, c1, c2, c3 FROM src),
-s AS (SELECT min(vy) AS lo, (max(vy) - min(vy)) * 0.1::DOUBLE AS step, floor(max(x) / 16.0::DOUBLE)::INT + 5 AS n0, floor(max(y) / 16.0::DOUBLE)::INT + 5 AS n1,
-  floor((max(vy) - min(vy)) / ((max(vy) - min(vy)) * 0.1::DOUBLE))::INT + 5 AS n2 FROM l),
-g AS (SELECT floor(x / 16.0::DOUBLE + 0.5)::INT + 2 AS g0, floor(y / 16.0::DOUBLE + 0.5)::INT + 2 AS g1, floor((vy - lo) / step + 0.5)::INT + 2 AS g2, sum(vy) AS v, count(*)::DOUBLE AS w
+RGB_VALUES = (row(color.RGB_TO_XYZ, 0), lum(), row(color.RGB_TO_XYZ, 2))
+
+
+def grid(values=RGB_VALUES, space: str = "16.0::DOUBLE") -> str:  # noqa: ANN001
+    """The cells of ``src``: ``values`` are its X, Y and Z, ``space`` the step in pixels."""
+    return f"""l AS (SELECT image_id, x, y, {values[0]} AS vx, {values[1]} AS vy, {values[2]} AS vz, c1, c2, c3 FROM src),
+  s AS (SELECT *, floor(mx / space)::INT + 5 AS n0, floor(my / space)::INT + 5 AS n1, floor((hi - lo) / step)::INT + 5 AS n2
+  FROM (SELECT min(vy) AS lo, max(vy) AS hi, (max(vy) - min(vy)) * 0.1::DOUBLE AS step, max(x) AS mx, max(y) AS my, {space} AS space FROM l)),
+  g AS (SELECT floor(x / space + 0.5)::INT + 2 AS g0, floor(y / space + 0.5)::INT + 2 AS g1, floor((vy - lo) / step + 0.5)::INT + 2 AS g2, sum(vy) AS v, count(*)::DOUBLE AS w
   FROM l, s GROUP BY 1, 2, 3)"""
 
 
-def _pass(src: str, axis: int) -> str:
-    keys = ", ".join(f"g{i} + d AS g{i}" if i == axis else f"g{i}" for i in range(3))
-    return f"""SELECT g0, g1, g2, sum(v * f) AS v, sum(w * f) AS w FROM (SELECT {keys}, v, w, (2 - abs(d)) / 4.0::DOUBLE AS f FROM {src}, (SELECT unnest([-1, 0, 1]) AS d)), s
-  WHERE g{axis} BETWEEN 1 AND n{axis} - 2 GROUP BY g0, g1, g2"""
+GRID = grid()
+
+
+def _pass(src: str, axis: int, axes: int = 3, sums=("v", "w")) -> str:  # noqa: ANN001
+    keys = ", ".join(f"g{i} + d AS g{i}" if i == axis else f"g{i}" for i in range(axes))
+    cell = ", ".join(f"g{i}" for i in range(axes))
+    return f"""SELECT {cell}, {", ".join(f"sum({v} * f) AS {v}" for v in sums)} FROM (SELECT {keys}, {", ".join(sums)}, (2 - abs(d)) / 4.0::DOUBLE AS f FROM {src}, (SELECT unnest([-1, 0, 1]) AS d)), s
+  WHERE g{axis} BETWEEN 1 AND n{axis} - 2 GROUP BY {cell}"""
+
+
+def passes(axes: int = 3, sums=("v", "w")) -> str:  # noqa: ANN001
+    return ", ".join(f"p{i} AS ({_pass(f'p{i - 1}' if i else 'g', i // 2, axes, sums)})" for i in range(2 * axes))
 
 
-PASSES = ", ".join(f"p{i} AS ({_pass(f'p{i - 1}' if i else 'g', i // 2)})" for i in range(6))
-_corner = "(CASE WHEN d0 = 1 THEN q0 - b0 ELSE 1 - (q0 - b0) END) * (CASE WHEN d1 = 1 THEN q1 - b1 ELSE 1 - (q1 - b1) END) * (CASE WHEN d2 = 1 THEN q2 - b2 ELSE 1 - (q2 - b2) END)"
-READ = f"""placed AS (SELECT *, x / 16.0::DOUBLE + 2 AS q0, y / 16.0::DOUBLE + 2 AS q1, (vy - lo) / step + 2 AS q2, floor(x / 16.0::DOUBLE + 2)::INT AS b0, floor(y / 16.0::DOUBLE + 2)::INT AS b1,
+PASSES = passes()
+
+
+def corner(axes: int) -> tuple[str, str, str]:
+    """Weight of a corner, all corners as relations, and where the corner's cell is."""
+    weight = " * ".join(f"(CASE WHEN d{i} = 1 THEN q{i} - b{i} ELSE 1 - (q{i} - b{i}) END)" for i in range(axes))
+    all_ = " ".join(f"CROSS JOIN (SELECT unnest([0, 1]) AS d{i})" for i in range(axes))
+    return weight, all_, " AND ".join(f"g{i} = b{i} + d{i}" for i in range(axes))
+
+
+_weight, _corners, _cell = corner(3)
+READ = f"""placed AS (SELECT *, x / space + 2 AS q0, y / space + 2 AS q1, (vy - lo) / step + 2 AS q2, floor(x / space + 2)::INT AS b0, floor(y / space + 2)::INT AS b1,
   floor((vy - lo) / step + 2)::INT AS b2 FROM l, s),
-base AS (SELECT x, y, sum(coalesce(CASE WHEN p5.w <> 0 THEN p5.v / p5.w END, 0) * {_corner}) AS yb
-  FROM placed CROSS JOIN (SELECT unnest([0, 1]) AS d0) CROSS JOIN (SELECT unnest([0, 1]) AS d1) CROSS JOIN (SELECT unnest([0, 1]) AS d2)
-  LEFT JOIN p5 ON p5.g0 = b0 + d0 AND p5.g1 = b1 + d1 AND p5.g2 = b2 + d2 GROUP BY x, y)"""
+base AS (SELECT x, y, sum(coalesce(CASE WHEN p5.w <> 0 THEN p5.v / p5.w END, 0) * {_weight}) AS yb
+  FROM placed {_corners} LEFT JOIN p5 ON {_cell} GROUP BY x, y)"""
 SRC = "src AS (SELECT * FROM emb)"
 SQL["bilateral_splat"] = f"WITH {EMB}, {SRC}, {GRID} SELECT g0, g1, g2, {rnd('v')} AS s1, w FROM g"
 SQL["bilateral_grid"] = f"WITH {EMB}, {SRC}, {GRID}, {PASSES} SELECT g0, g1, g2, {rnd('v')} AS s1, {rnd('w')} AS w FROM p5"
 _out = ("vx - (vy - yb)", "yb", "vz - (vy - yb)")
 SQL["y_fast_bilateral"] = f"""WITH {EMB}, {SRC}, {GRID}, {PASSES}, {READ}
 SELECT x, y, {", ".join(f"{rnd(row(color.XYZ_TO_RGB, i, _out))} AS {c}" for i, c in enumerate(C))} FROM l JOIN base USING (x, y)"""
+# The grid of five axes: all three channels are value axes and sums.
+_five = ("v1", "v2", "v3", "w")
+_depth = [f"({c} - lo{i}) / step" for i, c in enumerate(C)]
+_q = ["x / 16.0::DOUBLE", "y / 16.0::DOUBLE", *_depth]
+_weight5, _corners5, _cell5 = corner(5)
+SQL["fast_bilateral_5d"] = f"""WITH {EMB},
+m AS (SELECT min(c1) AS lo0, min(c2) AS lo1, min(c3) AS lo2, max(c1) AS hi0, max(c2) AS hi1, max(c3) AS hi2, max(x) AS mx, max(y) AS my FROM emb),
+s AS (SELECT *, floor(mx / 16.0::DOUBLE)::INT + 5 AS n0, floor(my / 16.0::DOUBLE)::INT + 5 AS n1, {", ".join(f"floor((hi{i} - lo{i}) / step)::INT + 5 AS n{i + 2}" for i in range(3))}
+  FROM (SELECT *, (greatest(hi0, hi1, hi2) - least(lo0, lo1, lo2)) * 0.1::DOUBLE AS step FROM m)),
+g AS (SELECT {", ".join(f"floor({q} + 0.5)::INT + 2 AS g{i}" for i, q in enumerate(_q))}, sum(c1) AS v1, sum(c2) AS v2, sum(c3) AS v3, count(*)::DOUBLE AS w FROM emb, s GROUP BY 1, 2, 3, 4, 5),
+{passes(5, _five)},
+placed AS (SELECT x, y, {", ".join(f"{q} + 2 AS q{i}, floor({q} + 2)::INT AS b{i}" for i, q in enumerate(_q))} FROM emb, s),
+r AS (SELECT x, y, {", ".join(f"sum(p9.{v} * {_weight5}) AS {v}" for v in _five)} FROM placed {_corners5} JOIN p9 ON {_cell5} GROUP BY x, y)
+SELECT x, y, {", ".join(f"{rnd(f'v{i} / w')} AS c{i}" for i in (1, 2, 3))} FROM r"""
 LOG = "src AS (SELECT image_id, x, y, log10(greatest(c1, 1e-4)) AS c1, log10(greatest(c2, 1e-4)) AS c2, log10(greatest(c3, 1e-4)) AS c3 FROM emb)"
 _fin = lambda e: f"(CASE WHEN isnan({e}) OR isinf({e}) THEN 0.0 ELSE {e} END)"
 SQL["durand_tmo"] = f"""WITH {EMB}, {LOG}, {GRID}, {PASSES}, {READ},
@@ -193,6 +228,59 @@ d AS (SELECT emb.image_id, x, y, emb.c1, emb.c2, emb.c3, {lum(('emb.c1', 'emb.c2
 f AS (SELECT *, pow(10.0, yb * cf + log10({_fin('(lum / pow(10.0, yb))')}) - absolute) AS level FROM d)
 SELECT image_id, x, y, {", ".join(f"{pixel(f'pow({_fin(f'(pow({c} / lum, e) * level)')}, 1 / 2.2::DOUBLE)')} AS {n}" for c, n in zip(C, "rgb", strict=True))}, {LDR} FROM f"""
 
+def _maps(m, names, to: str) -> str:  # noqa: ANN001
+    return ", ".join(f"{row(m, i, names)} AS {to}{i + 1}" for i in range(3))
+
+
+def _three(p: str) -> tuple[str, ...]:
+    return (f"{p}1", f"{p}2", f"{p}3")
+
+
+def _each(f, to: str) -> str:  # noqa: ANN001
+    return ", ".join(f"{f(i)} AS {to}{i}" for i in (1, 2, 3))
+
+
+def _adapted(y: str) -> str:
+    k4 = f"pow(1 / ({y} + 1), 4.0)"
+    return f"(0.2::DOUBLE * {k4} * {y} + 0.1::DOUBLE * pow(1 - {k4}, 2.0) * pow({y}, 1 / 3.0::DOUBLE))"
+
+
+def _squeezed(p: str) -> str:
+    return f"(400 * {p} / (27.13::DOUBLE + {p}))"
+
+
+# iCAM06. The image is 21 pixels wide and higher than that: the blur's deviation is 10, its boxes 19, 19 and 21 pixels.
+_d65 = [sum(a * b for a, b in zip(m, color.D65, strict=True)) for m in color.XYZ_TO_CAT02]
+_low, _high = "max(v) FILTER (i = floor(0.01::DOUBLE * n))", "max(v) FILTER (i = floor(0.99::DOUBLE * n))"
+_unit = lambda c: f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({c} - low) / (high - low)))"
+_curve = lambda e: f"(CASE WHEN {e} > 0.0031308 THEN 1.055::DOUBLE * pow({e}, 1 / 2.4::DOUBLE) - 0.055::DOUBLE ELSE 12.92::DOUBLE * {e} END)"
+SQL["icam_tmo"] = f"""WITH {EMB}, xyz AS (SELECT image_id, x, y, {_maps(color.RGB_TO_XYZ, C, "v")} FROM emb),
+a AS (SELECT image_id, x, y, {_each(lambda i: f"greatest(1e-8, 20000.0::DOUBLE * (v{i} / (SELECT max(v2) FROM xyz)))", "a")} FROM xyz),
+src AS (SELECT image_id, x, y, {_each(lambda i: f"log10(greatest(a{i}, 1e-4))", "c")} FROM a),
+{grid(C, "(least(max(x), max(y)) + 1) * 0.02::DOUBLE")}, {PASSES}, {READ},
+w0 AS (SELECT x, y, {_each(lambda i: f"a{i}", "c")} FROM a), w1 AS ({box("w0", "x", 9)}), w2 AS ({box("w1", "x", 9)}), w3 AS ({box("w2", "x", 10)}),
+w4 AS ({box("w3", "y", 9)}), w5 AS ({box("w4", "y", 9)}), w6 AS ({box("w5", "y", 10)}),
+h0 AS (SELECT a.*, w6.c1 AS w1, w6.c2 AS w2, w6.c3 AS w3, max(w6.c2) OVER () AS sw, vx - (vy - yb) AS e1, yb AS e2, vz - (vy - yb) AS e3
+  FROM a JOIN l USING (x, y) JOIN base USING (x, y) JOIN w6 USING (x, y)),
+h1 AS (SELECT *, {_each(lambda i: f"pow(10.0::DOUBLE, CASE WHEN e{i} > 12 THEN 0.0 ELSE e{i} END)", "b")}, 0.3::DOUBLE * (1 - exp(-(0.2::DOUBLE * w2 / 20000 - 42) / 92) / 3.6::DOUBLE) AS d FROM h0),
+h2 AS (SELECT *, {_maps(color.XYZ_TO_CAT02, _three("b"), "p")}, {_maps(color.XYZ_TO_CAT02, _three("w"), "u")} FROM h1),
+h3 AS (SELECT *, {_each(lambda i: f"p{i} * ({_d65[i - 1]!r}::DOUBLE * d / u{i} + 1 - d)", "k")} FROM h2),
+h4 AS (SELECT *, {_maps(color.CAT02_TO_XYZ, _three("k"), "t")}, {_adapted("w2")} AS fl, {_adapted("b2")} AS flb FROM h3),
+h5 AS (SELECT *, {_maps(color.XYZ_TO_HPE, _three("t"), "n")}, abs(t2) / sw AS st, pow(1e-5 / (w2 + 1e-5), 2.0) AS j FROM h4),
+h6 AS (SELECT *, {_each(lambda i: f"pow(fl * n{i} / w2, 0.7::DOUBLE)", "o")}, pow((3800 * j * w2 + 0.2::DOUBLE * pow(1 - j, 4.0) * pow(w2, 1 / 6.0::DOUBLE)) * st, 0.7::DOUBLE) AS rods,
+  0.5::DOUBLE / (1 + 0.3::DOUBLE * pow(w2 * st, 0.3::DOUBLE)) + 0.5::DOUBLE / (1 + 5 * w2) AS bleach FROM h5),
+h7 AS (SELECT *, {_each(lambda i: f"{_squeezed(f'o{i}')} + 0.1::DOUBLE + 3.05::DOUBLE * bleach * {_squeezed('rods')} + 0.3::DOUBLE", "r")} FROM h6),
+h8 AS (SELECT *, {_maps(color.HPE_TO_XYZ, _three("r"), "s")} FROM h7),
+h9 AS (SELECT image_id, x, y, flb, {_each(lambda i: f"s{i} * pow(a{i} / b{i}, pow(flb + 0.8::DOUBLE, 0.25::DOUBLE))", "c")} FROM h8),
+i0 AS (SELECT *, {_maps(color.XYZ_TO_LMS, C, "k")} FROM h9), i1 AS (SELECT *, {_each(lambda i: f"pow(abs(k{i}), 0.43::DOUBLE)", "l")} FROM i0),
+i2 AS (SELECT *, {_maps(color.LMS_TO_IPT, _three("l"), "i")} FROM i1), i3 AS (SELECT *, i2 * i2 + i3 * i3 AS cc, sqrt(i2 * i2 + i3 * i3) AS ch FROM i2),
+i4 AS (SELECT *, pow(flb + 1, 0.15::DOUBLE) * (1.29::DOUBLE * cc - 0.27::DOUBLE * ch + 0.42::DOUBLE) / (cc - 0.31::DOUBLE * ch + 0.42::DOUBLE) AS sc FROM i3),
+i5 AS (SELECT image_id, x, y, {_maps(color.IPT_TO_LMS, ("i1", "i2 * sc", "i3 * sc"), "m")} FROM i4), i6 AS (SELECT image_id, x, y, {_each(lambda i: f"pow(abs(m{i}), 1 / 0.43::DOUBLE)", "g")} FROM i5),
+i7 AS (SELECT image_id, x, y, {_maps(color.LMS_TO_XYZ, _three("g"), "x")} FROM i6), i8 AS (SELECT image_id, x, y, {_maps(color.XYZ_TO_RGB, _three("x"), "c")} FROM i7),
+o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM (SELECT c1 AS v FROM i8 UNION ALL SELECT c2 FROM i8 UNION ALL SELECT c3 FROM i8)),
+z AS (SELECT least({_low}, 0.0) AS low, {_high} AS high FROM o)
+SELECT image_id, x, y, {", ".join(f"{whole(f'(65535 * {_curve(_unit(c))})')} AS {n}" for c, n in zip(C, "rgb", strict=True))}, {LDR} FROM i8, z"""
+
 SQL["percentile_clip"] = f"""WITH {EV}, e AS (SELECT c1 AS v FROM ev UNION ALL SELECT c2 FROM ev UNION ALL SELECT c3 FROM ev),
 o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM e)
 SELECT 'ev' AS image_id, {rnd("max(v) FILTER (i = floor(0.01::DOUBLE * n))")} AS lo, {rnd("max(v) FILTER (i = floor(0.99::DOUBLE * n))")} AS hi FROM o"""
@@ -221,11 +309,14 @@ SQL["logluv_pack"] = f"WITH {ORD}, {_luv} SELECT x, y, word // 256 AS high, word
 SQL["logluv_unpack"] = f"""WITH {ORD}, {_luv}, f AS (SELECT x, y, pow(2.0, (word + 0.5::DOUBLE) / 256 - 64) AS c2, (u + 0.5::DOUBLE) / 410 AS u, (v + 0.5::DOUBLE) / 410 AS v FROM b),
 t AS (SELECT *, 9 * u / (6 * u - 16 * v + 12) AS lx, 4 * v / (6 * u - 16 * v + 12) AS ly FROM f)
 SELECT x, y, {rnd('lx / ly * c2')} AS c1, {rnd('c2')} AS c2, {rnd('(1 - lx - ly) / ly * c2')} AS c3 FROM t"""
+SQL["codec_hli_logluv"] = f"""WITH {ORD}, {_luv}, f AS (SELECT x, y, pow(2.0, (word + 0.5::DOUBLE) / 256 - 64) AS c2, (u + 0.5::DOUBLE) / 410 AS u, (v + 0.5::DOUBLE) / 410 AS v FROM b),
+t AS (SELECT *, 9 * u / (6 * u - 16 * v + 12) AS lx, 4 * v / (6 * u - 16 * v + 12) AS ly FROM f)
+SELECT x, y, {rnd('(lx / ly * c2)::FLOAT::DOUBLE', 5)} AS c1, {rnd('c2::FLOAT::DOUBLE', 5)} AS c2, {rnd('((1 - lx - ly) / ly * c2)::FLOAT::DOUBLE', 5)} AS c3 FROM t"""
 SQL["pixel_mapping"] = f"WITH {EV} SELECT x, y, {', '.join(f'{pixel(f"({c} / 24 - 0.1::DOUBLE)")} AS {n}' for c, n in zip(C, 'rgb', strict=True))} FROM ev"
 
 _single = ", ".join(f"{rnd(f'{c}::FLOAT::DOUBLE', 5)} AS {c}" for c in C)
-SQL["codec_pfm"] = SQL["codec_hli"] = SQL["float_bytes"] = f"WITH {EV} SELECT x, y, {_single} FROM ev"
-SQL["codec_rgbe"] = f"""WITH {EV}, {_rgbe}, b AS (SELECT x, y, {', '.join(f'trunc({c} * (top * pow(2.0, -k) * 256 / top))::INT AS b{i}' for i, c in enumerate(C))}, k + 128 AS e FROM e)
+SQL["codec_pfm"] = SQL["codec_hli"] = SQL["codec_hli_normal"] = SQL["float_bytes"] = f"WITH {EV} SELECT x, y, {_single} FROM ev"
+SQL["codec_rgbe"] = SQL["codec_rgbe_flat"] = f"""WITH {EV}, {_rgbe}, b AS (SELECT x, y, {', '.join(f'trunc({c} * (top * pow(2.0, -k) * 256 / top))::INT AS b{i}' for i, c in enumerate(C))}, k + 128 AS e FROM e)
 SELECT x, y, {', '.join(f'{rnd(f"b{i} * pow(2.0, e - 136)", 5)} AS c{i + 1}' for i in range(3))} FROM b"""
 _view = lambda top: ", ".join(f"trunc(greatest(0.0, least({top}.0, round({c} / 24, 9) * {top})))::INT AS {n}" for c, n in zip(C, "rgb", strict=True))
 SQL["view_8_bit"] = f"WITH {EV} SELECT x, y, {_view(255)}, 255 AS a FROM ev"

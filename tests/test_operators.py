@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from lumera.operators import bilateral, blur, pointwise, tonemap
+from lumera.operators import bilateral, blur, order_statistics, pointwise, tonemap
 from lumera.operators.order_statistics import percentiles
 from lumera.schema import PIXELS, RGB, XYZ
 
@@ -201,3 +201,25 @@ def test_icam06_of_images_of_many_sizes(spark):
     some = spark.createDataFrame([r for r in rows if r[0] in ("s3", "s5")], schema)
     plain, normal = (sorted(map(tuple, tonemap.icam06(some, "RGB", normalize_luminance=k).collect())) for k in (False, True))
     assert all(abs(a - b) <= 1 for p, q in zip(plain, normal, strict=True) for a, b in zip(p[3:], q[3:], strict=True))
+
+
+@pytest.mark.parametrize("ranked", [50_000, 7])
+def test_percentiles_of_heavy_tails(spark, monkeypatch, ranked):
+    """Places in the sorted values, whether a bucket is ranked at once or divided again and again."""
+    monkeypatch.setattr(order_statistics, "RANKED", ranked)
+    rng = np.random.default_rng(5)
+    groups = {
+        "tail": np.concatenate([rng.normal(size=400) * 1e-3, [1e30, -1e30, 0.0, -0.0, 5e-324]]),
+        "narrow": 1000 + rng.random(300) * 1e-9,
+        "same": np.full(50, 3.5),
+        "odd": np.array([np.inf, -np.inf, np.nan, 0.0, -2.0, 7.0]),
+        "one": np.array([4.0]),
+    }
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("tail", None), ("none", None)]
+    shares = {"least": 0.0, "low": 0.01, "middle": 0.5, "high": 0.99, "most": 1.0}
+    found = order_statistics.percentiles(spark.createDataFrame(rows, "image_id string, v double"), "v", shares).collect()
+    assert {r.image_id for r in found} == set(groups)
+    for r in found:
+        wanted = np.sort(groups[r.image_id])
+        for name, share in shares.items():
+            assert np.array_equal(r[name], wanted[min(int(share * len(wanted)), len(wanted) - 1)], equal_nan=True), (r.image_id, name)

@@ -85,6 +85,13 @@ def _codec(codec: str, **options) -> Callable[[DataFrame], DataFrame]:  # noqa:
     return lambda px: _rounded(images.decode_pixels(images.encode_images(px, codec, **options), codec), 5)
 
 
+def _headers(px: DataFrame) -> DataFrame:
+    """What the headers of files of every codec say."""
+    files = [images.encode_images(px, name) for name in sorted(images.CODECS)]
+    heads = [images.decode_headers(f).select("image_id", "format", "width", "height", "color_model") for f in files]
+    return heads[0].unionByName(heads[1]).unionByName(heads[2])
+
+
 def _float_bytes(px: DataFrame) -> DataFrame:
     raw = px.select("x", "y", formats.to_bytes(*color.columns()).alias("raw"))
     read = raw.withColumn("v", formats.from_bytes(F.col("raw")))
@@ -141,6 +148,7 @@ QUERIES: dict[str, Query] = {
     "view_8_bit": _of(event_image, _view(color.view_8_bit)),
     "view_16_bit": _of(event_image, _view(color.view_16_bit)),
     "cone_views": _of(embedding_image, lambda px: _rounded(color.lms_cat02(px, RGB).unionByName(color.lms_hpe(px, RGB)))),
+    "file_headers": _of(embedding_batch, _headers),
     "image_metadata": _of(embedding_batch, lambda px: describe_images(px, RGB).select("image_id", "width", "height", "color_model")),
 }
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)

@@ -323,3 +323,6 @@ SQL["view_8_bit"] = f"WITH {EV} SELECT x, y, {_view(255)}, 255 AS a FROM ev"
 SQL["view_16_bit"] = f"WITH {EV} SELECT x, y, {_view(65535)}, 65535 AS a FROM ev"
 SQL["cone_views"] = f"WITH {EMB} {_map('emb', color.RGB_TO_XYZ, color.XYZ_TO_CAT02)} UNION ALL {_map('emb', color.RGB_TO_XYZ, color.XYZ_TO_HPE)}"
 SQL["image_metadata"] = f"WITH {BAT} SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, 'RGB' AS color_model FROM bat GROUP BY image_id"
+# An HLi file is LogLuv unless its header says otherwise, which holds XYZ.
+SQL["file_headers"] = f"""WITH {BAT}, i AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM bat GROUP BY image_id)
+SELECT image_id, f AS format, width, height, CASE WHEN f = 'hli' THEN 'XYZ' ELSE 'RGB' END AS color_model FROM i, (SELECT unnest(['hdr', 'hli', 'pfm']) AS f)"""

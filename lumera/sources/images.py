@@ -40,11 +40,29 @@ def _codec(content: bytes, name: str | None) -> tuple[str, ModuleType]:
     return name, CODECS[name][0]
 
 
+def header_batch(rows: list[tuple[str, str | None, dict, str | None]]) -> pa.RecordBatch:
+    """The images relation, and an ``error``, of files with their codec, header and error."""
+    found = []
+    for name, kind, head, bad in rows:
+        meta = {str(k): str(v) for k, v in (head.get("metadata") or {}).items()}
+        meta |= {k: str(head[k]) for k in ("exposure", "scale", "raster_mode", "compression") if k in head}
+        found.append((name, head.get("width"), head.get("height"), head.get("model"), None if bad else "f32", kind, list(meta.items()), bad))
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
+    names = ["image_id", "width", "height", "color_model", "storage", "format", "metadata", "error"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=names)
+
+
 def read_images(spark: SparkSession, path: str, codec: str | None = None, permissive: bool = False) -> DataFrame:
     """The images relation of the files at ``path``: headers alone are decoded.
 
     ``permissive``: files that can't be read have a null size and an ``error``.
     """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("image_id"), "content")
+    return decode_headers(files, codec, permissive)
+
+
+def decode_headers(files: DataFrame, codec: str | None = None, permissive: bool = False) -> DataFrame:
+    """The images relation of a relation (image_id, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,20 +70,14 @@ def read_images(spark: SparkSession, path: str, codec: str | None = None, permis
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     kind, module = _codec(content, codec)
-                    head, _ = module.read_header(content)
-                    meta = {str(k): str(v) for k, v in (head.get("metadata") or {}).items()}
-                    meta |= {k: str(head[k]) for k in ("exposure", "scale", "raster_mode", "compression") if k in head}
-                    rows.append((name, head["width"], head["height"], head["model"], "f32", kind, list(meta.items()), None))
+                    rows.append((name, kind, module.read_header(content)[0], None))
                 except CodecError as bad:
                     if not permissive:
                         raise
-                    rows.append((name, None, None, None, None, None, [], str(bad)))
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
-            names = ["image_id", "width", "height", "color_model", "storage", "format", "metadata", "error"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows.append((name, None, {}, str(bad)))
+            yield header_batch(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, IMAGES + ", error string")
+    return files.select("image_id", "content").mapInArrow(run, IMAGES + ", error string")
 
 
 def read_pixels(spark: SparkSession, path: str, codec: str | None = None) -> DataFrame:
@@ -73,19 +85,23 @@ def read_pixels(spark: SparkSession, path: str, codec: str | None = None) -> Dat
     return decode_pixels(spark.read.format("binaryFile").load(path).select(F.col("path").alias("image_id"), "content"), codec)
 
 
+def pixel_batches(name: str, head: dict, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The pixels of one decoded file."""
+    w, flat = head["width"], values.reshape(-1, 3).astype(np.float64)
+    for a in range(0, len(flat), BATCH):
+        part = flat[a : a + BATCH]
+        at = np.arange(a, a + len(part))
+        columns = [pa.array([name] * len(part)), pa.array((at % w).astype(np.int32)), pa.array((at // w).astype(np.int32)), *map(pa.array, part.T)]
+        yield pa.RecordBatch.from_arrays(columns, names=["image_id", "x", "y", "c1", "c2", "c3"])
+
+
 def decode_pixels(files: DataFrame, codec: str | None = None) -> DataFrame:
     """The pixels of a relation (image_id, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                head, values = _codec(content, codec)[1].decode(content)
-                w, flat = head["width"], values.reshape(-1, 3).astype(np.float64)
-                for a in range(0, len(flat), BATCH):
-                    part = flat[a : a + BATCH]
-                    at = np.arange(a, a + len(part))
-                    columns = [pa.array([name] * len(part)), pa.array((at % w).astype(np.int32)), pa.array((at // w).astype(np.int32)), *map(pa.array, part.T)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["image_id", "x", "y", "c1", "c2", "c3"])
+                yield from pixel_batches(name, *_codec(content, codec)[1].decode(content))
 
     return files.select("image_id", "content").mapInArrow(run, PIXELS)
 

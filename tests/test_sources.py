@@ -1,12 +1,13 @@
 import struct
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
 from lumera.operators import tonemap
 from lumera.schema import RGB, XYZ
-from lumera.sources import hli, images, pfm, rgbe
+from lumera.sources import formats, hli, images, pfm, rgbe
 from lumera.sources.errors import FormatError, UnsupportedError
 from lumera.streaming.images import tone_map_stream
 
@@ -81,6 +82,35 @@ def test_files_as_relations(spark, tmp_path):
     assert (pfm.decode(open(back[0].path.removeprefix("file://"), "rb").read())[1] == v["b"].astype(np.float32)).all()
 
 
+def test_formats_of_spark_read(spark, tmp_path, monkeypatch):
+    formats.register(spark)
+    v = values(40, 9)
+    files = {"hdr": rgbe.encode(v), "pfm": pfm.encode(v), "hli": hli.encode(v, RGB, replace(hli.PRESETS[3], metadata={"note": "n" * 9000}))}
+    for name, data in files.items():
+        (tmp_path / name / "deep").mkdir(parents=True)
+        (tmp_path / name / f"a.{name}").write_bytes(data)
+        (tmp_path / name / "deep" / f"b.{name}").write_bytes(data)
+        (tmp_path / name / "_SUCCESS").write_bytes(b"")
+        where = f"file://{tmp_path}/{name}"
+        px = spark.read.format(name).load(where)
+        assert {r.image_id for r in px.select("image_id").distinct().collect()} == {f"{where}/a.{name}", f"{where}/deep/b.{name}"}
+        want = images.read_pixels(spark, f"{where}/a.{name}").drop("image_id")
+        got = px.where(px.image_id.endswith(f"a.{name}")).drop("image_id")
+        assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 360
+        heads = spark.read.format(name).option("headers", "true").load(where).collect()
+        assert [(r.width, r.height, r.color_model, r.format) for r in heads] == [(9, 40, "RGB", name)] * 2
+        if name == "hli":
+            assert heads[0].metadata["note"] == "n" * 9000
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("pfm").load(f"file://{tmp_path}/none").count() == 0
+    (tmp_path / "none" / "cut.pfm").write_bytes(b"PF\n9 ")
+    with pytest.raises(FormatError):
+        formats.read_head(f"file://{tmp_path}/none/cut.pfm", "pfm")
+    # Rows don't matter to a header: the file may end behind it.
+    (tmp_path / "none" / "cut.pfm").write_bytes(files["pfm"][:14])
+    assert formats.read_head(f"file://{tmp_path}/none/cut.pfm", "pfm")["height"] == 40
+
+
 def read_png(data):
     at, parts = 8, {}
     while at < len(data):

@@ -27,11 +27,11 @@ from lumera.llm.common import join_counted, read_table, scratch, stored, text_or
 from lumera.llm.shingles import U, mix
 
 #: Rows of the sketch, and the least and greatest number of counters of a row (powers of two), a byte each.
-DEPTH, NARROW, WIDE = 2, 1 << 16, 1 << 27
+DEPTH, NARROW, WIDE = 2, 1 << 16, 1 << 26
 #: Counters of one piece of the sketch, the unit of merging.
 PIECE = 1 << 20
 #: Words, and different words, after which a task counts what it has read.
-BATCH_WORDS, BATCH_VOCABULARY = 2_000_000, 300_000
+BATCH_WORDS, BATCH_VOCABULARY = 1_000_000, 200_000
 #: Bytes of a text that are cut into words at a time.
 WINDOW = 1 << 20
 #: Tasks of the first pass for each core: each sends a sketch.
@@ -209,7 +209,7 @@ def _loaded(path: str, width: int) -> np.ndarray:
 
 
 def _stored_bits(found: DataFrame, width: int) -> str:
-    """The bits of all pieces in one file of the shared folder, DEPTH * width / 8 bytes: 32 MB at most."""
+    """The bits of all pieces in one file of the shared folder, DEPTH * width / 8 bytes: 16 MB at most."""
     bits = np.zeros((DEPTH, width // 8), np.uint8)
     size = min(PIECE, width) // 8
     for r in found.toLocalIterator():

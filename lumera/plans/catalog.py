@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,9 @@ from lumera.operators.order_statistics import percentiles
 from lumera.plans import oracle
 from lumera.plans.fixtures import black_batch, embedding_batch, embedding_image, event_image, order_xyz
 from lumera.schema import CHANNELS, RGB, XYZ, describe_images
-from lumera.sources import hli, images
+from lumera.session import shared_dir
+from lumera.sources import formats as formats_of_files
+from lumera.sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,9 +83,16 @@ def _mapped(px: DataFrame) -> DataFrame:
     return px.select("x", "y", *[inverse_pixel_mapping(F.col(c) / 24 - 0.1).alias(n) for c, n in zip(CHANNELS, "rgb", strict=True)])
 
 
-def _codec(codec: str, **options) -> Callable[[DataFrame], DataFrame]:  # noqa: ANN003
-    """Pixels after a file of the codec has been written and read."""
-    return lambda px: _rounded(images.decode_pixels(images.encode_images(px, codec, **options), codec), 5)
+def _codec(codec: str, model: str = RGB, **options: str) -> Callable[[DataFrame], DataFrame]:
+    """Pixels after files of the codec have been written, band by band, and read by ranges of rows."""
+
+    def run(px: DataFrame) -> DataFrame:
+        spark = px.sparkSession
+        folder = f"{shared_dir(spark)}/lumera-{uuid.uuid4().hex}/{codec}"
+        formats_of_files.save(px, folder, codec, model, **options)
+        return _rounded(spark.read.format(codec).option("split", str(1 << 20)).load(folder), 5)
+
+    return run
 
 
 def _headers(px: DataFrame) -> DataFrame:
@@ -140,10 +150,10 @@ QUERIES: dict[str, Query] = {
     "pixel_mapping": _of(event_image, _mapped),
     "codec_pfm": _of(event_image, _codec("pfm")),
     "codec_rgbe": _of(event_image, _codec("hdr")),
-    "codec_rgbe_flat": _of(event_image, _codec("hdr", rle=False)),
-    "codec_hli_normal": _of(event_image, _codec("hli", header=hli.Header(format="RGB"))),
-    "codec_hli": _of(event_image, _codec("hli", header=hli.PRESETS[3])),
-    "codec_hli_logluv": _of(order_xyz, lambda px: _codec("hli", model=XYZ, header=hli.PRESETS[6])(px)),
+    "codec_rgbe_flat": _of(event_image, _codec("hdr", rle="false")),
+    "codec_hli_normal": _of(event_image, _codec("hli", pixel_format="RGB")),
+    "codec_hli": _of(event_image, _codec("hli", preset="3")),
+    "codec_hli_logluv": _of(order_xyz, _codec("hli", model=XYZ, preset="6")),
     "float_bytes": _of(event_image, _float_bytes),
     "view_8_bit": _of(event_image, _view(color.view_8_bit)),
     "view_16_bit": _of(event_image, _view(color.view_16_bit)),

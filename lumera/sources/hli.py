@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -12,6 +14,7 @@ import zstandard
 from lumera.schema import RGB, XYZ
 from lumera.sources import rgbe
 from lumera.sources.errors import FormatError, UnsupportedError
+from lumera.sources.rows import Memory, Stream, encoded, gathered
 
 # Fixed values of the format: magic, names of the pixel formats with their model and bytes a channel.
 MAGIC = b"HLi.v1"
@@ -111,37 +114,64 @@ def read_header(data: bytes) -> tuple[dict, int]:
     return head | {"model": FORMATS[head["format"]][0]}, at + size
 
 
-def _unpack(data: bytes, compression: str, size: int) -> bytes:
-    """The raster; a stream whose end is missing serves as far as it goes."""
-    if compression == "gzip":
+#: Bytes that are unpacked at once.
+PIECE = 1 << 20
+
+
+def _unpacked(stream: Stream, compression: str) -> Iterator[bytes]:
+    """The raster's bytes in order; the streams of its bands follow each other, and one whose end is missing serves as far as it goes."""
+    if compression == "zstd":
+        reader = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True)
+        for piece in stream.pieces():
+            for a in range(0, len(piece), PIECE // 8):
+                yield reader.decompress(piece[a : a + PIECE // 8])
+    elif compression == "gzip":
         reader = zlib.decompressobj(31)
-        out = reader.decompress(data, size)
-    elif compression == "zstd":
-        out = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+        for piece in stream.pieces():
+            while piece:
+                if reader.eof:
+                    if piece[:1] != b"\x1f":
+                        return
+                    reader = zlib.decompressobj(31)
+                yield reader.decompress(piece, PIECE)
+                piece = reader.unused_data if reader.eof else reader.unconsumed_tail
+        yield reader.flush()
     else:
         raise UnsupportedError(f"hli: compression {compression}")
-    if len(out) < size:
-        raise FormatError("hli: the raster is cut short")
-    return out[:size]
+
+
+def iter_rows(f, head: dict, at: int, y0: int, y1: int, step: int) -> Iterator[tuple[int, np.ndarray]]:  # noqa: ANN001
+    """The rows ``y0`` to ``y1``, ``step`` at a time: the first one's number and channels as 32-bit floats.
+
+    Rows before them are unpacked but not decoded.
+    """
+    if head["raster_mode"] not in RASTERS:
+        raise UnsupportedError(f"hli: raster mode {head['raster_mode']}")
+    w, (_, parts, size) = head["width"], FORMATS[head["format"]]
+    row, pieces, held, passed = w * parts * size, _unpacked(Stream(f, at), head["compression"]), bytearray(), 0
+    for y in range(y0, y1, step):
+        wanted = (min(y + step, y1) - y) * row
+        while len(held) < wanted:
+            data = next(pieces, None)
+            if data is None:
+                raise FormatError("hli: the raster is cut short")
+            gone = min(len(data), max(0, y0 * row - passed))
+            passed += gone
+            held += data[gone:]
+        cells = np.frombuffer(bytes(held[:wanted]), np.uint8)
+        del held[:wanted]
+        separate = head["raster_mode"] == "separately"
+        cells = np.ascontiguousarray(cells.reshape(-1, parts, w, size).transpose(0, 2, 1, 3) if separate else cells.reshape(-1, w, parts, size))
+        if size == 4:
+            yield y, cells.view("<f4")[..., 0]
+        else:
+            yield y, from_logluv(cells[..., 0]) if head["format"] == "LogLuv" else rgbe.from_cells(cells[..., 0])
 
 
 def decode(data: bytes) -> tuple[dict, np.ndarray]:
     """Header and channels (height, width, 3), as 32-bit floats."""
     head, at = read_header(data)
-    w, h = head["width"], head["height"]
-    _, parts, size = FORMATS[head["format"]]
-    raw = np.frombuffer(_unpack(data[at:], head["compression"], w * h * parts * size), np.uint8)
-    if head["raster_mode"] == "separately":
-        cells = raw.reshape(h, parts, w, size).transpose(0, 2, 1, 3)
-    elif head["raster_mode"] == "normal":
-        cells = raw.reshape(h, w, parts, size)
-    else:
-        raise UnsupportedError(f"hli: raster mode {head['raster_mode']}")
-    cells = np.ascontiguousarray(cells)
-    if size == 4:
-        return head, cells.view("<f4")[..., 0]
-    cells = cells[..., 0]
-    return head, from_logluv(cells) if head["format"] == "LogLuv" else rgbe.from_cells(cells)
+    return head, gathered(iter_rows, Memory(data), head, at)
 
 
 def to_logluv(xyz: np.ndarray) -> np.ndarray:
@@ -166,27 +196,53 @@ def from_logluv(cells: np.ndarray) -> np.ndarray:
     return np.stack([lx / ly * np.abs(y), y, (1 - lx - ly) / ly * np.abs(y)], axis=-1).astype(np.float32)
 
 
-def encode(values: np.ndarray, model: str = RGB, header: Header = PRESETS[6]) -> bytes:
-    """An HLi file; channels of another model than the format's are converted."""
+def codec_options(options: dict[str, str]) -> dict:
+    """What ``head`` and ``rows`` take, of the options of a writer.
+
+    ``preset`` 1 to 6 (6 without any option), or ``pixel_format``, ``raster_mode`` and
+    ``compression`` in place of the preset's; ``metadata`` is a JSON map of strings.
+    """
+    named = {"pixel_format": "format", "raster_mode": "raster_mode", "compression": "compression"}
+    given = {field: options[o] for o, field in named.items() if o in options}
+    base = PRESETS[int(options["preset"])] if "preset" in options else PRESETS[6] if not given else Header()
+    return {"header": replace(base, **given, metadata=json.loads(options.get("metadata", "{}")))}
+
+
+def _filled(header: Header, width: int, height: int, model: str) -> Header:
+    """The header with what is left open."""
+    filled = replace(header, width=width, height=height, format=header.format or ("XYZE" if model == XYZ else "RGBE"))
+    if filled.format not in FORMATS:
+        raise UnsupportedError(f"hli: format {filled.format}")
+    if filled.raster_mode not in RASTERS or filled.compression not in COMPRESSIONS:
+        raise UnsupportedError(f"hli: {filled.raster_mode}, {filled.compression}")
+    return filled
+
+
+def head(width: int, height: int, model: str = RGB, header: Header = PRESETS[6]) -> bytes:
+    """The header of a file."""
+    fields = cbor({k: v for k, v in asdict(_filled(header, width, height, model)).items() if v != {}})
+    length = len(fields).to_bytes(max(1, (len(fields).bit_length() + 7) // 8), "big")
+    return MAGIC + bytes([len(length)]) + length + fields
+
+
+def rows(values: np.ndarray, model: str = RGB, header: Header = PRESETS[6]) -> bytes:
+    """Some rows of a file, a stream of their own; channels of another model than the format's are converted."""
     from lumera.functions.color import RGB_TO_XYZ, XYZ_TO_RGB
 
     h, w, _ = values.shape
-    head = replace(header, width=w, height=h, format=header.format or ("XYZE" if model == XYZ else "RGBE"))
-    if head.format not in FORMATS:
-        raise UnsupportedError(f"hli: format {head.format}")
-    if head.raster_mode not in RASTERS or head.compression not in COMPRESSIONS:
-        raise UnsupportedError(f"hli: {head.raster_mode}, {head.compression}")
-    wanted, parts, size = FORMATS[head.format]
-    if wanted != model:
+    fields = _filled(header, w, h, model)
+    wanted, parts, size = FORMATS[fields.format]
+    if wanted != model and model in (RGB, XYZ):
         values = values.astype(np.float64) @ np.array(RGB_TO_XYZ if wanted == XYZ else XYZ_TO_RGB).T
-    cells = to_logluv(values) if head.format == "LogLuv" else values.astype("<f4")[..., None].view(np.uint8) if size == 4 else rgbe.to_cells(values)
+    cells = to_logluv(values) if fields.format == "LogLuv" else values.astype("<f4")[..., None].view(np.uint8) if size == 4 else rgbe.to_cells(values)
     cells = cells.reshape(h, w, parts, size)
-    raw = np.ascontiguousarray(cells.transpose(0, 2, 1, 3) if head.raster_mode == "separately" else cells).tobytes()
-    if head.compression == "gzip":
-        packer = zlib.compressobj(wbits=31)
-        raw = packer.compress(raw) + packer.flush()
-    else:
-        raw = zstandard.ZstdCompressor().compress(raw)
-    fields = cbor({k: v for k, v in asdict(head).items() if v != {}})
-    length = len(fields).to_bytes(max(1, (len(fields).bit_length() + 7) // 8), "big")
-    return MAGIC + bytes([len(length)]) + length + fields + raw
+    raw = np.ascontiguousarray(cells.transpose(0, 2, 1, 3) if fields.raster_mode == "separately" else cells).tobytes()
+    if fields.compression == "zstd":
+        return zstandard.ZstdCompressor().compress(raw)
+    packer = zlib.compressobj(wbits=31)
+    return packer.compress(raw) + packer.flush()
+
+
+def encode(values: np.ndarray, model: str = RGB, header: Header = PRESETS[6]) -> bytes:
+    """An HLi file; channels of another model than the format's are converted."""
+    return encoded(values, head, rows, model, header=header)

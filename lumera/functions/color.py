@@ -1,7 +1,11 @@
-"""Colour spaces: linear maps between RGB, XYZ, cone responses and IPT, and readouts by model."""
+"""Colour spaces: linear maps between RGB, XYZ, cone responses and IPT, and a registry of models with their readouts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,16 +47,72 @@ def apply_matrix(m, v: Triple) -> Triple:  # noqa: ANN001
     return tuple(F.lit(r[0]) * v[0] + F.lit(r[1]) * v[1] + F.lit(r[2]) * v[2] for r in m)
 
 
+@dataclass(frozen=True)
+class ColorModel:
+    """How channels of a model are read as RGB and XYZ, and how its channels come of RGB and of XYZ."""
+
+    rgb: Callable[[Triple], Triple]
+    xyz: Callable[[Triple], Triple]
+    of_rgb: Callable[[Triple], Triple]
+    of_xyz: Callable[[Triple], Triple]
+
+
+def same(v: Triple) -> Triple:
+    """Channels as they are."""
+    return v
+
+
+def rgb_to_xyz(v: Triple) -> Triple:
+    return apply_matrix(RGB_TO_XYZ, v)
+
+
+def xyz_to_rgb(v: Triple) -> Triple:
+    return apply_matrix(XYZ_TO_RGB, v)
+
+
+#: Colour models by name; add one with ``MODELS[name] = ColorModel(...)``. RAW isn't converted.
+MODELS: dict[str, ColorModel] = {
+    RGB: ColorModel(same, rgb_to_xyz, same, xyz_to_rgb),
+    XYZ: ColorModel(xyz_to_rgb, same, rgb_to_xyz, same),
+    RAW: ColorModel(same, same, same, same),
+}
+#: In place of a model's name: the model of each pixel is in the column ``color_model``.
+BY_COLUMN = "color_model"
+
+
+def carried(model: str) -> list[str]:
+    """The column to keep while channels are in ``model``."""
+    return [BY_COLUMN] if model == BY_COLUMN else []
+
+
+def _by_model(model: str, way: str, v: Triple) -> Triple:
+    """``way`` of a model; with BY_COLUMN a case of all models, and an error for a name that isn't one."""
+    if model in MODELS:
+        return getattr(MODELS[model], way)(v)
+    if model != BY_COLUMN:
+        raise ValueError(f"no colour model {model}")
+    found = {name: getattr(m, way)(v) for name, m in MODELS.items()}
+
+    def case(i: int) -> Column:
+        out = reduce(lambda c, n: (F if c is None else c).when(F.col(BY_COLUMN) == n, found[n][i]), found, None)
+        return out.otherwise(F.raise_error(F.concat(F.lit("no colour model "), F.coalesce(BY_COLUMN, F.lit("null")))).cast("double"))
+
+    return case(0), case(1), case(2)
+
+
 def as_rgb(model: str, v: Triple | None = None) -> Triple:
     """The RGB readout of channels; RAW isn't converted."""
-    v = v or columns()
-    return apply_matrix(XYZ_TO_RGB, v) if model == XYZ else v
+    return _by_model(model, "rgb", v or columns())
 
 
 def as_xyz(model: str, v: Triple | None = None) -> Triple:
     """The XYZ readout of channels; RAW isn't converted."""
-    v = v or columns()
-    return apply_matrix(RGB_TO_XYZ, v) if model == RGB else v
+    return _by_model(model, "xyz", v or columns())
+
+
+def of_xyz(model: str, v: Triple) -> Triple:
+    """Channels of ``model`` from XYZ."""
+    return _by_model(model, "of_xyz", v)
 
 
 def luminance(model: str, v: Triple | None = None) -> Column:
@@ -61,12 +121,16 @@ def luminance(model: str, v: Triple | None = None) -> Column:
 
 
 def convert(px: DataFrame, source: str, target: str) -> DataFrame:
-    """Pixels in another model. RAW read as XYZ is taken for RGB first, as any colour is."""
-    if source == target:
+    """Pixels in another model, by way of RGB: so RAW read as XYZ is taken for RGB. To RAW nothing is converted."""
+    if source == target and source != BY_COLUMN:
         return px
-    if target == RGB:
-        return channels(px, *as_rgb(source))
-    return channels(px, *(apply_matrix(RGB_TO_XYZ, as_rgb(source)) if target == XYZ else columns()))
+    if target == RAW:
+        return channels(px, *columns())
+    if source != BY_COLUMN:
+        return channels(px, *MODELS[target].of_rgb(as_rgb(source)))
+    # Pixels that are in the target model stay as they are.
+    stays = F.col(BY_COLUMN) == target
+    return channels(px, *[F.when(stays, c).otherwise(v) for c, v in zip(columns(), MODELS[target].of_rgb(as_rgb(source)), strict=True)])
 
 
 def from_ldr(ldr: DataFrame, target: str) -> DataFrame:
@@ -87,7 +151,7 @@ def lms_hpe(px: DataFrame, model: str) -> DataFrame:
 
 def view_16_bit(px: DataFrame, model: str) -> DataFrame:
     """Channels times 65535 as whole numbers held in 0..65535; not a number is 0."""
-    v = as_rgb(model) if model != RAW else columns()
+    v = as_rgb(model)
     cell = lambda c: F.coalesce(F.nanvl(clamp(0.0, 65535.0, c * 65535), F.lit(0.0)).cast("int"), F.lit(0))
     return px.select("image_id", "x", "y", *[cell(c).alias(n) for c, n in zip(v, "rgb", strict=True)], F.lit(65535).alias("a"))
 

@@ -15,9 +15,10 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumera.functions.color import as_rgb, as_xyz
+from lumera.functions.color import as_rgb, as_xyz, carried, of_xyz
 from lumera.functions.ieee import fdiv
-from lumera.schema import CHANNELS, RGB, XYZ, attach, channels
+from lumera.schema import CHANNELS, attach, channels
+from lumera.session import materialised
 
 #: Empty cells on each side of the grid.
 PADDING = 2
@@ -104,9 +105,9 @@ def luminance_stats(px: DataFrame, model: str, sigma_space: float | Column | Non
     return found.select("image_id", "low", "high", "space", "step", *_sizes(F.col("space"), [F.coalesce(fdiv(F.col("high") - F.col("low"), F.nullif("step", F.lit(0.0))), F.lit(0.0))]))
 
 
-def splat_luminance(px: DataFrame, model: str, sigma_space=None, sigma_range=None) -> DataFrame:  # noqa: ANN001
-    """The luminance grid before smoothing."""
-    stats = luminance_stats(px, model, sigma_space, sigma_range)
+def splat_luminance(px: DataFrame, model: str, sigma_space=None, sigma_range=None, stats: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
+    """The luminance grid before smoothing; ``stats`` if they are known."""
+    stats = luminance_stats(px, model, sigma_space, sigma_range) if stats is None else stats
     lum = as_xyz(model)[1]
     depth = F.coalesce((lum - F.col("low")) / F.nullif("step", F.lit(0.0)), F.lit(0.0))
     return splat(px, stats, [lum], [depth], F.col("space"))
@@ -119,17 +120,18 @@ def y_fast_bilateral(px: DataFrame, model: str, sigma_space=None, sigma_range=No
     as it is. ``sigma_space`` may be a column of the largest coordinates ``max_x`` and
     ``max_y``. Columns in ``keep`` come along, so that the result needn't be joined.
     """
-    stats = luminance_stats(px, model, sigma_space, sigma_range)
-    placed = px.select("image_id", "x", "y", *keep, *[v.alias(c) for v, c in zip(as_xyz(model), CHANNELS, strict=True)])
+    stats = materialised(luminance_stats(px, model, sigma_space, sigma_range), "ranges")
+    known = [c for c in carried(model) if c not in keep]
+    placed = px.select("image_id", "x", "y", *known, *keep, *[v.alias(c) for v, c in zip(as_xyz(model), CHANNELS, strict=True)])
     placed = attach(placed, stats.select("image_id", "low", "space", "step"))
     depth = F.coalesce((F.col("c2") - F.col("low")) / F.nullif("step", F.lit(0.0)), F.lit(0.0))
     at = [F.col("x") / F.col("space"), F.col("y") / F.col("space"), depth]
-    grid = smooth(splat_luminance(px, model, sigma_space, sigma_range), 3, 1).select("image_id", "g0", "g1", "g2", F.when(F.col("w") != 0, F.col("s1") / F.col("w")).otherwise(0.0).alias("v"))
+    grid = smooth(splat_luminance(px, model, stats=stats), 3, 1).select("image_id", "g0", "g1", "g2", F.when(F.col("w") != 0, F.col("s1") / F.col("w")).otherwise(0.0).alias("v"))
     read = _read(placed, grid, at, ["v"])
     read = read.withColumn("base", F.when(F.col("step") == 0, F.col("c2")).otherwise(interpolate("v")))
     shift = F.col("c2") - F.col("base")
     out = (F.col("c1") - shift, F.col("base"), F.col("c3") - shift)
-    out = as_rgb(XYZ, out) if model == RGB else out
+    out = of_xyz(model, out)
     return read.select("image_id", "x", "y", *keep, *[v.alias(c) for v, c in zip(out, CHANNELS, strict=True)])
 
 

@@ -1,6 +1,7 @@
 """Tone mapping: floating-point pixels to 16-bit ones, image by image.
 
-Each operator takes pixels and their colour model and returns 16-bit pixels. The
+Each operator takes pixels and their colour model (or BY_COLUMN, if a column names each
+image's) and returns 16-bit pixels. The
 statistics of an image are aggregates per image that every pixel then refers to.
 """
 
@@ -9,18 +10,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumera.functions.color import (
-    CAT02_TO_XYZ, D65, HPE_TO_XYZ, IPT_TO_LMS, LMS_TO_IPT, LMS_TO_XYZ, XYZ_TO_CAT02, XYZ_TO_HPE, XYZ_TO_LMS, apply_matrix, as_rgb, as_xyz, columns,
+    CAT02_TO_XYZ, D65, HPE_TO_XYZ, IPT_TO_LMS, LMS_TO_IPT, LMS_TO_XYZ, XYZ_TO_CAT02, XYZ_TO_HPE, XYZ_TO_LMS, apply_matrix, as_rgb, as_xyz, carried, columns,
 )
 from lumera.functions.ieee import clamp, fdiv, finite_or_zero, ln, log10
 from lumera.functions.quantize import inverse_pixel_mapping, normalize_gamma, shift_log_rescale, shift_rescale, srgb, to_ldr
 from lumera.operators.bilateral import y_fast_bilateral
 from lumera.operators.blur import fast_gaussian_by
 from lumera.operators.order_statistics import percentiles
-from lumera.operators.pointwise import log10_of, pow10_of, quick_sampling
+from lumera.operators.pointwise import log10_of, pow10_of, row_weight
 from lumera.schema import CHANNELS, XYZ, attach, channels
 from lumera.session import materialised
 
@@ -68,28 +69,40 @@ def apply_matrix_to_scaled(scale: Column) -> tuple[Column, Column, Column]:
     return as_rgb(XYZ, tuple(c * scale for c in columns()))
 
 
-def _sampled(px: DataFrame, sampling: str) -> DataFrame:
-    return px if sampling == "full" else quick_sampling(px, SAMPLING)
+def _weight(sampling: str) -> Column:
+    """How often a row counts in the statistics of its image, whose ``height`` is known."""
+    return F.lit(1) if sampling == "full" else row_weight(F.col("y"), F.col("height"), SAMPLING)
 
 
-def _sample_range(few: DataFrame, values: list[Column], lum: Column) -> DataFrame:
-    """Least and greatest value of each image where it isn't black (from, to), from 1 and 0 on; a black image keeps these."""
-    lit = lambda v: F.when(lum != 0, v)
+def _sample_range(px: DataFrame, values: list[Column], lum: Column, sampling: str) -> DataFrame:
+    """Least and greatest value of each image where it isn't black (from, to), from 1 and 0 on; a black image keeps these.
+
+    Pixels know the ``height`` of their image; an image too low to be sampled has the
+    range of a black one.
+    """
+    lit = lambda v: F.when((lum != 0) & (_weight(sampling) > 0), v)
     low, high = F.min(lit(F.least(*values))), F.max(lit(F.greatest(*values)))
-    return few.groupBy("image_id").agg(F.least(F.lit(1.0), low).alias("from"), F.greatest(F.lit(0.0), high).alias("to"))
+    return px.groupBy("image_id").agg(F.least(F.lit(1.0), low).alias("from"), F.greatest(F.lit(0.0), high).alias("to"))
 
 
 def reinhard05(px: DataFrame, model: str, brightness: float = -5.0, chromatic: float = 0.89, light: float = 0.89, sampling: str = "quick") -> DataFrame:
-    """Photoreceptor adaptation between the pixel and the image mean, by channel and by luminance."""
+    """Photoreceptor adaptation between the pixel and the image mean, by channel and by luminance.
+
+    The sample repeats some rows and leaves others out; both are weights of rows. Pixels
+    are summed up by row, which needs no height, and rows by image; nothing is joined
+    but one row of statistics for each image.
+    """
     brightness, chromatic, light = min(20.0, max(-20.0, brightness)), min(1.0, max(0.0, chromatic)), min(1.0, max(0.0, light))
-    few = _sampled(px, sampling)
     lum, rgb = as_xyz(model)[1], as_rgb(model)
-    stats = few.groupBy("image_id").agg(
-        F.min(lum).alias("low"), F.max(lum).alias("high"), F.avg(ln(lum + 2.3e-5)).alias("world"),
-        F.avg(rgb[0]).alias("av0"), F.avg(rgb[1]).alias("av1"), F.avg(rgb[2]).alias("av2"), F.avg(lum).alias("av"),
-    )
+    sums = {"world": ln(lum + 2.3e-5), "av0": rgb[0], "av1": rgb[1], "av2": rgb[2], "av": lum}
+    rows = px.groupBy("image_id", "y").agg(F.min(lum).alias("low"), F.max(lum).alias("high"), F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(k) for k, v in sums.items()])
+    rows = rows.withColumn("height", F.max("y").over(Window.partitionBy("image_id")) + 1).withColumn("w", _weight(sampling))
+    seen = lambda c: F.when(F.col("w") > 0, F.col(c))
+    total = F.sum(F.col("w") * F.col("n"))
+    stats = rows.groupBy("image_id", "height").agg(F.min(seen("low")).alias("low"), F.max(seen("high")).alias("high"), *[fdiv(F.sum(F.coalesce(seen(k) * F.col("w"), F.lit(0.0))), total).alias(k) for k in sums])
     key = fdiv(ln(F.col("high")) - F.col("world"), ln(F.col("high")) - ln(F.col("low")))
-    stats = stats.select("image_id", "av", "av0", "av1", "av2", (0.3 + 0.7 * F.pow(key, F.lit(1.4))).alias("m"))
+    stats = stats.select("image_id", "height", "av", "av0", "av1", "av2", (0.3 + 0.7 * F.pow(key, F.lit(1.4))).alias("m"))
+    stats = materialised(stats, "statistics")
     f = math.exp(-brightness)
 
     def adapted(n: int) -> Column:
@@ -98,8 +111,8 @@ def reinhard05(px: DataFrame, model: str, brightness: float = -5.0, chromatic: f
         return F.when(rgb[n] == 0, 0.0).otherwise(fdiv(rgb[n], rgb[n] + F.pow(f * (light * own + (1 - light) * mean), F.col("m"))))
 
     values = [adapted(n) for n in range(3)]
-    spread = _sample_range(attach(few, stats), values, lum)
-    return normalize_gamma(attach(attach(px, stats), spread), values, F.col("from"), F.col("to"))
+    spread = _sample_range(attach(px, stats), values, lum, sampling)
+    return normalize_gamma(attach(px, stats.join(spread, "image_id")), values, F.col("from"), F.col("to"))
 
 
 def custom_reinhard05(px: DataFrame, model: str, brightness: float = 0.0, chromatic: float = 0.0, light: float = 0.1, sampling: str = "quick") -> DataFrame:
@@ -113,18 +126,21 @@ def custom_reinhard05(px: DataFrame, model: str, brightness: float = 0.0, chroma
         return F.when(c == 0, 0.0).otherwise(fdiv(c, c + F.pow(f * power, power)))
 
     values = [adapted(c) for c in rgb]
-    spread = _sample_range(_sampled(px, sampling), values, lum)
-    # An image too low to be sampled has the range of a black one.
-    spread = px.select("image_id").distinct().join(spread, "image_id", "left").select("image_id", F.coalesce("from", F.lit(1.0)).alias("from"), F.coalesce("to", F.lit(0.0)).alias("to"))
+    # By row first, as the height decides which rows count.
+    lit = lambda v: F.when(lum != 0, v)
+    rows = px.groupBy("image_id", "y").agg(F.min(lit(F.least(*values))).alias("low"), F.max(lit(F.greatest(*values))).alias("high"))
+    rows = rows.withColumn("height", F.max("y").over(Window.partitionBy("image_id")) + 1).withColumn("w", _weight(sampling))
+    seen = lambda c: F.when(F.col("w") > 0, F.col(c))
+    spread = rows.groupBy("image_id").agg(F.least(F.lit(1.0), F.min(seen("low"))).alias("from"), F.greatest(F.lit(0.0), F.max(seen("high"))).alias("to"))
     return normalize_gamma(attach(px, spread), list(rgb), F.col("from"), F.col("to"))
 
 
 def durand(px: DataFrame, model: str, contrast: float = 5.0) -> DataFrame:
     """Contrast of the bilateral base of the log image is reduced, detail is kept."""
-    rgb, at = ["r", "g", "b"], ["image_id", "x", "y"]
+    rgb, at, known = ["r", "g", "b"], ["image_id", "x", "y"], carried(model)
     named = [as_xyz(model)[1].alias("lum"), *[c.alias(n) for c, n in zip(as_rgb(model), rgb, strict=True)]]
-    logged = px.select(*at, *named, *[log10_of(F.col(c)).alias(c) for c in CHANNELS])
-    base = y_fast_bilateral(logged, model, keep=("lum", *rgb)).select(*at, "lum", *rgb, as_xyz(model)[1].alias("base"))
+    logged = px.select(*at, *known, *named, *[log10_of(F.col(c)).alias(c) for c in CHANNELS])
+    base = y_fast_bilateral(logged, model, keep=(*known, "lum", *rgb)).select(*at, "lum", *rgb, as_xyz(model)[1].alias("base"))
     base = materialised(base, "base")
     stats = base.groupBy("image_id").agg(F.min("base").alias("low"), F.max("base").alias("high"))
     factor = fdiv(F.lit(math.log10(contrast)), F.col("high") - F.col("low"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumera.functions import color, formats
@@ -13,7 +13,7 @@ from lumera.functions.quantize import inverse_pixel_mapping
 from lumera.operators import bilateral, blur, pointwise, tonemap
 from lumera.operators.order_statistics import percentiles
 from lumera.plans import oracle
-from lumera.plans.fixtures import black_batch, embedding_batch, embedding_image, event_image, order_xyz
+from lumera.plans.fixtures import black_batch, embedding_batch, embedding_image, event_image, mixed_batch, order_xyz
 from lumera.schema import CHANNELS, RGB, XYZ, describe_images
 from lumera.session import shared_dir
 from lumera.sources import formats as formats_of_files
@@ -113,6 +113,19 @@ def _view(f: Callable[[DataFrame, str], DataFrame]) -> Callable[[DataFrame], Dat
     return lambda px: f(pointwise.apply1(px, lambda *v: tuple(F.round(c / 24, 9) for c in v)), RGB).drop("image_id")
 
 
+def _converted(px: DataFrame) -> DataFrame:
+    """A mixed batch in RGB and in XYZ."""
+    each = [_rounded(color.convert(px, color.BY_COLUMN, t).withColumn("target", F.lit(t)), 7, ("image_id", "target", "x", "y")) for t in (RGB, XYZ)]
+    return each[0].unionByName(each[1])
+
+
+def _weights(px: DataFrame) -> DataFrame:
+    """How often each row is in the sample of the row-sampling operators."""
+    rows = px.groupBy("image_id", "y").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("height", F.max("y").over(Window.partitionBy("image_id")) + 1)
+    return rows.select("y", pointwise.row_weight(F.col("y"), F.col("height"), 0.6).alias("weight"))
+
+
 QUERIES: dict[str, Query] = {
     "linear_tmo": _of(event_image, lambda px: tonemap.linear(px, RGB)),
     "linear_batch": _of(embedding_batch, lambda px: tonemap.linear(px, RGB)),
@@ -126,6 +139,9 @@ QUERIES: dict[str, Query] = {
     "tmo_black_batch_drago": _of(black_batch, lambda px: tonemap.drago03(px, RGB)),
     "tmo_black_batch_reinhard": _of(black_batch, lambda px: tonemap.reinhard05(px, RGB)),
     "tmo_black_batch_custom_reinhard": _of(black_batch, lambda px: tonemap.custom_reinhard05(px, RGB)),
+    "mixed_linear_tmo": _of(mixed_batch, lambda px: tonemap.linear(px, color.BY_COLUMN)),
+    "mixed_convert": _of(mixed_batch, _converted),
+    "row_weights": _of(event_image, _weights),
     "filter_log10": _of(embedding_image, lambda px: _rounded(pointwise.log10_filter(px))),
     "filter_pow10": _of(embedding_image, lambda px: _ten_digits(pointwise.pow10_filter(px))),
     "apply2_ratio": apply2_ratio,

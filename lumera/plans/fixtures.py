@@ -59,3 +59,8 @@ def black_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = embedding_batch(spark, sf_dir)
     dark = (F.col("image_id") == "0") | ((F.col("x") + F.col("y")) % 17 == 0)
     return px.select("image_id", "x", "y", *[F.when(dark, 0.0).otherwise(F.col(c)).alias(c) for c in ("c1", "c2", "c3")])
+
+
+def mixed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event image in RGB and the order image in XYZ, with each one's model in ``color_model``."""
+    return event_image(spark, sf_dir).withColumn("color_model", F.lit("RGB")).unionByName(order_xyz(spark, sf_dir).withColumn("color_model", F.lit("XYZ")))

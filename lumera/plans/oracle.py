@@ -2,7 +2,27 @@
 
 from __future__ import annotations
 
-from lumera.functions import color
+# Published conversion matrices, row by row (here once more, so that a wrong one in the library shows).
+RGB_TO_XYZ = (
+    (0.41239079926595948, 0.35758433938387796, 0.18048078840183429),
+    (0.21263900587151036, 0.71516867876775593, 0.072192315360733715),
+    (0.019330818715591851, 0.11919477979462599, 0.95053215224966058),
+)
+XYZ_TO_RGB = (
+    (3.2409699419045214, -1.5373831775700935, -0.49861076029300328),
+    (-0.96924363628087983, 1.8759675015077207, 0.041555057407175613),
+    (0.055630079696993609, -0.20397695888897657, 1.0569715142428786),
+)
+XYZ_TO_LMS = ((0.4002, 0.7075, -0.0807), (-0.228, 1.15, 0.0612), (0.0, 0.0, 0.9184))
+LMS_TO_XYZ = ((1.8501, -1.1385, 0.2384), (0.3668, 0.6438, -0.0107), (0.0, 0.0, 1.0889))
+XYZ_TO_CAT02 = ((0.7328, 0.4296, -0.1624), (-0.7036, 1.6974, 0.0061), (0.0030, 0.0136, 0.9834))
+CAT02_TO_XYZ = ((1.0961, -0.2789, 0.1827), (0.4544, 0.4736, 0.0721), (-0.0096, -0.0057, 1.0153))
+XYZ_TO_HPE = ((0.38971, 0.68898, -0.07868), (-0.22981, 1.18340, 0.04641), (0.0, 0.0, 1.0))
+HPE_TO_XYZ = ((1.91020, -1.11212, 0.20191), (0.37095, 0.62905, -0.00001), (0.0, 0.0, 1.0))
+LMS_TO_IPT = ((0.4, 0.4, 0.2), (4.455, -4.851, 0.396), (0.8056, 0.3572, -1.1628))
+IPT_TO_LMS = ((1.0, 0.0976, 0.2052), (1.0, -0.1139, 0.1332), (1.0, 0.0326, -0.6769))
+#: Tristimulus values of the D65 white.
+D65 = (96.047, 100.0, 108.883)
 
 EV = """ev AS (SELECT 'ev' AS image_id, (event_id % 50)::INT AS x, (event_id // 50)::INT AS y, value AS c1,
   (props->>'$.k')::DOUBLE + 1 AS c2, hour(ts) + minute(ts) / 60.0::DOUBLE AS c3 FROM events)"""
@@ -28,7 +48,7 @@ def row(m, i: int, names=("c1", "c2", "c3")) -> str:  # noqa: ANN001
 
 
 def lum(names=("c1", "c2", "c3")) -> str:  # noqa: ANN001
-    return row(color.RGB_TO_XYZ, 1, names)
+    return row(RGB_TO_XYZ, 1, names)
 
 
 def rnd(e: str, places: int = 6) -> str:
@@ -69,7 +89,7 @@ SELECT image_id, x, y, {", ".join(f"{whole(_log(c))} AS {n}" for c, n in zip(C,
 SQL["drago_tmo"] = f"""WITH {ORD}, s AS (SELECT exp(avg(ln(c2 + 1e-4))) AS mean, max(c2) AS top FROM ord),
 t AS (SELECT *, c2 / mean AS q, top / mean AS peak FROM ord, s),
 u AS (SELECT *, ln(q + 1) / ln(2 + 8 * pow(q / peak, log10(0.5::DOUBLE) / ln(0.5::DOUBLE))) / log10(peak + 1) / c2 AS k FROM t)
-SELECT image_id, x, y, {", ".join(f"{pixel(row(color.XYZ_TO_RGB, i, ('c1 * k', 'c2 * k', 'c3 * k')))} AS {n}" for i, n in enumerate("rgb"))}, {LDR} FROM u"""
+SELECT image_id, x, y, {", ".join(f"{pixel(row(XYZ_TO_RGB, i, ('c1 * k', 'c2 * k', 'c3 * k')))} AS {n}" for i, n in enumerate("rgb"))}, {LDR} FROM u"""
 
 SAMPLE = """h AS (SELECT trunc((max(y) + 1)::FLOAT * 0.6::FLOAT)::INT AS rows FROM ev),
 few AS (SELECT ev.x, v.y, c1, c2, c3 FROM (SELECT unnest(range(0, rows))::INT AS y FROM h) v JOIN ev ON ev.y = trunc(v.y::FLOAT * 0.6::FLOAT)::INT)"""
@@ -105,12 +125,12 @@ few AS (SELECT blk.* FROM (SELECT image_id, unnest(range(0, rows)) AS t FROM h)
 _flat = lambda c: whole(f"(CASE WHEN hi > lo THEN 65535 * ({c} - lo) / (hi - lo) ELSE 'nan'::DOUBLE END)")
 SQL["tmo_black_batch_linear"] = f"""WITH {BLACK}, s AS (SELECT image_id, min(least(c1, c2, c3)) AS lo, max(greatest(c1, c2, c3)) AS hi FROM blk GROUP BY image_id)
 SELECT image_id, x, y, {", ".join(f"{_flat(c)} AS {n}" for c, n in zip(C, "rgb", strict=True))}, {LDR} FROM blk JOIN s USING (image_id)"""
-_xyz = ", ".join(f"{row(color.RGB_TO_XYZ, i)} AS x{i}" for i in range(3))
+_xyz = ", ".join(f"{row(RGB_TO_XYZ, i)} AS x{i}" for i in range(3))
 SQL["tmo_black_batch_drago"] = f"""WITH {BLACK}, v AS (SELECT image_id, x, y, {_xyz} FROM blk),
 s AS (SELECT image_id, exp(avg(ln(x1 + 1e-4))) AS mean, max(x1) AS top FROM v GROUP BY image_id),
 u AS (SELECT *, CASE WHEN x1 = 0 THEN 'nan'::DOUBLE
   ELSE ln(x1 / mean + 1) / ln(2 + 8 * pow(x1 / mean / (top / mean), log10(0.5::DOUBLE) / ln(0.5::DOUBLE))) / log10(top / mean + 1) / x1 END AS k FROM v JOIN s USING (image_id))
-SELECT image_id, x, y, {", ".join(f"{pixel(row(color.XYZ_TO_RGB, i, ('x0 * k', 'x1 * k', 'x2 * k')))} AS {n}" for i, n in enumerate("rgb"))}, {LDR} FROM u"""
+SELECT image_id, x, y, {", ".join(f"{pixel(row(XYZ_TO_RGB, i, ('x0 * k', 'x1 * k', 'x2 * k')))} AS {n}" for i, n in enumerate("rgb"))}, {LDR} FROM u"""
 _white = lambda e: f"(CASE WHEN hi < lo THEN ({e} - lo) / (hi - lo) WHEN hi = lo THEN 'nan'::DOUBLE ELSE ({e} - lo) / (hi - lo) END)"
 SQL["tmo_black_batch_reinhard"] = f"""WITH {BLACK}, {BLACK_FEW}, l AS (SELECT *, {lum()} AS lum FROM few),
 s AS (SELECT image_id, avg(c1) AS av0, avg(c2) AS av1, avg(c3) AS av2, avg(lum) AS av, CASE WHEN max(lum) = 0 THEN 'nan'::DOUBLE WHEN min(lum) > 0 THEN
@@ -158,7 +178,7 @@ def stack(src: str, axis: str, r: int) -> str:
 SQL["stack_blur"] = f"WITH {EMB}, q1 AS ({stack('emb', 'x', 5)}), q2 AS ({stack('q1', 'y', 5)}) SELECT x, y, {_near(str)} FROM q2"
 
 # The luminance grid: cell sums, two (1, 2, 1)/4 passes along each axis, reading between eight corners.
-RGB_VALUES = (row(color.RGB_TO_XYZ, 0), lum(), row(color.RGB_TO_XYZ, 2))
+RGB_VALUES = (row(RGB_TO_XYZ, 0), lum(), row(RGB_TO_XYZ, 2))
 
 
 def grid(values=RGB_VALUES, space: str = "16.0::DOUBLE") -> str:  # noqa: ANN001
@@ -204,7 +224,7 @@ SQL["bilateral_splat"] = f"WITH {EMB}, {SRC}, {GRID} SELECT g0, g1, g2, {rnd('v'
 SQL["bilateral_grid"] = f"WITH {EMB}, {SRC}, {GRID}, {PASSES} SELECT g0, g1, g2, {rnd('v')} AS s1, {rnd('w')} AS w FROM p5"
 _out = ("vx - (vy - yb)", "yb", "vz - (vy - yb)")
 SQL["y_fast_bilateral"] = f"""WITH {EMB}, {SRC}, {GRID}, {PASSES}, {READ}
-SELECT x, y, {", ".join(f"{rnd(row(color.XYZ_TO_RGB, i, _out))} AS {c}" for i, c in enumerate(C))} FROM l JOIN base USING (x, y)"""
+SELECT x, y, {", ".join(f"{rnd(row(XYZ_TO_RGB, i, _out))} AS {c}" for i, c in enumerate(C))} FROM l JOIN base USING (x, y)"""
 # The grid of five axes: all three channels are value axes and sums.
 _five = ("v1", "v2", "v3", "w")
 _depth = [f"({c} - lo{i}) / step" for i, c in enumerate(C)]
@@ -250,11 +270,11 @@ def _squeezed(p: str) -> str:
 
 
 # iCAM06. The image is 21 pixels wide and higher than that: the blur's deviation is 10, its boxes 19, 19 and 21 pixels.
-_d65 = [sum(a * b for a, b in zip(m, color.D65, strict=True)) for m in color.XYZ_TO_CAT02]
+_d65 = [sum(a * b for a, b in zip(m, D65, strict=True)) for m in XYZ_TO_CAT02]
 _low, _high = "max(v) FILTER (i = floor(0.01::DOUBLE * n))", "max(v) FILTER (i = floor(0.99::DOUBLE * n))"
 _unit = lambda c: f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({c} - low) / (high - low)))"
 _curve = lambda e: f"(CASE WHEN {e} > 0.0031308 THEN 1.055::DOUBLE * pow({e}, 1 / 2.4::DOUBLE) - 0.055::DOUBLE ELSE 12.92::DOUBLE * {e} END)"
-SQL["icam_tmo"] = f"""WITH {EMB}, xyz AS (SELECT image_id, x, y, {_maps(color.RGB_TO_XYZ, C, "v")} FROM emb),
+SQL["icam_tmo"] = f"""WITH {EMB}, xyz AS (SELECT image_id, x, y, {_maps(RGB_TO_XYZ, C, "v")} FROM emb),
 a AS (SELECT image_id, x, y, {_each(lambda i: f"greatest(1e-8, 20000.0::DOUBLE * (v{i} / (SELECT max(v2) FROM xyz)))", "a")} FROM xyz),
 src AS (SELECT image_id, x, y, {_each(lambda i: f"log10(greatest(a{i}, 1e-4))", "c")} FROM a),
 {grid(C, "(least(max(x), max(y)) + 1) * 0.02::DOUBLE")}, {PASSES}, {READ},
@@ -263,20 +283,20 @@ w4 AS ({box("w3", "y", 9)}), w5 AS ({box("w4", "y", 9)}), w6 AS ({box("w5", "y",
 h0 AS (SELECT a.*, w6.c1 AS w1, w6.c2 AS w2, w6.c3 AS w3, max(w6.c2) OVER () AS sw, vx - (vy - yb) AS e1, yb AS e2, vz - (vy - yb) AS e3
   FROM a JOIN l USING (x, y) JOIN base USING (x, y) JOIN w6 USING (x, y)),
 h1 AS (SELECT *, {_each(lambda i: f"pow(10.0::DOUBLE, CASE WHEN e{i} > 12 THEN 0.0 ELSE e{i} END)", "b")}, 0.3::DOUBLE * (1 - exp(-(0.2::DOUBLE * w2 / 20000 - 42) / 92) / 3.6::DOUBLE) AS d FROM h0),
-h2 AS (SELECT *, {_maps(color.XYZ_TO_CAT02, _three("b"), "p")}, {_maps(color.XYZ_TO_CAT02, _three("w"), "u")} FROM h1),
+h2 AS (SELECT *, {_maps(XYZ_TO_CAT02, _three("b"), "p")}, {_maps(XYZ_TO_CAT02, _three("w"), "u")} FROM h1),
 h3 AS (SELECT *, {_each(lambda i: f"p{i} * ({_d65[i - 1]!r}::DOUBLE * d / u{i} + 1 - d)", "k")} FROM h2),
-h4 AS (SELECT *, {_maps(color.CAT02_TO_XYZ, _three("k"), "t")}, {_adapted("w2")} AS fl, {_adapted("b2")} AS flb FROM h3),
-h5 AS (SELECT *, {_maps(color.XYZ_TO_HPE, _three("t"), "n")}, abs(t2) / sw AS st, pow(1e-5 / (w2 + 1e-5), 2.0) AS j FROM h4),
+h4 AS (SELECT *, {_maps(CAT02_TO_XYZ, _three("k"), "t")}, {_adapted("w2")} AS fl, {_adapted("b2")} AS flb FROM h3),
+h5 AS (SELECT *, {_maps(XYZ_TO_HPE, _three("t"), "n")}, abs(t2) / sw AS st, pow(1e-5 / (w2 + 1e-5), 2.0) AS j FROM h4),
 h6 AS (SELECT *, {_each(lambda i: f"pow(fl * n{i} / w2, 0.7::DOUBLE)", "o")}, pow((3800 * j * w2 + 0.2::DOUBLE * pow(1 - j, 4.0) * pow(w2, 1 / 6.0::DOUBLE)) * st, 0.7::DOUBLE) AS rods,
   0.5::DOUBLE / (1 + 0.3::DOUBLE * pow(w2 * st, 0.3::DOUBLE)) + 0.5::DOUBLE / (1 + 5 * w2) AS bleach FROM h5),
 h7 AS (SELECT *, {_each(lambda i: f"{_squeezed(f'o{i}')} + 0.1::DOUBLE + 3.05::DOUBLE * bleach * {_squeezed('rods')} + 0.3::DOUBLE", "r")} FROM h6),
-h8 AS (SELECT *, {_maps(color.HPE_TO_XYZ, _three("r"), "s")} FROM h7),
+h8 AS (SELECT *, {_maps(HPE_TO_XYZ, _three("r"), "s")} FROM h7),
 h9 AS (SELECT image_id, x, y, flb, {_each(lambda i: f"s{i} * pow(a{i} / b{i}, pow(flb + 0.8::DOUBLE, 0.25::DOUBLE))", "c")} FROM h8),
-i0 AS (SELECT *, {_maps(color.XYZ_TO_LMS, C, "k")} FROM h9), i1 AS (SELECT *, {_each(lambda i: f"pow(abs(k{i}), 0.43::DOUBLE)", "l")} FROM i0),
-i2 AS (SELECT *, {_maps(color.LMS_TO_IPT, _three("l"), "i")} FROM i1), i3 AS (SELECT *, i2 * i2 + i3 * i3 AS cc, sqrt(i2 * i2 + i3 * i3) AS ch FROM i2),
+i0 AS (SELECT *, {_maps(XYZ_TO_LMS, C, "k")} FROM h9), i1 AS (SELECT *, {_each(lambda i: f"pow(abs(k{i}), 0.43::DOUBLE)", "l")} FROM i0),
+i2 AS (SELECT *, {_maps(LMS_TO_IPT, _three("l"), "i")} FROM i1), i3 AS (SELECT *, i2 * i2 + i3 * i3 AS cc, sqrt(i2 * i2 + i3 * i3) AS ch FROM i2),
 i4 AS (SELECT *, pow(flb + 1, 0.15::DOUBLE) * (1.29::DOUBLE * cc - 0.27::DOUBLE * ch + 0.42::DOUBLE) / (cc - 0.31::DOUBLE * ch + 0.42::DOUBLE) AS sc FROM i3),
-i5 AS (SELECT image_id, x, y, {_maps(color.IPT_TO_LMS, ("i1", "i2 * sc", "i3 * sc"), "m")} FROM i4), i6 AS (SELECT image_id, x, y, {_each(lambda i: f"pow(abs(m{i}), 1 / 0.43::DOUBLE)", "g")} FROM i5),
-i7 AS (SELECT image_id, x, y, {_maps(color.LMS_TO_XYZ, _three("g"), "x")} FROM i6), i8 AS (SELECT image_id, x, y, {_maps(color.XYZ_TO_RGB, _three("x"), "c")} FROM i7),
+i5 AS (SELECT image_id, x, y, {_maps(IPT_TO_LMS, ("i1", "i2 * sc", "i3 * sc"), "m")} FROM i4), i6 AS (SELECT image_id, x, y, {_each(lambda i: f"pow(abs(m{i}), 1 / 0.43::DOUBLE)", "g")} FROM i5),
+i7 AS (SELECT image_id, x, y, {_maps(LMS_TO_XYZ, _three("g"), "x")} FROM i6), i8 AS (SELECT image_id, x, y, {_maps(XYZ_TO_RGB, _three("x"), "c")} FROM i7),
 o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM (SELECT c1 AS v FROM i8 UNION ALL SELECT c2 FROM i8 UNION ALL SELECT c3 FROM i8)),
 z AS (SELECT least({_low}, 0.0) AS low, {_high} AS high FROM o)
 SELECT image_id, x, y, {", ".join(f"{whole(f'(65535 * {_curve(_unit(c))})')} AS {n}" for c, n in zip(C, "rgb", strict=True))}, {LDR} FROM i8, z"""
@@ -293,10 +313,10 @@ def _map(src: str, *ms) -> str:  # noqa: ANN002
     return f"SELECT x, y, {_near(str)} FROM ({at})"
 
 
-SQL["rgb_to_xyz"] = f"WITH {EV} {_map('ev', color.RGB_TO_XYZ)}"
-SQL["xyz_to_rgb"] = f"WITH {ORD} {_map('ord', color.XYZ_TO_RGB)}"
-SQL["lms_roundtrip"] = f"WITH {ORD} {_map('ord', color.XYZ_TO_LMS, color.LMS_TO_XYZ, color.XYZ_TO_CAT02, color.CAT02_TO_XYZ, color.XYZ_TO_HPE, color.HPE_TO_XYZ)}"
-SQL["ipt_roundtrip"] = f"WITH {ORD} {_map('ord', color.XYZ_TO_LMS, color.LMS_TO_IPT, color.IPT_TO_LMS, color.LMS_TO_XYZ)}"
+SQL["rgb_to_xyz"] = f"WITH {EV} {_map('ev', RGB_TO_XYZ)}"
+SQL["xyz_to_rgb"] = f"WITH {ORD} {_map('ord', XYZ_TO_RGB)}"
+SQL["lms_roundtrip"] = f"WITH {ORD} {_map('ord', XYZ_TO_LMS, LMS_TO_XYZ, XYZ_TO_CAT02, CAT02_TO_XYZ, XYZ_TO_HPE, HPE_TO_XYZ)}"
+SQL["ipt_roundtrip"] = f"WITH {ORD} {_map('ord', XYZ_TO_LMS, LMS_TO_IPT, IPT_TO_LMS, LMS_TO_XYZ)}"
 
 _k = "(floor(log2(top))::INT + 1)"
 _exp = f"(CASE WHEN top >= pow(2.0, {_k}) THEN {_k} + 1 WHEN top < pow(2.0, {_k} - 1) THEN {_k} - 1 ELSE {_k} END)"
@@ -321,8 +341,22 @@ SELECT x, y, {', '.join(f'{rnd(f"b{i} * pow(2.0, e - 136)", 5)} AS c{i + 1}' for
 _view = lambda top: ", ".join(f"trunc(greatest(0.0, least({top}.0, round({c} / 24, 9) * {top})))::INT AS {n}" for c, n in zip(C, "rgb", strict=True))
 SQL["view_8_bit"] = f"WITH {EV} SELECT x, y, {_view(255)}, 255 AS a FROM ev"
 SQL["view_16_bit"] = f"WITH {EV} SELECT x, y, {_view(65535)}, 65535 AS a FROM ev"
-SQL["cone_views"] = f"WITH {EMB} {_map('emb', color.RGB_TO_XYZ, color.XYZ_TO_CAT02)} UNION ALL {_map('emb', color.RGB_TO_XYZ, color.XYZ_TO_HPE)}"
+SQL["cone_views"] = f"WITH {EMB} {_map('emb', RGB_TO_XYZ, XYZ_TO_CAT02)} UNION ALL {_map('emb', RGB_TO_XYZ, XYZ_TO_HPE)}"
 SQL["image_metadata"] = f"WITH {BAT} SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, 'RGB' AS color_model FROM bat GROUP BY image_id"
 # An HLi file is LogLuv unless its header says otherwise, which holds XYZ.
 SQL["file_headers"] = f"""WITH {BAT}, i AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM bat GROUP BY image_id)
 SELECT image_id, f AS format, width, height, CASE WHEN f = 'hli' THEN 'XYZ' ELSE 'RGB' END AS color_model FROM i, (SELECT unnest(['hdr', 'hli', 'pfm']) AS f)"""
+
+# A batch of an RGB and an XYZ image: both readouts of each, by its own model.
+_both = lambda m, name: f"SELECT image_id, x, y, {', '.join(f'{row(m, i)} AS {name}{i}' for i in range(3))}"
+_mixed_rgb = f"SELECT image_id, x, y, c1 AS v0, c2 AS v1, c3 AS v2 FROM ev UNION ALL {_both(XYZ_TO_RGB, 'v')} FROM ord"
+_mixed_xyz = f"{_both(RGB_TO_XYZ, 'v')} FROM ev UNION ALL SELECT image_id, x, y, c1 AS v0, c2 AS v1, c3 AS v2 FROM ord"
+SQL["mixed_linear_tmo"] = f"""WITH {EV}, {ORD}, mix AS ({_mixed_rgb}),
+s AS (SELECT image_id, min(least(v0, v1, v2)) AS lo, max(greatest(v0, v1, v2)) AS hi FROM mix GROUP BY image_id)
+SELECT image_id, x, y, {", ".join(f"{whole(f'(65535 * (v{i} - lo) / (hi - lo))')} AS {n}" for i, n in enumerate("rgb"))}, {LDR} FROM mix JOIN s USING (image_id)"""
+_convert = lambda q, target: f"SELECT image_id, '{target}' AS target, x, y, {', '.join(f'{rnd(f'v{i}', 7)} AS {c}' for i, c in enumerate(C))} FROM ({q})"
+SQL["mixed_convert"] = f"WITH {EV}, {ORD} {_convert(_mixed_rgb, 'RGB')} UNION ALL {_convert(_mixed_xyz, 'XYZ')}"
+# The weight of each row of the sample, counted.
+SQL["row_weights"] = f"""WITH {EV}, h AS (SELECT trunc((max(y) + 1)::FLOAT * 0.6::FLOAT)::INT AS rows FROM ev),
+t AS (SELECT trunc(t::FLOAT * 0.6::FLOAT)::INT AS y, count(*) AS n FROM (SELECT unnest(range(0, rows)) AS t FROM h) GROUP BY 1)
+SELECT DISTINCT ev.y, coalesce(n, 0)::INT AS weight FROM ev LEFT JOIN t USING (y)"""

@@ -3,6 +3,9 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from lumera.functions import color
 from lumera.operators import bilateral, blur, order_statistics, pointwise, tonemap
 from lumera.operators.order_statistics import percentiles
 from lumera.schema import PIXELS, RGB, XYZ
@@ -223,3 +226,50 @@ def test_percentiles_of_heavy_tails(spark, monkeypatch, ranked):
         wanted = np.sort(groups[r.image_id])
         for name, share in shares.items():
             assert np.array_equal(r[name], wanted[min(int(share * len(wanted)), len(wanted) - 1)], equal_nan=True), (r.image_id, name)
+
+
+def test_mixed_models_and_a_model_of_ones_own(spark, monkeypatch):
+    """A batch of images in several models is mapped as each image by itself; a model that a user adds works everywhere."""
+    own = color.ColorModel(rgb=lambda v: tuple(c / 2 for c in v), xyz=lambda v: color.rgb_to_xyz(tuple(c / 2 for c in v)), of_rgb=lambda v: tuple(c * 2 for c in v), of_xyz=lambda v: tuple(c * 2 for c in color.xyz_to_rgb(v)))
+    monkeypatch.setitem(color.MODELS, "HALF", own)
+    r = np.random.default_rng(4)
+    images = {(f"i{k}", m): r.random((12, 9, 3)) * 3 + 0.01 for k, m in enumerate(("RGB", "XYZ", "RAW", "HALF"))}
+    rows = [(n, m, x, y, *map(float, v[y, x])) for (n, m), v in images.items() for y in range(12) for x in range(9)]
+    px = spark.createDataFrame(rows, "image_id string, color_model string, x int, y int, c1 double, c2 double, c3 double").cache()
+    px.count()
+    for name in ("linear", "reinhard05", "durand"):
+        f = tonemap.OPERATORS[name]
+        mixed = {tuple(q) for q in f(px, color.BY_COLUMN).collect()}
+        alone = {tuple(q) for n, m in images for q in f(px.where(px.image_id == n).drop("color_model"), m).collect()}
+        assert mixed == alone and len(mixed) == 4 * 108, name
+    smooth = {(q.image_id, q.x, q.y): q.c1 for q in bilateral.y_fast_bilateral(px, color.BY_COLUMN).collect()}
+    for n, m in images:
+        for q in bilateral.y_fast_bilateral(px.where(px.image_id == n), m).collect():
+            assert abs(smooth[n, q.x, q.y] - q.c1) < 1e-9
+    back = color.convert(color.convert(px.where("image_id = 'i3'"), "HALF", "XYZ"), "XYZ", "HALF")
+    assert all(abs(q.c2 - images["i3", "HALF"][q.y, q.x, 1]) < 1e-9 for q in back.collect())
+    with pytest.raises(Exception, match="no colour model odd"):
+        tonemap.linear(px.withColumn("color_model", F.lit("odd")), color.BY_COLUMN).collect()
+    with pytest.raises(ValueError, match="no colour model odd"):
+        tonemap.linear(px, "odd")
+
+
+@pytest.mark.parametrize("share", [1.0, 0.97, 0.6, 1 / 3, 0.1, 0.03, 0.0])
+def test_row_weights_are_the_sample(spark, share):
+    """Weights by arithmetic are the rows that the sample takes, in images of all heights."""
+    heights = [1, 2, 5, 100, 1003, 40_000]
+    px = spark.createDataFrame([(f"h{h}", 0, y, 1.0, 1.0, 1.0, h) for h in heights for y in range(h)], "image_id string, x int, y int, c1 double, c2 double, c3 double, height int")
+    got = {(q.image_id, q.y): q.w for q in px.select("image_id", "y", pointwise.row_weight(F.col("y"), F.col("height"), share).alias("w")).where("w > 0").collect()}
+    want = {}
+    for h in heights:
+        for t in range(int(np.float32(h) * np.float32(share))):
+            key = f"h{h}", int(np.float32(t) * np.float32(share))
+            want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
+def test_reinhard_joins_no_pixels(spark):
+    px = spark.range(3_000).selectExpr("'i' AS image_id", "CAST(id % 50 AS INT) AS x", "CAST(id DIV 50 AS INT) AS y", "id + 1D AS c1", "id + 2D AS c2", "id + 3D AS c3")
+    for f in (tonemap.reinhard05, tonemap.custom_reinhard05):
+        plan = f(px, "RGB")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") <= 1

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumera.llm.common import each, numbered, read_table, stored, text_or_empty, unused
+from lumera.llm.common import each, read_table, stored, text_or_empty, unused
 
 #: The base patterns in their order, the group whose length counts, the least length.
 BASE = (
@@ -34,20 +34,24 @@ THRESHOLD = 12.0
 
 
 def sample_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Texts (t) of about ``SAMPLE_DOCS`` rows of least hash of the row, whatever their ids, without what the base patterns match."""
-    rows, row = numbered(docs)
-    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
-    text = text_or_empty(rows[text_col])
+    """Different texts (t) of least hash, about ``SAMPLE_DOCS`` rows' worth, without what the base patterns match.
+
+    The hash is the text's, so neither ids nor the layout of files matter, and a text
+    that many rows repeat is one.
+    """
+    text = text_or_empty(docs[text_col])
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    chosen = docs.select(text.alias("t")).where(F.pmod(F.xxhash64(text, F.lit(1)), F.lit(1 << 31)) < share * (1 << 31)).distinct()
     for _, pattern, *_ in BASE:
-        text = F.regexp_replace(text, pattern, " ")
-    return rows.where(F.pmod(F.xxhash64(rows[row]), F.lit(1 << 31)) < share * (1 << 31)).select(text.alias("t"))
+        chosen = chosen.select(F.regexp_replace("t", pattern, " ").alias("t"))
+    return chosen
 
 
 def default_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Labelled samples: (sample, is_random).
 
     Random: digests written in hex, in base 64 and in capitals with digits.
-    Ordinary: words of the documents of :func:`sample_texts`, alone, joined
+    Ordinary: words of the documents of :func:`sample_texts`, alone, in capitals, joined
     as identifiers are, numbers and dates, runs of the alphabet, as placeholders have, and rules of one sign.
     """
     spark = docs.sparkSession
@@ -68,6 +72,8 @@ def default_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.explode(
             F.array(
                 F.col("w"),
+                F.upper("w"),
+                F.concat(F.upper("w"), F.lit("_"), F.upper("w")),
                 F.concat(F.lower("w"), F.lit("_"), F.lower(F.reverse("w"))),
                 F.concat("w", F.lit("-"), F.pmod(F.hash("w"), F.lit(1000)).cast("string")),
                 F.concat(F.initcap("w"), F.initcap(F.lower("w")), F.pmod(F.hash("w"), F.lit(10)).cast("string")),
@@ -132,17 +138,18 @@ def find_secrets(docs: DataFrame, table: list[float], id_col: str = "doc_id", te
     the models never overlap base spans. Positions are code points, end exclusive.
     Other columns are ignored. An empty table gives no rows.
 
-    Returns doc_id, row_no, spans: array of (start, kind number, end, kind, log-likelihood
+    Returns doc_id, row_no, text_key (a hash of the text), spans: array of (start, kind number, end, kind, log-likelihood
     ratio of spans of the models), by start.
     """
     patterns = [p for _, p, *_ in BASE] + [CANDIDATE]
     text = F.col("text")
-    rows = docs.select(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), text_or_empty(docs[text_col]).alias("text"))
+    rows = docs.select(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.xxhash64(text_or_empty(docs[text_col])).alias("text_key"), text_or_empty(docs[text_col]).alias("text"))
     matched = rows.select("*", *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"m{k}") for k, p in enumerate(patterns)])
     rows = stored(
         matched.select(
             "doc_id",
             "row_no",
+            "text_key",
             F.filter(
                 F.array(
                     *[
@@ -179,17 +186,21 @@ def find_secrets(docs: DataFrame, table: list[float], id_col: str = "doc_id", te
     clear = good.select("*", reach.alias("reach"), following.alias("following"))
     clear = clear.where(is_base | ((F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("following", F.col("end")) >= F.col("end"))))
     spans = clear.groupBy("row_no").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    return rows.select("doc_id", "row_no").join(spans, "row_no", "left").select("doc_id", "row_no", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
+    return rows.select("doc_id", "row_no", "text_key").join(spans, "row_no", "left").select("doc_id", "row_no", "text_key", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """``docs`` (one row per id) with every found span replaced by ``mask``; overlapping spans become one.
+    """``docs`` with every found span replaced by ``mask``; overlapping spans become one.
 
-    Null texts, rows with a null id and rows that ``found`` doesn't name stay as they
-    are. An empty table gives no rows.
+    ``found`` is what :func:`find_secrets` gives for the same ids and texts. A row is
+    matched by its id and text, so ids may be null or repeat, with equal or different
+    texts: each row comes out once, masked by its own spans. Null texts and rows that
+    ``found`` doesn't have stay as they are. An empty table gives no rows.
     """
-    id_, at = unused(docs.columns, "_found_id"), unused(docs.columns, "_found_spans")
-    named = docs.join(found.select(F.col("doc_id").alias(id_), F.col("spans").alias(at)), docs[id_col] == F.col(id_), "left")
+    id_, at, key = (unused(docs.columns, name) for name in ("_found_id", "_found_spans", "_found_key"))
+    wanted = found.where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
+    wanted = wanted.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("spans").alias(at))
+    named = docs.join(wanted, docs[id_col].eqNullSafe(F.col(id_)) & (F.xxhash64(text_or_empty(docs[text_col])) == F.col(key)), "left")
     text, spans = docs[text_col], F.col(at)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     step = lambda s, x: F.struct(

@@ -56,20 +56,36 @@ def source_targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float =
     return target
 
 
-def entropy_balance(cells: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: float = 1e-9, rounds: int = 60) -> dict[str, float]:
-    """The dual variable of each source, by Newton's method.
+def entropy_balance(cells: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: float = 1e-9) -> dict[str, float]:
+    """The dual variable of each source, by Newton's method, repeated until every source's words are met.
 
-    ``cells``: source_key, prior, tokens. ``targets``: source_key, target. Every
+    ``cells``: source_key, prior (above 0), tokens. ``targets``: source_key, target. Every
     round aggregates the tokens taken at the present rates and their derivative
-    with respect to the dual variable, which for disjoint sources is diagonal.
+    with respect to the dual variable, which for disjoint sources is diagonal. It starts
+    from the tilt that would do without the cap, which takes too little if anything; from
+    there on the solution is held between two tilts, and every third step halves their
+    distance, so the rounds end. A source that can't be met (its target is beyond ``cap``
+    times its tokens) has every cell at the cap; one without tokens or target has 0 or
+    -infinity. Repeated cells count together; sources without a target are ignored. Empty
+    tables give no sources.
     """
     spark = cells.sparkSession
-    wanted = {r.source_key: r.target for r in targets.collect()}
-    dual = dict.fromkeys(wanted, 0.0)
-    low, high, open_ = dict.fromkeys(wanted, -math.inf), dict.fromkeys(wanted, math.inf), set(wanted)
-    for _ in range(rounds):
+    start = cells.groupBy("source_key").agg(F.sum(F.col("prior") * F.col("tokens")).alias("mass"), F.sum("tokens").alias("tokens"), F.min("prior").alias("least"))
+    known = targets.join(start, "source_key", "left").collect()
+    dual, low, high, wanted = {}, {}, {}, {}
+    for r in known:
+        s, wanted[r.source_key] = r.source_key, r.target
+        if not r.mass or not r.target > 0:
+            dual[s] = 0.0 if not r.mass else -math.inf
+            continue
+        # At ``high`` every cell is at the cap.
+        low[s], high[s] = math.log(r.target) - math.log(r.mass), math.log(cap) - math.log(r.least)
+        dual[s] = high[s] if r.target >= cap * r.tokens else low[s]
+    open_, rounds = {s for s in low if dual[s] < high[s]}, 0
+    while open_:
+        rounds += 1
         now = spark.createDataFrame([(s, dual[s]) for s in sorted(open_)], "source_key string, dual double")
-        rate = F.col("prior") * F.exp("dual")
+        rate = F.exp(F.ln("prior") + F.col("dual"))
         sums = (
             cells.join(now, "source_key")
             .groupBy("source_key")
@@ -81,16 +97,14 @@ def entropy_balance(cells: DataFrame, targets: DataFrame, cap: float = 2.0, tole
         )
         for r in sums:
             s, gap = r.source_key, wanted[r.source_key] - r.taken
-            if abs(gap) <= tolerance * max(1.0, wanted[s]) or (gap > 0 and not r.slope):
-                open_.discard(s)  # met, or every cell is at the cap
-                continue
             low[s], high[s] = (dual[s], high[s]) if gap > 0 else (low[s], dual[s])
-            step = dual[s] + max(-3.0, min(3.0, gap / r.slope if r.slope else -3.0))
+            middle = (low[s] + high[s]) / 2
+            if abs(gap) <= tolerance * max(1.0, wanted[s]) or not low[s] < middle < high[s]:
+                open_.discard(s)  # met, as closely as doubles can
+                continue
+            step = dual[s] + gap / r.slope if r.slope and rounds % 3 else middle
             # What is taken rises with the dual variable, so a step out of what is known of it is halved.
-            dual[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-        open_ &= {r.source_key for r in sums}
-        if not open_:
-            break
+            dual[s] = step if low[s] < step < high[s] else middle
     return dual
 
 
@@ -176,7 +190,7 @@ def source_mix(
     tilts = F.broadcast(tilts) if len(about) <= BROADCAST_SOURCES else tilts
     rated = units.join(tilts, "source_key").select(
         *unit, "times", "source_size", "target",
-        F.round(F.least(F.lit(cap), F.col("prior") * F.exp("dual")), 9).alias("rate"),
+        F.round(F.least(F.lit(cap), F.exp(F.ln("prior") + F.col("dual"))), 9).alias("rate"),
         F.pmod(F.xxhash64("doc_id", "text_key"), F.col("parts")).alias("part"),
     )
     out = T.StructType([*rated.schema.fields, T.StructField("whole", T.LongType()), T.StructField("extra", T.LongType())])

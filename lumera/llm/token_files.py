@@ -2,9 +2,10 @@
 
 A file holds the ids of a run of documents::
 
-    magic "LTF1", bits u8, 3 zero bytes, ids per block u32   the head, 12 bytes
+    magic "LTF2", bits u8, 3 zero bytes, ids per block u32   the head, 12 bytes
     blocks                                                   ids, least significant bit first
     document ids i64, their starts u64                       starts count ids of this file
+    which document ids are null, one bit each                such an id is written as 0
     byte offset of each block u64
     documents u64, ids u64, blocks u64, magic                the tail, 28 bytes
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from lumera.llm import tokens
 from lumera.llm.common import parts_for, read_table, scratch, small, text_or_empty
 
-MAGIC = b"LTF1"
+MAGIC = b"LTF2"
 BLOCK = 65_536
 #: Documents of one file, about.
 FILE_DOCS = 20_000
@@ -68,12 +69,13 @@ class TokenWriter:
 
     def __init__(self, out, bits: int, block: int = BLOCK) -> None:
         self.out, self.bits, self.block = out, bits, block
-        self.docs, self.starts, self.offsets = array("q"), array("Q"), array("Q")
+        self.docs, self.starts, self.offsets, self.null = array("q"), array("Q"), array("Q"), array("b")
         self.n, self.at, self.held, self.held_n = 0, HEAD.size, [], 0
         out.write(HEAD.pack(MAGIC, bits, block))
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.docs.append(0 if doc_id is None else doc_id)
+        self.null.append(doc_id is None)
         self.starts.append(self.n)
         self.n += len(ids)
         self.held.append(ids)
@@ -93,8 +95,10 @@ class TokenWriter:
 
     def close(self) -> None:
         self._flush(last=True)
-        for values, kind in ((self.docs, "<i8"), (self.starts, "<u8"), (self.offsets, "<u8")):
+        for values, kind in ((self.docs, "<i8"), (self.starts, "<u8")):
             self.out.write(np.array(values, dtype=kind).tobytes())
+        self.out.write(np.packbits(np.array(self.null, dtype=bool)).tobytes())
+        self.out.write(np.array(self.offsets, dtype="<u8").tobytes())
         self.out.write(TAIL.pack(len(self.docs), self.n, len(self.offsets), MAGIC))
 
 
@@ -108,11 +112,13 @@ class TokenFile:
         n_docs, self.n, n_blocks, end = TAIL.unpack(handle.read_at(TAIL.size, size - TAIL.size))
         if magic != MAGIC or end != MAGIC:
             raise ValueError("not a token file, or cut short")
-        at = size - TAIL.size - 16 * n_docs - 8 * n_blocks
+        flags = -(-n_docs // 8)
+        at = size - TAIL.size - 16 * n_docs - flags - 8 * n_blocks
         index = handle.read_at(size - TAIL.size - at, at)
         self.doc_ids = np.frombuffer(index, "<i8", n_docs)
         self.starts = np.frombuffer(index, "<u8", n_docs, 8 * n_docs).astype(np.int64)
-        self.offsets = np.append(np.frombuffer(index, "<u8", n_blocks, 16 * n_docs).astype(np.int64), at)
+        self.null = np.unpackbits(np.frombuffer(index, np.uint8, flags, 16 * n_docs), count=n_docs).astype(bool)
+        self.offsets = np.append(np.frombuffer(index, "<u8", n_blocks, 16 * n_docs + flags).astype(np.int64), at)
 
     def read(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the file."""
@@ -126,15 +132,15 @@ class TokenFile:
             parts.append(unpack(data[int(self.offsets[b]) - base : int(self.offsets[b + 1]) - base], self.bits, n))
         return np.concatenate(parts)[start - first * self.block : stop - first * self.block]
 
-    def documents(self, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Id, start and token ids of every document, read about ``most`` ids at a time."""
+    def documents(self, most: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """Id (None for null), start and token ids of every document, read about ``most`` ids at a time."""
         stops = np.append(self.starts[1:], self.n)
         i = 0
         while i < len(self.doc_ids):
             j = max(i + 1, int(np.searchsorted(stops, self.starts[i] + most, side="right")))
             ids = self.read(int(self.starts[i]), int(stops[j - 1]))
             for k in range(i, j):
-                yield int(self.doc_ids[k]), int(self.starts[k]), ids[int(self.starts[k] - self.starts[i]) : int(stops[k] - self.starts[i])]
+                yield None if self.null[k] else int(self.doc_ids[k]), int(self.starts[k]), ids[int(self.starts[k] - self.starts[i]) : int(stops[k] - self.starts[i])]
             i = j
 
 
@@ -142,7 +148,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """Encode all texts, each followed by ``end_id``, into token files in ascending id order.
 
     Null texts count as empty and hold the end id alone. Rows with a null id come
-    first, under id -1. Repeated rows are written as often as they come, ties of
+    first and are read back with a null id; negative ids are ids like any other. Repeated rows are written as often as they come, ties of
     id in the order of a hash of their text, so that no id has to be in one file. Other columns are ignored. An empty table gives
     a manifest without documents. Each range of ids goes to one file, written under
     a temporary name and then renamed, so a task that runs twice leaves one file.
@@ -174,7 +180,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             store.delete_file(part)
 
     n = files or parts_for(docs.count(), FILE_DOCS, spark)
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(-1)).alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     made = (
         rows.repartitionByRange(n, "doc_id", "h")
@@ -202,7 +208,11 @@ def read_manifest(folder: str) -> dict:
 
 
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
-    """The documents of a folder: doc_id, start, n_tokens, ids_crc32, and their ids if asked for."""
+    """The documents of a folder: doc_id, start, n_tokens, ids_crc32, and their ids if asked for.
+
+    Null ids are null again, repeated ids and rows come as often as they were written.
+    A folder without documents gives no rows.
+    """
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,3 +88,16 @@ def test_clashing_names_and_null_ids(spark):
     got = apply_mix(docs)
     assert got.columns == docs.columns
     assert got.count() == sum(r.copies for r in source_mix(docs).collect()) and got.where("doc_id IS NULL").count() > 30
+
+
+def test_priors_of_any_size_are_met(spark):
+    """Far-off and far-apart priors need many rounds, and get them; what can't be met is at the cap."""
+    cells = {"far": [(1e100, 100.0)], "tiny": [(1e-200, 70.0), (1e-190, 30.0)], "apart": [(10.0**k, 10.0) for k in range(-120, 121, 8)], "over": [(0.5, 10.0), (3.0, 5.0)], "nothing": [(1.0, 5.0)], "void": []}
+    target = {"far": 50.0, "tiny": 140.0, "apart": 333.0, "over": 31.0, "nothing": 0.0, "void": 0.0}
+    frame = spark.createDataFrame([(s, q, t) for s, c in cells.items() for q, t in c], "source_key string, prior double, tokens double")
+    dual = entropy_balance(frame, spark.createDataFrame(list(target.items()), "source_key string, target double"))
+    assert set(dual) == set(target)
+    taken = {s: sum(t * min(2.0, math.exp(min(700.0, math.log(q) + dual[s]))) for q, t in c) for s, c in cells.items()}
+    assert taken["over"] == 30.0 and taken["nothing"] == 0.0
+    assert all(abs(taken[s] - target[s]) <= 1e-6 * target[s] for s in ("far", "tiny", "apart"))
+    assert entropy_balance(frame.limit(0), spark.createDataFrame([], "source_key string, target double")) == {}

@@ -41,10 +41,10 @@ def test_token_files_round_trip(spark, tmp_path):
     manifest = write_token_files(table(spark, rows), folder, PATH, files=3)
     assert read_manifest(folder) == manifest and manifest["bits"] == 16
     got = sorted(read_token_files(spark, folder, with_ids=True).collect(), key=lambda r: r.start)
-    start, order = 0, sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
+    start, order = 0, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     for (i, t, *_), r in zip(order, got, strict=True):
         ids = [*ids_of(t), 0]
-        assert (r.doc_id, r.start, r.n_tokens) == (-1 if i is None else i, start, len(ids)) and list(r.ids) == ids
+        assert (r.doc_id, r.start, r.n_tokens) == (i, start, len(ids)) and list(r.ids) == ids
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
 
@@ -122,3 +122,12 @@ def test_queries_with_nulls_and_repeated_rows(spark, tmp_path):
     assert packed["length"].sum() == sum(n for _, n in whole)
     read = op6_token_files(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in read) == whole
+
+
+def test_null_and_negative_ids(spark, tmp_path):
+    """A null id is null again and comes first; -1 is an id like any other."""
+    rows = [(-5, "a b", None, None), (-1, "one", None, None), (None, "none", None, None), (3, "three", None, None), (None, None, None, None), (0, "zero", None, None)]
+    folder = f"file://{tmp_path}/ids"
+    write_token_files(table(spark, rows), folder, PATH, files=2)
+    got = sorted(read_token_files(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -5, -1, 0, 3] and sorted(r.n_tokens for r in got)[0] == 1

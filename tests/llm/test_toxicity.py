@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 
+from lumera.llm import toxicity
 from lumera.llm.toxicity import LEAST_ROWS, OrdinalModel, drop_toxic, features, fit_ordinal, score_toxicity, train
 
 from .helpers import SCHEMA, corpus, prose, table
@@ -86,7 +87,7 @@ def brute_fit(rows, grades, penalty):
 def test_fit_of_four_grades_against_a_plain_minimiser():
     rows = graded(120)
     made, grades = [features(t) for _, t, _ in rows], np.array([g for *_, g in rows])
-    model = fit_ordinal(made, grades, penalty=2e-2, rounds=4_000)
+    model = fit_ordinal(made, grades, penalty=2e-2)
     loss, places, w, t = brute_fit(made, grades, 2e-2)
     ours = np.array([model.weights.get(p, 0.0) for p in places])
     assert set(model.weights) <= set(places) and len(model.thresholds) == 3
@@ -120,3 +121,52 @@ def test_repeated_rows_and_ties_are_judged_alike(spark):
     assert all(len(x) == 1 for x in by_text.values())
     # A severity on the limit isn't rejected.
     assert not OrdinalModel({}, np.zeros(1), np.array([0, 1])).rejected(np.array([0.6]), 0.6)[0]
+
+
+def test_fit_reaches_its_optimum_at_the_default_settings():
+    """No word's slope leaves what the penalty allows, and long runs of plain proximal descent find nothing lower."""
+    r = np.random.default_rng(8)
+    rows = [(np.unique(r.integers(0, 120, 14)), None) for _ in range(400)]
+    rows = [(p, r.random(len(p)) * (0.3 + 3 / (1 + p % 9))) for p, _ in rows]
+    truth = r.normal(size=120) * (r.random(120) < 0.2) * 3
+    score = np.array([truth[p] @ v for p, v in rows]) + r.normal(size=400)
+    for grades in ((score > 1).astype(int), np.digitize(score, (-2, 0, 2))):
+        model = fit_ordinal(rows, grades)
+        x = np.zeros((400, 120))
+        for i, (p, v) in enumerate(rows):
+            x[i, p] = v
+        levels = np.unique(grades)
+        above = grades[:, None] > levels[:-1][None, :]
+        share = above.mean(axis=0)
+        weight = np.where(above, 0.5 / share, 0.5 / (1 - share)) / 400
+
+        def loss(w, t):
+            m = (x @ w)[:, None] - t
+            return (weight * np.logaddexp(0, np.where(above, -m, m))).sum() + 5e-4 * np.abs(w).sum()
+
+        w, t = np.zeros(120), np.zeros(len(levels) - 1)
+        for at, v in model.weights.items():
+            w[at] = v
+        mine = loss(w, model.thresholds)
+        p = 1 / (1 + np.exp(-((x @ w)[:, None] - model.thresholds)))
+        slope = x.T @ (weight * (p - above)).sum(axis=1)
+        assert (np.abs(slope[w == 0]) <= 5e-4 * 1.01).all() and (np.abs(slope + 5e-4 * np.sign(w))[w != 0] <= 1e-5).all()
+        v, s = np.zeros(120), np.zeros(len(levels) - 1)
+        step = 1 / (0.25 * np.linalg.norm(np.hstack([x, np.ones((400, 1))]).T * weight.sum(axis=1) @ np.hstack([x, np.ones((400, 1))]), 2) * 2)
+        for _ in range(20_000):
+            q = 1 / (1 + np.exp(-((x @ v)[:, None] - s)))
+            g = weight * (q - above)
+            v = v - step * (x.T @ g.sum(axis=1))
+            v = np.sign(v) * np.maximum(np.abs(v) - step * 5e-4, 0)
+            s = np.maximum.accumulate(s + step * g.sum(axis=0))
+        assert mine <= loss(v, s) + 1e-9
+
+
+def test_documents_that_repeat_an_id_are_sampled_once(spark, monkeypatch):
+    """A labelled id that many rows share brings one of them to the driver."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda pairs, grades, f=fit_ordinal: seen.append(len(pairs)) or f(pairs, grades))
+    rows = [(1, f"vile vile {i}", "en", "s") for i in range(500)] + [(i, "kind words", "en", "s") for i in range(2, 40)]
+    labels = spark.createDataFrame([(1, 1)] + [(i, 0) for i in range(2, 40)], "doc_id long, toxic int")
+    train(table(spark, rows), labels)
+    assert seen == [39]

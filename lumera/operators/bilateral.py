@@ -2,9 +2,9 @@
 
 Pixels are summed into the cells of a coarse grid over place and value, the grid is
 smoothed, and each pixel reads the grid between cells. The grid is a relation of its
-occupied cells. Its last step turns it into one row for every cell that holds the
-values at all corners, so the pixels are joined once and neither multiplied nor
-grouped again.
+occupied cells. The cells that pixels lie in ask for the values at their corners, so
+nothing else is smoothed along the last axis; they become one row a cell that holds all
+of its corners, and pixels are joined once and neither multiplied nor grouped again.
 """
 
 from __future__ import annotations
@@ -41,15 +41,15 @@ def splat(px: DataFrame, stats: DataFrame, values: list[Column], axes: list[Colu
     return attach(px, stats).groupBy("image_id", *sizes, *keys).agg(*sums, F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def smooth(grid: DataFrame, axes: int, sums: int) -> DataFrame:
-    """Two passes of (1, 2, 1)/4 along each axis; what reaches the border of the grid is lost.
+def smooth(grid: DataFrame, axes: int, sums: int, over: int | None = None) -> DataFrame:
+    """Two passes of (1, 2, 1)/4 along each axis, or the first ``over``; what reaches the border of the grid is lost.
 
     Both passes of an axis are one step of five taps; a path by way of the border is
     left out of them.
     """
     names = [f"s{i}" for i in range(1, sums + 1)] + ["w"]
     tap = {-1: 0.25, 0: 0.5, 1: 0.25}
-    for axis in range(axes):
+    for axis in range(axes if over is None else over):
         g, n = F.col(f"g{axis}"), F.col(f"n{axis}")
         taps = F.array(*[F.struct(F.lit(i).alias("mid"), F.lit(i + j).alias("to"), F.lit(tap[i] * tap[j]).alias("part")) for i, j in product(tap, tap)])
         inside = lambda c, n=n: c.between(1, n - 2)
@@ -59,15 +59,37 @@ def smooth(grid: DataFrame, axes: int, sums: int) -> DataFrame:
     return grid
 
 
-def corners(grid: DataFrame, axes: int, names: list[str]) -> DataFrame:
-    """For each cell ``b0..`` the values at its corners: arrays in the order of the corners' bits, 0 where empty."""
+def smooth_at(grid: DataFrame, wanted: DataFrame, axes: int, sums: int) -> DataFrame:
+    """:func:`smooth` where only the cells ``wanted`` (image_id, g0..) are asked for.
+
+    The last axis is read from the wanted cells' five neighbours in place of being sent
+    from every occupied cell, so a grid that is finer than the pixels is never filled in.
+    """
+    names, last = [f"s{i}" for i in range(1, sums + 1)] + ["w"], axes - 1
+    grid = smooth(grid, axes, sums, last)
+    tap, g, n, d = {-1: 0.25, 0: 0.5, 1: 0.25}, F.col("target"), F.col(f"n{last}"), F.col("d")
+    inside = lambda c: c.between(1, n - 2)
+    part = reduce(lambda x, y: x + y, [F.when((d == i + j) & inside(g - j), tap[i] * tap[j]).otherwise(0.0) for i, j in product(tap, tap)])
+    at = ["image_id", *[f"g{i}" for i in range(last)]]
+    asked = wanted.select(*at, F.col(f"g{last}").alias("target"), F.explode(F.array(*map(F.lit, range(-2, 3)))).alias("d")).withColumn(f"g{last}", g - d)
+    read = asked.join(grid, [*at, f"g{last}"]).where(inside(g)).withColumn("part", part)
+    return read.groupBy(*at, g.alias(f"g{last}")).agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in names])
+
+
+def corner_cells(bases: DataFrame, axes: int) -> DataFrame:
+    """The cells at the corners of the cells ``b0..``: image_id, b0.., k (place in the order of the corners' bits), g0.."""
     steps = list(product((0, 1), repeat=axes))
-    at = F.array(*[F.struct(*[F.lit(s).alias(f"d{i}") for i, s in enumerate(step)], F.lit(k).alias("k")) for k, step in enumerate(steps)])
-    spread = grid.withColumn("c", F.explode(at))
-    keys = [(F.col(f"g{i}") - F.col(f"c.d{i}")).alias(f"b{i}") for i in range(axes)]
-    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("c.k"), F.struct(*names))))
-    held = spread.groupBy("image_id", *keys).agg(pairs.alias("m"))
-    value = lambda n: F.transform(F.sequence(F.lit(0), F.lit(len(steps) - 1)), lambda k: F.coalesce(F.col("m")[k].getField(n), F.lit(0.0)))
+    at = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(s).alias(f"d{i}") for i, s in enumerate(step)]) for k, step in enumerate(steps)])
+    spread = bases.select("*", F.explode(at).alias("c"))
+    return spread.select("image_id", *[f"b{i}" for i in range(axes)], "c.k", *[(F.col(f"b{i}") + F.col(f"c.d{i}")).alias(f"g{i}") for i in range(axes)])
+
+
+def corners(cells: DataFrame, grid: DataFrame, axes: int, names: list[str]) -> DataFrame:
+    """For each cell ``b0..`` the values at its corners: arrays in the order of the corners' bits, 0 where empty."""
+    found = cells.join(grid, ["image_id", *[f"g{i}" for i in range(axes)]])
+    pairs = F.map_from_entries(F.collect_list(F.struct("k", F.struct(*names))))
+    held = found.groupBy("image_id", *[f"b{i}" for i in range(axes)]).agg(pairs.alias("m"))
+    value = lambda n: F.transform(F.sequence(F.lit(0), F.lit(2**axes - 1)), lambda k: F.coalesce(F.col("m")[k].getField(n), F.lit(0.0)))
     return held.select("image_id", *[f"b{i}" for i in range(axes)], *[value(n).alias(f"v_{n}") for n in names])
 
 
@@ -87,12 +109,16 @@ def _sizes(space: Column, value_steps: list[Column]) -> list[Column]:
     return [c.alias(f"n{i}") for i, c in enumerate(place + [_floor(v) + 1 + 2 * PADDING for v in value_steps])]
 
 
-def _read(px: DataFrame, grid: DataFrame, at: list[Column], names: list[str]) -> DataFrame:
-    """Pixels with the corners of the cell they lie in and their grid coordinates ``q0..``."""
+def _read(px: DataFrame, splatted: DataFrame, at: list[Column], sums: int, names: list[str], values: list[Column]) -> DataFrame:
+    """Pixels with the smoothed ``values`` at the corners of the cell they lie in and their grid coordinates ``q0..``."""
     axes = len(at)
     placed = px.select("*", *[(c + PADDING).alias(f"q{i}") for i, c in enumerate(at)])
     placed = placed.select("*", *[_floor(F.col(f"q{i}")).alias(f"b{i}") for i in range(axes)])
-    return placed.join(corners(grid, axes, names), ["image_id", *[f"b{i}" for i in range(axes)]], "left").withColumn("part", corner_weights(axes))
+    base = ["image_id", *[f"b{i}" for i in range(axes)]]
+    cells = materialised(corner_cells(placed.select(*base).distinct(), axes), "cells")
+    wanted = cells.select("image_id", *[f"g{i}" for i in range(axes)]).distinct()
+    grid = smooth_at(splatted, wanted, axes, sums).select("image_id", *[f"g{i}" for i in range(axes)], *[v.alias(n) for v, n in zip(values, names, strict=True)])
+    return placed.join(corners(cells, grid, axes, names), base, "left").withColumn("part", corner_weights(axes))
 
 
 def luminance_stats(px: DataFrame, model: str, sigma_space: float | Column | None, sigma_range: float | None) -> DataFrame:
@@ -126,8 +152,8 @@ def y_fast_bilateral(px: DataFrame, model: str, sigma_space=None, sigma_range=No
     placed = attach(placed, stats.select("image_id", "low", "space", "step"))
     depth = F.coalesce((F.col("c2") - F.col("low")) / F.nullif("step", F.lit(0.0)), F.lit(0.0))
     at = [F.col("x") / F.col("space"), F.col("y") / F.col("space"), depth]
-    grid = smooth(splat_luminance(px, model, stats=stats), 3, 1).select("image_id", "g0", "g1", "g2", F.when(F.col("w") != 0, F.col("s1") / F.col("w")).otherwise(0.0).alias("v"))
-    read = _read(placed, grid, at, ["v"])
+    value = F.when(F.col("w") != 0, F.col("s1") / F.col("w")).otherwise(0.0)
+    read = _read(placed, splat_luminance(px, model, stats=stats), at, 1, ["v"], [value])
     read = read.withColumn("base", F.when(F.col("step") == 0, F.col("c2")).otherwise(interpolate("v")))
     shift = F.col("c2") - F.col("base")
     out = (F.col("c1") - shift, F.col("base"), F.col("c3") - shift)
@@ -149,9 +175,10 @@ def fast_bilateral(px: DataFrame, model: str, sigma_space: float = 16.0, sigma_r
     safe = F.nullif("step", F.lit(0.0))
     stats = found.select("image_id", "space", "step", *[f"low_{c}" for c in names], *_sizes(F.col("space"), [F.coalesce((F.col(f"high_{c}") - F.col(f"low_{c}")) / safe, F.lit(0.0)) for c in names]))
     axes = [F.coalesce((F.col(c) - F.col(f"low_{c}")) / safe, F.lit(0.0)) for c in names]
-    grid = smooth(splat(px, stats, [F.col(c) for c in names], axes, F.col("space")), 5, 3)
     placed = attach(px, stats.select("image_id", "space", "step", *[f"low_{c}" for c in names]))
-    read = _read(placed, grid, [F.col("x") / F.col("space"), F.col("y") / F.col("space"), *axes], ["s1", "s2", "s3", "w"])
+    kept = ["s1", "s2", "s3", "w"]
+    splatted = splat(px, stats, [F.col(c) for c in names], axes, F.col("space"))
+    read = _read(placed, splatted, [F.col("x") / F.col("space"), F.col("y") / F.col("space"), *axes], 3, kept, [F.col(c) for c in kept])
     read = read.select("image_id", "x", "y", *names, "step", interpolate("w").alias("weight"), *[interpolate(s).alias(f"sum_{s}") for s in ("s1", "s2", "s3")])
     smooth_ = [F.when(F.col("step") == 0, F.col(c)).otherwise(fdiv(F.col(f"sum_{s}"), F.col("weight"))) for c, s in zip(names, ("s1", "s2", "s3"), strict=True)]
     return channels(read, *smooth_)

@@ -66,20 +66,34 @@ def fast_gaussian(px: DataFrame, radius: int) -> DataFrame:
 
 
 def _box_lines(values: np.ndarray, radius: int) -> np.ndarray:
-    """Box means of the columns of ``values`` (pixels of a line x channels), edges repeated."""
+    """Box means along the second axis of ``values`` (lines x pixels x channels), edges repeated."""
     if not radius:
         return values
-    padded = np.concatenate([np.repeat(values[:1], radius + 1, axis=0), values, np.repeat(values[-1:], radius, axis=0)])
-    sums = np.cumsum(padded, axis=0)
-    return (sums[2 * radius + 1 :] - sums[: len(values)]) / (2 * radius + 1)
+    padded = np.concatenate([np.repeat(values[:, :1], radius + 1, axis=1), values, np.repeat(values[:, -1:], radius, axis=1)], axis=1)
+    sums = np.cumsum(padded, axis=1)
+    return (sums[:, 2 * radius + 1 :] - sums[:, : values.shape[1]]) / (2 * radius + 1)
+
+
+def _blurred_lines(values: np.ndarray, starts: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Lines of pixels, one after the other, blurred along themselves: those of equal length and radius at once."""
+    out, sizes = np.empty_like(values), np.diff(np.append(starts, len(values)))
+    kinds, kind = np.unique(np.stack([sizes, radii], axis=1), axis=0, return_inverse=True)
+    for k, (size, radius) in enumerate(kinds.tolist()):
+        at = starts[kind.ravel() == k][:, None] + np.arange(size)
+        part = values[at]
+        for width in box_sizes(radius):
+            part = _box_lines(part, (width - 1) // 2)
+        out[at] = part
+    return out
 
 
 def fast_gaussian_by(px: DataFrame, radius: str, names: tuple[str, ...] = CHANNELS, keep: tuple[str, ...] = ()) -> DataFrame:
     """:func:`fast_gaussian` with the radius in a column, the same for all pixels of an image.
 
     The lines of an image are dealt to tasks once for each axis, so one plan serves
-    images of all sizes; a task holds a line at a time. Returns image_id, x, y, the
-    columns in ``keep``, ``radius`` and the blurred ``names``.
+    images of all sizes; a task works on the whole lines of an Arrow batch at once and
+    holds no more than that and an unfinished line. Returns image_id, x, y, the columns
+    in ``keep``, ``radius`` and the blurred ``names``.
     """
     columns = ["image_id", "x", "y", *keep, radius, *names]
     px = px.select(*columns)
@@ -87,31 +101,34 @@ def fast_gaussian_by(px: DataFrame, radius: str, names: tuple[str, ...] = CHANNE
     def blurred(axis: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         other = LINES[axis]
 
-        def line(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            values = np.stack([whole.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
-            for width in box_sizes(whole.column(radius)[0].as_py()):
-                values = _box_lines(values, (width - 1) // 2)
-            arrays = [whole.column(n) for n in columns[: -len(names)]] + [pa.array(v) for v in values.T]
+        def begins(t: pa.Table) -> np.ndarray:
+            image, at = t.column("image_id").combine_chunks().dictionary_encode().indices.to_numpy(), t.column(other).to_numpy()
+            return np.append(0, np.flatnonzero((image[1:] != image[:-1]) | (at[1:] != at[:-1])) + 1)
+
+        def lines(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            values = np.stack([t.column(n).to_numpy() for n in names], axis=1)
+            values = _blurred_lines(values, starts, t.column(radius).to_numpy()[starts])
+            arrays = [t.column(n).combine_chunks() for n in columns[: -len(names)]] + [pa.array(v) for v in values.T]
             return pa.RecordBatch.from_arrays(arrays, names=columns)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, key = [], None
+            held: list[pa.RecordBatch] = []
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                image, at = batch.column("image_id").dictionary_encode(), batch.column(other).to_numpy()
-                number = image.indices.to_numpy()
-                edges = np.flatnonzero((number[1:] != number[:-1]) | (at[1:] != at[:-1])) + 1
-                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(at)], strict=True):
-                    new = (batch.column("image_id")[a].as_py(), int(at[a]))
-                    if held and new != key:
-                        yield line(held)
-                        held = []
-                    key = new
-                    held.append(batch.slice(a, b - a))
+                starts = begins(pa.Table.from_batches([batch]))
+                same = not held or (held[-1].column("image_id")[held[-1].num_rows - 1] == batch.column("image_id")[0] and held[-1].column(other)[held[-1].num_rows - 1] == batch.column(other)[0])
+                if same and len(starts) == 1:
+                    held.append(batch)  # a line goes on beyond this batch
+                    continue
+                cut = int(starts[-1])
+                whole = pa.Table.from_batches([*held, *([batch.slice(0, cut)] if cut else [])]) if held or cut else None
+                if whole is not None:
+                    yield lines(whole.combine_chunks(), begins(whole))
+                held = [batch.slice(cut)]
             if held:
-                yield line(held)
+                whole = pa.Table.from_batches(held).combine_chunks()
+                yield lines(whole, begins(whole))
 
         return run
 

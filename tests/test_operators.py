@@ -273,3 +273,19 @@ def test_reinhard_joins_no_pixels(spark):
     for f in (tonemap.reinhard05, tonemap.custom_reinhard05):
         plan = f(px, "RGB")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") <= 1
+
+
+@pytest.mark.parametrize("error", [0.1, 0.01])
+def test_percentiles_within_their_error(spark, error):
+    """Values of a heavy tail, ties and several groups: each place is within the stated error."""
+    r = np.random.default_rng(2)
+    groups = {"tail": np.exp(r.normal(size=5000) * 4), "ties": r.integers(0, 3, 3000).astype(float), "one": np.array([7.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("tail", None)]
+    shares = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.99, "e": 1.0}
+    got = order_statistics.percentiles_within(spark.createDataFrame(rows, "image_id string, v double").repartition(4), "v", shares, error).collect()
+    assert {q.image_id for q in got} == set(groups)
+    for q in got:
+        v = np.sort(groups[q.image_id])
+        for name, share in shares.items():
+            below, up_to = np.searchsorted(v, q[name], "left"), np.searchsorted(v, q[name], "right")
+            assert up_to > below and below - error * len(v) - 1 <= share * len(v) <= up_to + error * len(v) + 1

@@ -7,7 +7,7 @@ import pytest
 
 from lumera.operators import tonemap
 from lumera.schema import RGB, XYZ
-from lumera.sources import formats, hli, images, pfm, rgbe, rows
+from lumera.sources import formats, hli, images, pfm, rgbe, rows, sql, tiles
 from lumera.sources.errors import FormatError, UnsupportedError
 from lumera.sources.rows import Memory
 from lumera.streaming.images import tone_map_stream
@@ -310,3 +310,29 @@ def test_a_codec_of_ones_own(spark, tmp_path, monkeypatch):
     formats.save(pixel_rows(spark, {"p": v}), where, "plain", "RAW")
     for df in (spark.read.format("plain").option("split", "100").load(where), spark.read.format("images").load(where), images.read_pixels(spark, where)):
         assert sorted((r.y, r.x, r.c1, r.c2, r.c3) for r in df.collect()) == [(y, x, *v[y, x].tolist()) for y in range(7) for x in range(4)]
+
+
+def test_tiles(spark):
+    """Dense tiles of any side give the pixels back: all of them in 64 bits, rounded ones in 32; edges, gaps, no rows."""
+    v = values(13, 7)
+    px = pixel_rows(spark, {"a": v, "b": v[:5]})
+    for side in (1, 5, 64):
+        wide = tiles.to_tiles(px, "f64", side)
+        assert wide.count() == -(-13 // side) * -(-7 // side) + -(-5 // side) * -(-7 // side)
+        assert sorted(map(tuple, tiles.from_tiles(wide).collect())) == sorted(tuple(r)[:6] for r in px.collect())
+    single = tiles.from_tiles(tiles.to_tiles(px.where("image_id = 'a' AND NOT (x = 3 AND y = 2)"), "f32", 4))
+    assert {(r.x, r.y): r.c1 for r in single.collect()} == {(x, y): 0.0 if (x, y) == (3, 2) else float(np.float32(v[y, x, 0])) for y in range(13) for x in range(7)}
+    assert tiles.from_tiles(tiles.to_tiles(px.limit(0))).count() == 0
+
+
+def test_decoding_in_sql(spark):
+    sql.register(spark)
+    v = values(5, 4)
+    files = [("a", pfm.encode(v)), ("b", rgbe.encode(v, XYZ)), ("c", hli.encode(v)), ("none", None)]
+    spark.createDataFrame(files, "path string, content binary").createOrReplaceTempView("image_files")
+    want = {(n, r.x, r.y, r.c1) for n in "abc" for r in images.decode_pixels(spark.createDataFrame([f for f in files if f[0] == n], "image_id string, content binary")).collect()}
+    lateral = spark.sql("SELECT f.path, p.x, p.y, p.c1 FROM image_files f, LATERAL decode_image(f.content) p")
+    table = spark.sql("SELECT image_id, x, y, c1 FROM decode_images(TABLE(SELECT path, content FROM image_files))")
+    assert {tuple(r) for r in lateral.collect()} == {tuple(r) for r in table.collect()} == want
+    heads = spark.sql("SELECT path, h.format, h.width, h.height, h.color_model FROM (SELECT path, image_header(content) AS h FROM image_files)")
+    assert {tuple(r) for r in heads.collect()} == {("a", "pfm", 4, 5, "RGB"), ("b", "hdr", 4, 5, "XYZ"), ("c", "hli", 4, 5, "XYZ"), ("none", None, None, None, None)}

@@ -14,7 +14,7 @@ from lumera.operators import bilateral, blur, pointwise, tonemap
 from lumera.operators.order_statistics import percentiles, percentiles_within
 from lumera.plans import oracle
 from lumera.plans.fixtures import black_batch, embedding_batch, embedding_image, event_image, mixed_batch, order_xyz
-from lumera.schema import CHANNELS, RGB, XYZ, describe_images
+from lumera.schema import CHANNELS, RGB, XYZ, blank, clip_to_bounds, describe_images, offset_in_raster
 from lumera.session import shared_dir
 from lumera.sources import formats as formats_of_files
 from lumera.sources import images
@@ -140,6 +140,12 @@ def percentile_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.select("image_id", "name", "n", (off <= error * F.col("n") + 1).alias("within"))
 
 
+def _bounded(px: DataFrame) -> DataFrame:
+    """The pixels within 20 by 30, and their places in a raster of that size."""
+    inside = _rounded(clip_to_bounds(px, 20, 30))
+    return inside.withColumn("place", offset_in_raster(F.col("x"), F.col("y"), F.lit(20)))
+
+
 def _tiled(storage: str) -> Callable[[DataFrame], DataFrame]:
     """Pixels after they have been dense tiles."""
     return lambda px: _rounded(from_tiles(to_tiles(px, storage)), 5)
@@ -206,6 +212,12 @@ QUERIES: dict[str, Query] = {
     "codec_hli_normal": _of(event_image, _codec("hli", pixel_format="RGB")),
     "codec_hli": _of(event_image, _codec("hli", preset="3")),
     "codec_hli_logluv": _of(order_xyz, _codec("hli", model=XYZ, preset="6")),
+    "codec_hli_rgbe": _of(event_image, _codec("hli", preset="1")),
+    "codec_hli_xyze": _of(order_xyz, _codec("hli", model=XYZ, preset="2")),
+    "codec_hli_xyz": _of(order_xyz, _codec("hli", model=XYZ, preset="4")),
+    "codec_hli_logluv_gzip": _of(order_xyz, _codec("hli", model=XYZ, preset="5")),
+    "clip_bounds": _of(event_image, _bounded),
+    "blank_images": _of(embedding_batch, lambda px: blank(describe_images(px, RGB))),
     "float_bytes": _of(event_image, _float_bytes),
     "view_8_bit": _of(event_image, _view(color.view_8_bit)),
     "view_16_bit": _of(event_image, _view(color.view_16_bit)),

@@ -366,3 +366,10 @@ SQL["sql_decode"] = f"""WITH {BAT} SELECT image_id, max(x) + 1 AS width, max(y)
 SQL["codec_xyze"] = SQL["codec_rgbe"].replace(EV, ORD).replace("FROM ev", "FROM ord")
 # A sketch keeps its promise: the place of each percentile is within the error.
 SQL["percentile_sketch"] = f"WITH {EV} SELECT image_id, name, count(*) AS n, true AS within FROM ev, (SELECT unnest(['p01', 'p50', 'p99']) AS name) GROUP BY image_id, name"
+SQL["codec_hli_rgbe"], SQL["codec_hli_xyze"] = SQL["codec_rgbe"], SQL["codec_xyze"]
+SQL["codec_hli_xyz"] = f"WITH {ORD} SELECT x, y, {_single} FROM ord"
+SQL["codec_hli_logluv_gzip"] = SQL["codec_hli_logluv"]
+SQL["clip_bounds"] = f"WITH {EV} SELECT x, y, {', '.join(f'{rnd(c)} AS {c}' for c in C)}, (y * 20 + x)::INT AS place FROM ev WHERE x < 20 AND y < 30"
+SQL["blank_images"] = f"""WITH {BAT}, i AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM bat GROUP BY image_id),
+r AS (SELECT image_id, w, unnest(range(0, h))::INT AS y FROM i)
+SELECT image_id, unnest(range(0, w))::INT AS x, y, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3 FROM r"""

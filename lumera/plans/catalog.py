@@ -15,7 +15,7 @@ from lumera.operators.order_statistics import percentiles, percentiles_within
 from lumera.plans import oracle
 from lumera.plans.fixtures import black_batch, embedding_batch, embedding_image, event_image, mixed_batch, order_xyz
 from lumera.schema import CHANNELS, RGB, XYZ, blank, clip_to_bounds, describe_images, offset_in_raster
-from lumera.session import shared_dir
+from lumera.session import scratch_path
 from lumera.sources import formats as formats_of_files
 from lumera.sources import images
 from lumera.sources import sql as sql_functions
@@ -90,7 +90,7 @@ def _codec(codec: str, model: str = RGB, **options: str) -> Callable[[DataFrame]
 
     def run(px: DataFrame) -> DataFrame:
         spark = px.sparkSession
-        folder = f"{shared_dir(spark)}/lumera-{uuid.uuid4().hex}/{codec}"
+        folder = scratch_path(spark, codec)
         formats_of_files.save(px, folder, codec, model, **options)
         return _rounded(spark.read.format(codec).option("split", str(1 << 20)).load(folder), 5)
 

@@ -46,8 +46,28 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder in which this application stores intermediate tables."""
+    return f"{shared_dir(spark)}/lumera-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in that folder."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; DataFrames that still read them no longer work.
+
+    Call it when results have been written. Tables of other applications stay.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, so what follows doesn't compute it anew."""
-    path = f"{shared_dir(df.sparkSession)}/lumera-{uuid.uuid4().hex}/{name}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -289,3 +289,15 @@ def test_percentiles_within_their_error(spark, error):
         for name, share in shares.items():
             below, up_to = np.searchsorted(v, q[name], "left"), np.searchsorted(v, q[name], "right")
             assert up_to > below and below - error * len(v) - 1 <= share * len(v) <= up_to + error * len(v) + 1
+
+
+def test_stored_tables_are_cleared(spark, tmp_path, monkeypatch):
+    """All of an application's intermediate tables lie in one folder, which can be deleted; nothing else is."""
+    from lumera import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    (tmp_path / "other").mkdir()
+    assert session.materialised(spark.range(3), "a").count() == 3 and session.materialised(spark.range(2), "b").count() == 2
+    assert len(list(tmp_path.iterdir())) == 2
+    session.clear_stored(spark)
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumera.session import shared_dir
+from lumera.session import scratch_path
 
 #: White space in the sense of the text contracts: space and the controls 09 to 0D.
 SPACE = r"\x20\x09-\x0D"
@@ -23,8 +22,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    return f"{shared_dir(spark)}/lumera-{uuid.uuid4().hex}/{name}"
+    """A new path in the folder that all executors share; ``lumera.session.clear_stored`` deletes what lies there."""
+    return scratch_path(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -51,24 +51,31 @@ def parts_for(rows: int, share: int, spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // share))
 
 
-#: A key with more rows than this, and than a thousandth of all, isn't dealt to one task.
+#: A key with more rows than this may be too much for one task.
 HOT_KEY = 10_000
+#: Keys that are broadcast at most; where more have over ``HOT_KEY`` rows, the limit is that share of all rows.
+HOT_KEYS = 100_000
+
+
+def hot_limit(rows: int) -> int:
+    """Rows up to which a key goes to one task: fewer than ``HOT_KEYS`` keys can have more."""
+    return max(HOT_KEY, rows // HOT_KEYS)
 
 
 def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """``rows`` joined with ``keyed``, both stored, where ``keyed`` has a row a key and the number ``n`` of its rows.
+    """``rows`` joined with ``keyed``, both stored and narrow, where ``keyed`` has a row a key and the number ``n`` of its rows.
 
-    A key that has more than a thousandth of the rows would put them all into one
-    task. There are fewer than a thousand such keys, so they are broadcast and their
-    rows stay where they are; all other keys are joined by a shuffle.
+    Keys beyond :func:`hot_limit` would put too many rows into one task. There are fewer
+    than ``HOT_KEYS`` of them, so their rows of ``keyed`` are broadcast and those of ``rows``
+    stay where they are; all other keys are joined by a shuffle. At 10^12 rows a task gets
+    at most 10^7 rows of a key.
     """
-    limit = max(HOT_KEY, rows.count() // 1000)
-    hot = keyed.where(F.col(n) > limit).collect()
-    if not hot:
+    limit = hot_limit(rows.count())
+    hot = keyed.where(F.col(n) > limit)
+    if hot.isEmpty():
         return rows.join(keyed, keys)
-    few = F.broadcast(rows.sparkSession.createDataFrame(hot, keyed.schema))
-    rest = rows.join(few.select(*keys), keys, "left_anti").join(keyed.where(F.col(n) <= limit), keys)
-    return rows.join(few, keys).unionByName(rest)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col(n) <= limit), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -48,6 +48,8 @@ LONG_LIST = 5_000
 SHORT_LIST = 24
 #: Sets, and shingles, of a part of a group.
 PART_SETS, PART_SHINGLES = 1_000, 1_000_000
+#: Parts whose sets pass by an indexed part in one task.
+VISITORS = 20
 #: Pairs that a task remembers so as not to name them again; what it forgets is made distinct by the shuffle.
 SEEN = 400_000
 
@@ -347,81 +349,111 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return joined.mapInArrow(run, "a binary, b binary, short_a long, short_b long")
 
 
-def set_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (x, y) of the sets that link, each set's answers derived from those of the set before it.
+class Overlaps:
+    """How many shingles each of some sets shares with one more set, derived from the answer for the set before."""
 
-    ``side``: 0 for all against all; 1 and 2 for the two sides of a pair of parts.
-    """
-    n = np.fromiter(map(len, sets), np.int64, len(sets))
-    names, token = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), n)
-    held = owner[np.argsort(token, kind="stable")]
-    count = np.bincount(token, minlength=len(names))
-    begin = np.cumsum(count) - count
-    parts = np.split(token, np.cumsum(n)[:-1])
-
-    def in_lists(of: np.ndarray) -> np.ndarray:
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.n = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.names, token = np.unique(np.concatenate(sets), return_inverse=True)
+        self.held = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)[np.argsort(token, kind="stable")]
+        self.count = np.bincount(token, minlength=len(self.names))
+        self.begin = np.cumsum(self.count) - self.count
+        self.last, self.both = np.zeros(0, np.int64), np.zeros(len(sets), np.int64)
+
+    def in_lists(self, of: np.ndarray) -> np.ndarray:
         """How many of the lists of some shingles each set is in."""
-        long = count[of]
-        at = np.repeat(begin[of] - np.cumsum(long) + long, long) + np.arange(long.sum())
-        return np.bincount(held[at], minlength=len(sets))
-
-    last, both = np.zeros(0, np.int64), np.zeros(len(sets), np.int64)
-    place = np.arange(len(sets))
-    for x in np.flatnonzero(side < 2):
-        own = parts[x]
-        more, less = np.setdiff1d(own, last, assume_unique=True), np.setdiff1d(last, own, assume_unique=True)
-        both = both + in_lists(more) - in_lists(less) if len(more) + len(less) < len(own) else in_lists(own)
-        last = own
-        fits = 100 * both >= percent * (n[x] + n - both)
-        y = np.flatnonzero(fits & ((place > x) if side[x] == 0 else (side == 2)))
-        if len(y):
-            yield np.full(len(y), x), y
-
-
-def links_within(groups: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """All links between the sets of each group (node, group), counted in full: (a, b)."""
-    named = groups.join(nodes.select(F.col("short").alias("node"), "n"), "node")
-    sizes = named.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+        long = self.count[of]
+        at = np.repeat(self.begin[of] - np.cumsum(long) + long, long) + np.arange(long.sum())
+        return np.bincount(self.held[at], minlength=len(self.n))
+
+    def fits(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the sets are similar enough to ``s`` (sorted)."""
+        at = np.minimum(np.searchsorted(self.names, s), len(self.names) - 1)
+        own = at[self.names[at] == s]
+        more, less = np.setdiff1d(own, self.last, assume_unique=True), np.setdiff1d(self.last, own, assume_unique=True)
+        if len(more) + len(less) < len(own):
+            self.both = self.both + self.in_lists(more) - self.in_lists(less)
+        else:
+            self.both = self.in_lists(own)
+        self.last = own
+        return 100 * self.both >= percent * (len(s) + self.n - self.both)
+
+
+def within(groups: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int, pairs: bool) -> DataFrame:
+    """The links between the sets of each group (node, group): with ``pairs`` each (a, b), the lesser first, else (node, n_links).
+
+    A group is cut into parts. The sets of a part, indexed, meet all sets of the group,
+    ``VISITORS`` parts of them in a task, which pass by one at a time. So a task sends one
+    number for each set of its part, however many links there are.
+    """
+    named = stored(groups.join(nodes.select(F.col("short").alias("node"), "n"), "node"), "grouped")
+    sizes = stored(named.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")), "group_sizes")
     parts = F.greatest(F.ceil(F.col("sets") / PART_SETS), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    place = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side")),
-    )
-    # The link of a group of two is known.
-    dealt = named.join(sizes.where("sets > 2").select("group", parts.alias("parts")), "group").select("group", "node", F.explode(place).alias("at"))
-    dealt = dealt.join(texts.select(F.col("short").alias("node"), "z"), "node").select("group", "at.i", "at.j", "at.side", "node", "z")
+    block = F.floor(own / VISITORS).cast("int")
+    # A set's role: 0 indexed and passing by, 1 indexed alone, 2 passing by another part.
+    at = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
+    indexed = F.transform(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / VISITORS).cast("int")), lambda j: at(own, j, F.when(j == block, 0).otherwise(1)))
+    passing = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i != own), lambda i: at(i, block, F.lit(2)))
+    counted = join_counted(named, sizes.select("group", "sets", parts.alias("parts")), ["group"], "sets")
+    dealt = counted.select("group", "node", F.explode(F.concat(indexed, passing)).alias("at"))
+    dealt = dealt.join(texts.select(F.col("short").alias("node"), "z"), "node").select("group", "at.i", "at.j", "at.role", "node", "z")
+    kinds = {"a": pa.int64(), "b": pa.int64()} if pairs else {"node": pa.int64(), "n_links": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
-        key, held = None, []
+        key, held, part, node, links = None, [], None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def meet(other: int, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal links
+            fits = part.fits(s, percent) & (node != other)
+            links = links + fits
+            # Each of two sets passes by the other; the greater one names the link.
+            named = node[fits & (node < other)] if pairs else node[:0]
+            if len(named):
+                yield _batch(kinds, named, np.full(len(named), other))
+
+        def index() -> Iterator[pa.RecordBatch]:
+            """Index what is held, and let those of it pass by that are to."""
+            nonlocal part, node, links, held
+            part, node = Overlaps([s for _, _, s in held]), np.array([h[0] for h in held], np.int64)
+            links, now, held = np.zeros(len(node), np.int64), held, []
+            for other, role, s in now:
+                if role == 0:
+                    yield from meet(other, s)
 
         def give() -> Iterator[pa.RecordBatch]:
-            node, side = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held])
-            for x, y in set_links([h[2] for h in held], side, percent):
-                yield _batch({"a": pa.int64(), "b": pa.int64()}, np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))
+            if held:
+                yield from index()
+            if not pairs and links.any():
+                yield _batch(kinds, node[links > 0], links[links > 0])
 
         for batch in small(batches):
             rows = [c.to_pylist() for c in batch.columns]
-            for g, i, j, side, node, s in zip(*rows[:5], sets_of([unzip(z).decode() for z in rows[5]], words), strict=True):
-                if key != (g, i, j) and held:
+            for g, i, j, role, other, s in zip(*rows[:5], sets_of([unzip(z).decode() for z in rows[5]], words), strict=True):
+                if key != (g, i, j):
                     yield from give()
-                    held = []
-                key = (g, i, j)
-                held.append((node, side, s))
-        if held:
-            yield from give()
+                    key, held, part, links = (g, i, j), [], None, links[:0]
+                if role < 2:
+                    held.append((other, role, s))
+                    continue
+                if held:
+                    yield from index()
+                if part is not None:  # a part may have no sets, by chance
+                    yield from meet(other, s)
+        yield from give()
 
     keys = ["group", "i", "j"]
-    return dealt.repartition(*map(F.col, keys)).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    found = dealt.repartition(*map(F.col, keys)).sortWithinPartitions(*keys, "role").mapInArrow(run, "a long, b long" if pairs else "node long, n_links long")
+    return found if pairs else found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, row_col: str | None = None, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Documents, sets, and with ``whole`` all links.
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, row_col: str | None = None, whole: str = "") -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Documents, sets, and with ``whole`` of "counts" or "pairs" the links.
 
     Documents: doc_id, row_no, digest, n, component_id, and the label of the group, null for
-    documents without words. Sets: short, digest, n. Links: (a, b), each once, the lesser first, by short.
+    documents without words. Sets: short, digest, n. Links by short: (node, n_links), or (a, b), each
+    once, the lesser first.
     """
     row_no = (F.lit(None) if row_col is None else docs[row_col]).cast("long").alias("row_no")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), row_no, text_or_empty(docs[text_col]).alias("text")).withColumn("key", F.md5("text"))
@@ -470,7 +502,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
         # What has been compared before isn't compared again.
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         tried = stored(pairs, "pairs")
-        links = stored(links.unionByName(verified(possible(tried, nodes, percent), texts, words, percent)), "links")
+        new = stored(verified(possible(tried, nodes, percent), texts, words, percent), "links")
+        links = links.unionByName(new)
 
     labels = connected_components(links.select(F.hex("a").alias("a"), F.hex("b").alias("b"))).select(F.unhex("node").alias("digest"), "label")
     least = members.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
@@ -479,9 +512,14 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     found = members.join(roots, "digest", "left").select("doc_id", "row_no", "digest", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "label")
     if not whole:
         return found, nodes, None
-    # Sets of different groups were compared pair by pair above, those of one group are here.
-    every = links.select(F.col("short_a").alias("a"), F.col("short_b").alias("b")).unionByName(links_within(groups, nodes, texts, words, percent))
-    return found, nodes, stored(every.distinct(), "every")
+    # What the last round found lies between its groups, and all that was found before lies within them.
+    between = new.select(F.least("short_a", "short_b").alias("a"), F.greatest("short_a", "short_b").alias("b"))
+    inside = within(groups, nodes, texts, words, percent, whole == "pairs")
+    if whole == "pairs":
+        return found, nodes, between.unionByName(inside)
+    ends = between.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    return found, nodes, ends.unionByName(inside).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents that links of the exact Jaccard join connect.
@@ -495,9 +533,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns doc_id, n_shingles, component_id (the least id of the group; null ids
     come last), n_links (the other distinct sets that the document's set links with).
     """
-    found, nodes, links = _joined(docs, id_col, text_col, words, percent, whole=True)
-    ends = links.select(F.explode(F.array("a", "b")).alias("short")).groupBy("short").agg(F.count(F.lit(1)).alias("n_links"))
-    counted = nodes.select("digest", "short").join(ends, "short").select("digest", "n_links")
+    found, nodes, links = _joined(docs, id_col, text_col, words, percent, whole="counts")
+    counted = nodes.select("digest", F.col("short").alias("node")).join(links, "node").select("digest", "n_links")
     return found.join(counted, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
@@ -509,7 +546,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns set_a, set_b, doc_a, doc_b.
     """
-    found, nodes, links = _joined(docs, id_col, text_col, words, percent, whole=True)
+    found, nodes, links = _joined(docs, id_col, text_col, words, percent, whole="pairs")
     least = found.groupBy("digest").agg(F.min("doc_id").alias("doc"))
     named = nodes.select("short", "digest").join(least, "digest")
     side = lambda k: named.select(F.col("short").alias(k), F.hex("digest").alias(f"set_{k}"), F.col("doc").alias(f"doc_{k}"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from lumera.llm import components, ngram_join
 from lumera.llm.components import connected_components
@@ -64,9 +65,10 @@ def brute_links(rows, words, percent):
     return [(x, y) for x, y in itertools.combinations(sets, 2) if 100 * len(x & y) >= percent * len(x | y)], sets
 
 
-@pytest.mark.parametrize(("part", "percent"), [(1_000, 80), (5, 70)])
-def test_all_links_against_brute_force(spark, monkeypatch, part, percent):
+@pytest.mark.parametrize(("part", "visitors", "percent"), [(1_000, 20, 80), (5, 2, 70)])
+def test_all_links_against_brute_force(spark, monkeypatch, part, visitors, percent):
     monkeypatch.setattr(ngram_join, "PART_SETS", part)
+    monkeypatch.setattr(ngram_join, "VISITORS", visitors)
     rows = [r for r in corpus() if r[0] is not None] + edited(90, 2)
     pairs, sets = brute_links(rows, 4, percent)
     docs = table(spark, rows)
@@ -78,6 +80,20 @@ def test_all_links_against_brute_force(spark, monkeypatch, part, percent):
         assert r.n_links == n[r.doc_id] // repeated[r.doc_id], r.doc_id
 
 
+def test_a_group_sends_numbers_and_not_links(spark, monkeypatch):
+    """20 parts of a group of near copies, all of them linked: one row a set, where the links are thousands."""
+    monkeypatch.setattr(ngram_join, "PART_SETS", 20)
+    words = prose(77, 100).split(" ")
+    docs = spark.createDataFrame([(i, zstandard.compress(" ".join([*words, f"copy{i}"]).encode()), 98) for i in range(400)], "short long, z binary, n int")
+    groups = docs.selectExpr("short AS node", "7L AS `group`")
+    found = ngram_join.within(groups, docs.drop("z"), docs.drop("n"), 4, 85, False)
+    sent = found._jdf.queryExecution().optimizedPlan().children().head()  # what is aggregated
+    assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sent).count() == 400
+    assert {r.node: r.n_links for r in found.collect()} == dict.fromkeys(range(400), 399)
+    pairs = ngram_join.within(groups, docs.drop("z"), docs.drop("n"), 4, 85, True).collect()
+    assert sorted(map(tuple, pairs)) == list(itertools.combinations(range(400), 2))
+
+
 def test_long_lists_in_parts_and_without_stars(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LONG_LIST", 7)
     monkeypatch.setattr(ngram_join, "bands", lambda s: [int(s[0] >> np.uint64(1)) + i for i in range(8)] if len(s) else [])

@@ -8,8 +8,6 @@ shingles. A text with at most ``k`` shingles is held exactly.
 
 import base64
 import hashlib
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,22 +146,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.pandas_udf(each, "double")(a, b)
 
 
-def _above(ids: Column, bounds: list[int]) -> Column:
-    """Number of bounds above an id. Bounds are looked up in two steps, so about twice the root of their number are compared."""
-    width = max(1, math.isqrt(len(bounds)))
-    rising = sorted(bounds)
-    groups = [rising[i : i + width] for i in range(0, len(rising), width)]
-    array = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
-    least, nested = array([g[0] for g in groups]), F.array(*[array(g) for g in groups])
-    count = lambda xs: F.coalesce(F.size(F.filter(xs, lambda x: x > ids)), F.lit(0))
-    whole = count(least)  # groups that begin above the id
-    return _whole(whole, width, len(rising)) + F.when(whole < len(groups), count(F.get(nested, len(groups) - 1 - whole))).otherwise(0)
+def order_keys(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Pairs of an id and a hash as 16 bytes each, whose order is by falling id and rising hash."""
+    sign = np.int64(-(1 << 63))
+    both = np.stack([~ids.astype(np.int64) ^ sign, hashes.astype(np.int64) ^ sign], axis=1).view(np.uint64)
+    return both.astype(">u8").view("S16").ravel()
 
 
-def _whole(groups: Column, width: int, n: int) -> Column:
-    """Bounds in the last ``groups`` groups of ``width`` bounds, of which the last group may have fewer."""
-    last = n - (-(-n // width) - 1) * width
-    return F.when(groups > 0, (groups - 1) * width + last).otherwise(0)
+def places(heads: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each key, and for keys that begin a range the range before it (for the first the last), else -1.
+
+    ``heads``: the first key of each range, in order.
+    """
+    at = np.searchsorted(heads, keys, side="right") - 1
+    return at, np.where(heads[at] == keys, (at - 1) % len(heads), -1)
 
 
 #: Documents of one range, about.
@@ -173,34 +169,32 @@ RANGE = 20_000
 def with_next(docs: DataFrame, make, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Apply ``make(ids, texts, next_texts)`` to blocks of documents in falling id order.
 
-    The next of the last document is the first. Documents are dealt into ranges of
-    ids by quantiles, about ``RANGE`` to each; the first of each range also travels to
-    the range before it, where it only serves as next. Null ids come last, repeated ids
-    in the order of their text's hash. An id that holds several quantiles, as null may,
-    is split into as many ranges of that hash. Null texts count as empty. An empty
-    table gives no rows.
+    The next of the last document is the first. Spark sorts ids and hashes of texts into
+    ranges of about ``RANGE`` documents; their first ones (16 bytes a range) go to the tasks as an
+    array, not into the plan. Texts then go straight to their ranges, and the first of
+    each range also to the range before it, where it only serves as next. Null ids
+    come last, repeated ids in the order of their text's hash, so an id that holds
+    many documents, as null may, is split over ranges; rows that repeat as a whole
+    follow each other in one range, which streams them. Null texts count as empty. An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     low = -(1 << 63)
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(low)).alias("sort_id"), text_or_empty(docs[text_col]).alias("text")).withColumn("h", F.xxhash64("text"))
     n = parts_for(docs.count(), RANGE, spark)
-    cuts = rows.agg(F.percentile_approx("sort_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n))).first()[0] or [0]
-    hot = {i: k for i, k in Counter(cuts).items() if k > 1}
-    parts = F.lit(1)
-    for i, k in hot.items():  # fewer than half as many as there are ranges, most often none
-        parts = F.when(F.col("sort_id") == i, k).otherwise(parts)
-    # A bucket's least id is a quantile; if that is split, its rows come after the other ids of the bucket.
-    sub = F.when(parts > 1, F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * parts) + 1).otherwise(0).cast("long")
-    placed = rows.withColumn("place", _above(F.col("sort_id"), sorted(set(cuts))).cast("long") * (1 << 24) + sub).withColumn(
-        "key", F.when(parts > 1, F.concat_ws(":", F.col("sort_id").cast("string"), F.col("h").cast("string"))).otherwise(F.col("sort_id").cast("string"))
-    )
-    found = placed.groupBy("place").agg(F.max("sort_id").alias("head"), F.min("h").alias("h")).collect()
-    heads = [(r.place, f"{r.head}:{r.h}" if r.place % (1 << 24) else str(r["head"])) for r in sorted(found, key=lambda r: r.place)]
-    guests = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # the very first goes to the last range
-    guest = F.create_map(*[F.lit(x) for kv in guests.items() for x in kv]) if guests else F.create_map().cast("map<string,bigint>")
-    at = lambda place, g: F.struct(place.cast("long").alias("place"), F.lit(g).alias("guest"))
-    own = at(F.col("place"), 0)
-    both = F.when(F.col("key").isin(list(guests)), F.array(own, at(F.element_at(guest, F.col("key")), 1))).otherwise(F.array(own))
+    ranges = rows.select("sort_id", "h").repartitionByRange(n, F.desc("sort_id"), "h").withColumn("range", F.spark_partition_id())
+    first = ranges.groupBy("range").agg(F.min(F.struct((-1 - F.col("sort_id")).alias("falling"), "h")).alias("head")).select("head.*")
+    found = first.toPandas()
+    heads = np.sort(order_keys(-1 - found["falling"].to_numpy("int64"), found["h"].to_numpy("int64")))
+
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        at, guest = places(heads, order_keys(ids.to_numpy(), hashes.to_numpy()))
+        return pd.DataFrame({"own": at, "other": guest})
+
+    placed = rows.withColumn("at", F.pandas_udf(place, "own int, other int")("sort_id", "h"))
+    at = lambda place, guest: F.struct(place.alias("place"), F.lit(guest).alias("guest"))
+    own, other = at(F.col("at.own"), 0), at(F.col("at.other"), 1)
+    both = F.when(F.col("at.other") >= 0, F.array(own, other)).otherwise(F.array(own))
     dealt = placed.select("sort_id", "text", "h", F.explode(both).alias("at")).select("sort_id", "text", F.col("at.place").alias("place"), F.col("at.guest").alias("guest"), "h")
     order = [F.col("place"), F.col("guest"), F.desc("sort_id"), F.col("h")]
 
@@ -223,7 +217,7 @@ def with_next(docs: DataFrame, make, schema: str, id_col: str = "doc_id", text_c
         if ids:
             yield make(ids, texts, nexts)
 
-    return dealt.repartitionByRange(n, "place").sortWithinPartitions(*order).mapInArrow(walk, schema)
+    return dealt.repartitionById(n, F.col("place")).sortWithinPartitions(*order).mapInArrow(walk, schema)
 
 
 def _edited(ids: list, texts: list[str], nexts: list[str]) -> pa.RecordBatch:

@@ -78,6 +78,38 @@ def test_many_ranges_and_an_id_that_holds_a_third(spark, monkeypatch):
     assert len(ring) == len(rows) and [ids[t] for t in ring] == sorted(ids.values(), reverse=True)
 
 
+def test_places_among_five_thousand_ranges():
+    from lumera.llm.fingerprints import order_keys, places
+
+    r = np.random.default_rng(5)
+    edge = [-(1 << 63), -1, 0, 1, (1 << 63) - 1]
+    ids = np.concatenate([r.integers(-50, 50, 20_000), r.integers(-(1 << 62), 1 << 62, 20_000), np.repeat(edge, 5)])
+    hashes = np.concatenate([r.integers(-(1 << 63), (1 << 63) - 1, 40_000), np.tile(edge, 5)])
+    order = sorted(zip(ids.tolist(), hashes.tolist(), strict=True), key=lambda k: (-k[0], k[1]))
+    keys = order_keys(*(np.array(c, np.int64) for c in zip(*order, strict=True)))
+    assert (np.sort(keys) == keys).all()
+    begin = np.unique(np.append(r.choice(len(order), 5_000, replace=False), 0))
+    begin = begin[[i == 0 or order[i] != order[i - 1] for i in begin]]
+    at, guest = places(keys[begin], keys)
+    assert (at == np.searchsorted(begin, np.arange(len(keys)), side="right") - 1).all()
+    first = {order[i]: k for k, i in enumerate(begin)}
+    assert all(g == ((first[k] - 1) % len(begin) if k in first else -1) for g, k in zip(guest, order, strict=True))
+
+
+def test_plan_does_not_grow_with_the_ranges(spark, monkeypatch):
+    from lumera.llm import fingerprints
+
+    rows = [(i, f"text {i}", "en", "a") for i in range(400)]
+    pair = lambda ids, texts, nexts: pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, "int64"), "next": nexts})
+    size = []
+    for many in (100, 4):
+        monkeypatch.setattr(fingerprints, "RANGE", many)
+        found = fingerprints.with_next(table(spark, rows), pair, "doc_id long, next string")
+        size.append(len(found._jdf.queryExecution().optimizedPlan().toString()))
+        assert sorted((r.doc_id, r.next) for r in found.collect()) == [(i, f"text {(i - 1) % 400}") for i in range(400)]
+    assert abs(size[1] - size[0]) < 50
+
+
 def test_columns_groups_and_empty_table(spark, tmp_path):
     docs = table(spark, corpus())
     marks = fingerprint(docs)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumera.llm.common import HOT_KEY, SPACE, each, numbered, read_table, stored, text_or_empty, unused
+from lumera.llm.common import HOT_KEY, HOT_KEYS, SPACE, each, numbered, read_table, stored, text_or_empty, unused
 
 #: Weights of the sources in code-point order, repeated as often as needed.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -209,19 +209,17 @@ def _dealt_among_equals(sized: DataFrame, chosen: DataFrame, same: list[Column],
 
     Rows are counted by unit and block (a task's rows), and numbered within it, so the
     rows of a very frequent unit are never brought together. Units that come more
-    than ``HOT_KEY`` times and more often than a thousandth of the rows are broadcast.
+    than ``HOT_KEY`` times and make more than one part in ``HOT_KEYS`` of the rows are broadcast.
     """
-    spark, limit = sized.sparkSession, max(HOT_KEY, sized.count() // 1000)
+    limit = max(HOT_KEY, sized.count() // HOT_KEYS)
     several = chosen.where("times > 1").withColumn("unit_no", F.monotonically_increasing_id())
     several = stored(several, "several")
     same = [sized[c].eqNullSafe(several[c]) for c in unit]
     of_unit = [several[c] for c in ("source_size", "target", "rate", "whole", "extra", "unit_no")]
-    hot = several.where(F.col("times") > limit).collect()
+    few = several.where(F.col("times") > limit)
     rows = sized.join(several.where(F.col("times") <= limit), same).select(*of_row, sized["block"], *of_unit)
-    if hot:
-        few = spark.createDataFrame(hot, several.schema)
-        same = [sized[c].eqNullSafe(few[c]) for c in unit]
-        rows = rows.unionByName(sized.join(F.broadcast(few), same).select(*of_row, sized["block"], *[few[c] for c in ("source_size", "target", "rate", "whole", "extra", "unit_no")]))
+    if not few.isEmpty():
+        rows = rows.unionByName(sized.join(F.broadcast(few), same).select(*of_row, sized["block"], *of_unit))
     rows = stored(rows, "equals")
     before = F.sum("held").over(Window.partitionBy("unit_no").orderBy("block")) - F.col("held")
     blocks = rows.groupBy("unit_no", "block").agg(F.count(F.lit(1)).alias("held")).select("unit_no", "block", before.alias("before"))

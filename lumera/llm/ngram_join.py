@@ -4,8 +4,8 @@ Two documents link when their sets of ``words``-word shingles have a Jaccard
 similarity of ``percent`` hundredths or more. The join works on an inverted index
 over the prefixes of the sets and skips by two relations between sets.
 
-*Within the index.* Shingles are ordered from rare to frequent by a bounded sketch of
-their counts, ties by hash; any fixed order is right, and this one keeps frequent
+*Within the index.* Shingles are ordered from rare to frequent by what a bounded sketch
+has counted for them, ties by hash; any fixed order is right, and this one keeps frequent
 shingles out of the lists. Similar sets share a shingle within their prefixes. A list
 is split into blocks of one set size, sorted by position, and for two blocks the
 positions beyond which no pair can reach the needed overlap are skipped as a whole.
@@ -81,8 +81,17 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def frequency_ranks(rows: DataFrame, words: int) -> np.ndarray:
-    """Rank of each counter of the sketch: 0 for what can't be told from the average, more for frequent shingles.
+def counter_of(s: np.ndarray, counters: int) -> np.ndarray:
+    """Which of the ``counters`` (a power of two) count some hashes: their first bits."""
+    return (s >> U(65 - counters.bit_length())).astype(np.int64)
+
+
+def frequency_ranks(rows: DataFrame, words: int) -> tuple[np.ndarray, int]:
+    """Rank of each counter of the sketch, which is what it has counted, and the rank from which its shingles are surely frequent.
+
+    Counters aren't put into classes: the shingles of a frequent one rarely lie in a counter as low as those that
+    fill prefixes, even where most of what any counter holds is of other shingles. With one class for all that is near the
+    average, lists would grow in proportion to the corpus, and their pairs with its square.
 
     Occurrences are counted, repeats in a text included. Tasks count into an array of fixed size, and their arrays are added up piece by
     piece, a piece at a time. The driver receives the one sum.
@@ -95,7 +104,7 @@ def frequency_ranks(rows: DataFrame, words: int) -> np.ndarray:
             raw = [t.encode() for t in batch.column(0).to_pylist()]
             for a, b in text_slices(list(map(len, raw))):
                 found = np.concatenate(list(shingle_hashes(raw[a:b], words)))
-                total += np.bincount((found >> U(44)).astype(np.int64), minlength=SKETCH)
+                total += np.bincount(counter_of(found, SKETCH), minlength=SKETCH)
         yield _batch({"piece": pa.int32(), "counts": pa.binary()}, np.arange(PIECES), [total[i * width : (i + 1) * width].tobytes() for i in range(PIECES)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +121,7 @@ def frequency_ranks(rows: DataFrame, words: int) -> np.ndarray:
         total[r.piece * width : (r.piece + 1) * width] = np.frombuffer(r.counts, np.int64)
     average = total.mean()
     usual = 3 * average + 8 * np.sqrt(average) + 16
-    return np.where(total > usual, np.ceil(np.log2(np.maximum(total / usual, 1))).astype(np.int64) + 1, 0).astype(np.uint8)
+    return np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32), int(usual) + 1
 
 
 def _batch(kinds: dict[str, pa.DataType], *columns) -> pa.RecordBatch:  # noqa: ANN002
@@ -150,7 +159,7 @@ def least_difference(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def describe(rows: DataFrame, ranks: np.ndarray, words: int, percent: int) -> DataFrame:
+def describe(rows: DataFrame, ranks: np.ndarray, frequent: int, words: int, percent: int) -> DataFrame:
     """What the join needs to know of each text: digest and size of its set, prefix, bands, centrality and parity."""
     kinds = {
         "doc_id": pa.int64(), "row_no": pa.int64(), "key": pa.string(), "digest": pa.binary(), "n": pa.int32(), "prefix": pa.list_(pa.int64()),
@@ -165,9 +174,9 @@ def describe(rows: DataFrame, ranks: np.ndarray, words: int, percent: int) -> Da
                 if not len(s):
                     out.append((doc_id, row_no, key, digest(s), 0, [], [], 0.0, b""))
                     continue
-                rank = ranks[(s >> U(44)).astype(np.int64)]
+                rank = ranks[counter_of(s, len(ranks))]
                 order = np.argsort(rank, kind="stable")[: prefix_length(len(s), percent)]
-                out.append((doc_id, row_no, key, digest(s), len(s), s[order].view(np.int64), bands(s), float((rank > 0).mean()), parity(s).tobytes()))
+                out.append((doc_id, row_no, key, digest(s), len(s), s[order].view(np.int64), bands(s), float((rank >= frequent).mean()), parity(s).tobytes()))
             yield _batch(kinds, *(list(c) for c in zip(*out, strict=True)))
 
     return rows.select("doc_id", "row_no", "key", "text").mapInArrow(run, kind)
@@ -457,9 +466,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     """
     row_no = (F.lit(None) if row_col is None else docs[row_col]).cast("long").alias("row_no")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), row_no, text_or_empty(docs[text_col]).alias("text")).withColumn("key", F.md5("text"))
-    ranks = frequency_ranks(rows, words)
+    ranks, frequent = frequency_ranks(rows, words)
     short = F.conv(F.substr(F.hex("digest"), F.lit(1), F.lit(15)), 16, 10).cast("long")
-    described = stored(describe(rows, ranks, words, percent), "described")
+    described = stored(describe(rows, ranks, frequent, words, percent), "described")
     members = described.select("doc_id", "row_no", "digest", "n")
     nodes = stored(
         described.where("n > 0")

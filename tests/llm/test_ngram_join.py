@@ -102,6 +102,23 @@ def test_long_lists_in_parts_and_without_stars(spark, monkeypatch):
     assert sorted(got, key=str) == brute(rows, 4, 85)
 
 
+def test_a_passage_that_crowded_counters_hide_makes_no_pairs(spark, monkeypatch):
+    """80 texts share a passage, but no prefix holds it, though its counters are within a few averages of all others."""
+    monkeypatch.setattr(ngram_join, "SKETCH", 1 << 10)
+    candidates, made = ngram_join.candidates, []
+
+    def counted(*args):
+        made.append(candidates(*args))
+        return made[-1]
+
+    monkeypatch.setattr(ngram_join, "candidates", counted)
+    passage = prose(5, 40)
+    rows = [(i, " ".join([*(f"w{i}x{k}" for k in range(200)), passage]), "en", "a") for i in range(80)]
+    got = jaccard_groups(table(spark, rows), words=4, percent=85).collect()
+    assert [pairs.count() for pairs in made] == [0, 0]
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got} == {(i, 237, i, 0) for i in range(80)}
+
+
 def test_sizes():
     for n in range(1, 60):
         for m in range(n, 80):

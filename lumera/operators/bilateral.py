@@ -5,6 +5,10 @@ smoothed, and each pixel reads the grid between cells. The grid is a relation of
 occupied cells. The cells that pixels lie in ask for the values at their corners, so
 nothing else is smoothed along the last axis; they become one row a cell that holds all
 of its corners, and pixels are joined once and neither multiplied nor grouped again.
+
+Cells are as many as the pixels want, but take next to nothing in Parquet, so Spark would
+guess by the size of their files that they can be broadcast, and fill the driver. Their
+joins ask for a merge.
 """
 
 from __future__ import annotations
@@ -72,7 +76,7 @@ def smooth_at(grid: DataFrame, wanted: DataFrame, axes: int, sums: int) -> DataF
     part = reduce(lambda x, y: x + y, [F.when((d == i + j) & inside(g - j), tap[i] * tap[j]).otherwise(0.0) for i, j in product(tap, tap)])
     at = ["image_id", *[f"g{i}" for i in range(last)]]
     asked = wanted.select(*at, F.col(f"g{last}").alias("target"), F.explode(F.array(*map(F.lit, range(-2, 3)))).alias("d")).withColumn(f"g{last}", g - d)
-    read = asked.join(grid, [*at, f"g{last}"]).where(inside(g)).withColumn("part", part)
+    read = asked.join(grid.hint("merge"), [*at, f"g{last}"]).where(inside(g)).withColumn("part", part)
     return read.groupBy(*at, g.alias(f"g{last}")).agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in names])
 
 
@@ -86,7 +90,7 @@ def corner_cells(bases: DataFrame, axes: int) -> DataFrame:
 
 def corners(cells: DataFrame, grid: DataFrame, axes: int, names: list[str]) -> DataFrame:
     """For each cell ``b0..`` the values at its corners: arrays in the order of the corners' bits, 0 where empty."""
-    found = cells.join(grid, ["image_id", *[f"g{i}" for i in range(axes)]])
+    found = cells.join(grid.hint("merge"), ["image_id", *[f"g{i}" for i in range(axes)]])
     pairs = F.map_from_entries(F.collect_list(F.struct("k", F.struct(*names))))
     held = found.groupBy("image_id", *[f"b{i}" for i in range(axes)]).agg(pairs.alias("m"))
     value = lambda n: F.transform(F.sequence(F.lit(0), F.lit(2**axes - 1)), lambda k: F.coalesce(F.col("m")[k].getField(n), F.lit(0.0)))
@@ -118,7 +122,7 @@ def _read(px: DataFrame, splatted: DataFrame, at: list[Column], sums: int, names
     cells = materialised(corner_cells(placed.select(*base).distinct(), axes), "cells")
     wanted = cells.select("image_id", *[f"g{i}" for i in range(axes)]).distinct()
     grid = smooth_at(splatted, wanted, axes, sums).select("image_id", *[f"g{i}" for i in range(axes)], *[v.alias(n) for v, n in zip(values, names, strict=True)])
-    return placed.join(corners(cells, grid, axes, names), base, "left").withColumn("part", corner_weights(axes))
+    return placed.join(corners(cells, grid, axes, names).hint("merge"), base, "left").withColumn("part", corner_weights(axes))
 
 
 def luminance_stats(px: DataFrame, model: str, sigma_space: float | Column | None, sigma_range: float | None) -> DataFrame:

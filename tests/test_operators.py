@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -103,6 +104,16 @@ def test_colour_bilateral(spark):
     assert out[:, :6].std() < v[:, :6].std()
 
 
+@pytest.mark.parametrize("name", ["fast_bilateral", "y_fast_bilateral"])
+def test_grid_cells_are_never_broadcast(spark, name):
+    """As many cells as pixels are a few bytes in Parquet: only statistics, one row an image, may go through the driver."""
+    got = getattr(bilateral, name)(image(spark, noise(12, 12, 4)), RGB, sigma_space=0.4)
+    assert got.count() == 144
+    joins = re.findall(r"(\w+Join) \[(.*?)\]", got._jdf.queryExecution().executedPlan().toString())
+    assert [keys for join, keys in joins if "Broadcast" in join and re.search(r"\b[bg]\d#", keys)] == []
+    assert sum(join == "SortMergeJoin" for join, _ in joins) >= 3
+
+
 def test_flat_images(spark):
     flat = image(spark, np.full((8, 8, 3), 0.5))
     assert np.allclose(array(bilateral.y_fast_bilateral(flat, XYZ)), 0.5)
